@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxtable.functions.columns import cross, norm
 from voxtable.operators.fits import determinant, inverse
 from voxtable.operators.nearest import nearest
-from voxtable.operators.ordered import percentiles
+from voxtable.operators.ordered import percentiles, percentiles_of
 from voxtable.operators.tiles import with_halo
 
 XYZ = ("x", "y", "z")
@@ -195,8 +195,7 @@ def local_scale(mesh: DataFrame, keys: Sequence[str]) -> DataFrame:
     uv = u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
     half, root = (uu + vv) / 2, F.sqrt(F.pow((uu - vv) / 2, 2) + uv * uv)
     s = d.withColumn("s1", F.sqrt(half + root)).withColumn("s2", F.sqrt(F.greatest(half - root, F.lit(0.0))))
-    a, b = percentiles(s, keys, "s1", {"s1": 0.5}), percentiles(s, keys, "s2", {"s2": 0.5})
-    return a.join(b, list(keys))
+    return percentiles_of(s, keys, {"s1": {"s1": 0.5}, "s2": {"s2": 0.5}})
 
 
 def round_trip(a: DataFrame, b: DataFrame, keys: Sequence[str], names: Sequence[str] = ("i", "j")) -> DataFrame:
@@ -211,8 +210,7 @@ def round_trip(a: DataFrame, b: DataFrame, keys: Sequence[str], names: Sequence[
 def index_offset(pairs: DataFrame, keys: Sequence[str], ratio_i: Column, ratio_j: Column) -> DataFrame:
     """Median fine-minus-coarse index offset of matched vertices (fi, fj, ai, aj)."""
     p = pairs.withColumn("di", F.col("fi") - F.col("ai") * ratio_i).withColumn("dj", F.col("fj") - F.col("aj") * ratio_j)
-    a, b = percentiles(p, keys, "di", {"row_offset": 0.5}), percentiles(p, keys, "dj", {"col_offset": 0.5})
-    return a.join(b, list(keys)) if keys else a.withColumn("col_offset", b.scalar())
+    return percentiles_of(p, keys, {"di": {"row_offset": 0.5}, "dj": {"col_offset": 0.5}})
 
 
 def interpolate_axis(points: DataFrame, queries: DataFrame, keys: Sequence[str], z: str, values: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_RANGE = 32
+SAMPLE_ROWS = 8192
 MAX_RANGES = 256
 
 
@@ -23,21 +23,25 @@ def _ranges(df: DataFrame, ranges: int | None) -> int:
     return max(8, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def split_points(df: DataFrame, order: Sequence[str], unique: Sequence[str], ranges: int) -> list:
-    """At most ``ranges - 1`` ordered split keys from a hash sample of ``ranges * 32`` rows (a bounded driver result).
+def split_points(df: DataFrame, order: Sequence[str], unique: Sequence[str], ranges: int, force: bool = False) -> list:
+    """At most ``ranges - 1`` ordered split keys from a hash sample of ``SAMPLE_ROWS`` rows (only the splits reach the driver).
 
-    ``unique`` names the columns that make a row distinct, so that no repeated key can fill the sample.
+    ``unique`` names the columns that make a row distinct, so that no repeated key can fill the sample. A table that fits
+    into the sample needs no splitting (unless ``force``): its windows are bounded as they are.
     """
-    sample = df.select(F.struct(*order).alias("k"), F.xxhash64(*unique).alias("h")).orderBy("h").limit(ranges * SAMPLE_PER_RANGE)
+    sample = df.select(F.struct(*order).alias("k"), F.xxhash64(*unique).alias("h")).orderBy("h").limit(SAMPLE_ROWS)
     keys = sample.agg(F.array_sort(F.collect_list("k")).alias("k")).select(
+        F.size("k").alias("n"),
         F.transform(
-            F.sequence(F.lit(1), F.lit(ranges - 1)),
+            F.sequence(F.lit(1), F.lit(max(ranges - 1, 1))),
             lambda i: F.get(F.col("k"), F.floor(i * F.size("k") / ranges).cast("int")),
-        ).alias("k")
+        ).alias("k"),
     )
-    found = keys.first()["k"] or []
+    found = keys.first()
+    if found["n"] < SAMPLE_ROWS and not force:
+        return []
     distinct: list = []
-    for k in found:
+    for k in found["k"]:
         if k is not None and (not distinct or distinct[-1] != k):
             distinct.append(k)
     return distinct
@@ -72,8 +76,15 @@ def running_totals(
     ``order`` must be a total order within the group and ascending; grouping columns must not be NULL.
     """
     by, order, values = list(by), list(order), list(values)
-    ranges = _ranges(df, ranges)
-    splits = split_points(df, order, unique or by + order, ranges)
+    splits = split_points(df, order, unique or by + order, _ranges(df, ranges), bool(ranges))
+    if not splits:
+        run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*by)
+        return df.select(
+            "*",
+            *[F.coalesce(F.sum(v).over(run), F.lit(0)).alias(f"{v}_before") for v in values],
+            *[F.sum(v).over(whole).alias(f"{v}_total") for v in values],
+        )
     tagged = df.withColumn("__range", range_id(order, splits, df.schema))
     sums = tagged.groupBy(*by, "__range").agg(*[F.sum(v).alias(f"__{v}_sum") for v in values])
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,23 +119,34 @@ def percentiles(
     df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], ranges: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per group; ``probs`` maps output names to fractions."""
-    ranked = running_totals(value_counts(df, by, value), by, [value], ["n"], ranges=ranges)
-    v, before, n, total = F.col(value), F.col("n_before"), F.col("n"), F.col("n_total")
+    return percentiles_of(df, by, {value: probs}, ranges)
 
-    def at(index: Column) -> Column:
-        return F.max(F.when((before <= index) & (index < before + n), v))
 
-    picks = []
-    for name, q in probs.items():
-        pos = F.lit(float(q)) * (total - 1)
-        picks += [at(F.floor(pos)).alias(f"__{name}_lo"), at(F.ceil(pos)).alias(f"__{name}_hi")]
-    agg = ranked.groupBy(*by).agg(F.max("n_total").alias("__total"), *picks)
-    out = []
-    for name, q in probs.items():
-        pos = F.lit(float(q)) * (F.col("__total") - 1)
-        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return agg.select(*by, *out)
+def percentiles_of(
+    df: DataFrame, by: Sequence[str], wanted: dict[str, dict[str, float]], ranges: int | None = None
+) -> DataFrame:
+    """Exact percentiles of several columns in one pass: ``{column: {output name: fraction}}``."""
+    by = list(by)
+    columns = list(wanted)
+    if len(columns) == 1:
+        long = df.select(*by, F.lit(0).alias("__c"), F.col(columns[0]).alias("__v"))
+    else:
+        entries = [F.struct(F.lit(k).alias("__c"), F.col(c).cast("double").alias("__v")) for k, c in enumerate(columns)]
+        long = df.select(*by, F.inline(F.array(*entries)))
+    ranked = running_totals(value_counts(long, [*by, "__c"], "__v"), [*by, "__c"], ["__v"], ["n"], ranges=ranges)
+    v, before, n, total, which = F.col("__v"), F.col("n_before"), F.col("n"), F.col("n_total"), F.col("__c")
+    picks, out = [], []
+    for k, c in enumerate(columns):
+        size = f"__total_{k}"
+        picks.append(F.max(F.when(which == k, total)).alias(size))
+        for name, q in wanted[c].items():
+            for side, f in (("lo", F.floor), ("hi", F.ceil)):
+                at = f(F.lit(float(q)) * (total - 1))
+                picks.append(F.max(F.when((which == k) & (before <= at) & (at < before + n), v)).alias(f"__{name}_{side}"))
+            lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+            pos = F.lit(float(q)) * (F.col(size) - 1)
+            out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return ranked.groupBy(*by).agg(*picks).select(*by, *out)
 
 
 def top_share_mean(df: DataFrame, by: Sequence[str], value: str, share: float = 0.05, name: str = "top_mean") -> DataFrame:
@@ -144,8 +166,10 @@ def neighbours_in_order(
     Range edges are carried over by a table of first and last rows per (group, range).
     """
     by, order, columns = list(by), list(order), list(columns)
-    ranges = _ranges(df, ranges)
-    splits = split_points(df, order, by + order, ranges)
+    splits = split_points(df, order, by + order, _ranges(df, ranges), bool(ranges))
+    if not splits:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.select("*", *[f(c).over(w).alias(f"{p}_{c}") for c in columns for p, f in (("prev", F.lag), ("next", F.lead))])
     tagged = df.withColumn("__range", range_id(order, splits, df.schema))
     row = F.struct(*columns)
     edges = tagged.groupBy(*by, "__range").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.functions.columns import ceil_div
-from voxtable.operators.ordered import percentiles
+from voxtable.operators.ordered import percentiles_of
 from voxtable.operators.stats import guarded_corr
 
 
@@ -70,7 +70,7 @@ def probe_chunk(chunks: DataFrame, by: Sequence[str], probes: Sequence[Column],
         rank = F.when(p & (F.col(max_value) > 0), k).otherwise(rank)
     c = chunks.withColumn("__r", rank)
     key = F.struct("cy", "cx")
-    out = c.groupBy(*by).agg(F.min_by(key, F.col("__r")).alias("a"), F.min("__r").alias("r"), F.max_by(F.struct("cy", "cx", F.col(max_value).alias("m")), F.struct(F.col(size), -F.col("cy"), -F.col("cx"))).alias("b"))
+    out = c.groupBy(*by).agg(F.min_by(key, F.when(F.col("__r").isNotNull(), F.struct("__r", "cy", "cx"))).alias("a"), F.min("__r").alias("r"), F.max_by(F.struct("cy", "cx", F.col(max_value).alias("m")), F.struct(F.col(size), -F.col("cy"), -F.col("cx"))).alias("b"))
     empty = F.col("r").isNull() & (F.col("b.m") <= 0)
     pick = F.when(F.col("r").isNotNull(), F.col("a")).otherwise(F.struct(F.col("b.cy").alias("cy"), F.col("b.cx").alias("cx")))
     return out.select(*by, F.when(~empty, pick).alias("probe"), (F.col("r").isNull() & ~empty).alias("fallback"), F.when(empty, F.array(F.lit("PROBE_EMPTY"))).otherwise(F.array().cast("array<string>")).alias("flags"))
@@ -100,10 +100,7 @@ def placement_report(audit: DataFrame) -> DataFrame:
     wins = pairs.select("segment", "reference", "other", F.explode("p.windows").alias("w")).where("w.shift_um is not null")
     keys = ["segment", "reference", "other"]
     shifts = wins.select(*keys, *[F.col("w.shift_um")[k].alias(f"s{k}") for k in range(3)])
-    med = None
-    for k in range(3):
-        m = percentiles(shifts, keys, f"s{k}", {f"m{k}": 0.5})
-        med = m if med is None else med.join(m, keys)
+    med = percentiles_of(shifts, keys, {f"s{k}": {f"m{k}": 0.5} for k in range(3)})
     recs = pairs.select(*keys, F.col("p.median_ncc0").alias("ncc0"), F.col("p.median_best").alias("best"), F.col("p.grid_um").alias("grid")).join(med, keys)
     recs = recs.select(
         F.substring_index("segment", "/", 1).alias("scroll"), F.substring_index("reference", "-", 1).alias("ref"), F.substring_index("other", "-", 1).alias("scan"),
@@ -117,10 +114,8 @@ def group_medians(recs: DataFrame, by: Sequence[str], values: Sequence[str], fir
     aggs = [F.count(F.lit(1)).alias("n")]
     if first:
         aggs.append(F.min_by(first, first_key).alias(first))
-    out = recs.groupBy(*by).agg(*aggs)
-    for v in values:
-        out = out.join(percentiles(recs, by, v, {f"median_{v}": 0.5}), list(by), "left")
-    return out
+    medians = percentiles_of(recs, by, {v: {f"median_{v}": 0.5} for v in values})
+    return recs.groupBy(*by).agg(*aggs).join(medians, list(by), "left")
 
 
 def exactly_one(inventory: DataFrame, owner: str, kind: str, wanted: Sequence[str]) -> DataFrame:
