@@ -568,17 +568,28 @@ def band_windows(spark, folder):
 
 
 @query(
-    """WITH m AS (SELECT user_id % 8 AS segment, user_id % 4 AS quarter, hour(ts)::INT - 12 AS "offset", avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END) AS share, avg(value) AS mean, stddev_pop(value) AS score FROM events GROUP BY ALL),
- p AS (SELECT segment, "offset", avg(share) AS share, avg(mean) AS mean, avg(score) AS score FROM m GROUP BY ALL),
- r1 AS (SELECT segment, 'R1' AS rule, score FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(share, 9) DESC, abs("offset"), "offset") AS k FROM p) WHERE k = 1),
- r2 AS (SELECT segment, 'R2' AS rule, score FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(mean, 9) DESC, abs("offset"), "offset") AS k FROM p) WHERE k = 1),
- r4 AS (SELECT segment, 'R4' AS rule, avg(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY segment, quarter ORDER BY round(share, 9) DESC, abs("offset"), "offset") AS k FROM m) WHERE k = 1 GROUP BY segment),
- o AS (SELECT segment, 'oracle' AS rule, max(score) AS score FROM p GROUP BY segment)
- SELECT segment, rule, round(score, 6) AS score FROM (FROM r1 UNION ALL FROM r2 UNION ALL FROM r4 UNION ALL FROM o)"""
+    """WITH px AS (SELECT l_suppkey % 8 AS segment, l_orderkey AS px, l_partkey AS id, l_partkey % 4 AS quarter, l_linenumber AS "offset", l_discount * 10 AS s, l_quantity > 25 AS positive FROM lineitem),
+ p0 AS (SELECT segment, px, arg_min(quarter, ("offset", id, quarter)) AS quarter, arg_min(positive, ("offset", id, positive)) AS positive FROM px GROUP BY ALL),
+ m AS (SELECT px.segment, px.px, p0.quarter, px."offset", max(px.s) AS s, p0.positive FROM px JOIN p0 USING (segment, px) GROUP BY ALL),
+ w AS (SELECT segment, "offset", count(*) FILTER (s > 0.5) / count(*) AS share, round(avg(s), 9) AS mean FROM m GROUP BY ALL), q AS (SELECT segment, quarter, "offset", count(*) FILTER (s > 0.5) / count(*) AS share FROM m GROUP BY ALL),
+ r1 AS (SELECT segment, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY share DESC, "offset") AS k FROM w) WHERE k = 1),
+ r2 AS (SELECT segment, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY mean DESC, "offset") AS k FROM w) WHERE k = 1),
+ r4 AS (SELECT segment, quarter, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY segment, quarter ORDER BY share DESC, "offset") AS k FROM q) WHERE k = 1),
+ e AS (SELECT segment, 'R1' AS rule, s, positive FROM m SEMI JOIN r1 USING (segment, "offset") UNION ALL SELECT segment, 'R2', s, positive FROM m SEMI JOIN r2 USING (segment, "offset")
+  UNION ALL SELECT segment, 'R4', s, positive FROM m SEMI JOIN r4 USING (segment, quarter, "offset") UNION ALL SELECT segment, 'R3', max(s), positive FROM m GROUP BY segment, px, positive
+  UNION ALL SELECT segment, 'at' || "offset", s, positive FROM m),
+ k AS (SELECT segment, rule, positive, row_number() OVER (PARTITION BY segment, rule ORDER BY s, CASE WHEN positive THEN 0 ELSE 1 END) AS rk FROM e),
+ a AS (SELECT segment, rule, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n, sum(rk) FILTER (positive) AS rs FROM k GROUP BY ALL),
+ v AS (SELECT segment, CASE WHEN rule LIKE 'at%' THEN 'oracle' ELSE rule END AS rule, CASE WHEN p >= 50 AND n >= 50 THEN (rs - p * (p + 1) / 2.0) / (p * n) END AS auc FROM a)
+ SELECT segment, rule, round(max(auc), 6) AS auc FROM v GROUP BY ALL"""
 )
 def selection_rules(spark, folder):
-    e = table(spark, folder, "events")
-    m = e.groupBy(F.pmod("user_id", F.lit(8)).alias("segment"), F.pmod("user_id", F.lit(4)).alias("quarter"), (F.hour("ts") - 12).alias("offset")).agg(
-        F.avg((F.col("value") > 20).cast("double")).alias("share"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("score")
+    """Suppliers in eight segments, orders as pixels, line numbers as depth offsets, ten times the discount as score."""
+    li = table(spark, folder, "lineitem").select(
+        F.pmod("l_suppkey", F.lit(8)).alias("segment"), F.col("l_orderkey").alias("px"), "l_partkey", F.pmod("l_partkey", F.lit(4)).alias("quarter"), F.col("l_linenumber").alias("offset"),
+        (F.col("l_discount") * 10).alias("s"), (F.col("l_quantity") > 25).alias("positive"),
     )
-    return experiments.selection_rules(m, "segment", "quarter", "offset", "share", "mean", "score").select("segment", "rule", r("score").alias("score"))
+    # quarter and label of a pixel are those of its first offset
+    fixed = li.groupBy("segment", "px").agg(F.min_by("quarter", F.struct("offset", "l_partkey", "quarter")).alias("quarter"), F.min_by("positive", F.struct("offset", "l_partkey", "positive")).alias("positive"))
+    m = li.groupBy("segment", "px", "offset").agg(F.max("s").alias("s")).join(fixed, ["segment", "px"])
+    return experiments.selection_rules(m, "segment", "quarter", "offset", "s", "positive").select("segment", "rule", r("auc").alias("auc"))

@@ -111,3 +111,25 @@ def text_score_side(image: DataFrame, keys: Sequence[str], value: str, um_px: fl
     return both.groupBy(*keys).agg(F.sum("v").alias("valid_px"), F.sum("pixels").alias("kept_px")).where("valid_px > 0").withColumn(
         "share", F.col("kept_px") / F.col("valid_px")
     )
+
+
+def text_score(image: DataFrame, keys: Sequence[str], side: str, value: str, um_px: float, **limits) -> DataFrame:
+    """Difference of the bright-component shares of the two sides (``a`` minus ``b``), with the winning side."""
+    per = text_score_side(image, [*keys, side], value, um_px, **limits)
+
+    def of(which: str):
+        return F.coalesce(F.max(F.when(F.col(side) == which, F.col("share"))), F.lit(0.0))
+
+    out = per.groupBy(*keys).agg(of("a").alias("ta"), of("b").alias("tb"))
+    return out.withColumn("score", F.col("ta") - F.col("tb")).withColumn("side", F.when(F.col("ta") > F.col("tb"), "a").otherwise("b"))
+
+
+def stroke_share(image: DataFrame, keys: Sequence[str], bright: str, size: int = 13) -> DataFrame:
+    """Share of the valid pixels that are bright and lost under an opening with a ``size`` square."""
+    from voxtable.operators.raster import box_opening
+
+    flat = image.withColumn("__b", F.col(bright).cast("int"))
+    opened = box_opening(flat, keys, "__b", size)
+    return opened.groupBy(*keys).agg(F.count(F.lit(1)).alias("valid"), F.count_if((F.col("__b") == 1) & (F.col("opened") == 0)).alias("thin")).withColumn(
+        "share", F.col("thin") / F.col("valid")
+    )

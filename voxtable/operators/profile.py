@@ -136,12 +136,23 @@ def normal_profiles(points: DataFrame, chunks: DataFrame, shape, chunk, point_ke
     return values.groupBy(*point_keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda e: e["value"]).alias("profile"))
 
 
-def depth_prediction(stack: DataFrame, keys: Sequence[str], quarter: str, sigma: float = 3.0, reach: int | None = None, grid: int = 8, centre: int | None = None) -> DataFrame:
-    """Layer offset of the strongest smoothed mean profile per quarter, within ``reach`` of ``centre``, snapped to ``grid``."""
+def depth_prediction(
+    stack: DataFrame, keys: Sequence[str], quarter: str, layers: int, sigma: float = 3.0, reach: int = 48, grid: Sequence[int] = tuple(range(-48, 49, 4))
+) -> DataFrame:
+    """Layer offset (from the middle layer) of the strongest smoothed mean profile per quarter, and the nearest grid offset."""
+    middle = (layers - 1) // 2
     prof = stack.groupBy(*keys, quarter, "layer").agg(F.avg("v").alias("m"))
-    smooth = smooth_profile(prof, [*keys, quarter], "layer", "m", gaussian_taps(sigma), "s")
-    off = F.col("layer") - F.lit(centre or 0)
-    if reach is not None:
-        smooth = smooth.where(F.abs(off) <= reach)
-    best = smooth.groupBy(*keys, quarter).agg(F.min_by("layer", F.struct((-F.round("s", 9)).alias("v"), F.col("layer").alias("l"))).alias("layer"))
-    return best.select(*keys, quarter, (F.rint(off / grid) * grid).cast("int").alias("predicted"))
+    smooth = smooth_profile(prof, [*keys, quarter], "layer", "m", gaussian_taps(sigma), "s", (0, layers - 1))
+    off = F.col("layer") - middle
+    near = smooth.where(F.abs(off) <= reach)
+    best = near.groupBy(*keys, quarter).agg(F.min_by("layer", F.struct((-F.round("s", 9)).alias("v"), F.col("layer").alias("l"))).alias("layer"))
+    snap = F.array_min(F.array(*[F.struct(F.abs(off - g).alias("d"), F.lit(k).alias("k"), F.lit(g).alias("g")) for k, g in enumerate(grid)]))
+    return best.select(*keys, quarter, off.alias("predicted"), snap["g"].alias("snapped"))
+
+
+def match_rate(predictions: DataFrame, labels: DataFrame, keys: Sequence[str], constant: int = 0) -> DataFrame:
+    """How often the snapped prediction, and a constant, equal the labelled offset (unlabelled rows do not count)."""
+    j = predictions.join(labels.where("label is not null"), list(keys))
+    return j.agg(
+        F.count(F.lit(1)).alias("scorable"), F.count_if(F.col("snapped") == F.col("label")).alias("matches"), F.count_if(F.col("label") == constant).alias("constant_matches")
+    )

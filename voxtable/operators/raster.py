@@ -324,3 +324,64 @@ def member_mean(maps: DataFrame, keys: Sequence[str], value: str = "s", how: str
     """Mean or maximum of several maps (arms, directions, depths) at each pixel."""
     f = {"mean": F.avg, "max": F.max}[how]
     return maps.groupBy(*keys, "y", "x").agg(f(value).alias(value))
+
+
+def layer_window(stack: DataFrame, first: int, count: int, reverse: bool = False) -> DataFrame:
+    """Contiguous layers ``first .. first + count - 1``, renumbered from 0, optionally reversed."""
+    out = stack.where((F.col("layer") >= first) & (F.col("layer") < first + count))
+    at = F.col("layer") - first
+    return out.withColumn("layer", (count - 1 - at) if reverse else at)
+
+
+def shift_layers(stack: DataFrame, dz: int, layers: int) -> DataFrame:
+    """Layer L reads layer L + dz; layers shifted out are dropped, the opened ones read as absent (zero)."""
+    return stack.withColumn("layer", F.col("layer") - dz).where(F.col("layer").between(0, layers - 1))
+
+
+def shuffle_layers(stack: DataFrame, first: int, count: int, seed: int = 0) -> DataFrame:
+    """Null control: permutes the selected layers in md5 order of (seed, layer) and leaves the others."""
+    import hashlib
+
+    order = sorted(range(first, first + count), key=lambda k: (hashlib.md5(f"{seed},{k}".encode()).hexdigest(), k))
+    target = F.lit(None).cast("int")
+    for place, layer in enumerate(order):
+        target = F.when(F.col("layer") == layer, first + place).otherwise(target)
+    return stack.withColumn("layer", F.coalesce(target, F.col("layer")).cast("int"))
+
+
+def line_banding(
+    image: DataFrame, keys: Sequence[str], value: str, um_px: float, step_deg: int = 4, floor: float = 127.0, wide_um: float = 9000.0, near_um: float = 2500.0, min_cm2: float = 0.25
+) -> DataFrame:
+    """How strongly ink is banded: per angle the pixel sums along straight bands, normalised and detrended.
+
+    Result per key: ratio of the best to the median standard deviation, its angle and the band spacing from the best
+    autocorrelation lag. ``image`` holds the valid (already eroded, smoothed) pixels; too small an area gives no row.
+    Band profiles are tiny (one row per band), so only the pixel sums are large, and those combine map-side.
+    """
+    import math
+
+    from voxtable.operators.ordered import percentiles
+
+    keys = list(keys)
+    turns = F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(math.cos(math.radians(a))).alias("c"), F.lit(math.sin(math.radians(a))).alias("s")) for a in range(0, 180, step_deg)])
+    spun = image.select(*keys, "y", "x", F.greatest(F.col(value) - floor, F.lit(0.0)).alias("__v"), F.explode(turns).alias("t"))
+    band = F.floor(F.col("y") * F.col("t.c") + F.col("x") * F.col("t.s")).cast("int")
+    sums = spun.groupBy(*keys, F.col("t.angle").alias("angle"), band.alias("band")).agg(F.sum("__v").alias("s"), F.count(F.lit(1)).alias("n"))
+    of = Window.partitionBy(*keys, "angle")
+    kept = sums.withColumn("__max", F.max("n").over(of)).withColumn("__px", F.sum("n").over(of)).where(F.col("__px") * (um_px / 1e4) ** 2 >= min_cm2)
+    kept = kept.where(F.col("n") > 0.5 * F.col("__max")).withColumn("p", F.col("s") / F.col("n"))
+    half = max(3, int(wide_um / um_px)) // 2
+    flat = kept.withColumn("d", F.col("p") - F.avg("p").over(of.orderBy("band").rangeBetween(-half, half)))
+    std = flat.groupBy(*keys, "angle").agg(F.stddev_pop("d").alias("std"))
+    best = std.groupBy(*keys).agg(F.max("std").alias("top"), F.min_by("angle", F.struct((-F.round("std", 9)).alias("v"), F.col("angle").alias("a"))).alias("angle"))
+    med = percentiles(std, keys, "std", {"mid": 0.5})
+    found = best.join(med, keys) if keys else best.withColumn("mid", med.scalar())
+    lo, hi = int(near_um / um_px), int(wide_um / um_px)
+    prof = flat.join(found.select(*keys, "angle"), [*keys, "angle"], "left_semi").select(*keys, "band", "d")
+    lagged = prof.select(*keys, "d", F.explode(F.sequence(F.lit(lo), F.lit(max(hi - 1, lo)))).alias("lag"), F.col("band").alias("b0"))
+    other = prof.select(*keys, F.col("band").alias("b1"), F.col("d").alias("d1"))
+    met = lagged.withColumn("b1", F.col("b0") + F.col("lag")).join(other, [*keys, "b1"])
+    ac = met.groupBy(*keys, "lag").agg(F.sum(F.col("d") * F.col("d1")).alias("ac"))
+    lag = ac.groupBy(*keys).agg(F.min_by("lag", F.struct((-F.round("ac", 6)).alias("v"), F.col("lag").alias("l"))).alias("lag"))
+    out = found.join(lag, keys, "left") if keys else found.withColumn("lag", lag.scalar())
+    return out.select(*keys, (F.col("top") / F.greatest("mid", F.lit(1e-9))).alias("ratio"), "angle", (F.coalesce("lag", F.lit(0)) * um_px / 1000).alias("spacing_mm"))

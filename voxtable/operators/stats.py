@@ -84,14 +84,24 @@ def remap(pixels: DataFrame, lut: DataFrame, keys: Sequence[str], value: str, ma
     return out.withColumn(value, F.when(F.col(mask), F.col("v2")).otherwise(0)).drop("v2")
 
 
-def smooth_profile(df: DataFrame, keys: Sequence[str], index: str, value: str, weights: Sequence[float], name: str) -> DataFrame:
-    """Weighted sum over neighbouring profile positions, zero outside. Spread by weight, so any profile length is fine."""
+def smooth_profile(
+    df: DataFrame, keys: Sequence[str], index: str, value: str, weights: Sequence[float], name: str, reflect: tuple[int, int] | None = None
+) -> DataFrame:
+    """Weighted sum over neighbouring profile positions: zero outside, or mirrored at the given first and last position.
+
+    Each position is sent to the positions it contributes to, so a profile of any length aggregates in parallel.
+    """
     half = len(weights) // 2
     taps = F.array(*[F.struct(F.lit(k - half).alias("d"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)])
-    spread = df.select(*keys, F.col(index), F.col(value), F.explode(taps).alias("t")).groupBy(
-        *keys, (F.col(index) + F.col("t.d")).alias(index)
-    ).agg(F.sum(F.col(value) * F.col("t.w")).alias(name), F.max(F.when(F.col("t.d") == 0, F.col(value))).alias(value))
-    return spread.where(F.col(value).isNotNull())
+    i = F.col(index)
+    copies = [F.struct(i.alias("at"), F.lit(True).alias("own"))]
+    if reflect:
+        copies += [F.struct((2 * reflect[0] - 1 - i).alias("at"), F.lit(False).alias("own")), F.struct((2 * reflect[1] + 1 - i).alias("at"), F.lit(False).alias("own"))]
+    sent = df.select(*keys, i, F.col(value), F.explode(F.array(*copies)).alias("c")).select(*keys, value, "c.at", "c.own", F.explode(taps).alias("t"))
+    target = F.col("at") - F.col("t.d")
+    own = F.when(F.col("own") & (F.col("t.d") == 0), F.col(value))
+    out = sent.groupBy(*keys, target.alias(index)).agg(F.sum(F.col(value) * F.col("t.w")).alias(name), F.max(own).alias(value))
+    return out.where(F.col(value).isNotNull())
 
 
 def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[float]:

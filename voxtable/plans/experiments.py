@@ -109,20 +109,36 @@ def displacement(a: DataFrame, b: DataFrame, keys: Sequence[str], names: Sequenc
     return percentiles(d, keys, "d", {"median_um": 0.5, "p90_um": 0.9, "max_um": 1.0})
 
 
-def selection_rules(maps: DataFrame, segment: str, quarter: str, offset: str, share: str, mean: str, score: str) -> DataFrame:
-    """Label-free depth rules per segment: R1 share argmax, R2 mean argmax, R4 per-quarter share argmax, and the oracle.
+def selection_rules(pixels: DataFrame, segment: str, quarter: str, offset: str, score: str, positive: str, level: float = 0.5, min_each: int = 50) -> DataFrame:
+    """Label-free depth rules and the oracle, as the AUC of the map each rule picks or builds.
 
-    Rows: (segment, quarter, offset, share, mean, score, n). Output: segment, rule, score.
+    ``pixels``: one row per (segment, pixel id ``px``, offset) with its score, label and quarter. R1 takes the offset with the
+    largest share above ``level``, R2 the largest mean, R3 the pixel maximum, R4 the R1 choice of every quarter; ties go to
+    the first offset. Output: segment, rule, auc.
     """
-    o = F.col(offset)
-    per = maps.groupBy(segment, offset).agg(F.avg(share).alias("share"), F.avg(mean).alias("mean"), F.avg(score).alias("score"))
-
-    def argmax(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.min_by("score", F.struct((-F.round(by, 9)).alias("v"), F.abs(o).alias("a"), o.alias("o"))).alias("score"))
+    from voxtable.operators.auc import rank_auc, score_counts
 
-    r1 = argmax(per, [segment], "share").withColumn("rule", F.lit("R1"))
-    r2 = argmax(per, [segment], "mean").withColumn("rule", F.lit("R2"))
-    q = maps.select(segment, quarter, offset, F.col(share).alias("share"), F.col(score).alias("score"))
-    r4 = argmax(q, [segment, quarter], "share").groupBy(segment).agg(F.avg("score").alias("score")).withColumn("rule", F.lit("R4"))
-    oracle = per.groupBy(segment).agg(F.max("score").alias("score")).withColumn("rule", F.lit("oracle"))
-    return r1.unionByName(r2).unionByName(r4).unionByName(oracle)
+    o = F.col(offset)
+    per = pixels.groupBy(segment, quarter, offset).agg(F.count_if(F.col(score) > level).alias("hit"), F.sum(score).alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy(segment, offset).agg((F.sum("hit") / F.sum("n")).alias("share"), (F.sum("s") / F.sum("n")).alias("mean"))
+
+    def first_max(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+        return df.groupBy(*keys).agg(F.min_by(offset, F.struct((-value).alias("v"), o.alias("o"))).alias(offset))
+
+    r1 = first_max(whole, [segment], F.col("share"))
+    r2 = first_max(whole, [segment], F.round("mean", 9))
+    r4 = first_max(per, [segment, quarter], F.col("hit") / F.col("n"))
+    parts = [
+        pixels.join(r1, [segment, offset], "left_semi").withColumn("rule", F.lit("R1")),
+        pixels.join(r2, [segment, offset], "left_semi").withColumn("rule", F.lit("R2")),
+        pixels.join(r4, [segment, quarter, offset], "left_semi").withColumn("rule", F.lit("R4")),
+    ]
+    keep = [segment, "rule", score, positive]
+    r3 = pixels.groupBy(segment, "px", positive).agg(F.max(score).alias(score)).withColumn("rule", F.lit("R3")).select(*keep)
+    each = pixels.withColumn("rule", F.concat(F.lit("at"), o.cast("string"))).select(*keep)
+    every = r3.unionByName(each)
+    for p in parts:
+        every = every.unionByName(p.select(*keep))
+    scored = rank_auc(score_counts(every, [segment, "rule"], score, positive), [segment, "rule"], score, "against", min_each)
+    named = F.when(F.col("rule").startswith("at"), "oracle").otherwise(F.col("rule"))
+    return scored.groupBy(segment, named.alias("rule")).agg(F.max("auc").alias("auc"))
