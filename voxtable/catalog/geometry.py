@@ -315,15 +315,15 @@ def _daily(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT event_type, day(ts)::DOUBLE AS z, avg(value) AS v, count(*)::DOUBLE AS n FROM events WHERE day(ts) % 3 = 1 GROUP BY ALL), q AS (SELECT event_id, event_type, day(ts) + hour(ts) / 24.0::DOUBLE AS z FROM events),
+    """WITH c AS (SELECT event_type, day(ts)::DOUBLE AS z, avg(value) AS v, count(*)::DOUBLE AS n FROM events GROUP BY ALL), q AS (SELECT event_id, event_type, day(ts) + hour(ts) / 24.0::DOUBLE AS z FROM events),
  k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY z) AS i, count(*) OVER (PARTITION BY event_type) AS m FROM c),
  s AS (SELECT q.event_id, q.event_type, q.z, least(greatest((SELECT count(*) FROM c WHERE c.event_type = q.event_type AND c.z <= q.z), 1), greatest((SELECT count(*) FROM c WHERE c.event_type = q.event_type) - 1, 1)) AS i FROM q)
  SELECT s.event_id, round(a.v + (b.v - a.v) * ((s.z - a.z) / (b.z - a.z)), 6) AS v, round(a.n + (b.n - a.n) * ((s.z - a.z) / (b.z - a.z)), 6) AS n FROM s JOIN k a ON a.event_type = s.event_type AND a.i = s.i JOIN k b ON b.event_type = s.event_type AND b.i = s.i + 1"""
 )
 def axis_interp(spark, folder):
-    """Control points = mean value every third day; each event reads the axis at its own time (extrapolated at the end)."""
+    """Control points = daily mean value; each event reads the axis at its own time (extrapolated on the last day)."""
     e = table(spark, folder, "events")
-    cps = _daily(spark, folder).where(F.pmod("z", F.lit(3.0)) == 1)
+    cps = _daily(spark, folder)
     q = e.select("event_id", "event_type", (F.dayofmonth("ts") + F.hour("ts") / 24.0).alias("z"))
     out = geometry.interpolate_axis(cps, q, ["event_type"], "z", ["v", "n"])
     return out.select("event_id", r("v").alias("v"), r("n").alias("n"))

@@ -1,3 +1,320 @@
+"""Chunked-volume queries. The part table is read as tilted sheets in a volume: row y = key div 40, column x = key mod 40,
+height z0 from the price; the volume, its chunks and its surfaces grow with the table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from voxtable.catalog import Registry
+from voxtable.catalog.images import STACK, stack
+from voxtable.catalog.tables import VOLUME, r, table, volume
+from voxtable.operators import chunks as ch
+from voxtable.operators import growth, nearest, profile, raster, select, shift, stitch
+from voxtable.session import checkpoint_dir
+from voxtable.sources import writers
 
 REGISTRY = Registry()
+query = REGISTRY.query
+
+CHUNK = (16, 16, 16)
+
+PARTS = "SELECT p_partkey, p_size, (p_partkey // 40)::INT AS y, (p_partkey % 40)::INT AS x, 8 + (p_retailprice - 900) * 0.08 AS z0 FROM part"
+SHEET = f"SELECT (floor(z0) + k)::INT AS z, y, x, round_even(200 * exp(-0.5 * (floor(z0) + k - z0) * (floor(z0) + k - z0)), 0)::INT AS v FROM ({PARTS}), range(-3, 5) t(k)"
+
+
+def parts(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "part")
+    return p.select(
+        "p_partkey", "p_size", F.floor(F.col("p_partkey") / 40).cast("int").alias("y"), F.pmod("p_partkey", F.lit(40)).cast("int").alias("x"), (8 + (F.col("p_retailprice") - 900) * 0.08).alias("z0")
+    )
+
+
+def sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """Voxels of the sheets: a Gaussian bump of height 200 across the surface."""
+    p = parts(spark, folder).withColumn("k", F.explode(F.sequence(F.lit(-3), F.lit(4))))
+    z = F.floor("z0") + F.col("k")
+    v = F.rint(200 * F.exp(-0.5 * (z - F.col("z0")) * (z - F.col("z0"))))
+    return p.select(F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), z.cast("int").alias("z"), "y", "x", v.cast("smallint").alias("v"))
+
+
+def sheet_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return ch.to_chunks(sheet(spark, folder), CHUNK)
+
+
+def shape(spark: SparkSession, folder: str) -> tuple[int, int, int]:
+    """Volume shape, from the extent of the table (one row)."""
+    top = table(spark, folder, "part").agg(F.max("p_partkey")).first()[0]
+    return (24, top // 40 + 1, 40)
+
+
+@query(f"SELECT z, y, x, v FROM ({SHEET}) WHERE v > 0")
+def chunk_write_read(spark, folder):
+    """Voxels written as chunk buffers partitioned by volume and level, read back; zero voxels are not stored."""
+    path = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    writers.write_chunks(sheet(spark, folder), path, CHUNK)
+    return ch.explode_chunks(spark.read.parquet(path), CHUNK).select("z", "y", "x", "v")
+
+
+@query(f"SELECT z, y, x, v FROM ({VOLUME}) WHERE v > 0")
+def chunk_roundtrip_dense(spark, folder):
+    return ch.explode_chunks(ch.to_chunks(volume(spark, folder), CHUNK), CHUNK).select("z", "y", "x", "v")
+
+
+@query(f"SELECT z, y, x, v FROM ({SHEET}) WHERE v > 0 AND z >= 10 AND z < 15 AND x >= 8 AND x < 36")
+def box_read(spark, folder):
+    """A slab through the whole volume: only the chunks it touches are opened."""
+    dims = shape(spark, folder)
+    return ch.box(sheet_chunks(spark, folder), "sheet", 0, (10, 0, 8), (15, dims[1], 36), CHUNK, shape=dims).select("z", "y", "x", "v")
+
+
+@query(
+    f"""WITH d AS (SELECT max(y) AS ym FROM ({PARTS})), g AS (SELECT z::INT AS z, y::INT AS y, x::INT AS x FROM range(-2, 20) a(z), d, generate_series(0, ym) b(y), range(30, 50) c(x)),
+ s AS (SELECT * FROM ({SHEET}) WHERE v > 0), c AS (SELECT DISTINCT z // 16 AS cz, y // 16 AS cy, x // 16 AS cx FROM s)
+ SELECT g.z, g.y, g.x, coalesce(s.v, 0) AS v, c.cz IS NULL AS missing FROM g LEFT JOIN s USING (z, y, x) LEFT JOIN c ON c.cz = floor(g.z / 16.0) AND c.cy = floor(g.y / 16.0) AND c.cx = floor(g.x / 16.0)"""
+)
+def box_read_padded(spark, folder):
+    """Every voxel of a box that leaves the volume on both sides: zero outside and in absent chunks."""
+    dims = shape(spark, folder)
+    out = ch.box(sheet_chunks(spark, folder), "sheet", 0, (-2, 0, 30), (20, dims[1], 50), CHUNK, pad=True)
+    return out.select("z", "y", "x", F.col("v").cast("int").alias("v"), "missing")
+
+
+def _probe_points(spark: SparkSession, folder: str) -> DataFrame:
+    p = parts(spark, folder).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (-20, 0, 1, 6)])))
+    return p.select("p_partkey", "k", F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), (F.floor("z0").cast("int") + F.col("k")).alias("z"), "y", "x")
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, k::INT AS k, (floor(z0) + k)::INT AS z, y, x FROM ({PARTS}), (VALUES (-20), (0), (1), (6)) t(k)), s AS (SELECT * FROM ({SHEET}) WHERE v > 0),
+ c AS (SELECT DISTINCT z // 16 AS cz, y // 16 AS cy, x // 16 AS cx FROM s)
+ SELECT p_partkey, k, coalesce(s.v, 0) AS v, CASE WHEN p.z < 0 OR p.z >= 24 THEN 'outside' WHEN c.cz IS NULL THEN 'missing' ELSE 'ok' END AS read
+ FROM p LEFT JOIN s USING (z, y, x) LEFT JOIN c ON c.cz = floor(p.z / 16.0) AND c.cy = p.y // 16 AND c.cx = p.x // 16"""
+)
+def gather_points(spark, folder):
+    out = ch.gather(_probe_points(spark, folder), sheet_chunks(spark, folder), shape(spark, folder), CHUNK)
+    return out.select("p_partkey", "k", "v", "read")
+
+
+@query(f"WITH p AS (SELECT (floor(z0) + k)::INT AS z, y, x FROM ({PARTS}), (VALUES (-20), (0), (1), (6)) t(k)) SELECT floor(z / 16.0)::INT AS cz, (y // 16)::INT AS cy, (x // 16)::INT AS cx, count(*) AS points FROM p GROUP BY ALL")
+def chunk_footprint(spark, folder):
+    return ch.footprint(_probe_points(spark, folder), CHUNK)
+
+
+def _tri_sql(points: str, keys: str) -> str:
+    join = " AND ".join(f"s.{a} = c.{a}" for a in "zyx")
+    corners = ", ".join(f"range(0, 2) d{a}(d{a})" for a in "zyx")
+    cells = ", ".join(f"(floor(p.{a}) + d{a})::INT AS {a}" for a in "zyx")
+    weights = " * ".join(f"(CASE WHEN d{a} = 0 THEN 1 - (p.{a} - floor(p.{a})) ELSE p.{a} - floor(p.{a}) END)" for a in "zyx")
+    return f"WITH p AS ({points}), c AS (SELECT {keys}, {cells}, {weights} AS w FROM p, {corners}), s AS (SELECT * FROM ({SHEET}) WHERE v > 0) SELECT {keys}, round(sum(w * coalesce(s.v, 0)), 6) + 0.0 AS value FROM c LEFT JOIN s ON {join} WHERE w > 0 GROUP BY {keys}"
+
+
+@query(_tri_sql(f"SELECT p_partkey, z0 + 0.3 AS z, y + 0.25 AS y, x + 0.5 AS x FROM ({PARTS})", "p_partkey"))
+def gather_trilinear(spark, folder):
+    p = parts(spark, folder).select("p_partkey", F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), (F.col("z0") + 0.3).alias("z"), (F.col("y") + 0.25).alias("y"), (F.col("x") + 0.5).alias("x"))
+    out = ch.trilinear(p, sheet_chunks(spark, folder), shape(spark, folder), CHUNK, ["p_partkey"])
+    return out.select("p_partkey", r("value").alias("value"))
+
+
+@query(_tri_sql(f"SELECT p_partkey, layer::INT AS layer, z0 + (layer - 2) * 0.8 AS z, y + (layer - 2) * 0.6 AS y, x::DOUBLE AS x FROM ({PARTS}), range(5) t(layer)", "p_partkey, layer"))
+def render_layers(spark, folder):
+    p = parts(spark, folder).select(
+        "p_partkey", F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), F.col("z0").alias("z"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"),
+        F.lit(0.8).alias("nz"), F.lit(0.6).alias("ny"), F.lit(0.0).alias("nx"),
+    )
+    out = ch.render_layers(p, sheet_chunks(spark, folder), shape(spark, folder), CHUNK, 2, ["p_partkey"])
+    return out.select("p_partkey", "layer", r("value").alias("value"))
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, y // 25 AS seg, y, x, z0 FROM ({PARTS})), d AS (SELECT p.*, k, round_even(z0 + k, 0)::INT AS z FROM p, generate_series(-6, 6) t(k)), s AS (SELECT * FROM ({SHEET}) WHERE v > 0),
+ v AS (SELECT d.seg, d.p_partkey, d.k, CASE WHEN d.z BETWEEN 0 AND 23 THEN coalesce(s.v, 0) ELSE 0 END AS v, d.z NOT BETWEEN 0 AND 23 AS o FROM d LEFT JOIN s USING (z, y, x)),
+ m AS (SELECT seg, step, 0.5 * sum(m) AS m FROM (SELECT seg, abs(k) AS step, k, avg(v) AS m FROM v WHERE k <> 0 GROUP BY ALL) GROUP BY ALL), sm AS (SELECT seg, step, sum(m) OVER (PARTITION BY seg ORDER BY step ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS s FROM m),
+ dip AS (SELECT *, s <= lag(s) OVER w AND s <= lead(s) OVER w AS dip FROM sm WINDOW w AS (PARTITION BY seg ORDER BY step)), gap AS (SELECT seg, coalesce(min(step) FILTER (dip), arg_min(step, (s, step))) AS gap FROM dip GROUP BY seg),
+ q AS (SELECT v.seg, v.p_partkey, gap, max(v) FILTER (k = 0) AS c, sum(v) FILTER (abs(k) = gap) AS sides FROM v JOIN gap USING (seg) GROUP BY ALL),
+ e AS (SELECT seg, gap, count(*) AS points, avg(CASE WHEN c > 40 THEN 1.0 ELSE 0.0 END) AS coverage, avg(c - 0.5 * sides) FILTER (c > 40) AS contrast, avg(c) FILTER (c > 40) AS on_mean, avg(c) AS all_mean FROM q GROUP BY ALL)
+ SELECT seg::INT AS seg, points, round(CASE WHEN coverage < 0.25 THEN -1 ELSE contrast * coverage END, 6) AS score, round(CASE WHEN coverage < 0.25 THEN all_mean ELSE on_mean END, 6) AS centre_mean, round(coverage, 6) AS coverage, gap::INT AS gap, (SELECT count(*) FROM v WHERE o AND v.seg = e.seg) AS outside_reads FROM e"""
+)
+def seating_score(spark, folder):
+    """Seating of every part on its sheet, one score per sheet of 25 rows."""
+    p = parts(spark, folder).select(
+        F.floor(F.col("y") / 25).cast("int").alias("seg"), F.col("p_partkey").alias("point_id"), F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), F.col("z0").alias("z"), "y", "x",
+        F.lit(1.0).alias("nz"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nx"),
+    )
+    out = profile.seating_score(p, sheet_chunks(spark, folder), shape(spark, folder), CHUNK, ["seg"], steps=tuple(range(1, 7)))
+    return out.select("seg", "points", r("score").alias("score"), r("centre_mean").alias("centre_mean"), r("coverage").alias("coverage"), "gap", "outside_reads")
+
+
+@query()
+def normal_profile_spacing(spark, folder):
+    """Peak spacing along the sheet normals of every part."""
+    p = parts(spark, folder).select(
+        F.floor(F.col("y") / 25).cast("int").alias("seg"), "p_partkey", F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), F.col("z0").alias("z"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"),
+        F.lit(1.0).alias("nz"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nx"),
+    )
+    prof = profile.normal_profiles(p, sheet_chunks(spark, folder), shape(spark, folder), CHUNK, ["seg", "p_partkey"], 4.0, 0.5)
+    peaks = profile.find_peaks(prof, ["seg", "p_partkey"], "profile", 20.0, 4)
+    return peaks.groupBy("seg").agg(F.count(F.lit(1)).alias("points"), r(F.avg(F.size("peaks"))).alias("peaks"))
+
+
+@query()
+def structure_tensor(spark, folder):
+    """Normals and coherence of the sheet volume: mean alignment with the z axis and mean coherence per sheet."""
+    v = sheet(spark, folder).withColumn("m", F.col("v") / 255.0)
+    t = raster.structure_tensor(v, [], "m", rho=2.0, rho_wide=4.0)
+    return t.where("ok").groupBy(F.floor(F.col("y") / 25).cast("int").alias("seg")).agg(F.count(F.lit(1)).alias("voxels"), r(F.avg(F.abs("nz"))).alias("nz"), r(F.avg("coherence")).alias("coherence"))
+
+
+@query()
+def normals_volume(spark, folder):
+    """Encoded normal volume written as chunks, counted by code."""
+    v = sheet(spark, folder).withColumn("m", F.col("v") / 255.0)
+    n = raster.normals_volume(v, [], "m", 20.0, rho=2.0, rho_wide=4.0)
+    return n.groupBy("ex", "ey", "grad_mag").agg(F.count(F.lit(1)).alias("voxels"))
+
+
+def _seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """One seed per sheet: the middle of its rows, half a voxel off the surface."""
+    p = parts(spark, folder).withColumn("patch", F.floor(F.col("y") / 25).cast("long"))
+    mid = p.where((F.pmod("y", F.lit(25)) == 12) & (F.col("x") == 20))
+    return mid.select("patch", (F.col("z0") + 0.5).alias("z"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+
+
+@query()
+def seed_frames(spark, folder):
+    """Local frames: the smallest principal axis of the sheet around each seed is the sheet normal."""
+    f = growth.seed_frames(_seeds(spark, folder), sheet_chunks(spark, folder), CHUNK, radius=6.0)
+    tilt = F.abs(F.col("nz"))
+    return f.select("patch", r("pz").alias("pz"), r("py").alias("py"), r("px").alias("px"), r(tilt).alias("abs_nz"), r("planarity").alias("planarity"))
+
+
+@query()
+def grow_patches(spark, folder):
+    """Grows one patch per sheet and reports tracked nodes and their distance from the planted surface."""
+    c = sheet_chunks(spark, folder)
+    frames = growth.seed_frames(_seeds(spark, folder), c, CHUNK, radius=6.0)
+    nodes = growth.grow_patches(frames, c, shape(spark, folder), CHUNK, "sheet", half_nodes=2, step=3.0)
+    z0 = 8 + 0.08 * (4.0 * (F.col("py") - 25 * F.col("patch")) + 0.1 * F.col("px"))
+    return nodes.where("ok").groupBy("patch").agg(F.count(F.lit(1)).alias("tracked"), r(F.max(F.abs(F.col("pz") - z0)), 4).alias("max_error"))
+
+
+def _sheet_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping patches of 24 rows, one every 12: nodes (i, j) with their 3-D position."""
+    p = parts(spark, folder)
+    k = F.explode(F.array_distinct(F.array(F.floor(F.col("y") / 12) - 1, F.floor(F.col("y") / 12)))).alias("patch")
+    n = p.select(k, "y", "x", "z0", "p_size").where("patch >= 0")
+    return n.select("patch", (F.col("y") - 12 * F.col("patch")).cast("int").alias("i"), F.col("x").alias("j"), F.col("z0").alias("z"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "p_size")
+
+
+PATCHES = f"SELECT patch, (y - 12 * patch)::INT AS i, x AS j, z0, y, x, p_size FROM (SELECT y, x, z0, p_size, unnest(list_distinct([y // 12 - 1, y // 12])) AS patch FROM ({PARTS})) WHERE patch >= 0"
+
+
+@query(
+    f"""WITH n AS ({PATCHES}), k AS (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY i, j) - 1 AS rn FROM n), h AS (SELECT a.patch AS a, b.patch AS b, count(*) AS hits FROM k b JOIN n a ON a.patch < b.patch AND a.y = b.y AND a.x = b.x WHERE b.rn % 3 = 0 GROUP BY ALL)
+ SELECT a, b, hits, 1.0::DOUBLE AS m00, 0.0::DOUBLE AS m01, 12.0 * (b - a)::DOUBLE AS m02, 0.0::DOUBLE AS m10, 1.0::DOUBLE AS m11, 0.0::DOUBLE AS m12 FROM h WHERE hits >= 150"""
+)
+def overlap_links(spark, folder):
+    links = stitch.overlap_links(_sheet_patches(spark, folder).drop("p_size"), reach=0.5)
+    return links.select("a", "b", "hits", *[r(m).alias(m) for m in stitch.MAP])
+
+
+def _frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    n = _sheet_patches(spark, folder)
+    links = stitch.overlap_links(n.drop("p_size"), reach=0.5)
+    scores = n.groupBy("patch").agg(F.avg("p_size").alias("ts"))
+    return n, stitch.chain_frames(links, scores)
+
+
+@query(
+    f"""WITH n AS ({PATCHES}), s AS (SELECT patch, avg(p_size) AS ts, count(*) AS c FROM n GROUP BY patch), k AS (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY i, j) - 1 AS rn FROM n),
+ h AS (SELECT a.patch AS a, b.patch AS b FROM k b JOIN n a ON a.patch < b.patch AND a.y = b.y AND a.x = b.x WHERE b.rn % 3 = 0 GROUP BY ALL HAVING count(*) >= 150), m AS (SELECT DISTINCT a AS patch FROM h UNION SELECT b FROM h),
+ root AS (SELECT patch AS root FROM s SEMI JOIN m USING (patch) ORDER BY ts DESC, patch LIMIT 1)
+ SELECT root, patch, abs(patch - root)::INT AS ring, 12.0 * (patch - root)::DOUBLE AS row_shift, 0.0::DOUBLE AS col_shift FROM m, root"""
+)
+def chained_frames(spark, folder):
+    """Patch frames chained to the best-scored patch: consecutive patches differ by twelve rows."""
+    _, placed = _frames(spark, folder)
+    return placed.select("root", "patch", "ring", r("m02").alias("row_shift"), r("m12").alias("col_shift"))
+
+
+@query()
+def stitch_mosaic(spark, folder):
+    """Weighted mosaic of the chained patches; every canvas pixel shows the part size it was drawn from."""
+    n, placed = _frames(spark, folder)
+    face = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("face")
+    images = n.select("patch", face, "i", "j", F.col("p_size").alias("v"), F.lit(True).alias("ok"))
+    faces = n.select("patch").distinct().select("patch", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("n0"), F.lit("a").alias("side"))
+    out = stitch.mosaic(images, placed, faces)
+    return out.select("root", "layer", "y", "x", r("v").alias("v"), r("weight").alias("weight"))
+
+
+_SHIFTS = f"""WITH s AS MATERIALIZED ({STACK}), o AS MATERIALIZED (SELECT layer + 1 AS layer, y + 2 AS y, x - 1 AS x, least(v + (y * 7 + x * 3) % 5, 255) AS v FROM s)
+ SELECT dl::INT AS dlayer, dy::INT AS dy, dx::INT AS dx, count(*) AS n, round(covar_pop(s.v, o.v) * count(*) / sqrt(var_pop(s.v) * count(*) * var_pop(o.v) * count(*) + 1e-12), 6) + 0.0 AS ncc
+ FROM s, generate_series(-1, 1) a(dl), generate_series(-2, 2) b(dy), generate_series(-2, 2) c(dx), o WHERE o.layer = s.layer + dl AND o.y = s.y + dy AND o.x = s.x + dx AND s.v > 0 AND o.v > 0 GROUP BY ALL"""
+
+
+def _scan_pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The image stack and the same stack moved by (1, 2, -1) with a small position-dependent gain."""
+    s = stack(spark, folder)
+    o = s.select((F.col("layer") + 1).alias("layer"), (F.col("y") + 2).alias("y"), (F.col("x") - 1).alias("x"), F.least(F.col("v") + F.pmod(F.col("y") * 7 + F.col("x") * 3, F.lit(5)), F.lit(255)).alias("v"))
+    return s, o
+
+
+def _all_shifts(spark: SparkSession, folder: str, method: str) -> DataFrame:
+    a, b = _scan_pair(spark, folder)
+    s = shift.shift_sums(a, b, [], ("layer", "y", "x"), (1, 2, 2), method=method)
+    out = shift.shift_scores(s, [], ["dlayer", "dy", "dx"])
+    return out.where("n > 0.5").select("dlayer", "dy", "dx", F.round("n").cast("long").alias("n"), r("ncc").alias("ncc"))
+
+
+@query(_SHIFTS)
+def shift_correlation(spark, folder):
+    return _all_shifts(spark, folder, "direct")
+
+
+@query(_SHIFTS)
+def fft_shift(spark, folder):
+    """The same table from one transform per tile."""
+    return _all_shifts(spark, folder, "fft")
+
+
+@query(f"SELECT dlayer, dy, dx, ncc AS best FROM ({_SHIFTS}) ORDER BY ncc DESC, dlayer, dy, dx LIMIT 1")
+def placement_search(spark, folder):
+    """Two-stage search (pooled, then fine) finds the planted shift."""
+    a, b = _scan_pair(spark, folder)
+    one = F.lit(1).alias("k")
+    out = shift.coarse_to_fine(a.select(one, "*"), b.select(one, "*"), ["k"], 1, 4)
+    return out.select("dlayer", "dy", "dx", r("best").alias("best"))
+
+
+@query(
+    """WITH b AS (SELECT s_suppkey * 20 AS z0, s_suppkey * 20 + 20 AS z1, s_nationkey * 10 AS y0, s_nationkey * 10 + 25 AS y1, 0 AS x0, 30 AS x1 FROM supplier),
+ l AS (SELECT z, y, x FROM b, LATERAL (SELECT unnest(generate_series(z0 + 3, z1 - 1, 7)) AS z), LATERAL (SELECT unnest(generate_series(y0 + 3, y1 - 1, 7)) AS y), LATERAL (SELECT unnest(generate_series(x0 + 3, x1 - 1, 7)) AS x)),
+ k AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(',', '0', z::VARCHAR, y::VARCHAR, x::VARCHAR)), z, y, x) - 1 AS id FROM l) SELECT id, z, y::BIGINT AS y, x::INT AS x, (id % 4)::INT AS shard FROM k"""
+)
+def seed_lattice(spark, folder):
+    s = table(spark, folder, "supplier")
+    z = F.col("s_suppkey") * 20
+    y = F.col("s_nationkey") * 10
+    boxes = s.select(z.alias("z0"), (z + 20).alias("z1"), y.alias("y0"), (y + 25).alias("y1"), F.lit(0).alias("x0"), F.lit(30).alias("x1"))
+    out = select.seed_lattice(boxes, 7, 4)
+    return out.select("id", "z", F.col("y").cast("long").alias("y"), "x", "shard")
+
+
+@query(f"SELECT cz, cy, cx, count(*) AS voxels FROM (SELECT z // 16 AS cz, y // 16 AS cy, x // 16 AS cx FROM ({SHEET}) WHERE v > 0) GROUP BY ALL")
+def chunk_occupancy(spark, folder):
+    """Non-zero voxels per stored chunk, counted inside the buffers."""
+    v = ch.explode_chunks(sheet_chunks(spark, folder), CHUNK)
+    out = v.groupBy(*ch.chunk_keys(CHUNK)).agg(F.count(F.lit(1)).alias("voxels"))
+    return out
+
+
+@query()
+def nearest_sheet(spark, folder):
+    """Nearest bright voxel of every seed."""
+    lit = sheet(spark, folder).where("v > 127").select(F.struct("z", "y", "x").alias("vid"), "z", "y", "x")
+    seeds = _seeds(spark, folder)
+    out = nearest.nearest(seeds, lit, ["z", "y", "x"], "patch", "vid", max_distance=14.0)
+    return out.select("patch", "vid.z", "vid.y", "vid.x", r("distance").alias("distance"))

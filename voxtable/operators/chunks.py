@@ -171,10 +171,10 @@ def trilinear(
                     t = F.col(a) - F.floor(a)
                     w = w * (t if d else 1 - t)
                 corners.append(F.struct(*[(F.floor(a).cast("int") + d).alias(a) for a, d in zip(ZYX, (dz, dy, dx))], w.alias("w")))
-    spread = points.select(*point_keys, *keys, F.explode(F.array(*corners)).alias("c")).where("c.w > 0")
-    spread = spread.select(*point_keys, *keys, *[F.col(f"c.{a}").alias(a) for a in ZYX], F.col("c.w").alias("w"))
+    spread = points.select(*point_keys, *keys, F.explode(F.array(*corners)).alias("__c")).where("__c.w > 0")
+    spread = spread.select(*point_keys, *keys, *[F.col(f"__c.{a}").alias(a) for a in ZYX], F.col("__c.w").alias("__w"))
     read = gather(spread, chunks, shape, chunk, keys)
-    return read.groupBy(*point_keys).agg(F.sum(F.col("w") * F.col("v")).alias("value"))
+    return read.groupBy(*point_keys).agg(F.sum(F.col("__w") * F.col("v")).alias("value"))
 
 
 def render_layers(

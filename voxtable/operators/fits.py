@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from voxtable.operators.ordered import percentiles
+
 
 def determinant(m: Sequence[Sequence[Column]]) -> Column:
     if len(m) == 1:
@@ -121,28 +123,28 @@ def published_errors(df: DataFrame, by: Sequence[str], predicted: Sequence[str],
 
 
 def trimmed_fit(
-    df: DataFrame, by: Sequence[str], src: Sequence[str], dst: Sequence[str], limit: Column | float, min_kept: int = 3
+    df: DataFrame, by: Sequence[str], src: Sequence[str], dst: Sequence[str], limit: float, min_kept: int = 3, times_median: float | None = None, bounded: bool = False
 ) -> DataFrame:
-    """Fit, drop points whose residual exceeds ``limit``, fit again; the first fit stands if too few points remain.
+    """Fit, drop points whose residual exceeds the limit, fit again; the first fit stands if too few points remain.
 
-    ``limit`` is a number, or a column over ``med`` (the median residual of the group).
+    The limit is a number (residual ``<=``), or ``times_median * median + limit`` of the group (residual ``<``). Output:
+    ``points``, ``kept``, ``used``, the coefficients, ``rms`` and, with a median limit, the median ``residual`` of the points used.
     """
     by = list(by)
     first = with_residuals(df, fit_affine(df, by, src, dst), by, src, dst).drop("loo")
-    if isinstance(limit, Column):
-        from voxtable.operators.ordered import percentiles
-
-        first = first.join(percentiles(first, by, "res", {"med": 0.5}), by)
-        bound = limit
+    if times_median is None:
+        marked = first.withColumn("__keep", F.col("res") <= limit)
     else:
-        bound = F.lit(float(limit))
-    marked = first.withColumn("__keep", F.col("res") <= bound)
+        first = first.join(percentiles(first, by, "res", {"__med": 0.5}, bounded=bounded), by)
+        marked = first.withColumn("__keep", F.col("res") < times_median * F.col("__med") + limit)
     tally = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), F.count_if("__keep").alias("kept"))
     trims = (F.col("kept") >= min_kept) & (F.col("kept") < F.col("points"))
     used = marked.join(tally, by).where(~trims | F.col("__keep")).select(*df.columns)
     fit = fit_affine(used, by, src, dst)
     final = with_residuals(used, fit, by, src, dst)
     errors = final.groupBy(*by).agg(F.sqrt(F.avg(F.pow("res", 2))).alias("rms"))
+    if times_median is not None:
+        errors = errors.join(percentiles(final, by, "res", {"residual": 0.5}, bounded=bounded), by)
     return tally.join(fit.withColumnRenamed("n", "used"), by, "left").join(errors, by, "left")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def seed_frames(seeds: DataFrame, chunks: DataFrame, chunk: Sequence[int], radiu
     ball = cells.join(keyed, [f"c{a}" for a in ZYX])
     sq = sum((F.pow(F.col(a) - F.col(f"s{a}"), 2) for a in ZYX[1:]), F.pow(F.col("z") - F.col("sz"), 2))
     ball = ball.where(sq <= r * r).select("patch", *[F.col(f"s{a}") for a in ZYX], *ZYX)
-    linked = _seed_component(ball)
+    linked = _seed_component(ball, r)
     frame = local_frame(linked, ["patch"], ZYX)
     out = frame.join(centre, "patch").select("patch", *[F.col(f"s{a}").cast("double").alias(p) for a, p in zip(ZYX, P)], *[F.col("normal")[k].alias(n) for k, n in enumerate(N)], "planarity")
 
@@ -53,20 +54,30 @@ def seed_frames(seeds: DataFrame, chunks: DataFrame, chunk: Sequence[int], radiu
     return out.withColumns(dict(zip(U, unit(cross(V, N))))).select("patch", *P, *N, *U, *V, "planarity")
 
 
-def _seed_component(ball: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Keeps the 26-neighbour component of the snapped voxel inside each ball (a bounded set of voxels per patch)."""
-    reached = cut_lineage(ball.where(" and ".join(f"{a} = s{a}" for a in ZYX)).select("patch", *ZYX))
-    edge = reached
-    for _ in range(max_rounds):
-        around = edge
-        for a in ZYX:
-            around = around.withColumn(a, F.explode(F.array(F.col(a) - 1, F.col(a), F.col(a) + 1)))
-        fresh = ball.select("patch", *ZYX).join(around.distinct(), ["patch", *ZYX], "left_semi").join(reached, ["patch", *ZYX], "left_anti")
-        edge = cut_lineage(fresh)
-        if edge.isEmpty():
-            break
-        reached = cut_lineage(reached.unionByName(edge))
-    return reached
+def _seed_component(ball: DataFrame, radius: int) -> DataFrame:
+    """Keeps the 26-neighbour component of the snapped voxel. A ball holds at most ``(2 radius + 1) ** 3`` voxels."""
+
+    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        at = tuple((pdf[a] - pdf[f"s{a}"] + radius + 1).to_numpy() for a in ZYX)
+        on = np.zeros([2 * radius + 3] * 3, bool)
+        on[at] = True
+        reached = np.zeros_like(on)
+        reached[(radius + 1,) * 3] = on[(radius + 1,) * 3]
+        while True:
+            wide = reached
+            for axis in range(3):
+                wide = wide | np.roll(wide, 1, axis) | np.roll(wide, -1, axis)
+            wide &= on
+            if (wide == reached).all():
+                break
+            reached = wide
+        return pdf.loc[reached[at], ["patch", *ZYX]]
+
+    types = dict(ball.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ("patch", *ZYX))
+    return ball.groupBy("patch").applyInPandas(flood, schema)
 
 
 def grow_patches(

@@ -57,6 +57,8 @@ def nearest(
     targets = right.where(known).groupBy(*on, *[F.col(c).cast("double").alias(c) for c in coords]).agg(F.min(right_id).alias("__tid"))
     queries = left.where(known).select(*on, F.col(left_id).alias("__qid"), *[F.col(c).cast("double").alias(c) for c in coords])
 
+    # distinct targets are read by every pyramid step: materialise coordinates and ids once
+    targets = cut_lineage(targets)
     span = targets.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{t}_{c}") for c in coords for t, f in (("lo", F.min), ("hi", F.max))]).first()
     count = span["n"] or 0
     out_schema = (queries.select(*on, F.col("__qid").alias(left_id)), targets.select(F.col("__tid").alias(right_id)))

@@ -116,9 +116,14 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], ranges: int | None = None
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], ranges: int | None = None, bounded: bool = False
 ) -> DataFrame:
-    """Exact linear-interpolated percentiles per group; ``probs`` maps output names to fractions."""
+    """Exact linear-interpolated percentiles per group; ``probs`` maps output names to fractions.
+
+    ``bounded`` says that groups are small by construction, so the built-in aggregate may hold one group's values.
+    """
+    if bounded:
+        return df.groupBy(*by).agg(*[F.percentile(value, float(q)).alias(name) for name, q in probs.items()])
     return percentiles_of(df, by, {value: probs}, ranges)
 
 

@@ -59,9 +59,10 @@ def map_tiles(
     kernel: Callable,
     outputs: Mapping[str, str],
     fill: float = 0.0,
-    edges: bool = True,
+    pointwise: bool = False,
 ) -> DataFrame:
     """Runs an array kernel on every tile: ``kernel(block) -> {output: array}`` with ``block`` the dense tile plus halo.
+    A ``pointwise`` kernel gets ``(block, where)`` and returns the values at the index arrays ``where`` only.
 
     The block is cut at the image extent, so a kernel that reflects or zero-pads at its borders does so at true image
     edges; elsewhere the halo absorbs the border. Missing pixels read ``fill``. Only stored core pixels are returned.
@@ -85,16 +86,18 @@ def map_tiles(
         lo, hi = [], []
         for a in axes:
             start, end = int(first[f"t_{a}"]) * tile - halo, (int(first[f"t_{a}"]) + 1) * tile + halo - 1
-            lo.append(max(start, int(first[f"__lo_{a}"])) if edges else start)
-            hi.append(min(end, int(first[f"__hi_{a}"])) if edges else end)
+            lo.append(max(start, int(first[f"__lo_{a}"])))
+            hi.append(min(end, int(first[f"__hi_{a}"])))
         block = np.full([h - l + 1 for l, h in zip(lo, hi)], fill)
         at = tuple(pdf[a].to_numpy() - l for a, l in zip(axes, lo))
         block[at] = pdf["__v"].to_numpy()
-        result = kernel(block)
         core = pdf["core"].to_numpy()
         own = tuple(p[core] for p in at)
         data = {k: pdf[k].to_numpy()[core] for k in keys + axes}
-        data.update({n: result[n][own] for n in names})
+        if not core.any():
+            return pd.DataFrame({**data, **{n: [] for n in names}})
+        result = kernel(block, own) if pointwise else {n: v[own] for n, v in kernel(block).items()}
+        data.update({n: result[n] for n in names})
         return pd.DataFrame(data)
 
     types = dict(df.dtypes)
@@ -188,25 +191,35 @@ def structure_tensor(
     inner, narrow, wide = gaussian_taps(sigma), gaussian_taps(rho), gaussian_taps(rho_wide)
     halo = len(inner) // 2 + 1 + len(wide) // 2
 
-    def kernel(block):
+    def kernel(block, where):
         import numpy as np
 
         s = separable(block, inner, range(3))
         g = [_axis_gradient(s, k) for k in range(3)]
         picks = []
         for taps in (narrow, wide):
-            j = np.empty(block.shape + (3, 3))
+            j = np.empty((len(where[0]), 3, 3))
             for a in range(3):
                 for b in range(a, 3):
-                    j[..., a, b] = j[..., b, a] = separable(g[a] * g[b], taps, range(3))
+                    j[:, a, b] = j[:, b, a] = separable(g[a] * g[b], taps, range(3))[where]
             w, v = np.linalg.eigh(j)
-            picks.append((v[..., :, 2], np.trace(j, axis1=-2, axis2=-1) > trace_min, (w[..., 2] - w[..., 1]) / (w[..., 2] + w[..., 1] + 1e-9)))
+            picks.append((v[:, :, 2], np.trace(j, axis1=1, axis2=2) > trace_min, (w[:, 2] - w[:, 1]) / (w[:, 2] + w[:, 1] + 1e-9)))
         use = picks[0][1]
-        n = np.where(use[..., None], picks[0][0], picks[1][0])
-        return {"nz": n[..., 0], "ny": n[..., 1], "nx": n[..., 2], "coherence": picks[0][2], "ok": use | picks[1][1]}
+        n = np.where(use[:, None], picks[0][0], picks[1][0])
+        return {"nz": n[:, 0], "ny": n[:, 1], "nx": n[:, 2], "coherence": picks[0][2], "ok": use | picks[1][1]}
 
     out = {"nz": "double", "ny": "double", "nx": "double", "coherence": "double", "ok": "boolean"}
-    return map_tiles(df, keys, ("z", "y", "x"), value, tile, halo, kernel, out)
+    return map_tiles(df, keys, ("z", "y", "x"), value, tile, halo, kernel, out, pointwise=True)
+
+
+def normals_volume(df: DataFrame, keys: Sequence[str], value: str, spacing: float | Column, k: float = 0.464, **tensor) -> DataFrame:
+    """Encoded normal volumes: ``ex``, ``ey`` (0 without support) and ``grad_mag = clip(round(1000 k / spacing), 1, 255)``."""
+    from voxtable.functions.columns import clip, encode_normal
+
+    t = structure_tensor(df, keys, value, **tensor)
+    s = spacing if isinstance(spacing, Column) else F.lit(float(spacing))
+    magnitude = clip(F.bround(1000 * k / s), 1.0, 255.0).cast("int")
+    return t.select(*keys, "z", "y", "x", encode_normal("nz", "nx", "ok").alias("ex"), encode_normal("nz", "ny", "ok").alias("ey"), F.when(F.col("ok"), magnitude).otherwise(0).alias("grad_mag"))
 
 
 def resample_linear(targets: DataFrame, image: DataFrame, keys: Sequence[str], id_cols: Sequence[str], value: str, axes: Sequence[str] = ("y", "x"), name: str = "value") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from voxtable.operators.fits import trimmed_fit
 from voxtable.operators.nearest import nearest
-from voxtable.operators.ordered import percentiles
 from voxtable.session import cut_lineage
 
 ZYX = ("z", "y", "x")
@@ -40,16 +39,16 @@ def overlap_links(
     hits = nearest(sources, targets, list(ZYX), "qid", "nid", ["a", "b"], max_distance=reach)
     matched = hits.select("a", "b", F.col("qid.i").alias("bi"), F.col("qid.j").alias("bj"), F.col("nid.i").alias("ai"), F.col("nid.j").alias("aj"))
     counts = matched.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= min_hits)
-    matched = matched.join(counts, ["a", "b"])
-    fit = trimmed_fit(matched, ["a", "b"], ["bi", "bj"], ["ai", "aj"], 3 * F.col("med") + 1)
-    m = fit.select("a", "b", F.col("a_ai_bi").alias("m00"), F.col("a_ai_bj").alias("m01"), F.col("t_ai").alias("m02"), F.col("a_aj_bi").alias("m10"), F.col("a_aj_bj").alias("m11"), F.col("t_aj").alias("m12"))
-    res = matched.join(m, ["a", "b"]).withColumn(
-        "res", F.hypot(F.col("m00") * F.col("bi") + F.col("m01") * F.col("bj") + F.col("m02") - F.col("ai"), F.col("m10") * F.col("bi") + F.col("m11") * F.col("bj") + F.col("m12") - F.col("aj"))
+    # the matches feed two fits and two medians: materialise them once
+    matched = cut_lineage(matched.join(counts, ["a", "b"]).drop("hits"))
+    # a pair shares at most the nodes of one patch grid, so its residuals are a bounded group
+    fit = trimmed_fit(matched, ["a", "b"], ["bi", "bj"], ["ai", "aj"], 1.0, times_median=3.0, bounded=True)
+    m = fit.select(
+        "a", "b", F.col("a_ai_bi").alias("m00"), F.col("a_ai_bj").alias("m01"), F.col("t_ai").alias("m02"), F.col("a_aj_bi").alias("m10"), F.col("a_aj_bj").alias("m11"), F.col("t_aj").alias("m12"),
+        F.col("points").alias("hits"), "residual",
     )
-    good = res.join(percentiles(res, ["a", "b"], "res", {"all_med": 0.5}), ["a", "b"]).where(F.col("res") < 3 * F.col("all_med") + 1)
-    med = percentiles(good, ["a", "b"], "res", {"residual": 0.5})
     det = F.abs(F.col("m00") * F.col("m11") - F.col("m01") * F.col("m10"))
-    return m.join(counts, ["a", "b"]).join(med, ["a", "b"]).where((F.col("residual") < max_residual) & (F.abs(det - 1) < max_det_error))
+    return m.where((F.col("residual") < max_residual) & (F.abs(det - 1) < max_det_error))
 
 
 def _invert(prefix: str = "m") -> list[Column]:

@@ -125,20 +125,16 @@ def selection_rules(pixels: DataFrame, segment: str, quarter: str, offset: str,
     def first_max(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
         return df.groupBy(*keys).agg(F.min_by(offset, F.struct((-value).alias("v"), o.alias("o"))).alias(offset))
 
-    r1 = first_max(whole, [segment], F.col("share"))
-    r2 = first_max(whole, [segment], F.round("mean", 9))
-    r4 = first_max(per, [segment, quarter], F.col("hit") / F.col("n"))
-    parts = [
-        pixels.join(r1, [segment, offset], "left_semi").withColumn("rule", F.lit("R1")),
-        pixels.join(r2, [segment, offset], "left_semi").withColumn("rule", F.lit("R2")),
-        pixels.join(r4, [segment, quarter, offset], "left_semi").withColumn("rule", F.lit("R4")),
-    ]
+    r1 = first_max(whole, [segment], F.col("share")).withColumnRenamed(offset, "o1")
+    r2 = first_max(whole, [segment], F.round("mean", 9)).withColumnRenamed(offset, "o2")
+    r4 = first_max(per, [segment, quarter], F.col("hit") / F.col("n")).withColumnRenamed(offset, "o4")
+    # one row per (segment, quarter): the offsets the rules chose
+    choice = r4.join(r1, segment).join(r2, segment)
+    names = F.array_compact(F.array(*[F.when(o == F.col(c), F.lit(n)) for c, n in (("o1", "R1"), ("o2", "R2"), ("o4", "R4"))], F.concat(F.lit("at"), o.cast("string"))))
     keep = [segment, "rule", score, positive]
+    each = pixels.join(choice, [segment, quarter]).withColumn("rule", F.explode(names)).select(*keep)
     r3 = pixels.groupBy(segment, "px", positive).agg(F.max(score).alias(score)).withColumn("rule", F.lit("R3")).select(*keep)
-    each = pixels.withColumn("rule", F.concat(F.lit("at"), o.cast("string"))).select(*keep)
-    every = r3.unionByName(each)
-    for p in parts:
-        every = every.unionByName(p.select(*keep))
+    every = each.unionByName(r3)
     scored = rank_auc(score_counts(every, [segment, "rule"], score, positive), [segment, "rule"], score, "against", min_each)
     named = F.when(F.col("rule").startswith("at"), "oracle").otherwise(F.col("rule"))
     return scored.groupBy(segment, named.alias("rule")).agg(F.max("auc").alias("auc"))

@@ -7,7 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "voxtable", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "voxtable", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None
+) -> SparkSession:
     """A session with the settings the operators are written for; ``master`` and partitions stay with the cluster if unset."""
     builder = (
         SparkSession.builder.appName(app)
@@ -19,6 +21,8 @@ def build_session(app: str = "voxtable", master: str | None = None, shuffle_part
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
