@@ -568,9 +568,7 @@ def band_windows(spark, folder):
 
 
 @query(
-    """WITH px AS (SELECT l_suppkey % 8 AS segment, l_orderkey AS px, l_partkey AS id, l_partkey % 4 AS quarter, l_linenumber AS "offset", l_discount * 10 AS s, l_quantity > 25 AS positive FROM lineitem),
- p0 AS (SELECT segment, px, arg_min(quarter, ("offset", id, quarter)) AS quarter, arg_min(positive, ("offset", id, positive)) AS positive FROM px GROUP BY ALL),
- m AS (SELECT px.segment, px.px, p0.quarter, px."offset", max(px.s) AS s, p0.positive FROM px JOIN p0 USING (segment, px) GROUP BY ALL),
+    """WITH m AS (SELECT l_suppkey % 8 AS segment, l_orderkey AS px, o_custkey % 4 AS quarter, l_linenumber AS "offset", max(l_discount * 10) AS s, o_orderstatus = 'F' AS positive FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
  w AS (SELECT segment, "offset", count(*) FILTER (s > 0.5) / count(*) AS share, round(avg(s), 9) AS mean FROM m GROUP BY ALL), q AS (SELECT segment, quarter, "offset", count(*) FILTER (s > 0.5) / count(*) AS share FROM m GROUP BY ALL),
  r1 AS (SELECT segment, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY share DESC, "offset") AS k FROM w) WHERE k = 1),
  r2 AS (SELECT segment, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY mean DESC, "offset") AS k FROM w) WHERE k = 1),
@@ -585,11 +583,7 @@ def band_windows(spark, folder):
 )
 def selection_rules(spark, folder):
     """Suppliers in eight segments, orders as pixels, line numbers as depth offsets, ten times the discount as score."""
-    li = table(spark, folder, "lineitem").select(
-        F.pmod("l_suppkey", F.lit(8)).alias("segment"), F.col("l_orderkey").alias("px"), "l_partkey", F.pmod("l_partkey", F.lit(4)).alias("quarter"), F.col("l_linenumber").alias("offset"),
-        (F.col("l_discount") * 10).alias("s"), (F.col("l_quantity") > 25).alias("positive"),
-    )
-    # quarter and label of a pixel are those of its first offset
-    fixed = li.groupBy("segment", "px").agg(F.min_by("quarter", F.struct("offset", "l_partkey", "quarter")).alias("quarter"), F.min_by("positive", F.struct("offset", "l_partkey", "positive")).alias("positive"))
-    m = li.groupBy("segment", "px", "offset").agg(F.max("s").alias("s")).join(fixed, ["segment", "px"])
+    li = table(spark, folder, "lineitem").select(F.pmod("l_suppkey", F.lit(8)).alias("segment"), F.col("l_orderkey").alias("px"), F.col("l_linenumber").alias("offset"), (F.col("l_discount") * 10).alias("s"))
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("px"), F.pmod("o_custkey", F.lit(4)).alias("quarter"), (F.col("o_orderstatus") == "F").alias("positive"))
+    m = li.groupBy("segment", "px", "offset").agg(F.max("s").alias("s")).join(o, "px")
     return experiments.selection_rules(m, "segment", "quarter", "offset", "s", "positive").select("segment", "rule", r("auc").alias("auc"))

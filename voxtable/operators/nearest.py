@@ -21,6 +21,7 @@ from voxtable.session import cut_lineage
 BRANCH = 4
 LEAF = 64
 MAX_DEPTH = 14
+CROWDED = 64
 
 
 def _cell(c: str, origin: float, size: float) -> Column:
@@ -156,15 +157,19 @@ def guarded_groups(
     return members.select(group).distinct().join(touched, group, "left_anti")
 
 
-def shared_group_pairs(members: DataFrame, member: str, group: str, min_shared: int) -> DataFrame:
+def shared_group_pairs(members: DataFrame, member: str, group: str, min_shared: int, crowded: int = CROWDED) -> DataFrame:
     """Pairs ``a < b`` that share at least ``min_shared`` groups, with the count.
 
-    Prefix filter: ordering each member's groups from rarest to most common, a qualifying pair must meet before the last
-    ``min_shared - 1`` of either list. The most crowded groups are therefore never expanded into pairs, and the
-    candidates that remain are counted exactly, walking the shorter of the two lists.
+    If the most crowded group is small (``CROWDED``), one self-join and a count do it. Otherwise a prefix filter keeps crowded
+    groups from being expanded: ordering each member's groups from rarest to most common, a qualifying pair must meet before the last
+    ``min_shared - 1`` of either list, and the candidates that remain are counted exactly, walking the shorter list.
     """
     m = members.select(F.col(member).alias("m"), F.col(group).alias("g")).distinct()
-    sized = m.join(m.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "g")
+    sizes = m.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= crowded:
+        met = m.select("g", F.col("m").alias("a")).join(m.select("g", F.col("m").alias("b")), "g").where("a < b")
+        return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
+    sized = m.join(sizes, "g")
     ranked = numbered(sized, ["m"], ["size", "g"])
     prefix = ranked.where(F.col("rn") <= F.col("rn_of") - (min_shared - 1)).select("m", "g", F.col("rn_of").alias("len"))
     left = prefix.select("g", F.col("m").alias("a"), F.col("len").alias("la"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 8192
 MAX_RANGES = 256
+WINDOW_ROWS = 200_000
 
 
 def _ranges(df: DataFrame, ranges: int | None) -> int:
@@ -23,25 +24,35 @@ def _ranges(df: DataFrame, ranges: int | None) -> int:
     return max(8, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def split_points(df: DataFrame, order: Sequence[str], unique: Sequence[str], ranges: int, force: bool = False) -> list:
+def split_points(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], unique: Sequence[str], ranges: int, force: bool = False
+) -> list:
     """At most ``ranges - 1`` ordered split keys from a hash sample of ``SAMPLE_ROWS`` rows (only the splits reach the driver).
 
-    ``unique`` names the columns that make a row distinct, so that no repeated key can fill the sample. A table that fits
-    into the sample needs no splitting (unless ``force``): its windows are bounded as they are.
+    ``unique`` names the columns that make a row distinct, so that no repeated key can fill the sample. The sample also
+    tells how large the largest group is: its share of the sample times the row count, which follows from how densely
+    the smallest hashes lie. If that group fits one window (``WINDOW_ROWS``) nothing is split (unless ``force``).
     """
-    sample = df.select(F.struct(*order).alias("k"), F.xxhash64(*unique).alias("h")).orderBy("h").limit(SAMPLE_ROWS)
-    keys = sample.agg(F.array_sort(F.collect_list("k")).alias("k")).select(
+    group = F.struct(*by) if by else F.lit(0)
+    sample = df.select(group.alias("g"), F.struct(*order).alias("k"), F.xxhash64(*unique).alias("h")).orderBy("h").limit(SAMPLE_ROWS)
+    per = sample.groupBy("g").agg(F.collect_list("k").alias("k"), F.count(F.lit(1)).alias("n"), F.max("h").alias("h"))
+    found = per.agg(F.array_sort(F.flatten(F.collect_list("k"))).alias("k"), F.max("n").alias("largest"), F.max("h").alias("h")).select(
         F.size("k").alias("n"),
+        "largest",
+        "h",
         F.transform(
             F.sequence(F.lit(1), F.lit(max(ranges - 1, 1))),
             lambda i: F.get(F.col("k"), F.floor(i * F.size("k") / ranges).cast("int")),
         ).alias("k"),
-    )
-    found = keys.first()
-    if found["n"] < SAMPLE_ROWS and not force:
-        return []
+    ).first()
+    if not force:
+        if found["n"] < SAMPLE_ROWS:
+            return []
+        covered = (found["h"] + 2.0**63) / 2.0**64
+        if found["largest"] / max(covered, 1e-18) <= WINDOW_ROWS:
+            return []
     distinct: list = []
-    for k in found["k"]:
+    for k in found["k"] or []:
         if k is not None and (not distinct or distinct[-1] != k):
             distinct.append(k)
     return distinct
@@ -76,7 +87,7 @@ def running_totals(
     ``order`` must be a total order within the group and ascending; grouping columns must not be NULL.
     """
     by, order, values = list(by), list(order), list(values)
-    splits = split_points(df, order, unique or by + order, _ranges(df, ranges), bool(ranges))
+    splits = split_points(df, by, order, unique or by + order, _ranges(df, ranges), bool(ranges))
     if not splits:
         run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*by)
@@ -133,6 +144,12 @@ def percentiles_of(
     """Exact percentiles of several columns in one pass: ``{column: {output name: fraction}}``."""
     by = list(by)
     columns = list(wanted)
+    if not ranges:
+        # groups that are checked to be small may be held by the built-in aggregate, which needs no ordering at all
+        largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= WINDOW_ROWS:
+            exact = [F.percentile(c, float(q)).alias(name) for c in columns for name, q in wanted[c].items()]
+            return df.groupBy(*by).agg(*exact)
     if len(columns) == 1:
         long = df.select(*by, F.lit(0).alias("__c"), F.col(columns[0]).alias("__v"))
     else:
@@ -171,7 +188,7 @@ def neighbours_in_order(
     Range edges are carried over by a table of first and last rows per (group, range).
     """
     by, order, columns = list(by), list(order), list(columns)
-    splits = split_points(df, order, by + order, _ranges(df, ranges), bool(ranges))
+    splits = split_points(df, by, order, by + order, _ranges(df, ranges), bool(ranges))
     if not splits:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *[f(c).over(w).alias(f"{p}_{c}") for c in columns for p, f in (("prev", F.lag), ("next", F.lead))])

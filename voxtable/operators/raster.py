@@ -15,7 +15,7 @@ def box_sum(df: DataFrame, keys: Sequence[str], size_y: int, size_x: int, exprs:
     """Separable windowed aggregates over a ``size_y`` x ``size_x`` box around each pixel (centre ``n // 2``).
 
     ``exprs`` maps an output to the aggregate (``F.sum``, ``F.min``, ...) and ``columns`` to its input. One shuffle
-    on the tile key serves both axes. Value-range frames make holes count as absent.
+    on the tile key serves both axes. The image must store every pixel of its extent; beyond it pixels count as absent.
     """
     before_y, before_x = size_y // 2, size_x // 2
     after_y, after_x = size_y - 1 - before_y, size_x - 1 - before_x
@@ -123,6 +123,20 @@ def separable(block, taps, axes, mode: str = "symmetric"):
     return out
 
 
+def sliding(block, half: int, axis: int, f, fill: float):
+    """Running ``f`` (minimum or maximum) over ``2 half + 1`` cells along an axis, by doubling the span."""
+    import numpy as np
+
+    pad = [(half, half) if k == axis else (0, 0) for k in range(block.ndim)]
+    out, span, width = np.pad(block, pad, constant_values=fill), 1, 2 * half + 1
+    while span < width:
+        step = min(span, width - span)
+        n = out.shape[axis] - step
+        out = f(np.take(out, range(n), axis=axis), np.take(out, range(step, step + n), axis=axis))
+        span += step
+    return out
+
+
 def gaussian(df: DataFrame, keys: Sequence[str], axes: Sequence[str], value: str, sigma: float, name: str = "smooth", tile: int = 64) -> DataFrame:
     """Separable Gaussian, reflecting at the image edge, truncated at 4 sigma."""
     from voxtable.operators.stats import gaussian_taps

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.functions.columns import seeded_order
 from voxtable.operators.ordered import numbered
-from voxtable.operators.raster import box_sum
+from voxtable.operators.raster import box_sum, map_tiles, sliding
 from voxtable.session import cut_lineage
 
 
@@ -28,30 +29,44 @@ def greedy_separated(
     """
     keys = list(keys)
     tile = tile or max(64, 4 * max(sep_y, sep_x))
-    prio = F.struct(*[c.alias(f"p{k}") for k, c in enumerate(order)], F.col("y").alias("py"), F.col("x").alias("px"))
-    left = cut_lineage(candidates.withColumn("prio", prio))
+    firsts = {f"__o{k}": c for k, c in enumerate(order)}
+    placed = cut_lineage(numbered(candidates.withColumns(firsts), keys, [*firsts, "y", "x"], "__prio").drop(*firsts, "__prio_of"))
+    reach = (sep_y - 1, sep_x - 1)
+
+    def decide(block):
+        best = block
+        for axis, half in enumerate(reach):
+            best = sliding(best, half, axis, np.minimum, np.inf)
+        won = (best == block) & np.isfinite(block)
+        near = won.astype(float)
+        for axis, half in enumerate(reach):
+            near = sliding(near, half, axis, np.maximum, 0.0)
+        return {"__state": np.where(won, 2, np.where(near > 0, 1, 0))}
+
+    left = placed.select(*keys, "y", "x", "__prio")
     kept = None
     for _ in range(max_rounds):
-        spread = box_sum(left, keys, 2 * sep_y - 1, 2 * sep_x - 1, {"__best": F.min}, {"__best": "prio"}, tile)
-        state = spread.withColumn("__won", (F.col("__best") == F.col("prio")).cast("int"))
-        state = cut_lineage(box_sum(state, keys, 2 * sep_y - 1, 2 * sep_x - 1, {"__near": F.max}, {"__near": "__won"}, tile))
-        won = state.where("__won = 1").drop("__best", "__won", "__near")
+        state = map_tiles(left, keys, ("y", "x"), "__prio", tile, 2 * max(reach), decide, {"__state": "int"}, fill=float("inf"))
+        state = cut_lineage(state.join(left, [*keys, "y", "x"]))
+        won = state.where("__state = 2").drop("__state")
         kept = won if kept is None else kept.unionByName(won)
-        left = state.where("__near = 0").drop("__best", "__won", "__near")
+        left = state.where("__state = 0").drop("__state")
         if cap is not None:
             kept = cut_lineage(kept)
-            group = keys or [F.lit(0).alias("__all")]
-            names = keys or ["__all"]
-            ahead = left.groupBy(*group).agg(F.min("prio").alias("__next"))
-            done = kept.select("*", *([] if keys else group)).join(ahead, names).groupBy(*names).agg(F.count_if(F.col("prio") < F.col("__next")).alias("c")).where(F.col("c") >= cap)
-            left = left.select("*", *([] if keys else group)).join(done.select(*names), names, "left_anti").drop(*([] if keys else ["__all"]))
-            left = cut_lineage(left)
+            ahead = left.groupBy(*keys).agg(F.min("__prio").alias("__next"))
+            known = kept.join(ahead, keys) if keys else kept.withColumn("__next", ahead.scalar())
+            done = known.groupBy(*keys).agg(F.count_if(F.col("__prio") < F.col("__next")).alias("__c")).where(F.col("__c") >= cap)
+            if keys:
+                left = left.join(done.select(*keys), keys, "left_anti")
+            elif not done.isEmpty():
+                break
         if left.isEmpty():
             break
+    chosen = placed.join(kept.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
     if cap is None:
-        return kept.drop("prio")
-    # after the early stop at most the kept rows of each key are numbered, never the candidates
-    return numbered(kept, keys, ["prio"], "pick").where(F.col("pick") <= cap).drop("prio", "pick_of")
+        return chosen.drop("__prio")
+    # the kept rows of a key are numbered, never its candidates
+    return numbered(chosen, keys, ["__prio"], "pick").where(F.col("pick") <= cap).drop("__prio", "pick_of")
 
 
 def densest_boxes(
