@@ -122,16 +122,20 @@ def test_differences_and_scale(spark):
     assert np.isclose(n.nx**2 + n.ny**2 + n.nz**2, 1)
 
 
-def test_affine_round_trip_and_axis(spark):
+def test_affine_round_trip(spark):
     m = [[0.8, -0.5, 0.1, 12.0], [0.5, 0.9, 0.0, -7.5], [0.05, 0.0, 1.1, 3.25]]
     p = frame(spark, np.random.default_rng(5).normal(size=(20, 3)), "i")
     there = p.select("i", *[c.alias(n) for c, n in zip(geometry.affine_apply(m), XYZ)])
     back = there.select("i", *[c.alias(f"b{n}") for c, n in zip(geometry.affine_apply(geometry.affine_invert(m)), XYZ)]).join(p, "i")
     assert all(np.allclose([r.bx, r.by, r.bz], [r.x, r.y, r.z]) for r in back.collect())
+
+
+@pytest.mark.parametrize("ranges", [None, 3])
+def test_axis_interpolation(spark, ranges):
     cps = spark.createDataFrame([("s", 0.0, 1.0), ("s", 10.0, 3.0), ("s", 20.0, 9.0), ("one", 5.0, 4.0)], "s string, z double, v double")
-    q = spark.createDataFrame([("s", -5.0), ("s", 5.0), ("s", 25.0), ("one", 99.0)], "s string, z double")
-    got = {(r.s, r.z): r.v for r in geometry.interpolate_axis(cps, q, ["s"], "z", ["v"]).collect()}
-    assert got == {("s", -5.0): 0.0, ("s", 5.0): 2.0, ("s", 25.0): 12.0, ("one", 99.0): 4.0}
+    q = spark.createDataFrame([(0, "s", -5.0), (1, "s", 5.0), (2, "s", 25.0), (3, "one", 99.0), (4, "one", -9.0), (5, "s", 20.0), (6, "s", 10.0)], "q int, s string, z double")
+    got = {r.q: r.v for r in geometry.interpolate_axis(cps, q, ["s"], "z", ["v"], "q", ranges).collect()}
+    assert got == {0: 0.0, 1: 2.0, 2: 12.0, 3: 4.0, 4: 4.0, 5: 9.0, 6: 3.0}
 
 
 def test_graph_components(spark):

@@ -116,6 +116,9 @@ def test_stitch_two_turned_patches(spark):
             rows.append((1, i, j, 50.0, 4.0 * i, 4.0 * j))
             rows.append((2, j, 19 - i, 50.2, 4.0 * (i + 6), 4.0 * j))
     nodes = spark.createDataFrame(rows, "patch long, i int, j int, z double, y double, x double")
+    pile = nodes.unionByName(nodes.where("patch = 1").withColumn("patch", F.lit(7).cast("long")))
+    copied = {(r.a, r.b): r.m02 for r in stitch.overlap_links(pile, min_hits=50).collect()}
+    assert set(copied) == {(1, 2), (1, 7)} and copied[(1, 7)] == 0.0
     links = stitch.overlap_links(nodes, min_hits=50)
     m = links.first()
     # patch 2 node (p, q) = (j, 19 - i) lies at row i + 6, column j of patch 1

@@ -325,7 +325,7 @@ def axis_interp(spark, folder):
     e = table(spark, folder, "events")
     cps = _daily(spark, folder)
     q = e.select("event_id", "event_type", (F.dayofmonth("ts") + F.hour("ts") / 24.0).alias("z"))
-    out = geometry.interpolate_axis(cps, q, ["event_type"], "z", ["v", "n"])
+    out = geometry.interpolate_axis(cps, q, ["event_type"], "z", ["v", "n"], "event_id")
     return out.select("event_id", r("v").alias("v"), r("n").alias("n"))
 
 

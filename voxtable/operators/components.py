@@ -17,13 +17,13 @@ from voxtable.operators.tiles import with_halo
 from voxtable.session import cut_lineage
 
 
-def graph_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node with an edge; the component is its smallest node."""
     star = cut_lineage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     everyone = star.select(F.col("hi").alias("node")).union(star.select(F.col("lo").alias("node"))).distinct()
     previous = None
-    for _ in range(max_rounds):
+    while True:
         both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(star.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()

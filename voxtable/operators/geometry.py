@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxtable.functions.columns import cross, norm
 from voxtable.operators.fits import determinant, inverse
 from voxtable.operators.nearest import nearest
-from voxtable.operators.ordered import percentiles, percentiles_of
+from voxtable.operators.ordered import carry_forward, neighbours_in_order, percentiles, percentiles_of
 from voxtable.operators.tiles import with_halo
 
 XYZ = ("x", "y", "z")
@@ -213,16 +213,30 @@ def index_offset(pairs: DataFrame, keys: Sequence[str], ratio_i: Column, ratio_j
     return percentiles_of(p, keys, {"di": {"row_offset": 0.5}, "dj": {"col_offset": 0.5}})
 
 
-def interpolate_axis(points: DataFrame, queries: DataFrame, keys: Sequence[str], z: str, values: Sequence[str]) -> DataFrame:
+def interpolate_axis(points: DataFrame, queries: DataFrame, keys: Sequence[str], z: str, values: Sequence[str], query_id: str, ranges: int | None = None) -> DataFrame:
     """As-of both ways: linear between the bracketing control points, linear extrapolation outside, constant if one point.
 
-    Control points of a key travel as one sorted array (an axis has at most a few hundred), queries stay distributed.
+    Control points become segments that know both their ends; the first also serves what lies before it and the last
+    but one what lies after. A query takes the segment that starts at or before it. Keys without control points drop out.
     """
-    axis = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(z).alias("z"), *values))).alias("__a"))
-    q = queries.join(axis, list(keys))
-    n = F.size("__a")
-    upper = F.least(F.greatest(F.size(F.filter("__a", lambda p: p["z"] <= F.col(z))), F.lit(1)), F.greatest(n - 1, F.lit(1)))
-    lo, hi = F.get("__a", upper - 1), F.get("__a", upper)
-    share = (F.col(z) - lo["z"]) / (hi["z"] - lo["z"])
-    out = [F.when(n == 1, lo[v]).otherwise(lo[v] + (hi[v] - lo[v]) * share).alias(v) for v in values]
-    return q.select(*queries.columns, *out)
+    keys = list(keys)
+    first = points.groupBy(*keys, z).agg(*[F.max(v).alias(v) for v in values])
+    chained = neighbours_in_order(first, keys, [z], [z, *values], ranges)
+    # the last control point reuses the segment that ends in it
+    ends = chained.select(
+        *keys,
+        F.when(F.col(f"prev_{z}").isNull(), F.lit(float("-inf"))).otherwise(F.col(z)).cast("double").alias("__z"),
+        F.struct(
+            F.when(F.col(f"next_{z}").isNull() & F.col(f"prev_{z}").isNotNull(), F.col(f"prev_{z}")).otherwise(F.col(z)).alias("z0"),
+            F.when(F.col(f"next_{z}").isNull(), F.when(F.col(f"prev_{z}").isNotNull(), F.col(z))).otherwise(F.col(f"next_{z}")).alias("z1"),
+            *[F.when(F.col(f"next_{z}").isNull() & F.col(f"prev_{z}").isNotNull(), F.col(f"prev_{v}")).otherwise(F.col(v)).alias(f"{v}0") for v in values],
+            *[F.when(F.col(f"next_{z}").isNull(), F.col(v)).otherwise(F.col(f"next_{v}")).alias(f"{v}1") for v in values],
+        ).alias("__seg"),
+        F.lit(0).alias("__kind"),
+        F.lit(None).cast(queries.schema[query_id].dataType).alias(query_id),
+    )
+    asked = queries.select(*keys, F.col(z).cast("double").alias("__z"), F.lit(None).cast(ends.schema["__seg"].dataType).alias("__seg"), F.lit(1).alias("__kind"), query_id)
+    met = carry_forward(ends.unionByName(asked), keys, ["__z", "__kind", query_id], "__seg", "__at", ranges).where("__kind = 1 and __at is not null")
+    share = (F.col("__z") - F.col("__at.z0")) / (F.col("__at.z1") - F.col("__at.z0"))
+    out = [F.when(F.col("__at.z1").isNull(), F.col(f"__at.{v}0")).otherwise(F.col(f"__at.{v}0") + (F.col(f"__at.{v}1") - F.col(f"__at.{v}0")) * share).alias(v) for v in values]
+    return met.select(*keys, query_id, F.col("__z").alias(z), *out)

@@ -7,6 +7,7 @@ wave, so a lost executor costs at most one wave.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -99,7 +100,7 @@ def grow_patches(
     )
     state = cut_lineage(state)
     probes = [search * (2 * k / (2 * search / 0.5) - 1) for k in range(int(2 * search / 0.5) + 1)]
-    for wave in range(1, 4 * half_nodes + 2):
+    for wave in itertools.count(1):
         tracked = state.where("ok")
         newest = tracked.where(F.col("wave") == wave - 1)
         to = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in STEPS])

@@ -209,3 +209,22 @@ def neighbours_in_order(
     for c in columns:
         out = out.withColumn(f"prev_{c}", F.col(f"__p.{c}")).withColumn(f"next_{c}", F.col(f"__q.{c}"))
     return out.drop("__range", "__edge_prev", "__edge_next", "__p", "__q")
+
+
+def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], payload: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Adds ``name``: the last non-NULL ``payload`` at or before each row of its group (the as-of value).
+
+    Ranges of a hot group inherit the last payload of the ranges before them, so no group is walked by one task.
+    """
+    by, order = list(by), list(order)
+    splits = split_points(df, by, order, by + order, _ranges(df, ranges), bool(ranges))
+    if not splits:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.last(payload, ignorenulls=True).over(w))
+    tagged = df.withColumn("__range", range_id(order, splits, df.schema))
+    edges = tagged.groupBy(*by, "__range").agg(F.max_by(payload, F.when(F.col(payload).isNotNull(), F.struct(*order))).alias("__last"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*by, "__range", F.last("__last", ignorenulls=True).over(before).alias("__edge"))
+    inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.join(edges, [*by, "__range"])
+    return out.withColumn(name, F.coalesce(F.last(payload, ignorenulls=True).over(inside), F.col("__edge"))).drop("__range", "__edge")

@@ -20,7 +20,7 @@ from voxtable.session import cut_lineage
 
 
 def greedy_separated(
-    candidates: DataFrame, keys: Sequence[str], order: Sequence[Column], sep_y: int, sep_x: int, cap: int | None = None, max_rounds: int = 1000, tile: int | None = None
+    candidates: DataFrame, keys: Sequence[str], order: Sequence[Column], sep_y: int, sep_x: int, cap: int | None = None, tile: int | None = None
 ) -> DataFrame:
     """Candidates (keys, y, x) kept by a greedy pass in ``order`` (ascending): none within ``sep_y`` rows and ``sep_x``
     columns of a better kept one. With ``cap`` the first ``cap`` per key, numbered in ``pick``.
@@ -45,7 +45,7 @@ def greedy_separated(
 
     left = placed.select(*keys, "y", "x", "__prio")
     kept = None
-    for _ in range(max_rounds):
+    while True:
         state = map_tiles(left, keys, ("y", "x"), "__prio", tile, 2 * max(reach), decide, {"__state": "int"}, fill=float("inf"))
         state = cut_lineage(state.join(left, [*keys, "y", "x"]))
         won = state.where("__state = 2").drop("__state")

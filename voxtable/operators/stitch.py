@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,16 @@ def overlap_links(
 
     Candidate pairs come from shared coarse cells; each pair is then matched exactly (nearest node of a within ``reach``
     of every ``every``-th node of b), fitted with one trim at ``3 * median + 1``, and kept if residual and area scale agree.
+    Exact copies of a patch are linked to their first copy by the identity and only that one is searched, so a pile of
+    copies costs one link each instead of all their pairs; the frames that follow are the same.
     """
+    prints = nodes.groupBy("patch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("i", "j", *ZYX).cast("decimal(38,0)")).alias("h"), F.sum(F.hash("i", "j", *ZYX).cast("long")).alias("g"))
+    heads = prints.groupBy("n", "h", "g").agg(F.min("patch").alias("head"))
+    copies = cut_lineage(prints.join(heads, ["n", "h", "g"]).where("patch <> head").select("head", "patch", "n"))
+    nodes = nodes.join(copies.select("patch"), "patch", "left_anti")
+    same = copies.where(F.ceil(F.col("n") / every) >= min_hits).select(
+        F.col("head").alias("a"), F.col("patch").alias("b"), *[F.lit(v).alias(c) for c, v in zip(MAP, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))], F.ceil(F.col("n") / every).alias("hits"), F.lit(0.0).alias("residual")
+    )
     order = nodes.withColumn("nid", F.struct("i", "j"))
     cells = nodes.select("patch", *[F.floor(F.col(a) / cell).alias(f"c{a}") for a in ZYX]).distinct()
     wide = cells
@@ -48,7 +58,7 @@ def overlap_links(
         F.col("points").alias("hits"), "residual",
     )
     det = F.abs(F.col("m00") * F.col("m11") - F.col("m01") * F.col("m10"))
-    return m.where((F.col("residual") < max_residual) & (F.abs(det - 1) < max_det_error))
+    return m.where((F.col("residual") < max_residual) & (F.abs(det - 1) < max_det_error)).unionByName(same)
 
 
 def _invert(prefix: str = "m") -> list[Column]:
@@ -57,7 +67,7 @@ def _invert(prefix: str = "m") -> list[Column]:
     return [e / det, -b / det, (b * f - c * e) / det, -d / det, a / det, (c * d - a * f) / det]
 
 
-def chain_frames(links: DataFrame, scores: DataFrame, top: int = 30, max_rounds: int = 1000) -> DataFrame:
+def chain_frames(links: DataFrame, scores: DataFrame, top: int = 30) -> DataFrame:
     """Frames of all patches reachable from a root: patch grid -> root grid, composed along breadth-first links.
 
     Every group is rooted at its best-scored patch; groups without one of the ``top`` patches are left out. All groups
@@ -75,7 +85,7 @@ def chain_frames(links: DataFrame, scores: DataFrame, top: int = 30, max_rounds:
     roots = member.groupBy("component").agg(F.min(F.struct("rank", "patch")).alias("r")).where(F.col("r.rank") <= top)
     placed = cut_lineage(roots.select(F.col("r.patch").alias("root"), F.col("r.patch").alias("patch"), F.lit(0).alias("ring"), *[F.lit(v).alias(n) for n, v in zip(MAP, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))]))
     front = placed
-    for ring in range(1, max_rounds):
+    for ring in itertools.count(1):
         t = front.select("root", F.col("patch").alias("src"), *[F.col(n).alias(f"t{n[1:]}") for n in MAP])
         step = edges.join(t, "src").join(placed.select(F.col("patch").alias("dst")), "dst", "left_anti")
         a = {n[1:]: F.col(n) for n in MAP}
