@@ -395,3 +395,31 @@ def guarded_plan(spark, folder):
     held = p.select(F.col("own").alias("fold"), F.col("vec_id").alias("hid"), "segment", *XYZ)
     out = guarded_fold_plan(patches, vertices, held, 0.05, 12, XYZ, [-F.col("x")])
     return out.select("fold", "segment", "patch", r("min_distance").alias("min_distance"))
+
+
+@query(
+    f"""WITH m AS (SELECT * FROM ({MESH}) WHERE {VALID} AND j >= 2 AND j < 14), k AS (SELECT *, row_number() OVER (ORDER BY i, j) - 1 AS r, count(*) OVER () AS n FROM m), g AS (SELECT DISTINCT floor(t.k * ((n - 1) / 499.0)) AS r FROM k, range(500) t(k) WHERE k.r = 0),
+ c AS (SELECT x, y, z FROM k WHERE n <= 500 OR r IN (SELECT r FROM g)), b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM c)
+ SELECT (SELECT count(*) FROM c) AS claimed, count(*) AS near FROM ({points_sql(3)}) t, b WHERE x BETWEEN lx - 0.1 AND hx + 0.1 AND y BETWEEN ly - 0.1 AND hy + 0.1 AND z BETWEEN lz - 0.1 AND hz + 0.1"""
+)
+def claim_box(spark, folder):
+    """Claim points of twelve mesh columns (five hundred, evenly spaced) and the second-scan points near their extent."""
+    m = mesh(spark, folder)
+    claim = geometry.claim_points(m, 0, 10**9, 2, 14, 500)
+    near = geometry.near_extent(points(spark, folder, 3), claim, 0.1)
+    return near.agg(F.count(F.lit(1)).alias("near")).withColumn("claimed", claim.agg(F.count(F.lit(1))).scalar())
+
+
+@query()
+def band_plan(spark, folder):
+    """Mesh cells in z bands (terciles weighted by the first component), six densest 4 x 4 windows per band."""
+    from voxtable.operators import select
+
+    m = mesh(spark, folder)
+    cells = geometry.cell_corners(m.withColumn("valid", F.lit(True)), [], ["z"]).join(m.select("i", "j", "x"), ["i", "j"])
+    w = m.select(F.floor((F.col("z") + 2) * 1000).alias("z"), F.abs("x").alias("w"))
+    e = select.weighted_tercile_edges(w, [], "z", "w")
+    scaled = cells.select(F.col("i").alias("y"), F.col("j").alias("x"), *[F.floor((F.col(c) + 2) * 1000).alias(c) for c in ("min_z", "max_z")], F.lit(1.0).alias("ink"))
+    wide = e.select((F.col("lower") - 200).alias("lower"), (F.col("upper") + 200).alias("upper"))
+    out = select.band_plan(scaled, [], wide, "ink", 2)
+    return out.select("band", "pick", "y", "x", r("density").alias("density"))

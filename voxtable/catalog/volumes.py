@@ -250,9 +250,9 @@ def stitch_mosaic(spark, folder):
     return out.select("root", "layer", "y", "x", r("v").alias("v"), r("weight").alias("weight"))
 
 
-_SHIFTS = f"""WITH s AS MATERIALIZED ({STACK}), o AS MATERIALIZED (SELECT layer + 1 AS layer, y + 2 AS y, x - 1 AS x, least(v + (y * 7 + x * 3) % 5, 255) AS v FROM s)
- SELECT dl::INT AS dlayer, dy::INT AS dy, dx::INT AS dx, count(*) AS n, round(covar_pop(s.v, o.v) * count(*) / sqrt(var_pop(s.v) * count(*) * var_pop(o.v) * count(*) + 1e-12), 6) + 0.0 AS ncc
- FROM s, generate_series(-1, 1) a(dl), generate_series(-2, 2) b(dy), generate_series(-2, 2) c(dx), o WHERE o.layer = s.layer + dl AND o.y = s.y + dy AND o.x = s.x + dx AND s.v > 0 AND o.v > 0 GROUP BY ALL"""
+_SHIFTS = f"""WITH s AS MATERIALIZED ({STACK}), o AS MATERIALIZED (SELECT layer + 1 AS layer, y + 2 AS y, x - 1 AS x, least(v + (y * 7 + x * 3) % 5, 255) AS v FROM s), p AS MATERIALIZED (SELECT s.layer + dl AS layer, s.y + dy AS y, s.x + dx AS x, s.v AS a, dl, dy, dx FROM s, generate_series(-1, 1) a(dl), generate_series(-2, 2) b(dy), generate_series(-2, 2) c(dx) WHERE s.v > 0)
+ SELECT dl::INT AS dlayer, dy::INT AS dy, dx::INT AS dx, count(*) AS n, round(covar_pop(a, v) * count(*) / sqrt(var_pop(a) * count(*) * var_pop(v) * count(*) + 1e-12), 6) + 0.0 AS ncc
+ FROM p JOIN o USING (layer, y, x) WHERE v > 0 GROUP BY ALL"""
 
 
 def _scan_pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -240,3 +240,20 @@ def interpolate_axis(points: DataFrame, queries: DataFrame, keys: Sequence[str],
     share = (F.col("__z") - F.col("__at.z0")) / (F.col("__at.z1") - F.col("__at.z0"))
     out = [F.when(F.col("__at.z1").isNull(), F.col(f"__at.{v}0")).otherwise(F.col(f"__at.{v}0") + (F.col(f"__at.{v}1") - F.col(f"__at.{v}0")) * share).alias(v) for v in values]
     return met.select(*keys, query_id, F.col("__z").alias(z), *out)
+
+
+def claim_points(mesh: DataFrame, i0: int, i1: int, j0: int, j1: int, most: int = 20_000) -> DataFrame:
+    """Valid vertices of a half-open row and column range, at most ``most`` of them, evenly spaced in grid order."""
+    from voxtable.operators.select import even_sample
+
+    inside = (F.col("i") >= i0) & (F.col("i") < i1) & (F.col("j") >= j0) & (F.col("j") < j1)
+    return even_sample(mesh.where(inside & F.col("valid")), [], ["i", "j"], most).drop("rn")
+
+
+def near_extent(targets: DataFrame, points: DataFrame, margin: float = 60.0, cols: Sequence[str] = XYZ) -> DataFrame:
+    """Targets inside the bounding box of ``points`` grown by ``margin`` on every side (one row of bounds, as scalars)."""
+    box = points.agg(*[f(c).alias(f"{t}_{c}") for c in cols for t, f in (("lo", F.min), ("hi", F.max))])
+    keep = F.lit(True)
+    for c in cols:
+        keep = keep & F.col(c).between(box.select(F.col(f"lo_{c}") - margin).scalar(), box.select(F.col(f"hi_{c}") + margin).scalar())
+    return targets.where(keep)

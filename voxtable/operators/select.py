@@ -194,6 +194,18 @@ def band_of(z: Column, lower: Column, upper: Column) -> Column:
     return F.when(z < lower, 0).when(z < upper, 1).otherwise(2)
 
 
+def band_plan(cells: DataFrame, by: Sequence[str], edges: DataFrame, value: str, size: int, cap: int = 6) -> DataFrame:
+    """Densest disjoint windows per band: only cells whose z range (``min_z``, ``max_z``) lies wholly in one band count.
+
+    ``cells``: by, y, x, min_z, max_z and the value; ``edges``: by, lower, upper. Up to ``cap`` windows per group and band.
+    """
+    keys = [*by, "band"]
+    j = cells.join(edges, list(by)) if by else cells.withColumns({c: edges.select(c).scalar() for c in ("lower", "upper")})
+    low, high = (band_of(F.col(c), F.col("lower"), F.col("upper")) for c in ("min_z", "max_z"))
+    whole = j.where(low == high).withColumn("band", low).select(*keys, "y", "x", value)
+    return densest_boxes(whole, keys, value, size, size, cap)
+
+
 def first_per_band(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int = 2) -> DataFrame:
     return numbered(df, by, order).where(F.col("rn") <= n).drop("rn_of")
 
