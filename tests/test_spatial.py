@@ -142,3 +142,32 @@ def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, k) for k in range(101, 160)] + [(200, 201)]
     got = {r.node: r.component for r in components.graph_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(31)) and all(got[k] == 100 for k in range(100, 160)) and got[201] == 200
+
+
+def test_smooth_grid_fills_holes(spark):
+    rng = np.random.default_rng(6)
+    ok = rng.random((14, 13)) > 0.3
+    ok[:9, :9] = False
+    z = rng.normal(size=ok.shape) + 5
+    rows = [(i, j, float(z[i, j]) if ok[i, j] else -1.0, bool(ok[i, j])) for i, j in np.ndindex(ok.shape)]
+    mesh = spark.createDataFrame(rows, "i int, j int, z double, valid boolean")
+    got = geometry.smooth_grid(mesh, [], cols=["z"]).toPandas()
+    from voxtable.operators.stats import gaussian_taps
+
+    t = np.array(gaussian_taps(1.0))
+    h = len(t) // 2
+
+    def blur(a):
+        w = np.pad(a, h, mode="symmetric")
+        return sum(t[p] * t[q] * w[p : p + a.shape[0], q : q + a.shape[1]] for p in range(len(t)) for q in range(len(t)))
+
+    den = blur(ok.astype(float))
+    want = np.where(den > 0.05, blur(np.where(ok, z, 0)) / np.maximum(den, 1e-6), np.nan)
+    known = np.argwhere(den > 0.05)
+    assert len(got) == ok.size and (den <= 0.05).any()
+    for r in got.itertuples():
+        if den[r.i, r.j] > 0.05:
+            assert np.isclose(r.z, want[r.i, r.j])
+        else:
+            d = ((known - [r.i, r.j]) ** 2).sum(1)
+            assert any(np.isclose(r.z, want[tuple(k)]) for k in known[d == d.min()])

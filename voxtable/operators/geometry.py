@@ -257,3 +257,31 @@ def near_extent(targets: DataFrame, points: DataFrame, margin: float = 60.0, col
     for c in cols:
         keep = keep & F.col(c).between(box.select(F.col(f"lo_{c}") - margin).scalar(), box.select(F.col(f"hi_{c}") + margin).scalar())
     return targets.where(keep)
+
+
+def smooth_grid(mesh: DataFrame, keys: Sequence[str], sigma: float = 1.0, floor: float = 0.05, cols: Sequence[str] = XYZ) -> DataFrame:
+    """Grid with holes filled for sampling: Gaussian mean of the valid vertices around each node, and where those are too
+    few (weight up to ``floor``) the values of the nearest filled node. Adds ``share``, the smoothed validity.
+
+    ``mesh`` stores every node of its grid; ``valid`` marks the holes.
+    """
+    from voxtable.operators.raster import gaussian
+
+    keys = list(keys)
+    on = [*keys, "i", "j"]
+    base = mesh.withColumn("share", F.col("valid").cast("double"))
+    out = None
+    for c in [*cols, "share"]:
+        value = F.col("share") if c == "share" else F.when(F.col("valid"), F.col(c)).otherwise(0.0)
+        part = gaussian(base.select(*on, value.alias("__g")), keys, ("i", "j"), "__g", sigma, f"g_{c}")
+        out = part if out is None else out.join(part, on)
+    known = F.col("g_share") > floor
+    out = out.select(*on, F.col("g_share").alias("share"), *[F.when(known, F.col(f"g_{c}") / F.greatest("g_share", F.lit(1e-6))).alias(c) for c in cols])
+    node = F.struct("i", "j").alias("node")
+    full = out.where(F.col(cols[0]).isNotNull())
+    holes = out.where(F.col(cols[0]).isNull()).select(*keys, node, "i", "j", "share")
+    source = full.select(*keys, F.struct("i", "j").alias("from"), "i", "j")
+    hit = nearest(holes, source, ["i", "j"], "node", "from", keys).select(*keys, "node", "from")
+    values = full.select(*keys, F.struct("i", "j").alias("from"), *cols)
+    filled = holes.join(hit, [*keys, "node"]).join(values, [*keys, "from"]).select(*on, "share", *cols)
+    return full.select(*on, "share", *cols).unionByName(filled)
