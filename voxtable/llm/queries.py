@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import bpe_roundtrip, token_count
+from voxtable.llm import bpe_roundtrip, decontaminate, language_id, oracles, quality_rules, secret_scan, token_count
 from voxtable.llm.common import read
 
 
@@ -19,9 +19,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), word_bpe()).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents")).withColumn("failed", F.array_join("failed", ","))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip.bpe_roundtrip(read(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op9_bpe_roundtrip)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op6_decontamination, op7_language_id, op8_secret_scan, op9_bpe_roundtrip)}
+ORACLES = {"op2_quality_rules": oracles.OP2, "op6_decontamination": oracles.OP6, "op8_secret_scan": oracles.OP8}
