@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import bpe_roundtrip, decontaminate, language_id, oracles, quality_rules, secret_scan, token_count
+from voxtable.llm import bpe_roundtrip, decontaminate, jaccard_join, language_id, oracles, quality_rules, secret_scan, token_count
 from voxtable.llm.common import read
 
 
@@ -39,5 +39,9 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip.bpe_roundtrip(read(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op6_decontamination, op7_language_id, op8_secret_scan, op9_bpe_roundtrip)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op6_decontamination, op7_language_id, op8_secret_scan, op9_bpe_roundtrip, op10_jaccard_join)}
 ORACLES = {"op2_quality_rules": oracles.OP2, "op6_decontamination": oracles.OP6, "op8_secret_scan": oracles.OP8}
