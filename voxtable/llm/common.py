@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,6 +46,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written as a table of its own in the shared folder of the checkpoints and read again."""
+    from voxtable.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tokenizer(path: str):
     """A tokenizers.Tokenizer from its file, without truncation or padding; Spark alone shares out the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
