@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import bpe_roundtrip, decontaminate, jaccard_join, language_id, lm_score, oracles, quality_rules, secret_scan, token_count
+from voxtable.llm import bpe_roundtrip, chat_transcript, decontaminate, jaccard_join, language_id, line_quality, lm_score, oracles, quality_rules, secret_scan, token_count
 from voxtable.llm.common import read
 
 
@@ -27,6 +27,14 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(read(spark, sf_dir, "documents"))
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_transcript.chat_formatting(read(spark, sf_dir, "conversations"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -47,5 +55,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_lm_scores, op6_decontamination, op7_language_id, op8_secret_scan, op9_bpe_roundtrip, op10_jaccard_join)}
+OPERATORS = (
+    op1_token_counts, op2_quality_rules, op3_lm_scores, op4_line_quality, op5_chat_formatting, op6_decontamination, op7_language_id, op8_secret_scan,
+    op9_bpe_roundtrip, op10_jaccard_join,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES = {"op2_quality_rules": oracles.OP2, "op6_decontamination": oracles.OP6, "op8_secret_scan": oracles.OP8}
