@@ -154,3 +154,22 @@ def _search(block, size: int, first: bool, last: bool):
                 yield pa.RecordBatch.from_arrays([own.column(0), *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
+    """The rows without a hit, with all their columns; each row passes all blocks of items. Nulls and empty tables are as for ``contamination``."""
+    context, at = docs.sparkSession.sparkContext, docs.columns.index(text)
+    rows = docs
+    for items in item_blocks(benchmark, item_id, item_text, block_bytes):
+        rows = rows.mapInArrow(_clean(context.broadcast(items), size, at), docs.schema)
+    return rows
+
+
+def _clean(block, size: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(block.value, size)
+        for batch in batches:
+            keep = [not words or not searcher.hits(b" " + b" ".join(words) + b" ")[0] for words in map(words_of, all_bytes(batch.column(at)))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
