@@ -223,14 +223,14 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, siz
     return rows.mapInArrow(run, "id bigint, root bigint, copies bigint, shingles array<bigint>").where("shingles is not null").dropDuplicates(["id"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 12, recall: float = 0.999, chunk: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 12, recall: float = 0.999, chunk: int = 200_000, chunk_texts: int = 256) -> DataFrame:
     """doc_id, text_key, copy_of, class_id and n_links of every row.
 
     Words are separated by ASCII white space, with A-Z lower-cased; texts of the same words are copies, and ``copy_of`` is the least doc_id among
     them. A link joins two rows whose shingle sets have a Jaccard similarity of ``threshold`` (in hundredths) or more, copies included; n_links
     counts a row's links, class_id is the least doc_id of all rows that links connect. Texts without words have no links and are classes of
     one text, whose rows share it. Every pair that shares a node of the forest is verified on whole sets of 64-bit shingle hashes: the pairs of a
-    connected part of candidates meet in pairs of chunks of about ``chunk`` shingles each, and only counts and connecting links leave the task.
+    connected part of candidates meet in pairs of chunks of about ``chunk`` shingles or ``chunk_texts`` texts each, and only counts and connecting links leave the task.
     Null texts are empty; rows with null ids take part (a class of nothing else has a null class_id); repeated rows are copies of each other;
     other columns are not read; an empty table gives no rows.
     """
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = checkpoint(components(reached.join(hubs, "node").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
 
     wanted = parts.join(texts.select("id", "digest", "copies", "doc_id", "text_key", "size"), "id")
-    chunks = wanted.groupBy("root").agg(F.ceil(F.sum("size") / chunk).cast("int").alias("chunks"))
+    chunks = wanted.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / chunk), F.ceil(F.count("*") / chunk_texts)).cast("int").alias("chunks"))
     sets = shingle_sets(docs, wanted, doc_id, text, size).join(chunks, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     pair = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     blocks = sets.select("root", "side", "id", "copies", "shingles", pair)
