@@ -7,63 +7,74 @@ without the first symbol, at mass / (c(h) + mass): P(s | h) = (c(hs) + mass * P(
 failure arc of a word add up, so that all probabilities sum to 1 over all texts. The traversal goes once over a text and carries its state on
 across words.
 
-The corpus is never gathered in one place. Documents fall into blocks by a hash; a block counts its words and n-grams, the counts are added up over all
-blocks, and each block gets back the sums of what occurs in it: the part of the automaton that its texts can reach.
+The corpus is never gathered in one place. Documents fall into blocks by a hash; a block counts its words and n-grams and deals them into buckets by
+their hash; a bucket adds up the counts of all blocks, and each block gets back the sums of what occurs in it: the part of the automaton that its
+texts can reach. A block and a bucket exchange one row, with a list of keys on the way there and sums in the same order on the way back.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.common import all_bytes, fold, stored
 
+#: Symbols that an array step works on at once.
+PART = 1 << 20
+
+
 def symbols(words: list[bytes]) -> bytes:
     """The end of the text before, the words with a space after each, and the end."""
     return b"\n" + b" ".join([*words, b"\n"])
 
 
 class Trie:
-    """The distinct n-grams of a run of symbols, level by level, and for every place the n-gram of each length that ends there.
+    """The distinct n-grams of a run of symbols, level by level.
 
-    ``text`` holds documents one after the other; ``starts`` are the places of their first symbols, which end no n-gram and are reached over by none.
+    ``text`` holds documents one after the other; ``starts`` are the places of their first symbols, over which no n-gram reaches. ``each`` is called for
+    each length with the n-gram that ends at each place, -1 where the document isn't that long yet.
     """
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray, order: int) -> None:
+    def __init__(self, text: np.ndarray, starts: np.ndarray, order: int, each: Callable[[np.ndarray], None] = lambda place: None) -> None:
         self.alphabet = np.unique(text)
         code = np.zeros(256, np.int32)
         code[self.alphabet] = np.arange(len(self.alphabet), dtype=np.int32)
         self.code, self.width = code, len(self.alphabet)
         self.parent: list[np.ndarray] = []  # of each n-gram of a level: its first n-1 symbols, on the level below
         self.symbol: list[np.ndarray] = []  # and its last
-        self.at: list[np.ndarray] = []  # of each place: the n-gram of that length that ends there; -1 if the document isn't that long yet
-        sym = code[text]
+        sym = code[text]  # int32
         place = np.full(len(text), -1, np.int32)
         first = np.zeros(len(text), bool)
         first[starts] = True
         for n in range(order):
-            before = np.empty_like(place)
-            before[0] = -1
-            before[1:] = place[:-1]
-            if n == 0:
-                before[:] = 0
+            if n:
+                place[1:] = place[:-1].copy()
+                place[first] = -1
             else:
-                before[first] = -1
-            have = before >= 0
-            keys = before[have] * np.int32(self.width) + sym[have]
-            seen = np.bincount(keys, minlength=1) > 0
+                place[:] = 0
+            have = place >= 0
+            seen = np.zeros((self.width * len(self.parent[-1]) if n else self.width), bool)
+            for k in range(0, len(text), PART):  # a part at a time, to spare memory
+                own = have[k : k + PART]
+                place[k : k + PART][own] = keys = place[k : k + PART][own] * np.int32(self.width) + sym[k : k + PART][own]
+                seen[keys] = True
             found = np.flatnonzero(seen)
             ids = np.cumsum(seen, dtype=np.int32) - 1
-            place = np.full(len(text), -1, np.int32)
-            place[have] = ids[keys]
+            for k in range(0, len(text), PART):
+                own = have[k : k + PART]
+                place[k : k + PART][own] = ids[place[k : k + PART][own]]
             self.parent.append((found // self.width).astype(np.int32))
             self.symbol.append((found % self.width).astype(np.int32))
-            self.at.append(place)
+            each(place)
 
     def keys(self) -> list[np.ndarray]:
         """Of each level: the n-grams as numbers, n in the highest byte and the symbols below."""
@@ -79,66 +90,86 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), starts
 
 
-def block_counts(texts: list[bytes], trained: list[bool], order: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-    """Words with their count in training texts (0 if only others have them); keys of n-grams, their counts, and their counts as a context."""
-    words: Counter[bytes] = Counter()
-    only: set[bytes] = set()
-    learn, other = [], []
-    for raw, train in zip(texts, trained):
-        own = raw.lower().split()
-        if train:
+@dataclass
+class Counts:
+    """What a block holds: words (the end is the empty word) and n-grams, their counts in training texts, and those of n-grams as contexts.
+
+    Keys are in an order that only the set of texts decides, so that sums can come back without them.
+    """
+
+    words: list[bytes]
+    word_counts: np.ndarray
+    trie: Trie
+    grams: np.ndarray
+    gram_counts: np.ndarray
+    contexts: np.ndarray
+    flat: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of(texts: list[list[bytes]], trained: int, order: int) -> Counts:
+        """``texts``: the training texts first, ``trained`` in number."""
+        words: Counter[bytes] = Counter()
+        for own in texts[:trained]:
             words.update(own)
-            words[b"\n"] += 1
-        else:
-            only.update(own)
-            only.add(b"\n")
-        (learn if train else other).append(symbols(own))
-    text, starts = laid_out(learn + other)
-    end = sum(map(len, learn))
-    trie = Trie(text, starts, order)
-    counted = np.ones(end, bool)
-    counted[starts[starts < end]] = False  # the symbol before a text is not an event of it
-    last = np.zeros(end, bool)  # nor is the end of a text the context of one
-    last[starts[(starts > 0) & (starts <= end)] - 1] = True
-    if end:
-        last[end - 1] = True
-    keys, counts, contexts = trie.keys(), [], []
-    for k, at in enumerate(trie.at):
-        own = at[:end]
-        counts.append(np.bincount(own[counted & (own >= 0)], minlength=len(keys[k])))
-        contexts.append(np.bincount(own[~last & (own >= 0)], minlength=len(keys[k])))
-    return dict(words) | {w: 0 for w in only.difference(words)}, np.concatenate(keys), np.concatenate(counts), np.concatenate(contexts)
+        words[b""] += trained
+        for own in texts[trained:]:
+            words.update(dict.fromkeys(own, 0))
+        flat, starts = laid_out([symbols(w) for w in texts])
+        end = int(starts[trained]) if trained < len(texts) else len(flat)
+        first, last = starts[:trained], np.append(starts[1 : trained + 1], len(flat))[:trained] - 1
+        counts, contexts = [], []
+
+        def add(place: np.ndarray) -> None:
+            n = int(place.max(initial=-1)) + 2
+            total = sum((np.bincount(place[k : min(end, k + PART)] + 1, minlength=n) for k in range(0, end, PART)), np.zeros(n, np.int64))
+            counts.append((total - np.bincount(place[first] + 1, minlength=n))[1:])  # the symbol before a text is not an event of it
+            contexts.append((total - np.bincount(place[last] + 1, minlength=n))[1:])  # nor is its end the context of one
+
+        trie = Trie(flat, starts, order, add)
+        return Counts(list(words), np.fromiter(words.values(), np.int64, len(words)), trie, np.concatenate(trie.keys()), np.concatenate(counts), np.concatenate(contexts), flat, starts)
+
+    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each word and of each n-gram."""
+        grams = (self.grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
+        return np.fromiter(map(crc32, self.words), np.int64, len(self.words)) % n, grams.astype(np.int64)
+
+
+def grouped(bucket: np.ndarray, n: int) -> list[np.ndarray]:
+    """The places of each bucket, in order."""
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.searchsorted(bucket[order], np.arange(1, n)))
 
 
 class Automaton:
     """The part of the model that a block can reach, with failure arcs followed beforehand: for a state and a symbol, the next state and the weight.
 
     States are the contexts of the block, from the empty one to those of order - 1 symbols; a context that training has not followed has the
-    arcs of the state it fails to. ``known`` are sorted keys of n-grams, with their counts and their counts as a context.
+    arcs of the state it fails to. ``counts`` and ``contexts`` are those of the trie's n-grams over the whole corpus, level by level.
     """
 
-    def __init__(self, trie: Trie, known: np.ndarray, counts: np.ndarray, contexts: np.ndarray, total: float, mass: float) -> None:
-        keys, width = trie.keys(), trie.width
-        self.order, self.width, self.code = len(keys), width, trie.code
-        probability = np.full((1, width), 1 / 256)
+    def __init__(self, trie: Trie, counts: np.ndarray, contexts: np.ndarray, total: float, mass: float) -> None:
+        width, place = trie.width, 0
+        self.order, self.width, self.code = len(trie.symbol), width, trie.code
+        mass, probability = np.float32(mass), np.full((1, width), 1 / 256, np.float32)
         arcs, suffix, child, following = np.array([total], float), np.zeros(1, np.int64), None, None
         weights, nexts, start = [], [], 0
         for n in range(self.order):  # contexts of n symbols; their n-grams are those of n + 1
-            at = np.minimum(np.searchsorted(known, keys[n]), max(0, len(known) - 1))
-            hit = known[at] == keys[n] if len(known) else np.zeros(len(keys[n]), bool)
-            times = np.zeros((len(arcs), width))
-            times[trie.parent[n], trie.symbol[n]] = np.where(hit, counts[at], 0) if len(known) else 0
-            probability = (times + mass * probability[suffix]) / (arcs[:, None] + mass)
-            weights.append(np.log10(probability).astype(np.float32))
+            level = slice(place, place + len(trie.symbol[n]))
+            place = level.stop
+            times = np.zeros((len(arcs), width), np.float32)
+            times[trie.parent[n], trie.symbol[n]] = counts[level]
+            probability = (times + mass * probability[suffix]) / (arcs[:, None] + mass).astype(np.float32)
+            weights.append(np.log10(probability))
             start += len(arcs)
             own = np.full((len(arcs), width), -1, np.int32)
-            own[trie.parent[n], trie.symbol[n]] = np.arange(len(keys[n]), dtype=np.int32)
+            own[trie.parent[n], trie.symbol[n]] = np.arange(level.stop - level.start, dtype=np.int32)
             failed = np.zeros((1, width), np.int32) if following is None else following[suffix]
             following = np.where(own >= 0, start + own, failed) if n < self.order - 1 else failed
             nexts.append(following)
             # the contexts of n + 1 symbols: what each fails to, and how often it was followed
-            suffix = np.zeros(len(keys[n]), np.int64) if child is None else child[suffix[trie.parent[n]], trie.symbol[n]]
-            arcs = np.where(hit, contexts[at], 0) if len(known) else np.zeros(len(keys[n]))
+            suffix = np.zeros(len(trie.symbol[n]), np.int64) if child is None else child[suffix[trie.parent[n]], trie.symbol[n]]
+            arcs = contexts[level]
             child = own
         self.next, self.weight = np.concatenate(nexts).ravel(), np.concatenate(weights).ravel()
 
@@ -169,15 +200,13 @@ class Automaton:
         return out
 
 
-def token_scores(texts: list[list[bytes]], known: dict[bytes, int], automaton, order: int, tokens: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_scores(texts: list[list[bytes]], own: Counts, word_counts: np.ndarray, automaton: Automaton, tokens: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: known tokens, the sum of log10(c + 0.1), and the log10 probability."""
-    flat, starts = laid_out([symbols(w) for w in texts])
-    spelled = automaton(Trie(flat, starts, order)).walk(flat, starts).astype(np.float64)
-    ends = (flat == 32) | (flat == 10)
-    ends[starts] = False
-    begins = np.flatnonzero(np.concatenate([[False], ends[:-1]]) & ~_at(starts, len(flat)) | np.concatenate([[False], _at(starts, len(flat))[:-1]]))
-    spelled = np.add.reduceat(spelled, begins)
-    counts = np.fromiter((known.get(w, 0) for words in texts for w in (*words, b"\n")), np.int64, len(begins))
+    known, flat, starts = dict(zip(own.words, word_counts.tolist())), own.flat, own.starts
+    ends = (flat == 32) | (flat == 10)  # of tokens; the symbol before a text is the end of none, but a token begins after it
+    begins = np.flatnonzero(ends[:-1] & ~_at(starts, len(flat))[1:]) + 1
+    spelled = np.add.reduceat(automaton.walk(flat, starts).astype(np.float64), begins)
+    counts = np.fromiter(chain.from_iterable(map(known.__getitem__, chain(words, (b"",))) for words in texts), np.int64, len(begins))
     with np.errstate(divide="ignore"):
         by_word = np.log(share * counts / tokens) if tokens else np.full(len(counts), -np.inf)
         worded = np.logaddexp(by_word, math.log(1 - share if tokens else 1.0) + spelled * math.log(10)) / math.log(10)
@@ -185,13 +214,20 @@ def token_scores(texts: list[list[bytes]], known: dict[bytes, int], automaton, o
     return np.add.reduceat(counts > 0, first, dtype=np.int64), np.add.reduceat(np.log10(counts + 0.1), first), np.add.reduceat(worded, first)
 
 
+def in_order(table: pa.Table) -> tuple[pa.Table, list[list[bytes]], int]:
+    """The rows of a block in an order of their own, training texts first; their words; and the number of training texts."""
+    rows = table.sort_by([("held_out", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    return rows, [x.lower().split() for x in all_bytes(rows.column("text").combine_chunks())], rows.num_rows - sum(rows.column("held_out").to_pylist())
+
+
 def _at(places: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size, bool)
     out[places] = True
     return out
 
 
-COUNTED = "block bigint, gram bigint, word binary, count bigint, context bigint"
+COUNTED = "block bigint, bucket bigint, words binary, word_counts binary, grams binary, gram_counts binary, contexts binary"
+SUMMED = "block bigint, bucket bigint, word_counts binary, gram_counts binary, contexts binary, tokens bigint, distinct bigint, total bigint"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_part double, score double"
 
 
@@ -201,7 +237,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     Learns from rows outside the test fold. Tokens are the words (A-Z lower-cased) and one end. base_score adds up log10((c + 0.1) / (N + 0.1 (V + 1))),
     score is the automaton's log10 probability of the text. Null texts are empty: the end alone. Rows with null ids are
     learned from; repeated rows are counted and scored each; other columns are not read; an empty table gives no rows.
-    Blocks hold about ``block_bytes`` of text (or one text), whatever the size of the corpus.
+    Blocks hold about ``block_bytes`` of text (or one text), whatever the size of the corpus, and there are as many buckets, of about as many keys.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_blocks = 1 + size // block_bytes
@@ -210,31 +246,47 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     blocked = docs.select(where.alias("block"), F.col(doc_id).cast("bigint").alias("doc_id"), (fold(doc_id, folds) == test).alias("held_out"), F.col(text).alias("text"))
 
     def count(table: pa.Table) -> pa.Table:
-        texts, held = all_bytes(table.column("text").combine_chunks()), table.column("held_out").to_pylist()
-        words, grams, counts, contexts = block_counts(texts, [not x for x in held], order)
-        n, m = len(grams), len(words)
-        columns = [np.full(n + m, table.column("block")[0].as_py()), np.concatenate([grams, np.zeros(m, np.int64)]), pa.array([None] * n + list(words), pa.binary()), np.concatenate([counts, np.fromiter(words.values(), np.int64, m)]), np.concatenate([contexts, np.zeros(m, np.int64)])]
-        return pa.table(columns, ["block", "gram", "word", "count", "context"])
-
-    key = Window.partitionBy("gram", "word")
-    counted = blocked.groupBy("block").applyInArrow(count, COUNTED)
-    summed = counted.select("block", "gram", "word", F.sum("count").over(key).alias("count"), F.sum("context").over(key).alias("context"), (F.row_number().over(key.orderBy("block")) == 1).alias("first"))
-    model = stored(summed.where("count > 0 or context > 0"))
-    once = model.where("first")
-    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("count"))), F.lit(0))
-    one = F.col("gram").between(1 << 56, (2 << 56) - 1)
-    tokens, distinct, total = once.agg(of(F.col("gram") == 0), F.count(F.when(F.col("gram") == 0, 1)), of(one)).first()
-
-    def score(key, rows: pa.Table, part: pa.Table) -> pa.Table:
-        part = part.sort_by("gram")
-        texts = [x.lower().split() for x in all_bytes(rows.column("text").combine_chunks())]
-        gram, count, context = (part.column(c).to_numpy() for c in ("gram", "count", "context"))
-        n = int(np.searchsorted(gram, 1))
-        known = dict(zip(part.column("word")[:n].to_pylist(), count[:n].tolist()))
-        hits, base, found = token_scores(texts, known, lambda trie: Automaton(trie, gram[n:], count[n:], context[n:], total, mass), order, tokens, share)
-        columns = [rows.column("doc_id"), rows.column("held_out"), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(hits), pa.array(base), pa.array(found)]
+        _, texts, trained = in_order(table)
+        own = Counts.of(texts, trained, order)
+        rows = []
+        for k, (w, g) in enumerate(zip(*(grouped(x, n_blocks) for x in own.buckets(n_blocks)))):
+            rows.append((k, b"\n".join([own.words[i] for i in w]), own.word_counts[w].tobytes(), own.grams[g].tobytes(), own.gram_counts[g].tobytes(), own.contexts[g].tobytes()))
+        columns = [pa.array([table.column("block")[0].as_py()] * n_blocks, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))]
+        keep = [k for k, r in enumerate(rows) if r[2] or r[3]]  # each row has some word or n-gram
+        return pa.table(columns, ["block", "bucket", "words", "word_counts", "grams", "gram_counts", "contexts"]).take(keep)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        numbers = lambda name: [np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()]
+        words = [x.split(b"\n") if len(n) else [] for x, n in zip(table.column("words").to_pylist(), numbers("word_counts"))]
+        sums: dict[bytes, int] = {}
+        for keys, values in zip(words, numbers("word_counts")):
+            for w, n in zip(keys, values.tolist()):
+                sums[w] = sums.get(w, 0) + n
+        keys, which = np.unique(np.concatenate([np.zeros(0, np.int64), *numbers("grams")]), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in numbers("grams")])[:-1]
+        both = [np.bincount(which, np.concatenate([np.zeros(0), *numbers(name)]), len(keys)).astype(np.int64) for name in ("gram_counts", "contexts")]
+        spread = [[x.tobytes() for x in np.split(total[which], cuts)] for total in both]
+        once = np.zeros((3, table.num_rows), np.int64)  # what holds for the bucket stands in one of its rows
+        once[:, 0] = sum(sums.values()), sum(n > 0 for n in sums.values()), both[0][(keys >> 56) == 1].sum()
+        columns = [table.column("block"), table.column("bucket"), pa.array([np.fromiter(map(sums.__getitem__, w), np.int64, len(w)).tobytes() for w in words], pa.binary()), *(pa.array(x, pa.binary()) for x in spread), *(pa.array(x) for x in once)]
+        return pa.table(columns, ["block", "bucket", "word_counts", "gram_counts", "contexts", "tokens", "distinct", "total"])
+
+    model = stored(blocked.groupBy("block").applyInArrow(count, COUNTED).groupBy("bucket").applyInArrow(add_up, SUMMED))
+    tokens, distinct, total = (x or 0 for x in model.agg(F.sum("tokens"), F.sum("distinct"), F.sum("total")).first())
+
+    def score(key, rows: pa.Table, sums: pa.Table) -> pa.Table:
+        rows, texts, trained = in_order(rows)
+        own = Counts.of(texts, trained, order)
+        places = dict(enumerate(zip(*(grouped(x, n_blocks) for x in own.buckets(n_blocks)))))
+        word_counts, gram_counts, contexts = (np.zeros(n, np.int64) for n in (len(own.words), len(own.grams), len(own.grams)))
+        for bucket, *parts in zip(*(sums.column(c).to_pylist() for c in ("bucket", "word_counts", "gram_counts", "contexts"))):
+            w, g = places[bucket]
+            for to, at, part in zip((word_counts, gram_counts, contexts), (w, g, g), parts):
+                to[at] = np.frombuffer(part, np.int64)
+        found = token_scores(texts, own, word_counts, Automaton(own.trie, gram_counts, contexts, total, mass), tokens, share)
+        columns = [rows.column("doc_id"), rows.column("held_out"), pa.array([len(w) + 1 for w in texts], pa.int64()), *map(pa.array, found)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_part", "score"])
 
-    found = blocked.groupBy("block").cogroup(model.drop("first").groupBy("block")).applyInArrow(score, SCORED)
+    found = blocked.groupBy("block").cogroup(model.drop("tokens", "distinct", "total").groupBy("block")).applyInArrow(score, SCORED)
     each = math.log10(tokens + 0.1 * (distinct + 1))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("base_part") - F.col("n_tokens") * each).alias("base_score"), "score")
