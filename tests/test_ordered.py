@@ -74,3 +74,15 @@ def test_auc_tie_rules(spark):
     ties = sum(a == b for a in pos for b in neg)
     assert np.isclose(mid, (wins + ties / 2) / 12) and np.isclose(against, wins / 12)
     assert auc.rank_auc(counts, [], "s", "mid", 5).first()["auc"] is None
+
+
+@pytest.mark.parametrize("ranges", [None, 6])
+def test_null_keys_and_groups_of_nulls(spark, ranges):
+    rows = [(None if k % 4 == 0 else k % 4, k % 7, k, float(k % 11) if k % 4 != 3 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "g int, h int, id int, v double")
+    assert ordered.numbered(df, ["g"], ["h", "id"], ranges=ranges).where("rn_of = 100").count() == 400
+    got = {r.g: r.m for r in ordered.percentiles(df, ["g"], "v", {"m": 0.5}, ranges).collect()}
+    assert set(got) == {None, 1, 2, 3} and got[3] is None and got[None] == float(np.median([k % 11 for k in range(0, 400, 4)]))
+    near = ordered.neighbours_in_order(df, ["g"], ["h", "id"], ["id"], ranges)
+    assert near.count() == 400 and near.where("prev_id is null").count() == 4
+    assert ordered.carry_forward(df, ["g"], ["h", "id"], "v", "last", ranges).where("last is null").count() == 100

@@ -77,12 +77,15 @@ def test_chunk_files_decode(spark, tmp_path):
     block[1, 2, 3] = 7
     (tmp_path / "vol" / "0" / "2" / "1").mkdir(parents=True)
     (tmp_path / "vol" / "0" / "2" / "1" / "0").write_bytes(block.tobytes())
-    (tmp_path / "vol" / "0" / "2" / "1" / "9").write_bytes(b"short")
     from voxtable.sources import readers
 
     rows = ch.decode_files(readers.chunk_files(spark, str(tmp_path)), bytes, CHUNK, r"([^/]+)/(\d+)/(\d+)/(\d+)/(\d+)$")
     got = ch.explode_chunks(rows, CHUNK).collect()
     assert [(r.volume_id, r.z, r.y, r.x, r.v) for r in got] == [("vol", 17, 10, 3, 7)]
+    (tmp_path / "vol" / "0" / "2" / "1" / "9").write_bytes(b"short")
+    with pytest.raises(Exception, match="a chunk of 5 bytes"):
+        rows = ch.decode_files(readers.chunk_files(spark, str(tmp_path)), bytes, CHUNK, r"([^/]+)/(\d+)/(\d+)/(\d+)/(\d+)$")
+        ch.explode_chunks(rows, CHUNK).collect()
 
 
 def test_structure_tensor_sees_the_sheet(spark):
@@ -124,11 +127,11 @@ def test_stitch_two_turned_patches(spark):
     # patch 2 node (p, q) = (j, 19 - i) lies at row i + 6, column j of patch 1
     assert (m.a, m.b) == (1, 2) and np.allclose([m.m00, m.m01, m.m02], [0, -1, 25]) and np.allclose([m.m10, m.m11, m.m12], [1, 0, 0])
     scores = spark.createDataFrame([(1, 0.2), (2, 0.9)], "patch long, ts double")
-    placed = {r.patch: r for r in stitch.chain_frames(links, scores).collect()}
+    placed = {r.patch: r for r in stitch.chain_frames(links, scores, 30).collect()}
     assert placed[1].root == 2 and placed[1].ring == 1
     face = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("face")
     images = nodes.select("patch", face, "i", "j", F.lit(100).alias("v"), F.lit(True).alias("ok"))
     faces = spark.createDataFrame([(1, [1.0, 0.0, 0.0], "a"), (2, [1.0, 0.0, 0.0], "a")], "patch long, n0 array<double>, side string")
-    out = stitch.mosaic(images, stitch.chain_frames(links, scores), faces).toPandas()
+    out = stitch.mosaic(images, stitch.chain_frames(links, scores, 30), faces).toPandas()
     ink = out[(out["layer"] == "ink") & (out["weight"] > 0.5)]
     assert len(ink) >= 26 * 20 - 60 and np.allclose(ink["v"], 100)

@@ -140,6 +140,24 @@ def depth_flags(spark, folder):
     return audits.depth_flags(audits.layer_share(li, ["l_suppkey"]), ["l_suppkey"])
 
 
+_META = f"""p AS (SELECT *, lag(h) OVER w AS ph, lag(w) OVER w AS pw, first_value(d) OVER w AS d0, first_value(zscale) OVER w AS z0 FROM ({LEVELS}) WINDOW w AS (PARTITION BY l_suppkey ORDER BY level)),
+ f AS (SELECT l_suppkey, unnest([CASE WHEN level > 0 AND abs(d - ceil(d0 / greatest(round_even(zscale / z0, 0), 1))) > 1 THEN 'META_DEPTH_L' || level END,
+  CASE WHEN level > 0 AND (abs(h - ceil(ph / 2.0)) > 1 OR abs(w - ceil(pw / 2.0)) > 1) THEN 'META_XY_L' || level END]) AS flag FROM p)"""
+
+
+@query(
+    f"""WITH {_META}, l AS (SELECT l_suppkey, l_linenumber AS layer, year(l_shipdate) AS yr, max(CASE WHEN l_discount > 0.095 THEN 1 ELSE 0 END) AS m FROM lineitem GROUP BY ALL),
+ s AS (SELECT l_suppkey, yr - 1995 AS level, avg(m) AS frac FROM l GROUP BY ALL), b AS (SELECT l_suppkey, max(frac) FILTER (level = 0) AS base FROM s GROUP BY 1),
+ a AS (SELECT l_suppkey, flag FROM f UNION ALL SELECT l_suppkey, CASE WHEN base >= 0.9 AND frac < 0.9 THEN 'DEPTH_L' || level END FROM s JOIN b USING (l_suppkey)),
+ m AS (SELECT l_suppkey, coalesce(list_sort(list(DISTINCT flag) FILTER (flag IS NOT NULL)), []) AS flags FROM a GROUP BY l_suppkey)
+ SELECT s_suppkey AS l_suppkey, coalesce(flags, ['ERROR']) AS flags, CASE WHEN flags IS NULL THEN 'ERROR' WHEN len(flags) > 0 THEN 'FLAGGED' ELSE 'OK' END AS status FROM supplier LEFT JOIN m ON s_suppkey = l_suppkey"""
+)
+def pyramid_audit_row(spark, folder):
+    """Metadata and depth flags of each supplier's pyramid in one row; a supplier without lines is an error."""
+    volumes = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    return audits.audit_rows(volumes, [pyramid_audit(spark, folder), depth_flags(spark, folder)], ["l_suppkey"])
+
+
 @query(
     """WITH c AS (SELECT c_nationkey, c_custkey // 10 AS cy, c_custkey % 10 AS cx, c_acctbal AS m, length(c_mktsegment) + c_custkey // 100 AS size FROM customer),
  p AS (SELECT *, CASE WHEN cx = 5 AND m > 0 THEN 0 WHEN cx = 2 AND m > 0 THEN 1 END AS rk FROM c),

@@ -356,22 +356,23 @@ def paired_runs(spark, folder):
 
 
 @query(
-    """WITH w AS (SELECT l_suppkey AS win, avg(l_discount) AS s FROM lineitem WHERE l_returnflag = 'R' AND year(l_shipdate) = 1997 AND l_linenumber >= 6 GROUP BY 1)
- SELECT s_nationkey, count(*) AS planned, count(s) AS scored, count(*) - count(s) AS unscored, CASE WHEN count(*) > count(s) THEN 'UNKNOWN' ELSE 'COMPLETE' END AS status FROM supplier LEFT JOIN w ON s_suppkey = win GROUP BY s_nationkey"""
+    """WITH w AS (SELECT l_orderkey AS win, avg(l_discount) FILTER (l_returnflag = 'R') AS s FROM lineitem GROUP BY 1)
+ SELECT o_orderpriority, count(*) AS planned, count(s) AS scored, count(*) - count(s) AS unscored, CASE WHEN count(*) > count(s) THEN 'UNKNOWN' ELSE 'COMPLETE' END AS status FROM orders LEFT JOIN w ON o_orderkey = win GROUP BY o_orderpriority"""
 )
 def planned_vs_scored(spark, folder):
-    planned = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("win"), "s_nationkey")
-    li = table(spark, folder, "lineitem").where((F.col("l_returnflag") == "R") & (F.year("l_shipdate") == 1997) & (F.col("l_linenumber") >= 6))
-    scored = li.groupBy(F.col("l_suppkey").alias("win")).agg(F.avg("l_discount").alias("s"))
-    return verdicts.planned_coverage(planned, scored, ["s_nationkey"], "win", "s")
+    """Orders as planned windows; the lines with return flag R score theirs."""
+    planned = table(spark, folder, "orders").select(F.col("o_orderkey").alias("win"), "o_orderpriority")
+    scored = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("win")).agg(F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_discount"))).alias("s"))
+    return verdicts.planned_coverage(planned, scored, ["o_orderpriority"], "win", "s")
 
 
 @query(
-    """SELECT l_suppkey AS win FROM lineitem WHERE year(l_shipdate) = 1996 INTERSECT SELECT l_suppkey FROM lineitem WHERE year(l_shipdate) = 1997 INTERSECT SELECT l_suppkey FROM lineitem WHERE year(l_shipdate) = 1998"""
+    """SELECT l_orderkey AS win FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'"""
 )
 def common_windows(spark, folder):
+    """Orders that occur under each of the three return flags."""
     li = table(spark, folder, "lineitem")
-    return experiments.common_keys([li.where(F.year("l_shipdate") == y).select(F.col("l_suppkey").alias("win")) for y in (1996, 1997, 1998)], "win")
+    return experiments.common_keys([li.where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("win")) for flag in "ANR"], "win")
 
 
 @query(
@@ -454,6 +455,32 @@ def screen_verdict(spark, folder):
     return verdicts.screen_verdict(s, "a", "b", ratio=1.05).orderBy(F.desc("hi"), F.desc("lo"), "l_suppkey").limit(3).select("l_suppkey", "hi", "lo")
 
 
+@query(
+    """WITH s AS (SELECT l_orderkey, max(l_linestatus) AS status, round(avg(l_discount) FILTER (l_linenumber % 2 = 0), 9) AS a, round(avg(l_discount) FILTER (l_linenumber % 2 = 1), 9) AS b FROM lineitem GROUP BY 1)
+ SELECT (SELECT count(*) FROM s WHERE status = 'F' AND greatest(a, b) >= 0.02 AND least(coalesce(a, b), coalesce(b, a)) < greatest(a, b) / 3) AS candidates,
+ (SELECT string_agg(status || '=' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM s GROUP BY 1)) AS statuses,
+ CASE WHEN (SELECT count(*) FROM s WHERE status = 'F' AND greatest(a, b) >= 0.02 AND least(coalesce(a, b), coalesce(b, a)) < greatest(a, b) / 3) > 0 THEN 'HITS' ELSE 'NOTHING' END AS verdict"""
+)
+def screen_report(spark, folder):
+    """Orders as patches: discounts of even and odd lines are the two sides, finished orders (F) are done."""
+    even = F.pmod("l_linenumber", F.lit(2)) == 0
+    sides = [F.round(F.avg(F.when(side, F.col("l_discount"))), 9).alias(c) for side, c in ((even, "a"), (~even, "b"))]
+    s = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.max("l_linestatus").alias("status"), *sides)
+    return verdicts.screen_report(s, "status", "F", "a", "b")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS win, hour(ts)::INT // 6 - 2 AS o, value, row_number() OVER (PARTITION BY user_id, hour(ts)::INT // 6 ORDER BY value DESC) AS rn, count(*) OVER (PARTITION BY user_id, hour(ts)::INT // 6) AS n FROM events),
+ s AS (SELECT win, o, CASE WHEN max(n) >= 12 THEN round(avg(value) FILTER (rn <= ceil(0.05 * n)), 9) END AS top FROM e GROUP BY ALL)
+ SELECT win, CASE WHEN count(top) = count(*) THEN arg_min(o, (-top, abs(o), o)) ELSE 0 END AS chosen FROM s GROUP BY win"""
+)
+def window_chooser(spark, folder):
+    """Each user's quarter of the day with the highest top share; a quarter with fewer than twelve events leaves offset 0."""
+    e = table(spark, folder, "events").select(F.col("user_id").alias("win"), (F.floor(F.hour("ts") / 6) - 2).cast("int").alias("o"), "value")
+    s = verdicts.window_statistics(e, "win", "o", "value", 12).withColumn("top", r("top", 9))
+    return verdicts.chosen_offsets(s, "win", "o", "top")
+
+
 @query(
     """SELECT n_regionkey, n_nationkey % 3 AS held, s_suppkey, CASE WHEN f = n_nationkey % 3 THEN 'test' ELSE 'train' END AS role, f AS held_fold FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT DISTINCT n_nationkey % 3 AS f FROM nation)"""
 )
@@ -465,16 +492,17 @@ def fold_members(spark, folder):
 
 
 @query(
-    """SELECT o.fold AS fold, s.s_nationkey AS nation FROM (SELECT DISTINCT n_nationkey % 3 AS fold, n_nationkey FROM nation) o JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON s.s_nationkey = o.n_nationkey"""
+    """WITH s AS (SELECT DISTINCT s_nationkey AS nation FROM supplier), m AS (SELECT f.fold AS fold, nation, nation % 3 = f.fold AS test FROM s, (SELECT DISTINCT n_nationkey % 3 AS fold FROM nation) f
+  UNION ALL SELECT nation % 3, nation, false FROM s WHERE nation % 7 = 0)
+ SELECT fold, nation, bool_or(test) AS in_test, bool_or(NOT test) AS in_train, bool_or(test) AND bool_or(NOT test) AS violation FROM m GROUP BY ALL"""
 )
 def fold_isolation(spark, folder):
-    """Held-out members per fold; the isolation violations (a member both tested and trained in one fold) are checked to be empty and removed."""
+    """Every nation of every fold, whether it is tested and trained there; every seventh nation is planted as trained in its own fold, a violation."""
     seg = table(spark, folder, "nation").select(F.col("n_nationkey").alias("nation"), F.pmod("n_nationkey", F.lit(3)).alias("fold"))
     rows = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("nation")).distinct()
-    m = select.fold_members(seg, rows, "nation")
-    test = m.where("role = 'test'").select(F.col("held").alias("fold"), "nation")
-    train = m.where("role = 'train'").select(F.col("held").alias("fold"), "nation")
-    return test.exceptAll(test.intersect(train))
+    m = select.fold_members(seg, rows, "nation").select("held", "nation", "role")
+    planted = m.where((F.col("role") == "test") & (F.pmod("nation", F.lit(7)) == 0)).withColumn("role", F.lit("train"))
+    return select.fold_violations(m.unionByName(planted), ["nation"]).withColumnRenamed("held", "fold")
 
 
 @query(

@@ -421,5 +421,5 @@ def band_plan(spark, folder):
     e = select.weighted_tercile_edges(w, [], "z", "w")
     scaled = cells.select(F.col("i").alias("y"), F.col("j").alias("x"), *[F.floor((F.col(c) + 2) * 1000).alias(c) for c in ("min_z", "max_z")], F.lit(1.0).alias("ink"))
     wide = e.select((F.col("lower") - 200).alias("lower"), (F.col("upper") + 200).alias("upper"))
-    out = select.band_plan(scaled, [], wide, "ink", 2)
+    out = select.band_plan(scaled, [], wide, "ink", 2, 6)
     return out.select("band", "pick", "y", "x", r("density").alias("density"))

@@ -9,6 +9,7 @@ from voxtable.catalog import Registry
 from voxtable.catalog.tables import GRID, grid, r, table
 from voxtable.functions import columns as fx
 from voxtable.operators import components, nearest, profile, raster, select, stats
+from voxtable.sources import readers
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -35,9 +36,25 @@ def _hists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     return src, stats.histogram(src, ["layer"], "v"), stats.histogram(ref, ["layer"], "v")
 
 
-@query("WITH h AS (SELECT l_returnflag AS layer, l_quantity::INT AS v, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL) SELECT k.layer, b.v::INT AS v, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT layer FROM h) k CROSS JOIN range(256) b(v) LEFT JOIN h ON h.layer = k.layer AND h.v = b.v")
+@query("WITH h AS (SELECT l_returnflag AS layer, l_linestatus AS side, l_quantity::INT AS v, count(*) AS n FROM lineitem GROUP BY ALL) SELECT k.layer, k.side, b.v::INT AS v, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT layer, side FROM h) k CROSS JOIN range(256) b(v) LEFT JOIN h ON h.layer = k.layer AND h.side = k.side AND h.v = b.v")
 def histogram(spark, folder):
-    return _hists(spark, folder)[1]
+    li = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("layer"), F.col("l_linestatus").alias("side"), F.col("l_quantity").cast("int").alias("v"))
+    return stats.histogram(li, ["layer", "side"], "v")
+
+
+@query("SELECT o_orderpriority, count(*) AS pixels, count(*) FILTER (u8 = 0) AS dark, count(*) FILTER (u8 = 255) AS bright, sum(u8) AS total FROM (SELECT o_orderpriority, trunc(least(greatest((o_totalprice - lo) / (hi - lo), 0), 1) * 255)::INT AS u8 FROM orders JOIN (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.99) AS hi FROM orders GROUP BY 1) USING (o_orderpriority)) GROUP BY 1")
+def stretch_percentile(spark, folder):
+    """Contrast stretch between the first and the last percentile of each image (here of each order priority)."""
+    o = table(spark, folder, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("v"))
+    u = stats.stretch_between(o, ["o_orderpriority"], "v", 0.01, 0.99)
+    return u.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("u8") == 0).alias("dark"), F.count_if(F.col("u8") == 255).alias("bright"), F.sum("u8").alias("total"))
+
+
+@query(f"SELECT layer, count(*) AS pixels, min(y)::INT AS y0, max(y)::INT AS y1 FROM ({STACK}) WHERE v > 140 AND y >= 3 AND y < 40 AND x >= 2 AND x < 11 GROUP BY layer")
+def label_region(spark, folder):
+    """Label pixels of a half-open region, per layer."""
+    mask = stack(spark, folder).where("v > 140")
+    return readers.mask_region(mask, 3, 40, 2, 11).groupBy("layer").agg(F.count(F.lit(1)).alias("pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
 @query(f"WITH {_HIST} SELECT layer, v, v2 FROM lut")
@@ -264,10 +281,25 @@ def depth_predictor(spark, folder):
     return profile.depth_prediction(e, [], "quarter", 24, reach=10, grid=(-8, -4, 0, 4, 8))
 
 
-@query("SELECT (floor((l_quantity - 5 + 5) / 10))::INT AS bin, count(*) AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem WHERE floor((l_quantity - 5 + 5) / 10) BETWEEN 0 AND 4 GROUP BY 1")
+@query(
+    f"""WITH p AS (SELECT user_id % 4 AS quarter, hour(ts)::INT AS layer, avg(value) AS m FROM events GROUP BY ALL),
+ s AS (SELECT a.quarter, a.layer, sum(b.m * t.w) AS s FROM p a, {_taps(3.0)}, p b WHERE b.quarter = a.quarter AND b.layer = CASE WHEN a.layer + t.d < 0 THEN -1 - (a.layer + t.d) WHEN a.layer + t.d > 23 THEN 47 - (a.layer + t.d) ELSE a.layer + t.d END GROUP BY ALL),
+ k AS (SELECT quarter, layer - 11 AS p FROM (SELECT *, row_number() OVER (PARTITION BY quarter ORDER BY round(s, 9) DESC, layer) AS k FROM s WHERE abs(layer - 11) <= 10) WHERE k = 1),
+ n AS (SELECT quarter, CASE WHEN p <= -6 THEN -8 WHEN p <= -2 THEN -4 WHEN p <= 2 THEN 0 WHEN p <= 6 THEN 4 ELSE 8 END AS snapped FROM k),
+ l AS (SELECT user_id AS u, user_id % 4 AS quarter, ((count(*) % 5)::INT - 2) * 4 AS label FROM events GROUP BY ALL)
+ SELECT count(*) AS scorable, count(*) FILTER (snapped = label) AS matches, count(*) FILTER (label = 0) AS constant_matches FROM n JOIN l USING (quarter)"""
+)
+def depth_match(spark, folder):
+    """How often the predicted depth, and a constant one, meet the labelled depth of each user."""
+    labels = table(spark, folder, "events").groupBy("user_id", F.pmod("user_id", F.lit(4)).alias("quarter")).agg(((F.pmod(F.count(F.lit(1)), F.lit(5)) - 2) * 4).cast("int").alias("label"))
+    return profile.match_rate(depth_predictor(spark, folder), labels, ["quarter"])
+
+
+@query("SELECT b.bin::INT AS bin, count(l_quantity) AS n, round(avg(l_extendedprice), 4) AS mean FROM range(8) b(bin) LEFT JOIN lineitem ON floor((l_quantity - 5 + 5) / 10) = b.bin GROUP BY 1")
 def depth_bin_pool(spark, folder):
-    li = table(spark, folder, "lineitem").withColumn("bin", stats.depth_bin("l_quantity", 5.0, 10.0)).where("bin between 0 and 4")
-    return li.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_extendedprice"), 4).alias("mean"))
+    """Eight bins of ten; quantities end at 50, so the last two are empty."""
+    li = table(spark, folder, "lineitem").withColumn("bin", stats.depth_bin("l_quantity", 5.0, 10.0))
+    return stats.bin_pool(li, "bin", 8, "l_extendedprice").withColumn("mean", r("mean", 4))
 
 
 @query(

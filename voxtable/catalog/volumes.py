@@ -224,7 +224,7 @@ def _frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     n = _sheet_patches(spark, folder)
     links = stitch.overlap_links(n.drop("p_size"), reach=0.5)
     scores = n.groupBy("patch").agg(F.avg("p_size").alias("ts"))
-    return n, stitch.chain_frames(links, scores)
+    return n, stitch.chain_frames(links, scores, 30)
 
 
 @query(

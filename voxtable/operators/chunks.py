@@ -46,7 +46,10 @@ def to_chunks(voxels: DataFrame, chunk: Shape) -> DataFrame:
 
 
 def decode_files(files: DataFrame, decoder: Callable[[bytes], bytes], chunk: Shape, pattern: str) -> DataFrame:
-    """Chunk rows from ``binaryFile`` rows. ``pattern`` has groups volume, level, cz, cy, cx; ``decoder`` undoes the codec."""
+    """Chunk rows from ``binaryFile`` rows. ``pattern`` has groups volume, level, cz, cy, cx; ``decoder`` undoes the codec.
+
+    A buffer that doesn't have the length of a chunk fails the job: read as zeros it would be lost without a trace.
+    """
     size = chunk[0] * chunk[1] * chunk[2]
 
     @F.pandas_udf("binary")
@@ -54,15 +57,16 @@ def decode_files(files: DataFrame, decoder: Callable[[bytes], bytes], chunk: Sha
         out = []
         for c in content:
             raw = decoder(bytes(c))
-            out.append(raw if len(raw) == size else None)
+            if len(raw) != size:
+                raise ValueError(f"a chunk of {len(raw)} bytes, not {size}")
+            out.append(raw)
         return pd.Series(out, dtype=object)
 
     part = [F.regexp_extract("path", pattern, k) for k in range(1, 6)]
-    rows = files.where(F.col("path").rlike(pattern)).select(
+    return files.where(F.col("path").rlike(pattern)).select(
         part[0].alias("volume_id"), part[1].cast("int").alias("level"), *[part[k].cast("int").alias(f"c{a}") for k, a in zip((2, 3, 4), ZYX)],
         decode("content").alias("data"),
     )
-    return rows.where(F.col("data").isNotNull())
 
 
 def explode_chunks(chunks: DataFrame, chunk: Shape, keep_zero: bool = False) -> DataFrame:

@@ -242,7 +242,7 @@ def interpolate_axis(points: DataFrame, queries: DataFrame, keys: Sequence[str],
     return met.select(*keys, query_id, F.col("__z").alias(z), *out)
 
 
-def claim_points(mesh: DataFrame, i0: int, i1: int, j0: int, j1: int, most: int = 20_000) -> DataFrame:
+def claim_points(mesh: DataFrame, i0: int, i1: int, j0: int, j1: int, most: int) -> DataFrame:
     """Valid vertices of a half-open row and column range, at most ``most`` of them, evenly spaced in grid order."""
     from voxtable.operators.select import even_sample
 

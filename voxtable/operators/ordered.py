@@ -3,7 +3,7 @@
 A window over a hot key is one task. Here the order is first cut into value ranges by a few split points, the same for
 all groups, so a group of any size is spread over all ranges. Each (group, range) is summed once with map-side combine,
 the range totals (at most groups x ranges rows) give every range its starting offset, and the ordinary window runs only
-inside a (group, range) pair.
+inside a (group, range) pair. There is one route for inputs of every size, and NULL grouping keys form a group like any other.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 8192
 MAX_RANGES = 256
-WINDOW_ROWS = 200_000
 
 
 def _ranges(df: DataFrame, ranges: int | None) -> int:
@@ -24,33 +23,15 @@ def _ranges(df: DataFrame, ranges: int | None) -> int:
     return max(8, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def split_points(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], unique: Sequence[str], ranges: int, force: bool = False
-) -> list:
+def split_points(df: DataFrame, order: Sequence[str], unique: Sequence[str], ranges: int) -> list:
     """At most ``ranges - 1`` ordered split keys from a hash sample of ``SAMPLE_ROWS`` rows (only the splits reach the driver).
 
-    ``unique`` names the columns that make a row distinct, so that no repeated key can fill the sample. The sample also
-    tells how large the largest group is: its share of the sample times the row count, which follows from how densely
-    the smallest hashes lie. If that group fits one window (``WINDOW_ROWS``) nothing is split (unless ``force``).
+    ``unique`` names the columns that make a row distinct, so that no repeated key can fill the sample.
     """
-    group = F.struct(*by) if by else F.lit(0)
-    sample = df.select(group.alias("g"), F.struct(*order).alias("k"), F.xxhash64(*unique).alias("h")).orderBy("h").limit(SAMPLE_ROWS)
-    per = sample.groupBy("g").agg(F.collect_list("k").alias("k"), F.count(F.lit(1)).alias("n"), F.max("h").alias("h"))
-    found = per.agg(F.array_sort(F.flatten(F.collect_list("k"))).alias("k"), F.max("n").alias("largest"), F.max("h").alias("h")).select(
-        F.size("k").alias("n"),
-        "largest",
-        "h",
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max(ranges - 1, 1))),
-            lambda i: F.get(F.col("k"), F.floor(i * F.size("k") / ranges).cast("int")),
-        ).alias("k"),
+    sample = df.select(F.struct(*order).alias("k"), F.xxhash64(*unique).alias("h")).orderBy("h").limit(SAMPLE_ROWS)
+    found = sample.agg(F.array_sort(F.collect_list("k")).alias("k")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(max(ranges - 1, 1))), lambda i: F.get(F.col("k"), F.floor(i * F.size("k") / ranges).cast("int"))).alias("k")
     ).first()
-    if not force:
-        if found["n"] < SAMPLE_ROWS:
-            return []
-        covered = (found["h"] + 2.0**63) / 2.0**64
-        if found["largest"] / max(covered, 1e-18) <= WINDOW_ROWS:
-            return []
     distinct: list = []
     for k in found["k"] or []:
         if k is not None and (not distinct or distinct[-1] != k):
@@ -58,6 +39,15 @@ def split_points(
     return distinct
 
 
+def joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join on same-named keys in which NULL meets NULL; the keys of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"__on_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__on_{k}"))
+    return left.join(other, match).drop(*[f"__on_{k}" for k in keys])
+
+
 def range_id(order: Sequence[str], splits: list, schema) -> Column:
     """Number of split keys at or below the row's key, as a balanced tree of comparisons (log2 per row)."""
     key = F.struct(*order)
@@ -84,18 +74,10 @@ def running_totals(
 ) -> DataFrame:
     """Adds ``<value>_before`` (sum over the rows of the group that come earlier) and ``<value>_total`` for each value.
 
-    ``order`` must be a total order within the group and ascending; grouping columns must not be NULL.
+    ``order`` must be a total order within the group and ascending.
     """
     by, order, values = list(by), list(order), list(values)
-    splits = split_points(df, by, order, unique or by + order, _ranges(df, ranges), bool(ranges))
-    if not splits:
-        run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*by)
-        return df.select(
-            "*",
-            *[F.coalesce(F.sum(v).over(run), F.lit(0)).alias(f"{v}_before") for v in values],
-            *[F.sum(v).over(whole).alias(f"{v}_total") for v in values],
-        )
+    splits = split_points(df, order, unique or by + order, _ranges(df, ranges))
     tagged = df.withColumn("__range", range_id(order, splits, df.schema))
     sums = tagged.groupBy(*by, "__range").agg(*[F.sum(v).alias(f"__{v}_sum") for v in values])
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,10 +89,10 @@ def running_totals(
         *[F.sum(f"__{v}_sum").over(whole).alias(f"{v}_total") for v in values],
     )
     inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = tagged.join(offsets, [*by, "__range"])
+    joined = joined_on(tagged, offsets, [*by, "__range"])
     for v in values:
         joined = joined.withColumn(f"{v}_before", F.col(f"__{v}_off") + F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    return joined.drop("__range", *[f"__{v}_off" for v in values])
+    return joined.select(*df.columns, *[f"{v}_before" for v in values], *[f"{v}_total" for v in values])
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rn", ranges: int | None = None) -> DataFrame:
@@ -144,18 +126,14 @@ def percentiles_of(
     """Exact percentiles of several columns in one pass: ``{column: {output name: fraction}}``."""
     by = list(by)
     columns = list(wanted)
-    if not ranges:
-        # groups that are checked to be small may be held by the built-in aggregate, which needs no ordering at all
-        largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= WINDOW_ROWS:
-            exact = [F.percentile(c, float(q)).alias(name) for c in columns for name, q in wanted[c].items()]
-            return df.groupBy(*by).agg(*exact)
     if len(columns) == 1:
         long = df.select(*by, F.lit(0).alias("__c"), F.col(columns[0]).alias("__v"))
     else:
         entries = [F.struct(F.lit(k).alias("__c"), F.col(c).cast("double").alias("__v")) for k, c in enumerate(columns)]
         long = df.select(*by, F.inline(F.array(*entries)))
-    ranked = running_totals(value_counts(long, [*by, "__c"], "__v"), [*by, "__c"], ["__v"], ["n"], ranges=ranges)
+    # a NULL value counts 0, so that groups of nothing else stay, with NULL percentiles
+    counts = long.groupBy(*by, "__c", "__v").agg(F.count("__v").alias("n"))
+    ranked = running_totals(counts, [*by, "__c"], ["__v"], ["n"], ranges=ranges)
     v, before, n, total, which = F.col("__v"), F.col("n_before"), F.col("n"), F.col("n_total"), F.col("__c")
     picks, out = [], []
     for k, c in enumerate(columns):
@@ -188,10 +166,7 @@ def neighbours_in_order(
     Range edges are carried over by a table of first and last rows per (group, range).
     """
     by, order, columns = list(by), list(order), list(columns)
-    splits = split_points(df, by, order, by + order, _ranges(df, ranges), bool(ranges))
-    if not splits:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.select("*", *[f(c).over(w).alias(f"{p}_{c}") for c in columns for p, f in (("prev", F.lag), ("next", F.lead))])
+    splits = split_points(df, order, by + order, _ranges(df, ranges))
     tagged = df.withColumn("__range", range_id(order, splits, df.schema))
     row = F.struct(*columns)
     edges = tagged.groupBy(*by, "__range").agg(
@@ -200,7 +175,7 @@ def neighbours_in_order(
     w = Window.partitionBy(*by).orderBy("__range")
     edges = edges.select(*by, "__range", F.lag("__last").over(w).alias("__edge_prev"), F.lead("__first").over(w).alias("__edge_next"))
     inside = Window.partitionBy(*by, "__range").orderBy(*order)
-    out = tagged.join(edges, [*by, "__range"]).withColumns(
+    out = joined_on(tagged, edges, [*by, "__range"]).withColumns(
         {
             "__p": F.coalesce(F.lag(row).over(inside), F.col("__edge_prev")),
             "__q": F.coalesce(F.lead(row).over(inside), F.col("__edge_next")),
@@ -217,14 +192,11 @@ def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], payloa
     Ranges of a hot group inherit the last payload of the ranges before them, so no group is walked by one task.
     """
     by, order = list(by), list(order)
-    splits = split_points(df, by, order, by + order, _ranges(df, ranges), bool(ranges))
-    if not splits:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.last(payload, ignorenulls=True).over(w))
+    splits = split_points(df, order, by + order, _ranges(df, ranges))
     tagged = df.withColumn("__range", range_id(order, splits, df.schema))
     edges = tagged.groupBy(*by, "__range").agg(F.max_by(payload, F.when(F.col(payload).isNotNull(), F.struct(*order))).alias("__last"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(*by, "__range", F.last("__last", ignorenulls=True).over(before).alias("__edge"))
     inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(edges, [*by, "__range"])
+    out = joined_on(tagged, edges, [*by, "__range"])
     return out.withColumn(name, F.coalesce(F.last(payload, ignorenulls=True).over(inside), F.col("__edge"))).drop("__range", "__edge")

@@ -158,6 +158,13 @@ def fold_members(segments: DataFrame, rows: DataFrame, segment: str, fold: str =
     return out.withColumn("role", F.when(F.col("held") == F.col("__own"), "test").otherwise("train")).drop("__own")
 
 
+def fold_violations(members: DataFrame, keys: Sequence[str], held: str = "held") -> DataFrame:
+    """Every member of a fold once: whether it is tested, whether it is trained on, and whether it is both."""
+    role = F.col("role")
+    out = members.groupBy(held, *keys).agg(F.bool_or(role == "test").alias("in_test"), F.bool_or(role == "train").alias("in_train"))
+    return out.withColumn("violation", F.col("in_test") & F.col("in_train"))
+
+
 def guarded_fold_plan(
     patches: DataFrame, vertices: DataFrame, held: DataFrame, need: float, caps: int, coords: Sequence[str], order: Sequence[Column]
 ) -> DataFrame:
@@ -194,7 +201,7 @@ def band_of(z: Column, lower: Column, upper: Column) -> Column:
     return F.when(z < lower, 0).when(z < upper, 1).otherwise(2)
 
 
-def band_plan(cells: DataFrame, by: Sequence[str], edges: DataFrame, value: str, size: int, cap: int = 6) -> DataFrame:
+def band_plan(cells: DataFrame, by: Sequence[str], edges: DataFrame, value: str, size: int, cap: int) -> DataFrame:
     """Densest disjoint windows per band: only cells whose z range (``min_z``, ``max_z``) lies wholly in one band count.
 
     ``cells``: by, y, x, min_z, max_z and the value; ``edges``: by, lower, upper. Up to ``cap`` windows per group and band.

@@ -44,8 +44,10 @@ def layer_all(value: str, layer: str, layers: int) -> Column:
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
-    """Dense histogram: every group has all ``bins`` values, zero where nothing was counted."""
-    counted = df.groupBy(*keys, F.col(value).cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    """Dense histogram: every group has all ``bins`` values, zero where nothing was counted. A value outside them fails the job; NULL counts nowhere."""
+    v = F.col(value).cast("int")
+    inside = F.when(v.between(0, bins - 1), v).when(v.isNotNull(), F.raise_error(F.format_string("histogram value %d is not below the number of bins", v)))
+    counted = df.where(v.isNotNull()).groupBy(*keys, inside.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     packed = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("m"))
     dense = packed.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("v"))
     return dense.select(*keys, "v", F.coalesce(F.col("m")[F.col("v")], F.lit(0)).cast("long").alias("n"))
@@ -119,6 +121,25 @@ def depth_bin(layer: str, centre0: float, width: float) -> Column:
     return F.floor((F.col(layer) - F.lit(centre0) + F.lit(width / 2)) / F.lit(width)).cast("int")
 
 
+def stretch_between(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float) -> DataFrame:
+    """Adds ``u8``: the value stretched to 0..255 between two percentiles of its group, cut off beyond them, fractions dropped."""
+    from voxtable.operators.ordered import joined_on, percentiles
+
+    edges = percentiles(df, keys, value, {"__low": low, "__high": high})
+    share = (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low"))
+    out = joined_on(df, edges, keys).withColumn("u8", (F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
+    return out.drop("__low", "__high")
+
+
+def bin_pool(df: DataFrame, bin_column: str, bins: int, value: str) -> DataFrame:
+    """bin, n and mean of all bins 0..bins-1, empty ones with n 0 and no mean. A row in no bin fails the job."""
+    b = F.col(bin_column)
+    inside = F.when(b.between(0, bins - 1), b).otherwise(F.raise_error(F.format_string("bin %s is not one of the bins", b.cast("string"))))
+    pooled = df.groupBy(inside.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(pooled, "bin", "left").select(F.col("bin").cast("int").alias("bin"), F.coalesce("n", F.lit(0)).alias("n"), "mean")
+
+
 def argmax_first(df: DataFrame, keys: Sequence[str], value: str, tie_order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """Row with the highest value; ties go to the first in ``tie_order``. A max_by aggregate, so it combines map-side."""
     order = F.struct((-F.col(value)).alias("__v"), *[c.alias(f"__t{k}") for k, c in enumerate(tie_order)])

@@ -67,7 +67,7 @@ def _invert(prefix: str = "m") -> list[Column]:
     return [e / det, -b / det, (b * f - c * e) / det, -d / det, a / det, (c * d - a * f) / det]
 
 
-def chain_frames(links: DataFrame, scores: DataFrame, top: int = 30) -> DataFrame:
+def chain_frames(links: DataFrame, scores: DataFrame, top: int) -> DataFrame:
     """Frames of all patches reachable from a root: patch grid -> root grid, composed along breadth-first links.
 
     Every group is rooted at its best-scored patch; groups without one of the ``top`` patches are left out. All groups
@@ -102,21 +102,18 @@ def chain_frames(links: DataFrame, scores: DataFrame, top: int = 30) -> DataFram
     return placed
 
 
-def mosaic(images: DataFrame, frames: DataFrame, faces: DataFrame, max_side: int = 6000) -> DataFrame:
+def mosaic(images: DataFrame, frames: DataFrame, faces: DataFrame) -> DataFrame:
     """Weighted mosaic per root: pixels (patch, face, i, j, v, ok) warped to the root grid and averaged by validity.
 
-    ``faces``: patch, n0 (array), side. A member shows the same face as the root when their normals agree. Groups wider
-    than ``max_side`` are dropped. Output: root, layer (ink/back), y, x, v, weight.
+    ``faces``: patch, n0 (array), side. A member shows the same face as the root when their normals agree. Output: root, layer (ink/back), y, x, v, weight.
     """
     extent = images.groupBy("patch").agg((F.max("i") + 1).alias("h"), (F.max("j") + 1).alias("w"))
     placed = frames.join(extent, "patch")
     corners = placed.select("root", "patch", *MAP, F.explode(F.array(*[F.struct((F.col("h") * a).alias("i"), (F.col("w") * b).alias("j")) for a in (0, 1) for b in (0, 1)])).alias("c"))
     spot = corners.select("root", "patch", (F.col("m00") * F.col("c.i") + F.col("m01") * F.col("c.j") + F.col("m02")).alias("y"), (F.col("m10") * F.col("c.i") + F.col("m11") * F.col("c.j") + F.col("m12")).alias("x"))
-    canvas = spot.groupBy("root").agg(*[f(a).alias(f"{t}_{a}") for a in "yx" for t, f in (("lo", F.min), ("hi", F.max))])
-    canvas = canvas.where(F.greatest(F.ceil("hi_y") - F.floor("lo_y"), F.ceil("hi_x") - F.floor("lo_x")) <= max_side)
     span = spot.groupBy("root", "patch").agg(*[f(a).alias(f"{t}_{a}") for a in "yx" for t, f in (("plo", F.min), ("phi", F.max))])
     ref = faces.select(F.col("patch").alias("root"), F.col("n0").alias("rn"), F.col("side").alias("rside"))
-    own = placed.join(canvas.select("root"), "root", "left_semi").join(span, ["root", "patch"]).join(faces, "patch").join(ref, "root")
+    own = placed.join(span, ["root", "patch"]).join(faces, "patch").join(ref, "root")
     agree = F.aggregate(F.zip_with("n0", "rn", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t) * F.when(F.col("rside") == "a", 1.0).otherwise(-1.0) > 0
     own = own.withColumn("ink_face", F.when(agree, "a").otherwise("b"))
     t = own.withColumn("y", F.explode(F.sequence(F.floor("plo_y").cast("int"), F.ceil("phi_y").cast("int"))))

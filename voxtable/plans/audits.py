@@ -55,7 +55,16 @@ def cross_level(fine: DataFrame, coarse: DataFrame, by: Sequence[str], corr_min:
     return out.withColumn("flags", F.when(F.col("xcorr") < corr_min, F.array(F.lit("XLEVEL_L1"))).otherwise(F.array().cast("array<string>")))
 
 
+def audit_rows(volumes: DataFrame, parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+    """One row per volume: the flags of all checks, and OK, FLAGGED, or ERROR for a volume that no check has a row of."""
+    merged = merge_flags(parts, by)
+    out = volumes.select(*by).distinct().join(merged, list(by), "left")
+    status = F.when(F.col("flags").isNull(), "ERROR").when(F.size("flags") > 0, "FLAGGED").otherwise("OK")
+    return out.withColumn("status", status).withColumn("flags", F.coalesce("flags", F.array(F.lit("ERROR"))))
+
+
 def merge_flags(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+    """The flags of several checks, each once and in order, per volume."""
     out = None
     for p in parts:
         q = p.select(*by, "flags")

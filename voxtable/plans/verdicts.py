@@ -250,6 +250,29 @@ def known_text_gate(stats: DataFrame, order: str, median: str, share: str, top:
     return placed.withColumn("chosen", chosen).withColumn("gate", F.when(low < reach, "MESH_REACHES").otherwise("MESH_MISS"))
 
 
+def screen_report(patches: DataFrame, status: str, done: str, hi: str, lo: str, hi_min: float = 0.02, ratio: float = 3.0) -> DataFrame:
+    """One row: how many patches have each status, how many of those that are done are one-sided candidates, and HITS or NOTHING."""
+    found = screen_verdict(patches.where(F.col(status) == done), hi, lo, hi_min, ratio).agg(F.count(F.lit(1)).alias("candidates"))
+    counts = patches.groupBy(status).agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.concat_ws("=", F.col(status), F.col("n").cast("string")))).alias("statuses"))
+    verdict = F.when(F.col("candidates") > 0, "HITS").otherwise("NOTHING")
+    return found.withColumns({"statuses": F.array_join(counts.scalar(), ","), "verdict": verdict})
+
+
+def window_statistics(blocks: DataFrame, window: str, offset: str, value: str, min_blocks: int = 100, share: float = 0.05) -> DataFrame:
+    """window, offset, blocks, std, mean and top (mean of the highest ``share``); a window with fewer than ``min_blocks`` blocks has no statistics."""
+    from voxtable.operators.ordered import top_share_mean
+
+    base = blocks.where(F.col(value).isNotNull()).groupBy(window, offset).agg(F.count(F.lit(1)).alias("blocks"), F.stddev_pop(value).alias("std"), F.avg(value).alias("mean"))
+    out = base.join(top_share_mean(blocks, [window, offset], value, share, "top"), [window, offset])
+    return out.select(window, offset, "blocks", *[F.when(F.col("blocks") >= min_blocks, F.col(c)).alias(c) for c in ("std", "mean", "top")])
+
+
+def chosen_offsets(statistics: DataFrame, window: str, offset: str, by: str) -> DataFrame:
+    """window, chosen: the offset with the highest statistic, ties to the smaller absolute and then the more negative one; 0 if one is missing."""
+    best = F.min_by(F.col(offset), F.struct((-F.col(by)).alias("v"), F.abs(F.col(offset)).alias("a"), F.col(offset).alias("o")))
+    return statistics.groupBy(window).agg(F.when(F.count(by) == F.count(F.lit(1)), best).otherwise(0).alias("chosen"))
+
+
 def screen_verdict(candidates: DataFrame, hi: str, lo: str, hi_min: float = 0.02, ratio: float = 3.0, extra: Column | None = None) -> DataFrame:
     """One-sided candidates: the better side reaches ``hi_min`` and the other stays under a third of it."""
     side_hi, side_lo = F.greatest(hi, lo), F.least(hi, lo)
