@@ -95,7 +95,8 @@ def common_token(left: Tokens, right: Tokens, low: int, high: int) -> tuple[int,
 
 
 class Pieces:
-    """A bounded memory of what a function gives for each piece between ASCII white space, filled by whole batches.
+    """A bounded memory of what a function gives for each piece between ASCII white space, filled by whole batches. When it is full, what the
+    texts at hand use stays.
 
     White space of that kind separates the pieces for good: normalisation doesn't reach across it, and no token holds it.
     """
@@ -104,11 +105,10 @@ class Pieces:
         self.learn, self.most, self.known = learn, most, {}
 
     def look_up(self, texts: list[list[bytes]]) -> dict[bytes, object]:
-        new = set().union(*texts).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*texts)
-        order = list(new)
+        used = set().union(*texts)
+        order = list(used.difference(self.known))
+        if len(self.known) + len(order) > self.most:
+            self.known = {x: self.known[x] for x in used.intersection(self.known)}
         for k in range(0, len(order), 20_000):
             part = order[k : k + 20_000]
             self.known.update(zip(part, self.learn([x.decode("utf-8", "replace") for x in part])))
