@@ -382,7 +382,13 @@ def local_scale(spark, folder):
     return out.select("seg", r("s1").alias("s1"), r("s2").alias("s2"))
 
 
-@query()
+@query(
+    f"""WITH p AS MATERIALIZED (SELECT *, label % 3 AS own FROM ({points_sql()})), f AS (SELECT DISTINCT own AS fold FROM p),
+ d AS (SELECT f.fold, a.label AS segment, a.vec_id AS patch, any_value(a.x) AS x, min(sqrt((a.x - h.x) * (a.x - h.x) + (a.y - h.y) * (a.y - h.y) + (a.z - h.z) * (a.z - h.z))) AS min_distance
+  FROM f JOIN p a ON a.own <> f.fold JOIN p h ON h.own = f.fold GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY fold, segment ORDER BY x DESC, patch) AS rn FROM d WHERE min_distance >= 0.05)
+ SELECT fold, segment, patch, round(min_distance, 6) AS min_distance FROM k WHERE rn <= 12"""
+)
 def guarded_plan(spark, folder):
     """Fold plan with leakage guard: folds hold out label mod 3, patches are the vectors of other labels that stay clear of every
     held-out point, the twelve with the largest first component per label and fold."""

@@ -254,17 +254,25 @@ def local_minima(spark, folder):
     return profile.first_local_minimum(s, ["event_type"], "h", "s")
 
 
-@query()
+PEAKS = """e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS v FROM embeddings),
+ s AS (SELECT *, lag(v) OVER (PARTITION BY label, vec_id ORDER BY k) AS pv FROM e),
+ u AS (SELECT label, vec_id, k, v, lead(k) OVER w AS nk, lag(v) OVER w AS lv, lead(v) OVER w AS rv FROM s WHERE pv IS NULL OR v <> pv WINDOW w AS (PARTITION BY label, vec_id ORDER BY k)),
+ t AS (SELECT label, vec_id, v, (k + nk - 1) // 2 AS pos FROM u WHERE v > lv AND v > rv AND v >= 0.1), l AS (SELECT label, vec_id, list([pos] ORDER BY v DESC, pos DESC) AS c FROM t GROUP BY ALL),
+ p AS (SELECT label, vec_id, list_sort(list_reduce(c, lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(y - x[1]) < 4)) > 0 THEN a ELSE list_append(a, x[1]) END)) AS p FROM l),
+ d AS (SELECT label, len(p) AS n, list_transform(range(1, len(p)), lambda i: p[i + 1] - p[i]) AS gaps FROM p)"""
+
+
+@query(f"WITH {PEAKS} SELECT label, quantile_cont(list_aggregate(gaps, 'median'), 0.5) AS spacing FROM d WHERE n >= 3 GROUP BY label")
 def peak_spacing(spark, folder):
     """Peaks of every embedding read as a profile (height 0.1, distance 4): median gap per label."""
     e = table(spark, folder, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("profile"))
     return profile.crest_spacing(e, ["label"], ["vec_id"], step=1.0, height=0.1, distance=4)
 
 
-@query()
+@query(f"WITH {PEAKS} SELECT label, round(quantile_cont(list_aggregate(gaps, 'stddev_pop') / list_aggregate(gaps, 'avg'), 0.5), 9) AS regularity FROM d WHERE n >= 4 GROUP BY label")
 def crest_regularity(spark, folder):
     e = table(spark, folder, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("profile"))
-    return profile.crest_regularity(e, ["label"], ["vec_id"], height=0.1)
+    return profile.crest_regularity(e, ["label"], ["vec_id"], height=0.1).withColumn("regularity", r("regularity", 9))
 
 
 _W3 = stats.gaussian_taps(3.0)
@@ -449,7 +457,10 @@ def grid_boxes(spark, folder):
     return select.grid_boxes(g, [], 8, "ok").withColumn("share", r("share", 9))
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT list([{{'y': y, 'x': x, 'v': v}}] ORDER BY v DESC, y, x) AS c FROM ({GRID}) WHERE v > 0.2),
+ k AS (SELECT unnest(list_reduce(c, lambda a, b: CASE WHEN len(list_filter(a, lambda k: abs(k.y - b[1].y) < 6 AND abs(k.x - b[1].x) < 6)) > 0 THEN a ELSE list_append(a, b[1]) END)) AS k FROM c) SELECT k.y AS y, k.x AS x, k.v AS v FROM k"""
+)
 def greedy_separated(spark, folder):
     """Brightest pixels, none within 6 rows and 6 columns of a better one."""
     g = grid(spark, folder).where("v > 0.2")

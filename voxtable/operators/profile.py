@@ -72,30 +72,18 @@ def seating_score(
 
 def find_peaks(profiles: DataFrame, keys: Sequence[str], value: str, height: float = 0.2, distance: int = 4) -> DataFrame:
     """Peaks of array profiles: strict local maxima (plateau middle) of at least ``height``, higher ones claiming +-``distance``."""
-
-    @F.pandas_udf("array<int>")
-    def peaks(column: pd.Series) -> pd.Series:
-        import numpy as np
-
-        out = []
-        for raw in column:
-            p = np.asarray(raw, float)
-            edge = np.flatnonzero(np.diff(p)) + 1
-            start, stop = np.r_[0, edge], np.r_[edge, len(p)] - 1
-            level = p[start]
-            top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1 if len(start) > 2 else np.array([], int)
-            at = (start[top] + stop[top]) // 2
-            at = at[p[at] >= height]
-            alive = np.ones(len(at), bool)
-            for k in np.argsort(p[at], kind="stable")[::-1]:
-                if alive[k]:
-                    close = np.abs(at - at[k]) < distance
-                    close[k] = False
-                    alive &= ~close
-            out.append(at[alive].tolist())
-        return pd.Series(out, dtype=object)
-
-    return profiles.select(*keys, peaks(value).alias("peaks"))
+    p = F.col(value)
+    level = lambda at: F.get(p, at)
+    n = F.size(p)
+    # where a level begins, and where the next one does; what stands before and behind a level is read from the profile itself
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: (k == 0) | (level(k) != level(k - 1)))
+    runs = F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n)).alias("b"))
+    top = lambda x: (x["a"] > 0) & (level(x["a"]) > level(x["a"] - 1)) & (level(x["a"]) > level(x["b"])) & (level(x["a"]) >= height)
+    place = lambda x: F.struct((-level(x["a"])).alias("v"), (-F.floor((x["a"] + x["b"] - 1) / 2)).cast("int").alias("at"))
+    out = profiles.select(*keys, F.array_sort(F.transform(F.filter(runs, top), place)).alias("__found"))
+    # of equal heights the later peak goes first
+    take = lambda kept, x: F.when(F.exists(kept, lambda a: F.abs(a + x["at"]) < distance), kept).otherwise(F.array_append(kept, -x["at"]))
+    return out.select(*keys, F.array_sort(F.aggregate("__found", F.array().cast("array<int>"), take)).alias("peaks"))
 
 
 def gap_differences(positions: DataFrame, keys: Sequence[str], peaks: str = "peaks") -> DataFrame:
