@@ -274,7 +274,9 @@ def _winding_distances(spark: SparkSession, folder: str, cap: float = 0.2) -> Da
 
 @query(f"WITH u AS ({_UNION}), m AS (SELECT vec_id, round(min(d), 9) AS d FROM u GROUP BY 1) SELECT round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.9), 6) AS p90, round(avg(CASE WHEN d < 0.05 THEN 1.0 ELSE 0.0 END), 9) AS share FROM m")
 def union_min_distance(spark, folder):
-    m = _winding_distances(spark, folder).groupBy("vec_id").agg(r(F.min("d"), 9).alias("d"))
+    q, _ = _two_scans(spark, folder)
+    t = points(spark, folder, 3, "tid").select("tid", *XYZ)
+    m = nearest.within(q.select("vec_id", *XYZ), t, XYZ, "vec_id", "tid", 0.2, [], clamp=True).select("vec_id", r("distance", 9).alias("d"))
     stats_ = ordered.percentiles(m, [], "d", {"median": 0.5, "p90": 0.9})
     share = m.agg(F.avg((F.col("d") < 0.05).cast("double")))
     return stats_.select(r("median").alias("median"), r("p90").alias("p90"), r(share.scalar(), 9).alias("share"))

@@ -58,10 +58,6 @@ def cross(a: Sequence[ColumnLike], b: Sequence[ColumnLike]) -> list[Column]:
     return [a1 * b2 - a2 * b1, a2 * b0 - a0 * b2, a0 * b1 - a1 * b0]
 
 
-def array_dot(a: ColumnLike, b: ColumnLike) -> Column:
-    return F.aggregate(F.zip_with(col(a), col(b), lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-
-
 def stretch_u8(score: ColumnLike, valid: ColumnLike, lo: float = 0.25, width: float = 0.5) -> Column:
     """Contrast stretch to 0..255 with truncation; invalid pixels are 0."""
     return F.when(col(valid), (clip((col(score) - lo) / width, 0.0, 1.0) * 255).cast("int")).otherwise(0)

@@ -69,8 +69,8 @@ def decode_files(files: DataFrame, decoder: Callable[[bytes], bytes], chunk: Sha
     )
 
 
-def explode_chunks(chunks: DataFrame, chunk: Shape, keep_zero: bool = False) -> DataFrame:
-    """Chunk rows to voxel rows, one vectorised unpack per Arrow batch; a NULL buffer counts as zeros."""
+def explode_chunks(chunks: DataFrame, chunk: Shape, keep_zero: bool = False, lo: Shape | None = None, hi: Shape | None = None) -> DataFrame:
+    """Chunk rows to voxel rows, one vectorised unpack per Arrow batch; a NULL buffer counts as zeros. Only voxels of ``[lo, hi)`` become rows."""
     cz, cy, cx = chunk
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,10 +80,15 @@ def explode_chunks(chunks: DataFrame, chunk: Shape, keep_zero: bool = False) ->
             for row in batch.itertuples(index=False):
                 block = np.zeros(cz * cy * cx, np.uint8) if row.data is None else np.frombuffer(row.data, np.uint8)
                 at = np.arange(block.size) if keep_zero else np.flatnonzero(block)
-                if at.size == 0:
-                    continue
                 z, rest = np.divmod(at, cy * cx)
                 y, x = np.divmod(rest, cx)
+                if lo is not None:
+                    own = np.ones(at.size, bool)
+                    for p, c, size, low, high in zip((z, y, x), (row.cz, row.cy, row.cx), chunk, lo, hi):
+                        own &= (p + c * size >= low) & (p + c * size < high)
+                    at, z, y, x = at[own], z[own], y[own], x[own]
+                if at.size == 0:
+                    continue
                 yield pd.DataFrame(
                     {
                         "volume_id": row.volume_id, "level": row.level, "z": z + row.cz * cz, "y": y + row.cy * cy, "x": x + row.cx * cx,
@@ -110,19 +115,16 @@ def box(chunks: DataFrame, volume_id: str, level: int, lo: Shape, hi: Shape, chu
     if shape is not None and not pad:
         hi = [min(h, s) for h, s in zip(hi, shape)]
         lo = [max(l, 0) for l in lo]
-    inside = None
-    for a, l, h in zip(ZYX, lo, hi):
-        here = (F.col(a) >= l) & (F.col(a) < h)
-        inside = here if inside is None else inside & here
+    lo, hi = tuple(lo), tuple(hi)
     if not pad:
-        return explode_chunks(held, chunk).where(inside)
+        return explode_chunks(held, chunk, lo=lo, hi=hi)
     grid = chunks.sparkSession.range(lo[0] // chunk[0], (hi[0] - 1) // chunk[0] + 1).select(F.col("id").cast("int").alias("cz"))
     for a, l, h, c in zip(("y", "x"), lo[1:], hi[1:], chunk[1:]):
         grid = grid.withColumn(f"c{a}", F.explode(F.sequence(F.lit(l // c), F.lit((h - 1) // c))))
     full = grid.join(held.select("cz", "cy", "cx", "data"), ["cz", "cy", "cx"], "left").withColumns(
         {"volume_id": F.lit(volume_id), "level": F.lit(level)}
     )
-    return explode_chunks(full, chunk, keep_zero=True).where(inside)
+    return explode_chunks(full, chunk, keep_zero=True, lo=lo, hi=hi)
 
 
 def footprint(points: DataFrame, chunk: Shape) -> DataFrame:

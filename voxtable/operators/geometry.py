@@ -85,11 +85,6 @@ def affine_compose(outer: Sequence[Sequence[Column | float]], inner: Sequence[Se
     return out
 
 
-def matrix_columns(matrix: str) -> list[list[Column]]:
-    """Elements of an ``array<array<double>>`` column as a 3x4 grid of columns."""
-    return [[F.col(matrix)[r][c] for c in range(4)] for r in range(3)]
-
-
 def pixel_centre_index(p: Column, k: float, shift: Column | float = 0.0) -> Column:
     """Index on a grid ``k`` times finer: pixel centres map to ``(p - shift + 0.5) k - 0.5``, rounded half to even."""
     s = shift if isinstance(shift, Column) else F.lit(float(shift))

@@ -30,16 +30,6 @@ def box_sum(df: DataFrame, keys: Sequence[str], size_y: int, size_x: int, exprs:
     return t.where("core").drop("core", "t_y", "t_x", *[f"__{out}" for out in exprs])
 
 
-def box_mean(df: DataFrame, keys: Sequence[str], value: str, size_y: int, size_x: int, name: str = "mean") -> DataFrame:
-    """Mean over the box with zero outside the image."""
-    out = box_sum(df, keys, size_y, size_x, {name: F.sum}, {name: value})
-    return out.withColumn(name, F.col(name) / (size_y * size_x))
-
-
-def box_max(df: DataFrame, keys: Sequence[str], value: str, size_y: int, size_x: int, name: str = "max") -> DataFrame:
-    return box_sum(df, keys, size_y, size_x, {name: F.max}, {name: value})
-
-
 def box_opening(df: DataFrame, keys: Sequence[str], value: str, size: int, name: str = "opened") -> DataFrame:
     """Opening (minimum, then maximum) with a square; a pixel whose square leaves the image is eroded away."""
     ones = df.withColumn("__one", F.lit(1))
@@ -280,13 +270,6 @@ def turn(y: Column, x: Column, height: Column, width: Column, quarter_turns: int
     return height - 1 - x, y
 
 
-def tile_origins(size: Column, roi: int, overlap: float = 0.5) -> Column:
-    """Array of tile origins: every ``roi * (1 - overlap)`` and the last edge tile."""
-    step = max(1, int(round(roi * (1 - overlap))))
-    last = F.greatest(size - roi, F.lit(0))
-    return F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))))
-
-
 def hann_weight(offset: Column, roi: int) -> Column:
     """Symmetric Hann weight of an offset inside a tile."""
     import math

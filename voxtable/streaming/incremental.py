@@ -30,21 +30,27 @@ def incremental_audit(
 def incremental_leaderboard(
     spark: SparkSession, source: str, schema: str, keys: Sequence[str], score: str, top: int, sink: str, checkpoint: str, files_per_batch: int | None = None
 ) -> None:
-    """Top rows over everything seen: rows are de-duplicated by key in the stream, and each batch merges its own top rows
-    with the previous board, which holds ``top`` rows."""
+    """Top rows over everything seen, one per key, by its highest score: each batch merges its own top rows with the previous board.
+
+    The state is the board of ``top`` rows. A key that fell off it had ``top`` better ones and comes back only with a better score of its own.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     order = [F.col(score).desc(), *[F.col(k) for k in keys]]
 
+    def best_of(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys]
+        best = F.max_by(F.struct(*rest), F.struct(F.col(score), F.struct(*[c for c in rest if c != score] or [F.lit(0)])))
+        return rows.groupBy(*keys).agg(best.alias("__b")).select(*keys, "__b.*").select(*rows.columns).orderBy(*order).limit(top)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        best = batch.orderBy(*order).limit(top)
+        best = best_of(batch)
         if batch_id > 0:
-            best = best.unionByName(batch.sparkSession.read.parquet(f"{sink}/board={batch_id - 1}")).orderBy(*order).limit(top)
+            best = best_of(best.unionByName(batch.sparkSession.read.parquet(f"{sink}/board={batch_id - 1}")))
         best.write.mode("overwrite").parquet(f"{sink}/board={batch_id}")
 
-    stream = reader.parquet(source).dropDuplicates(list(keys))
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    reader.parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_board(spark: SparkSession, sink: str) -> DataFrame:
