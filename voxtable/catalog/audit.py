@@ -61,6 +61,24 @@ def exactly_one_asset(spark, folder):
     return audits.exactly_one(table(spark, folder, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "P"])
 
 
+@query(
+    """WITH c AS (SELECT o_custkey, o_orderdate::DATE AS d, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, max(o_orderpriority) AS hi, min(o_orderpriority) AS lo, bool_or(o_totalprice > 200000) AS big FROM orders GROUP BY ALL),
+ p AS (SELECT o_custkey, max(f) AS f, max(o) AS o, max(hi) AS hi, min(lo) AS lo, bool_or(big) AS big FROM c GROUP BY 1)
+ SELECT o_custkey, CASE WHEN f <> 1 AND o <> 1 THEN 'missing finished,open' WHEN f <> 1 THEN 'missing finished' WHEN o <> 1 THEN 'missing open' WHEN o_custkey % 4 = 0 AND NOT big THEN 'unlabelled test segment'
+  WHEN lo[1]::INT + 3 < hi[1]::INT THEN 'shape mismatch' ELSE 'ok' END AS status FROM p"""
+)
+def asset_status(spark, folder):
+    """Customers as segments: most finished and open orders on one day as their assets, priorities as shapes, large orders as labels."""
+    o = table(spark, folder, "orders")
+    day = o.groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("d")).agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.max("o_orderpriority").alias("hi"), F.min("o_orderpriority").alias("lo"), F.bool_or(F.col("o_totalprice") > 200000).alias("big")
+    )
+    a = day.groupBy("o_custkey").agg(F.max("f").alias("f"), F.max("o").alias("o"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.bool_or("big").alias("big"))
+    digit = lambda c: F.substring(c, 1, 1).cast("int")
+    test = (F.pmod("o_custkey", F.lit(4)) == 0) & ~F.col("big")
+    return audits.asset_status(a, {"finished": "f", "open": "o"}, digit("lo") + 3 >= digit("hi"), test).select("o_custkey", "status")
+
+
 @query(
     """WITH o AS (SELECT n_name, o_orderpriority, o_totalprice, o_orderkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
  SELECT n_name, o_orderpriority, count(*) AS n, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 6) AS median_o_totalprice FROM o GROUP BY ALL"""

@@ -368,6 +368,44 @@ def _tile_mean(block):
     return np.full(block.shape[1:], block.mean() / 255.0)
 
 
+@query(
+    f"""WITH m AS (SELECT y, x, avg(v) AS v FROM ({STACK}) GROUP BY ALL), n AS (SELECT y, x, v, 1 AS k, 0 AS dy, -1 AS dx FROM m UNION ALL SELECT y, x, v, 1, -1, 0 FROM m UNION ALL SELECT y, x, v, 2, 0, 1 FROM m)
+ SELECT m.y, m.x, round(coalesce(sum(n.v * n.k), 0) / 4, 6) AS s FROM m LEFT JOIN n ON n.y + n.dy = m.y AND n.x + n.dx = m.x GROUP BY m.y, m.x"""
+)
+def fused_views(spark, folder):
+    """Four views of the image stack, with a read that sees the next pixel to the right: it meets another neighbour in every view."""
+
+    def read(stack_, keys):
+        mean = stack_.groupBy(*keys, "y", "x").agg(F.avg("v").alias("v"))
+        ahead = mean.select(*keys, "y", (F.col("x") - 1).alias("x"), F.col("v").alias("s"))
+        return mean.drop("v").join(ahead, [*keys, "y", "x"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+
+    out = raster.fused_views(stack(spark, folder), [], read)
+    return out.select("y", "x", r("s").alias("s"))
+
+
+@query(f"SELECT (y // 8)::INT AS i, (x // 8)::INT AS j, sum(CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END) / 64 AS share, count(*) = 64 AND bool_and(v > -0.3) AS all_carried FROM ({GRID}) GROUP BY ALL")
+def canvas_cells(spark, folder):
+    """Per 8 x 8 cell of the canvas: the share of labelled pixels, and whether all were carried."""
+    from voxtable.operators import geometry
+
+    g = grid(spark, folder).select("y", "x", (F.col("v") > 0.1).alias("label"), (F.col("v") > -0.3).alias("carried"))
+    return geometry.cell_labels(g, [], 8, "label", "carried")
+
+
+@query(
+    f"""WITH g AS (SELECT x // 8 AS band, y, x, v, max(y) OVER () + 1 AS h FROM ({GRID})) SELECT band::INT AS band, greatest(min(y) - 5, 0)::INT AS y0, least(max(y) + 6, max(h))::INT AS y1, greatest(min(x) - 5, 0)::INT AS x0, least(max(x) + 6, 64)::INT AS x1
+ FROM g WHERE v > 0.3 GROUP BY band"""
+)
+def padded_extents(spark, folder):
+    """Regions of bright pixels in bands of eight columns, grown by five and cut to the grid."""
+    from voxtable.operators import geometry
+
+    g = grid(spark, folder)
+    g = g.withColumn("band", F.floor(F.col("x") / 8).cast("int")).withColumns({"h": g.agg(F.max("y") + 1).scalar(), "w": F.lit(64)})
+    return geometry.padded_extent(g.where("v > 0.3"), ["band"], 5, "h", "w")
+
+
 def _hann_sql(a: str) -> str:
     return f"(0.5 - 0.5 * cos(({a}) * (2 * pi() / 7)))"
 

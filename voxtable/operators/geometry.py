@@ -174,6 +174,20 @@ def carry_positions(
     )
 
 
+def cell_labels(pixels: DataFrame, keys: Sequence[str], size: int, label: str, carried: str) -> DataFrame:
+    """Per cell of ``size`` x ``size`` pixels: the share of labelled ones, and whether all of its pixels are there and carried."""
+    cell = [F.floor(F.col(a) / size).cast("int").alias(c) for a, c in (("y", "i"), ("x", "j"))]
+    whole = (F.count(F.lit(1)) == size * size) & F.bool_and(carried)
+    return pixels.groupBy(*keys, *cell).agg((F.sum(F.col(label).cast("double")) / (size * size)).alias("share"), whole.alias("all_carried"))
+
+
+def padded_extent(usable: DataFrame, keys: Sequence[str], pad: int, height: str, width: str) -> DataFrame:
+    """Half-open rows and columns of the usable cells (keys, y, x, and the grid's height and width), grown by ``pad`` and cut to the grid."""
+    low = lambda a: F.greatest(F.min(a) - pad, F.lit(0))
+    high = lambda a, n: F.least(F.max(a) + pad + 1, F.max(n))
+    return usable.groupBy(*keys).agg(low("y").alias("y0"), high("y", height).alias("y1"), low("x").alias("x0"), high("x", width).alias("x1"))
+
+
 def carry_labels(positions: DataFrame, mask: DataFrame, keys: Sequence[str] = (), per_cell: int = 20) -> DataFrame:
     """Label of each carried point: the mask pixel at ``rint(per_cell * u), rint(per_cell * v)``; absent pixels are False."""
     at = positions.withColumn("y", F.rint(F.col("u") * per_cell).cast("int")).withColumn("x", F.rint(F.col("v") * per_cell).cast("int"))

@@ -336,6 +336,28 @@ def member_mean(maps: DataFrame, keys: Sequence[str], value: str = "s", how: str
     return maps.groupBy(*keys, "y", "x").agg(f(value).alias(value))
 
 
+def fused_views(stack: DataFrame, keys: Sequence[str], read: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """Mean of four reads of the same images: as they are, turned by 90 and by 180 degrees, and mirrored; each read is turned back first.
+
+    ``read(stack, keys)`` gives rows (keys, y, x, s); all views go through it at once, ``view`` being one more key.
+    """
+    keys = list(keys)
+    extent = stack.groupBy(*keys).agg((F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
+    sizes = {c: extent.select(c).scalar() for c in ("__h", "__w")} if not keys else {}
+    sized = stack.join(extent, keys) if keys else stack.withColumns(sizes)
+    y, x, h, w = (F.col(c) for c in ("y", "x", "__h", "__w"))
+    there = [(y, x), (w - 1 - x, y), (h - 1 - y, w - 1 - x), (y, w - 1 - x)]
+    views = F.explode(F.array(*[F.struct(F.lit(k).alias("view"), a.alias("y"), b.alias("x")) for k, (a, b) in enumerate(there)])).alias("__v")
+    rest = [c for c in stack.columns if c not in ("y", "x")]
+    turned = sized.select(*rest, views).select(*rest, "__v.*")
+    maps = read(turned, [*keys, "view"])
+    maps = maps.join(extent, keys) if keys else maps.withColumns(sizes)
+    back = [(y, x), (x, w - 1 - y), (h - 1 - y, w - 1 - x), (y, w - 1 - x)]
+    at = F.array(*[F.struct(a.cast("int").alias("y"), b.cast("int").alias("x")) for a, b in back])
+    home = maps.select(*keys, F.element_at(at, F.col("view") + 1).alias("__at"), "s").select(*keys, "__at.*", "s")
+    return member_mean(home, keys)
+
+
 def layer_window(stack: DataFrame, first: int, count: int, reverse: bool = False) -> DataFrame:
     """Contiguous layers ``first .. first + count - 1``, renumbered from 0, optionally reversed."""
     out = stack.where((F.col("layer") >= first) & (F.col("layer") < first + count))

@@ -136,6 +136,14 @@ def exactly_one(inventory: DataFrame, owner: str, kind: str, wanted: Sequence[st
     return out.select(owner, status.alias("status"))
 
 
+def asset_status(assets: DataFrame, counts: dict[str, str], shapes_agree: Column, unlabelled_test: Column) -> DataFrame:
+    """Adds ``status``: the assets (name: column with how many were found) that are not there exactly once; else a mismatch of shapes; else a test
+    segment without labels; else ok."""
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0)) != 1, F.lit(name)) for name, c in counts.items()]))
+    status = F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ",")))
+    return assets.withColumn("status", status.when(unlabelled_test, "unlabelled test segment").when(~F.coalesce(shapes_agree, F.lit(False)), "shape mismatch").otherwise("ok"))
+
+
 def reference_pairs(stacks: DataFrame, segment: str, stack: str, um: str, target_um: float = 2.4, named: str | None = None) -> DataFrame:
     """Reference stack per segment (a name match if given, else the scale nearest the target, first by name) joined to every other."""
     order = F.struct(F.abs(F.col(um) - target_um).alias("d"), F.col(stack).alias("s"))
