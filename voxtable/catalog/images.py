@@ -505,7 +505,12 @@ def greedy_separated(spark, folder):
     return select.greedy_separated(g, [], [-F.col("v")], 6, 6)
 
 
-@query()
+@query(
+    f"""WITH g AS (SELECT y, x, CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END AS ink FROM ({GRID})), b AS (SELECT g.y - dy AS y, g.x - dx AS x, sum(ink) / 64 AS density, count(*) AS n FROM g, range(8) a(dy), range(8) b(dx) GROUP BY ALL),
+ c AS (SELECT list([{{'y': y, 'x': x, 'd': density}}] ORDER BY density DESC, y, x) AS c FROM b WHERE n = 64 AND density > 0),
+ k AS (SELECT list_reduce(c, lambda a, b: CASE WHEN len(a) >= 12 OR len(list_filter(a, lambda k: abs(k.y - b[1].y) < 8 AND abs(k.x - b[1].x) < 8)) > 0 THEN a ELSE list_append(a, b[1]) END) AS k FROM c), u AS (SELECT unnest(k) AS s, generate_subscripts(k, 1) AS pick FROM k)
+ SELECT s.y::INT AS y, s.x::INT AS x, round(s.d, 9) AS density, pick FROM u"""
+)
 def densest_boxes(spark, folder):
     """Twelve densest disjoint 8 x 8 boxes."""
     g = grid(spark, folder).withColumn("ink", (F.col("v") > 0.1).cast("double"))

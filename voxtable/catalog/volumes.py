@@ -239,7 +239,12 @@ def chained_frames(spark, folder):
     return placed.select("root", "patch", "ring", r("m02").alias("row_shift"), r("m12").alias("col_shift"))
 
 
-@query()
+@query(
+    f"""WITH n AS ({PATCHES}), s AS (SELECT patch, avg(p_size) AS ts FROM n GROUP BY patch), k AS (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY i, j) - 1 AS rn FROM n),
+ h AS (SELECT a.patch AS a, b.patch AS b FROM k b JOIN n a ON a.patch < b.patch AND a.y = b.y AND a.x = b.x WHERE b.rn % 3 = 0 GROUP BY ALL HAVING count(*) >= 150), m AS (SELECT DISTINCT a AS patch FROM h UNION SELECT b FROM h),
+ root AS (SELECT patch AS root FROM s SEMI JOIN m USING (patch) ORDER BY ts DESC, patch LIMIT 1)
+ SELECT root, layer, (i + 12 * (patch - root))::INT AS y, j::INT AS x, round(avg(p_size), 6) AS v, count(*)::DOUBLE AS weight FROM n JOIN m USING (patch), root, (VALUES ('ink'), ('back')) l(layer) GROUP BY ALL"""
+)
 def stitch_mosaic(spark, folder):
     """Weighted mosaic of the chained patches; every canvas pixel shows the part size it was drawn from."""
     n, placed = _frames(spark, folder)
@@ -247,7 +252,8 @@ def stitch_mosaic(spark, folder):
     images = n.select("patch", face, "i", "j", F.col("p_size").alias("v"), F.lit(True).alias("ok"))
     faces = n.select("patch").distinct().select("patch", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("n0"), F.lit("a").alias("side"))
     out = stitch.mosaic(images, placed, faces)
-    return out.select("root", "layer", "y", "x", r("v").alias("v"), r("weight").alias("weight"))
+    # an edge that a fitted frame meets within rounding has no weight
+    return out.select("root", "layer", "y", "x", r("v").alias("v"), r("weight").alias("weight")).where("weight > 0")
 
 
 _SHIFTS = f"""WITH s AS MATERIALIZED ({STACK}), o AS MATERIALIZED (SELECT layer + 1 AS layer, y + 2 AS y, x - 1 AS x, least(v + (y * 7 + x * 3) % 5, 255) AS v FROM s), p AS MATERIALIZED (SELECT s.layer + dl AS layer, s.y + dy AS y, s.x + dx AS x, s.v AS a, dl, dy, dx FROM s, generate_series(-1, 1) a(dl), generate_series(-2, 2) b(dy), generate_series(-2, 2) c(dx) WHERE s.v > 0)
