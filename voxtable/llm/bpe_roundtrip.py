@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,6 +74,13 @@ class Codec:
         return self.model.decode([int(x) for x in ids.split()], skip_special_tokens=False).encode()
 
 
+@lru_cache(1)
+def codec_of(path: str, unsplit: int) -> tuple[Codec, Pieces]:
+    """One codec and one bounded memory of pieces for all tasks that a Python worker runs."""
+    codec = Codec(path, unsplit)
+    return codec, Pieces(codec.learn, 200_000)
+
+
 def bpe_roundtrip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", unsplit: int = 512, texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; with ``texts`` also ids (space-separated) and decoded themselves.
 
@@ -84,8 +92,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     kinds += [("ids", pa.string()), ("decoded", pa.string())] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, unsplit)
-        memory = Pieces(codec.learn, 200_000)
+        codec, memory = codec_of(path, unsplit)
         for batch in batches:
             raw, keys = all_bytes(batch.column(1)), batch.column(0)
             for part in slices(raw):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +44,13 @@ def spliced(encode, text: str, size: int, overlap: int, reach: int) -> tuple[Tok
     return token_spans(encode(text)), spent + 1
 
 
+@lru_cache(1)
+def counter_of(path: str):
+    """One tokenizer and one bounded memory of pieces for all tasks that a Python worker runs."""
+    model = tokenizer(path)
+    return model, Pieces(lambda part: [len(x.ids) for x in model.encode_batch_fast(part, add_special_tokens=False)])
+
+
 def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", huge: int = 65_536, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_tokens and n_chunks (chunks encoded; 0 if the text was not huge) of every row.
 
@@ -52,8 +60,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
-        memory = Pieces(lambda part: [len(x.ids) for x in model.encode_batch_fast(part, add_special_tokens=False)])
+        model, memory = counter_of(path)
         for batch in batches:
             raw = all_bytes(batch.column(1))
             counts, chunks = [0] * len(raw), [0] * len(raw)
