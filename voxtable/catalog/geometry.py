@@ -377,7 +377,18 @@ def label_carry(spark, folder):
     return out.select("qid.i", "qid.j", r("u").alias("u"), r("v").alias("v"), r("residual").alias("residual"), "carried", "label")
 
 
-@query()
+def _holes_sql(c: str, axis: str, other: str) -> str:
+    w = f"(PARTITION BY seg, {other} ORDER BY {axis})"
+    back, ahead = f"CASE WHEN lag({axis}) OVER {w} = {axis} - 1 THEN {c} - lag({c}) OVER {w} END", f"CASE WHEN lead({axis}) OVER {w} = {axis} + 1 THEN lead({c}) OVER {w} - {c} END"
+    return f"coalesce(({back} + {ahead}) / 2, {back}, {ahead})"
+
+
+@query(
+    f"""WITH m AS (SELECT *, i // 50 AS seg FROM ({MESH}) WHERE {VALID}), d AS (SELECT seg, {", ".join(f"{_holes_sql(c, 'i', 'j')} AS u{c}, {_holes_sql(c, 'j', 'i')} AS v{c}" for c in "xyz")} FROM m),
+ g AS (SELECT seg, ux * ux + uy * uy + uz * uz AS uu, vx * vx + vy * vy + vz * vz AS vv, ux * vx + uy * vy + uz * vz AS uv FROM d),
+ s AS (SELECT seg, (uu + vv) / 2 AS half, sqrt(pow((uu - vv) / 2, 2) + uv * uv) AS root FROM g)
+ SELECT seg::INT AS seg, round(quantile_cont(sqrt(half + root), 0.5), 6) AS s1, round(quantile_cont(sqrt(greatest(half - root, 0)), 0.5), 6) AS s2 FROM s GROUP BY seg"""
+)
 def local_scale(spark, folder):
     m = mesh(spark, folder).withColumn("seg", F.floor(F.col("i") / 50).cast("int"))
     out = geometry.local_scale(m, ["seg"])
