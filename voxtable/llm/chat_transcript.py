@@ -121,7 +121,7 @@ def as_transcripts(conversations: DataFrame, conv_id: str = "conv_id", turn: str
 
     Speakers are marked in one of four ways by the hash of the conversation, and about a fifth of the turns not at all. A conversation comes
     in segments of ``segment`` turn numbers, so that none is gathered without a bound; null turns come first, in the segment of turn 0. A null text
-    is an empty turn. Equal turn numbers are in the order of role and text.
+    is an empty turn. Equal turn numbers are in the order of role and text. A turn of no conversation (a null id) is a transcript by itself.
     """
     known, h = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")) - 1, F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
     ways = [[MARKERS[r][k] for r in ROLES] for k in range(4)]
@@ -131,11 +131,12 @@ def as_transcripts(conversations: DataFrame, conv_id: str = "conv_id", turn: str
     rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     start = (known * 2).cast("int")
     states = F.concat(F.array(start), F.array_repeat(start + 1, F.size(F.split("text", "\n")) - 1))
-    rows = rows.select("conv_id", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / segment).alias("segment"), F.struct("turn", "role", F.concat(marker, "text").alias("line"), states.alias("states")).alias("t"))
-    joined = rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).alias("lone")
+    rows = rows.select("conv_id", lone, F.floor(F.coalesce(F.col("turn"), F.lit(0)) / segment).alias("segment"), F.struct("turn", "role", F.concat(marker, "text").alias("line"), states.alias("states")).alias("t"))
+    joined = rows.groupBy("conv_id", "segment", "lone").agg(F.sort_array(F.collect_list("t")).alias("t"))
     all_states = F.flatten(F.col("t.states"))
     return joined.select(
-        F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.col("segment").cast("string")).alias("key"), "conv_id", "segment", F.size("t").alias("true_turns"),
+        F.to_json(F.struct("conv_id", "segment", "lone")).alias("key"), "conv_id", "segment", F.size("t").alias("true_turns"),
         F.array_join(F.col("t.line"), "\n").alias("transcript"), F.when(~F.exists(all_states, lambda s: s.isNull()), all_states).alias("states"),
     )
 
