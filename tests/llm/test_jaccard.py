@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from voxtable.llm import jaccard_join as J
+from voxtable.llm import oracles
 
 
 def brute(rows: list[tuple], size: int = 5) -> list[tuple]:
@@ -44,6 +45,11 @@ def test_odd_rows_by_brute_force(odd, odd_rows, chunk):
     assert got(J.near_duplicates(odd, chunk=chunk)) == brute(odd_rows)
 
 
+def test_sql_says_the_same(odd_rows, sql):
+    """Columns in the order of their names: class_id, copy_of, doc_id, n_links."""
+    assert sorted(((i, k, c, n) for c, k, i, n in sql(oracles.OP10)), key=repr) == brute(odd_rows)
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]

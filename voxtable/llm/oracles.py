@@ -79,3 +79,19 @@ x AS (SELECT rid, list(metric ORDER BY rank) AS failed FROM v WHERE value > grea
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, coalesce(array_to_string(failed, ','), '') AS failed, NOT base_failed AND failed IS NULL AS kept
 FROM f LEFT JOIN x USING (rid)
 """
+
+
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT *, row_number() OVER (ORDER BY copy_of, k) AS id FROM (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, min(doc_id) AS copy_of, count(*) AS copies FROM d GROUP BY 1)),
+s AS (SELECT DISTINCT id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+z AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN z x ON x.id = a.id JOIN z y ON y.id = b.id GROUP BY a.id, b.id, x.n, y.n HAVING count(*) * 180 >= 80 * (x.n + y.n)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT id AS node, id AS lab FROM t UNION SELECT e.b, c.lab FROM c JOIN e ON e.a = c.node WHERE c.lab < e.b),
+r AS (SELECT node, min(lab) AS lab FROM c GROUP BY node),
+m AS (SELECT lab, min(copy_of) AS class_id FROM r JOIN t ON t.id = r.node GROUP BY lab),
+l AS (SELECT e.a AS id, sum(t.copies) AS links FROM e JOIN t ON t.id = e.b GROUP BY e.a)
+SELECT d.doc_id, t.copy_of, m.class_id, CAST(CASE WHEN len(t.w) > 0 THEN coalesce(l.links, 0) + t.copies - 1 ELSE 0 END AS BIGINT) AS n_links
+FROM d JOIN t ON array_to_string(d.w, ' ') = t.k JOIN r ON r.node = t.id JOIN m ON m.lab = r.lab LEFT JOIN l ON l.id = t.id
+"""

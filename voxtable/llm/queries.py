@@ -60,4 +60,4 @@ OPERATORS = (
     op9_bpe_roundtrip, op10_jaccard_join,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLES = {"op2_quality_rules": oracles.OP2, "op6_decontamination": oracles.OP6, "op8_secret_scan": oracles.OP8}
+ORACLES = {"op2_quality_rules": oracles.OP2, "op6_decontamination": oracles.OP6, "op8_secret_scan": oracles.OP8, "op10_jaccard_join": oracles.OP10}
