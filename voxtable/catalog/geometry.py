@@ -177,7 +177,23 @@ def loo_error(spark, folder):
     return out.select("label", "n", r("rms").alias("rms"), r("max_res").alias("max_res"), r("loo_rms").alias("loo_rms"))
 
 
-@query()
+def _landmark_sql() -> str:
+    """The 3-D fit per label by the inverse of the covariance; leverages give the leave-one-out errors."""
+    fixed = ", ".join(f"{m[0]} * x + {m[1]} * y + {m[2]} * z + {m[3]} + 0.1 * e{c} AS f{c}, 0.1 * e{c} AS g{c}" for m, c in zip(MATRIX, XYZ))
+    pairs = [(a, b) for k, a in enumerate(XYZ) for b in XYZ[k:]]
+    moments = ", ".join([*(f"avg({c}) AS m{c}" for c in (*XYZ, "fx", "fy", "fz")), *(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in pairs), *(f"covar_pop({a}, f{d}) AS c{a}{d}" for a in XYZ for d in XYZ)])
+    inverse = "(yy * zz - yz * yz) / det AS pxx, (xz * yz - xy * zz) / det AS pxy, (xy * yz - xz * yy) / det AS pxz, (xx * zz - xz * xz) / det AS pyy, (xy * xz - xx * yz) / det AS pyz, (xx * yy - xy * xy) / det AS pzz"
+    entry = lambda a, b: f"p{min(a, b)}{max(a, b)}"
+    slopes = ", ".join(f"{' + '.join(f'{entry(a, b)} * c{b}{d}' for b in XYZ)} AS a{d}{a}" for d in XYZ for a in XYZ)
+    errors = " + ".join(f"pow(f{d} - mf{d} - ({' + '.join(f'a{d}{a} * ({a} - m{a})' for a in XYZ)}), 2)" for d in XYZ)
+    lever = " + ".join(f"{entry(a, b)} * ({a} - m{a}) * ({b} - m{b})" for a in XYZ for b in XYZ)
+    return f"""WITH e AS (SELECT label, {", ".join(f"embedding[{k + 1}]::DOUBLE AS {c}, embedding[{k + 4}]::DOUBLE AS e{c}" for k, c in enumerate(XYZ))} FROM embeddings), p AS (SELECT label, x, y, z, {fixed} FROM e),
+ m AS (SELECT label, count(*) AS n, {moments} FROM p GROUP BY label), d AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM m), v AS (SELECT *, {inverse} FROM d), a AS (SELECT *, {slopes} FROM v),
+ r AS (SELECT label, n, {errors} AS sq, (1 + {lever}) / n AS h, gx * gx + gy * gy + gz * gz AS pub FROM p JOIN a USING (label))
+ SELECT label, any_value(n) AS n, round(sqrt(avg(pub)), 6) AS pub_rms, round(sqrt(max(pub)), 6) AS pub_max, round(sqrt(avg(sq)), 6) AS rms, round(sqrt(max(sq)), 6) AS max_res, round(sqrt(avg(sq / pow(1 - h, 2))), 6) AS loo_rms FROM r GROUP BY label"""
+
+
+@query(_landmark_sql())
 def landmark_residuals(spark, folder):
     """3-D affine fit per label: published map against refit, with leave-one-out error."""
     p = _pairs(spark, folder)
