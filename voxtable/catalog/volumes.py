@@ -147,7 +147,15 @@ def seating_score(spark, folder):
     return out.select("seg", "points", r("score").alias("score"), r("centre_mean").alias("centre_mean"), r("coverage").alias("coverage"), "gap", "outside_reads")
 
 
-@query()
+@query(
+    f"""WITH v AS MATERIALIZED (SELECT z, y, x, v FROM ({SHEET})), s AS (SELECT y // 25 AS seg, p_partkey AS id, y, x, k, z0 - 4 + 0.5 * k AS z FROM ({PARTS}), range(17) t(k)),
+ e AS (SELECT seg, id, k, (1 - (s.z - floor(s.z))) * coalesce(a.v, 0) + (s.z - floor(s.z)) * coalesce(b.v, 0) AS v FROM s LEFT JOIN v a ON a.y = s.y AND a.x = s.x AND a.z = floor(s.z) LEFT JOIN v b ON b.y = s.y AND b.x = s.x AND b.z = floor(s.z) + 1),
+ p AS (SELECT *, lag(v) OVER (PARTITION BY seg, id ORDER BY k) AS pv FROM e),
+ u AS (SELECT seg, id, k, v, lead(k) OVER w AS nk, lag(v) OVER w AS lv, lead(v) OVER w AS rv FROM p WHERE pv IS NULL OR v <> pv WINDOW w AS (PARTITION BY seg, id ORDER BY k)),
+ t AS (SELECT seg, id, v, (k + nk - 1) // 2 AS pos FROM u WHERE v > lv AND v > rv AND v >= 20), l AS (SELECT seg, id, list([pos] ORDER BY v DESC, pos DESC) AS c FROM t GROUP BY ALL),
+ g AS (SELECT seg, id, len(list_reduce(c, lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(y - x[1]) < 4)) > 0 THEN a ELSE list_append(a, x[1]) END)) AS n FROM l)
+ SELECT q.seg::INT AS seg, count(*) AS points, round(avg(coalesce(g.n, 0)), 6) AS peaks FROM (SELECT DISTINCT seg, id FROM s) q LEFT JOIN g USING (seg, id) GROUP BY q.seg"""
+)
 def normal_profile_spacing(spark, folder):
     """Peak spacing along the sheet normals of every part."""
     p = parts(spark, folder).select(
@@ -317,7 +325,11 @@ def chunk_occupancy(spark, folder):
     return out
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT (y // 25)::BIGINT AS patch, z0 + 0.5 AS sz, y AS sy, x AS sx FROM ({PARTS}) WHERE y % 25 = 12 AND x = 20), v AS (SELECT z, y, x FROM ({SHEET}) WHERE v > 127),
+ d AS (SELECT patch, z, y, x, (z - sz) * (z - sz) + (y - sy) * (y - sy) + (x - sx) * (x - sx) AS d FROM s, v), k AS (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY d, z, y, x) AS k FROM d)
+ SELECT patch, z, y, x, round(sqrt(d), 6) AS distance FROM k WHERE k = 1 AND sqrt(d) <= 14"""
+)
 def nearest_sheet(spark, folder):
     """Nearest bright voxel of every seed."""
     lit = sheet(spark, folder).where("v > 127").select(F.struct("z", "y", "x").alias("vid"), "z", "y", "x")
