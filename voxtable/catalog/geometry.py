@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.catalog import Registry
-from voxtable.catalog.tables import grid, points, points_sql, r, table
+from voxtable.catalog.tables import GRID, grid, points, points_sql, r, table
 from voxtable.operators import components, fits, geometry, nearest, ordered, shift
 from voxtable.plans import experiments, verdicts
 from voxtable.sources import writers
@@ -382,7 +382,27 @@ def grid_agreement(spark, folder):
     return out.select("dy", "dx", r("agreement", 9).alias("agreement"), r("agreement0", 9).alias("agreement0"))
 
 
-@query()
+def _holes_sql(c: str, axis: str, other: str) -> str:
+    w = f"(PARTITION BY seg, {other} ORDER BY {axis})"
+    back, ahead = f"CASE WHEN lag({axis}) OVER {w} = {axis} - 1 THEN {c} - lag({c}) OVER {w} END", f"CASE WHEN lead({axis}) OVER {w} = {axis} + 1 THEN lead({c}) OVER {w} - {c} END"
+    return f"coalesce(({back} + {ahead}) / 2, {back}, {ahead})"
+
+
+def _carry_sql() -> str:
+    """Each vertex, moved by less than 0.04, meets its nearest vertex within that distance; then the 2 x 2 solve there."""
+    dot = lambda p, q: " + ".join(f"{p}{c} * {q}{c}" for c in XYZ)
+    slopes = ", ".join(f"{_holes_sql(c, 'i', 'j')} AS u{c}, {_holes_sql(c, 'j', 'i')} AS v{c}" for c in XYZ)
+    return f"""WITH m AS MATERIALIZED (SELECT *, 0 AS seg FROM ({MESH}) WHERE {VALID}), g AS MATERIALIZED (SELECT i, j, x, y, z, {slopes} FROM m), q AS (SELECT i, j, x + 0.03 AS x, y + 0.02 AS y, z FROM m),
+ h AS (SELECT q.i, q.j, any_value(q.x) AS x, any_value(q.y) AS y, any_value(q.z) AS z, arg_min({{'i': g.i, 'j': g.j}}, (pow(q.x - g.x, 2) + pow(q.y - g.y, 2) + pow(q.z - g.z, 2), g.i, g.j)) AS n
+  FROM q JOIN g ON g.x BETWEEN q.x - 0.04 AND q.x + 0.04 AND g.y BETWEEN q.y - 0.04 AND q.y + 0.04 AND g.z BETWEEN q.z - 0.04 AND q.z + 0.04 GROUP BY q.i, q.j),
+ d AS (SELECT h.i, h.j, n.i AS ni, n.j AS nj, h.x - g.x AS dx, h.y - g.y AS dy, h.z - g.z AS dz, {", ".join(f"u{c}, v{c}" for c in XYZ)} FROM h JOIN g ON g.i = n.i AND g.j = n.j),
+ o AS (SELECT *, {dot("u", "u")} AS uu, {dot("u", "v")} AS uv, {dot("v", "v")} AS vv, {dot("u", "d")} AS ud, {dot("v", "d")} AS vd FROM d), e AS (SELECT *, CASE WHEN abs(uu * vv - uv * uv) > 1e-12 THEN uu * vv - uv * uv END AS det FROM o),
+ s AS (SELECT *, (vv * ud - uv * vd) / det AS su, (uu * vd - uv * ud) / det AS sv FROM e), r AS (SELECT *, sqrt({" + ".join(f"pow(d{c} - su * u{c} - sv * v{c}, 2)" for c in XYZ)}) AS res FROM s),
+ c AS (SELECT i, j, ni + su AS u, nj + sv AS v, res, coalesce(abs(su) <= 1 AND abs(sv) <= 1 AND res <= 0.2, false) AS carried FROM r)
+ SELECT i, j, round(u, 6) AS u, round(c.v, 6) AS v, round(res, 6) AS residual, carried, carried AND k.y IS NOT NULL AS label FROM c LEFT JOIN (SELECT y, x FROM ({GRID}) WHERE v > 0.1) k ON k.y = round_even(2 * u, 0) AND k.x = round_even(2 * c.v, 0)"""
+
+
+@query(_carry_sql())
 def label_carry(spark, folder):
     """Points of the second scan carried to the mesh of the first: sub-cell positions and labels."""
     m = mesh(spark, folder)
@@ -393,12 +413,6 @@ def label_carry(spark, folder):
     return out.select("qid.i", "qid.j", r("u").alias("u"), r("v").alias("v"), r("residual").alias("residual"), "carried", "label")
 
 
-def _holes_sql(c: str, axis: str, other: str) -> str:
-    w = f"(PARTITION BY seg, {other} ORDER BY {axis})"
-    back, ahead = f"CASE WHEN lag({axis}) OVER {w} = {axis} - 1 THEN {c} - lag({c}) OVER {w} END", f"CASE WHEN lead({axis}) OVER {w} = {axis} + 1 THEN lead({c}) OVER {w} - {c} END"
-    return f"coalesce(({back} + {ahead}) / 2, {back}, {ahead})"
-
-
 @query(
     f"""WITH m AS (SELECT *, i // 50 AS seg FROM ({MESH}) WHERE {VALID}), d AS (SELECT seg, {", ".join(f"{_holes_sql(c, 'i', 'j')} AS u{c}, {_holes_sql(c, 'j', 'i')} AS v{c}" for c in "xyz")} FROM m),
  g AS (SELECT seg, ux * ux + uy * uy + uz * uz AS uu, vx * vx + vy * vy + vz * vz AS vv, ux * vx + uy * vy + uz * vz AS uv FROM d),
