@@ -93,7 +93,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, size: int, forest: Forest) -
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, parts: int = 16) -> DataFrame:
     """id, root (the least id of its component) of every id in the edges (a, b); ids without edges don't appear.
 
     Alternates large and small stars: each id hangs its larger neighbours, then its smaller ones and itself, on the least of them. Rounds grow with
@@ -104,7 +104,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # the neighbours of one id may be very many: they meet its least neighbour in parts
+        least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        both = both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
+        large = both.join(least, ["a", "part"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = checkpoint(small.where("a <> b").distinct())
