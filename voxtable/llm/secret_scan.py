@@ -21,6 +21,12 @@ class Rule:
     group: int = 0
 
 
+#: What follows the first line of a private key: all up to its END line. Where there is none before the next five dashes (or within 200 runs of dashes), the
+#: headers of an encrypted key and all that can stand in a body: base64, white space, quotes, the marks of quoted lines and of escaped line feeds.
+KEY_BODY = (
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,200}-{5,}END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[\x20\t\r\n\\nr]*(?:Proc-Type|DEK-Info):[^\n\\]*){0,2}[A-Za-z0-9+/=\x20\t\r\n\\\x22'>]*)"
+)
 #: The three base rules, then those that the method adds.
 RULES = [
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
@@ -32,7 +38,7 @@ RULES = [
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}", 24),
     Rule("map", r"AIza[A-Za-z0-9_-]{35}", 39),
     Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 24),
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
+    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + KEY_BODY, 27),
 ]
 
 #: A query: all clauses must hold; a clause holds if one of its sets of trigrams is in the text as a whole. No clause: no mandatory trigram.
