@@ -131,6 +131,16 @@ def test_chat_formatting(spark):
     assert chat_transcript.chat_formatting(table.limit(0)).count() == 0
 
 
+def test_unknown_roles_teach_nothing(spark):
+    rows = [(900, 0, "narrator", "unknown role"), (900, 1, "user", "hello"), (901, 0, "user", "hello"), (901, 1, "tool", None), (902, 1, None, "no role"), (903, 1, "assistant", "fine")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    written = chat_transcript.as_transcripts(table).cache()
+    assert {r.conv_id: r.states for r in written.collect()} == {900: None, 901: None, 902: None, 903: [4]}
+    both, alone = (chat_transcript.fit(x, "transcript", "states") for x in (written, written.where("conv_id = 903")))
+    assert (both.first == alone.first).all() and (both.change == alone.change).all() and (both.emit == alone.emit).all()
+    assert {r.conv_id: r.n_right is None for r in chat_transcript.chat_formatting(table).collect()} == {900: True, 901: True, 902: True, 903: False}
+
+
 def test_transcripts_written_by_others():
     base = chat_transcript.N_SYMBOLS // 4
     emit = np.full((6, chat_transcript.N_SYMBOLS), math.log(1e-3))

@@ -123,7 +123,7 @@ def as_transcripts(conversations: DataFrame, conv_id: str = "conv_id", turn: str
     in segments of ``segment`` turn numbers, so that none is gathered without a bound; null turns come first, in the segment of turn 0. A null text
     is an empty turn. Equal turn numbers are in the order of role and text. A turn of no conversation (a null id) is a transcript by itself.
     """
-    known, h = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")) - 1, F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
+    known, h = F.nullif(F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")), F.lit(0)) - 1, F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
     ways = [[MARKERS[r][k] for r in ROLES] for k in range(4)]
     name: Column = F.get(F.get(F.array(*(F.array(*(F.lit(w) for w in way)) for way in ways)), h), F.coalesce(known, F.lit(-1)).cast("int"))
     bare = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(5)) == 0
