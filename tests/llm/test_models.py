@@ -131,6 +131,44 @@ def test_chat_formatting(spark):
     assert chat_transcript.chat_formatting(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[1, 1, 1], [3, 1, 4, 2], [7]])
+def test_borders_are_those_of_the_whole(sizes):
+    rng = np.random.default_rng(7)
+    draw = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1]))
+    for _ in range(50):
+        model = chat_transcript.Model(draw(6), draw(6, 6), draw(6, chat_transcript.N_SYMBOLS))
+        parts = [rng.integers(0, chat_transcript.N_SYMBOLS, n).tolist() for n in sizes]
+        ends = chat_transcript.borders([model.across(x) for x in parts])
+        path = [s for x, a, b in zip(parts, [None, *ends], ends) for s in model.viterbi(x, a, b)]
+        assert path == model.viterbi([s for x in parts for s in x])
+
+
+def test_a_long_conversation_is_decoded_as_one(spark):
+    rows = [(c, k, ("user", "assistant")[k % 2], f"Is it {k}?" if k % 2 == 0 else "It is so.\n" * (k % 3) + f"That is {k}.") for c in range(4) for k in range(40)]
+    rows += [(7, k // 3 if k < 60 else None if k < 120 else 50, ("user", "assistant", "system")[k % 3], f"turn {k % 17} of it\nand more" + "?" * (k % 2)) for k in range(300)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    one = {r.conv_id: r for r in chat_transcript.as_transcripts(table, segment=1000).collect()}
+    written = chat_transcript.as_transcripts(table, segment=16).cache()
+    parts = {c: sorted((r for r in written.collect() if r.conv_id == c), key=lambda r: (r.segment, r.part)) for c in one}
+    assert max(r.true_turns for own in parts.values() for r in own) <= 16 and {len(own) for own in parts.values()} == {3, 7 + 1 + 12}
+    for c, own in parts.items():
+        assert "\n".join(r.transcript for r in own) == one[c].transcript and [s for r in own for s in r.states] == one[c].states
+        assert [r.before for r in own] == [-1, *(r.states[-1] for r in own[:-1])] and {r.n_parts for r in own} == {len(own)}
+    model, same = (chat_transcript.fit(x, "transcript", "states", before="before") for x in (written, chat_transcript.as_transcripts(table, segment=1000)))
+    assert (model.first == same.first).all() and (model.change == same.change).all() and (model.emit == same.emit).all()
+    found = {r.key: r for r in chat_transcript.parse(written.join(chat_transcript.border_states(written, model), "key"), model, "key", "transcript", "entry", "last").collect()}
+    for c, own in parts.items():
+        turns: list = []
+        for r in own:
+            got = found[r.key]
+            pieces = list(zip(got.roles.split(","), [x.split("|>\n", 1)[1] for x in got.rendered.split("\n<|end|>\n")[:-1]]))
+            if got.goes_on:
+                assert pieces[0][0] == turns[-1][0]
+                turns[-1] = (turns[-1][0], turns[-1][1] + "\n" + pieces.pop(0)[1])
+            turns += pieces
+        assert chat_transcript.rendered(turns) == chat_transcript.rendered(chat_transcript.turns_of(model, one[c].transcript))
+
+
 def test_unknown_roles_teach_nothing(spark):
     rows = [(900, 0, "narrator", "unknown role"), (900, 1, "user", "hello"), (901, 0, "user", "hello"), (901, 1, "tool", None), (902, 1, None, "no role"), (903, 1, "assistant", "fine")]
     table = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
