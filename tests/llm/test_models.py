@@ -50,6 +50,58 @@ def test_language_model_by_brute_force(odd, odd_rows, block):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-6) and a[6] == pytest.approx(b[6], rel=1e-4)
 
 
+@pytest.mark.parametrize("block", [2_000, 12 << 20])
+def test_word_contexts_by_brute_force(odd, odd_rows, block):
+    rows = [(i, (t or "").encode().lower().split()) for i, t, *_ in odd_rows]
+    spelling, spelled_after, grams, contexts = Counter(), Counter(), Counter(), Counter()
+    for i, own in rows:
+        if FOLD(i, 10) != 0:
+            for s, most, many, after in ((lm_score.symbols(own), 3, spelling, spelled_after), ((b"", *own, b""), 2, grams, contexts)):
+                for p in range(1, len(s)):
+                    for n in range(min(most + 1, p + 1)):
+                        many[s[p - n : p + 1]] += 1
+                        after[s[p - n : p]] += 1
+
+    def probability(h: bytes, s: bytes) -> float:
+        lower = probability(h[1:], s) if h else 1 / 256
+        return (spelling[h + s] + 4 * lower) / (spelled_after[h] + 4)
+
+    want = []
+    for i, own in rows:
+        if max(map(len, own), default=0) < 100:
+            s, tokens, p, score = lm_score.symbols(own), (b"", *own, b""), 1, 0.0
+            for k, w in enumerate(tokens[1:], 1):
+                spelled = 1.0
+                for _ in range(len(w) + 1):
+                    spelled *= probability(s[max(0, p - 3) : p], s[p : p + 1])
+                    p += 1
+                    if w == b"":
+                        break
+                found = 0.25 * grams[(w,)] / contexts[()] + 0.75 * spelled
+                for n in range(1, min(2, k) + 1):
+                    found = (grams[tokens[k - n : k + 1]] + 6 * found) / (contexts[tokens[k - n : k]] + 6)
+                score += math.log10(found)
+            want.append((i or -1, len(own) + 1, score))
+    got = [(r.doc_id or -1, r.n_tokens, r.score) for r in lm_score.scores(odd, order=4, block_bytes=block, word_order=3, word_mass=6.0).collect()]
+    got = [x for x in got if x[0] not in {i for i, own in rows if max(map(len, own), default=0) >= 100}]
+    assert len(got) == len(want) > 300
+    for a, b in zip(sorted(got), sorted(want)):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4)
+
+
+def test_a_known_phrase_beats_its_words_in_other_orders(spark):
+    phrase = "kalo miru tesa vondi rapu selo".split()
+    orders = {1000: phrase, 1001: phrase[::-1], 1002: phrase[::2] + phrase[1::2]}
+    rows = [(k, " ".join(phrase * 3)) for k in range(200)] + [(k, " ".join(x)) for k, x in orders.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm_score.scores(docs, word_order=3, block_bytes=500).collect()}
+    assert got[1000] > got[1001] + 4 and got[1000] > got[1002] + 4
+    words, texts = [b"a", b"b", b"cc", b""], [[b"a", b"b"], [b"a", b"b", b"cc"], [b"a"]]
+    two, three = (place.tolist() for _, place in lm_score.word_grams(words, texts, 3))
+    assert two[0] == two[3] == two[7] and two[1] == two[4] and len(set(two)) == 6
+    assert [three[k] for k in (0, 3, 7)] == [-1] * 3 and three[1] == three[4] and len(set(three)) == 6
+
+
 def test_language_model_without_rows_or_training(odd):
     assert lm_score.scores(odd.limit(0)).count() == 0
     only = lm_score.scores(odd.where("doc_id = 30"), folds=1).first()

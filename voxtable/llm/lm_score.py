@@ -7,6 +7,10 @@ without the first symbol, at mass / (c(h) + mass): P(s | h) = (c(hs) + mass * P(
 failure arc of a word add up, so that all probabilities sum to 1 over all texts. The traversal goes once over a text and carries its state on
 across words.
 
+Above the word state stand contexts of words: with ``word_order`` n, the n - 1 tokens before (at a text's start, its start). Their arcs and failure
+arcs are weighted as those of the spelling states, P(w | h) = (c(hw) + word_mass * P(w | h')) / (c(h) + word_mass), down to the word state. N-grams of
+words are compared by 63-bit hashes.
+
 The corpus is never gathered in one place. Documents fall into blocks by a hash; a block counts its words and n-grams and deals them into buckets by
 their hash; a bucket adds up the counts of all blocks, and each block gets back the sums of what occurs in it: the part of the automaton that its
 texts can reach. A block and a bucket exchange one row, with a list of keys on the way there and sums in the same order on the way back.
@@ -18,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import chain
 from zlib import crc32
 
@@ -90,10 +95,42 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), starts
 
 
+def mixed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams made of a context and a token, from the hashes of both."""
+    x = (context ^ context >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + token
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def word_grams(names: list[bytes], texts: list[list[bytes]], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each length from 2: the distinct n-grams of words (numbers below zero), and the place among them of that which ends at each token, or -1."""
+    index, sizes = dict(zip(names, range(len(names)))), np.array([len(w) + 1 for w in texts], np.int64)
+    hashed = np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in names), np.uint64, len(names))
+    token = hashed[np.fromiter(map(index.__getitem__, chain.from_iterable(chain(w, (b"",)) for w in texts)), np.int64, int(sizes.sum()))]
+    first = _at(np.cumsum(sizes) - sizes, len(token))
+    gram, have, out = token, np.ones(len(token), bool), []
+    for n in range(2, order + 1):
+        context = np.roll(gram, 1)
+        if n == 2:
+            context[first] = hashed[index[b""]]
+        else:
+            have = np.roll(have, 1) & ~first
+        gram = mixed(context, token)
+        keys, which = np.unique((gram[have] | np.uint64(1 << 63)).view(np.int64), return_inverse=True)
+        place = np.full(len(token), -1, np.int32)
+        place[have] = which
+        del which
+        out.append((keys, place))
+    return out
+
+
 @dataclass
 class Counts:
     """What a block holds: words (the end is the empty word) and n-grams, their counts in training texts, and those of n-grams as contexts.
 
+    N-grams of words come after those of symbols; ``levels`` has, for each length from 2, the place of that which ends at each token. As a context
+    one has been followed as often as it came up, but for the end, which is none, so that ``contexts`` has those of symbols alone.
+
     Keys are in an order that only the set of texts decides, so that sums can come back without them.
     """
 
@@ -105,9 +142,10 @@ class Counts:
     contexts: np.ndarray
     flat: np.ndarray
     starts: np.ndarray
+    levels: list[np.ndarray]
 
     @staticmethod
-    def of(texts: list[list[bytes]], trained: int, order: int) -> Counts:
+    def of(texts: list[list[bytes]], trained: int, order: int, word_order: int = 1) -> Counts:
         """``texts``: the training texts first, ``trained`` in number."""
         words: Counter[bytes] = Counter()
         for own in texts[:trained]:
@@ -127,7 +165,17 @@ class Counts:
             contexts.append((total - np.bincount(place[last] + 1, minlength=n))[1:])  # nor is its end the context of one
 
         trie = Trie(flat, starts, order, add)
-        return Counts(list(words), np.fromiter(words.values(), np.int64, len(words)), trie, np.concatenate(trie.keys()), np.concatenate(counts), np.concatenate(contexts), flat, starts)
+        names, grams, levels, learned = list(words), trie.keys(), [], sum(len(w) + 1 for w in texts[:trained])
+        for keys, place in word_grams(names, texts, word_order):
+            counts.append(np.bincount(place[:learned] + 1, minlength=len(keys) + 1)[1:])
+            place[place >= 0] += sum(map(len, grams))
+            levels.append(place)
+            grams.append(keys)
+        return Counts(names, np.fromiter(words.values(), np.int64, len(words)), trie, np.concatenate(grams), np.concatenate(counts), np.concatenate(contexts), flat, starts, levels)
+
+    def spelled(self, places: np.ndarray) -> np.ndarray:
+        """Those of the n-grams that are of symbols."""
+        return places[places < len(self.contexts)]
 
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of each word and of each n-gram."""
@@ -200,7 +248,7 @@ class Automaton:
         return out
 
 
-def token_scores(texts: list[list[bytes]], own: Counts, word_counts: np.ndarray, automaton: Automaton, tokens: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_scores(texts: list[list[bytes]], own: Counts, word_counts: np.ndarray, automaton: Automaton, tokens: int, share: float, gram_counts: np.ndarray, word_mass: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: known tokens, the sum of log10(c + 0.1), and the log10 probability."""
     known, flat, starts = dict(zip(own.words, word_counts.tolist())), own.flat, own.starts
     ends = (flat == 32) | (flat == 10)  # of tokens; the symbol before a text is the end of none, but a token begins after it
@@ -209,8 +257,17 @@ def token_scores(texts: list[list[bytes]], own: Counts, word_counts: np.ndarray,
     counts = np.fromiter(chain.from_iterable(map(known.__getitem__, chain(words, (b"",))) for words in texts), np.int64, len(begins))
     with np.errstate(divide="ignore"):
         by_word = np.log(share * counts / tokens) if tokens else np.full(len(counts), -np.inf)
-        worded = np.logaddexp(by_word, math.log(1 - share if tokens else 1.0) + spelled * math.log(10)) / math.log(10)
+        worded = np.logaddexp(by_word, math.log(1 - share if tokens else 1.0) + spelled * math.log(10))
     first = np.concatenate([[0], np.cumsum([len(w) + 1 for w in texts])[:-1]])
+    times, start = counts, known[b""]
+    for place in own.levels:
+        followed = np.roll(times, 1)
+        followed[first] = start
+        times, start = np.where(place >= 0, gram_counts[place], 0), 0
+        with np.errstate(divide="ignore"):
+            longer = np.logaddexp(np.log(times), math.log(word_mass) + worded) - np.log(followed + word_mass)
+        worded = np.where(place >= 0, longer, worded)
+    worded = worded / math.log(10)
     return np.add.reduceat(counts > 0, first, dtype=np.int64), np.add.reduceat(np.log10(counts + 0.1), first), np.add.reduceat(worded, first)
 
 
@@ -231,7 +288,7 @@ SUMMED = "block bigint, bucket bigint, word_counts binary, gram_counts binary, c
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_part double, score double"
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, test: int = 0, order: int = 5, mass: float = 4.0, share: float = 0.25, block_bytes: int = 12 << 20) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, test: int = 0, order: int = 5, mass: float = 4.0, share: float = 0.25, block_bytes: int = 12 << 20, word_order: int = 1, word_mass: float = 4.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Learns from rows outside the test fold. Tokens are the words (A-Z lower-cased) and one end. base_score adds up log10((c + 0.1) / (N + 0.1 (V + 1))),
@@ -247,13 +304,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
 
     def count(table: pa.Table) -> pa.Table:
         _, texts, trained = in_order(table)
-        own = Counts.of(texts, trained, order)
+        own = Counts.of(texts, trained, order, word_order)
         rows = []
         for k, (w, g) in enumerate(zip(*(grouped(x, n_blocks) for x in own.buckets(n_blocks)))):
-            rows.append((k, b"\n".join([own.words[i] for i in w]), own.word_counts[w].tobytes(), own.grams[g].tobytes(), own.gram_counts[g].tobytes(), own.contexts[g].tobytes()))
-        columns = [pa.array([table.column("block")[0].as_py()] * n_blocks, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))]
-        keep = [k for k, r in enumerate(rows) if r[2] or r[3]]  # each row has some word or n-gram
-        return pa.table(columns, ["block", "bucket", "words", "word_counts", "grams", "gram_counts", "contexts"]).take(keep)
+            if len(w) or len(g):
+                rows.append((k, b"\n".join([own.words[i] for i in w]), own.word_counts[w].tobytes(), own.grams[g].tobytes(), own.gram_counts[g].tobytes(), own.contexts[own.spelled(g)].tobytes()))
+        del own
+        columns = [pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))]
+        return pa.table(columns, ["block", "bucket", "words", "word_counts", "grams", "gram_counts", "contexts"])
 
     def add_up(table: pa.Table) -> pa.Table:
         numbers = lambda name: [np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()]
@@ -264,8 +322,13 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
                 sums[w] = sums.get(w, 0) + n
         keys, which = np.unique(np.concatenate([np.zeros(0, np.int64), *numbers("grams")]), return_inverse=True)
         cuts = np.cumsum([len(x) for x in numbers("grams")])[:-1]
-        both = [np.bincount(which, np.concatenate([np.zeros(0), *numbers(name)]), len(keys)).astype(np.int64) for name in ("gram_counts", "contexts")]
-        spread = [[x.tobytes() for x in np.split(total[which], cuts)] for total in both]
+        spread, both = [], []
+        for name in ("gram_counts", "contexts"):
+            total = np.bincount(which, np.concatenate([np.zeros(0), *numbers(name)]), len(keys)).astype(np.int64)
+            spread.append([total[x].tobytes() for x in np.split(which, cuts)])
+            both.append(total)
+            own = keys[which] >= 0  # contexts are those of n-grams of symbols
+            cuts, which = np.cumsum([x.sum() for x in np.split(own, cuts)])[:-1], which[own]
         once = np.zeros((3, table.num_rows), np.int64)  # what holds for the bucket stands in one of its rows
         once[:, 0] = sum(sums.values()), sum(n > 0 for n in sums.values()), both[0][(keys >> 56) == 1].sum()
         columns = [table.column("block"), table.column("bucket"), pa.array([np.fromiter(map(sums.__getitem__, w), np.int64, len(w)).tobytes() for w in words], pa.binary()), *(pa.array(x, pa.binary()) for x in spread), *(pa.array(x) for x in once)]
@@ -276,14 +339,15 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
 
     def score(key, rows: pa.Table, sums: pa.Table) -> pa.Table:
         rows, texts, trained = in_order(rows)
-        own = Counts.of(texts, trained, order)
+        own = Counts.of(texts, trained, order, word_order)
         places = dict(enumerate(zip(*(grouped(x, n_blocks) for x in own.buckets(n_blocks)))))
-        word_counts, gram_counts, contexts = (np.zeros(n, np.int64) for n in (len(own.words), len(own.grams), len(own.grams)))
+        word_counts, gram_counts, contexts = (np.zeros(n, np.int64) for n in (len(own.words), len(own.grams), len(own.contexts)))
         for bucket, *parts in zip(*(sums.column(c).to_pylist() for c in ("bucket", "word_counts", "gram_counts", "contexts"))):
             w, g = places[bucket]
-            for to, at, part in zip((word_counts, gram_counts, contexts), (w, g, g), parts):
+            for to, at, part in zip((word_counts, gram_counts, contexts), (w, g, own.spelled(g)), parts):
                 to[at] = np.frombuffer(part, np.int64)
-        found = token_scores(texts, own, word_counts, Automaton(own.trie, gram_counts, contexts, total, mass), tokens, share)
+        del places, sums
+        found = token_scores(texts, own, word_counts, Automaton(own.trie, gram_counts, contexts, total, mass), tokens, share, gram_counts, word_mass)
         columns = [rows.column("doc_id"), rows.column("held_out"), pa.array([len(w) + 1 for w in texts], pa.int64()), *map(pa.array, found)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_part", "score"])
 

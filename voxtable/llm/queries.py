@@ -24,7 +24,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.scores(read(spark, sf_dir, "documents"))
+    return lm_score.scores(read(spark, sf_dir, "documents"), word_order=3, word_mass=64.0)
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
