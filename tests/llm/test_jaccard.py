@@ -88,6 +88,16 @@ def test_recall_at_the_threshold():
     assert found >= 398  # 160 of 180: similarity 0.89
 
 
+@pytest.mark.parametrize("common", [160, 164])
+def test_recall_at_080_and_082(common):
+    forest, rng, found = J.Forest(32, 12, 0.8, 0.999), np.random.default_rng(common), 0
+    for _ in range(2000):
+        both, a, b = np.split(rng.integers(0, 2**63, 200).astype(np.uint64), [common, 100 + common // 2])
+        nodes = [forest.prefixes(np.concatenate([both, x])) for x in (a, b)]
+        found += bool((nodes[0] == nodes[1]).any())
+    assert found >= 1994  # of pairs at exactly 0.80, 1 in 2000 is missed on average
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(0, 90) if k % 30 != 29] + [(200, 300 + k) for k in range(50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
