@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from voxtable.catalog import Registry
 from voxtable.catalog.tables import r, table
 from voxtable.functions import columns as fx
 from voxtable.plans import audits, experiments, verdicts
-from voxtable.session import checkpoint_dir
+from voxtable.session import scratch_path
 from voxtable.sources import readers, writers
 from voxtable.streaming import incremental
 
@@ -22,7 +21,7 @@ query = REGISTRY.query
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, which every executor can reach."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 @query(

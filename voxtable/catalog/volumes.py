@@ -3,7 +3,6 @@ height z0 from the price; the volume, its chunks and its surfaces grow with the
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from voxtable.catalog.images import STACK, stack
 from voxtable.catalog.tables import VOLUME, r, table, volume
 from voxtable.operators import chunks as ch
 from voxtable.operators import growth, nearest, profile, raster, select, shift, stitch
-from voxtable.session import checkpoint_dir
+from voxtable.session import scratch_path
 from voxtable.sources import writers
 
 REGISTRY = Registry()
@@ -53,7 +52,7 @@ def shape(spark: SparkSession, folder: str) -> tuple[int, int, int]:
 @query(f"SELECT z, y, x, v FROM ({SHEET}) WHERE v > 0")
 def chunk_write_read(spark, folder):
     """Voxels written as chunk buffers partitioned by volume and level, read back; zero voxels are not stored."""
-    path = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "chunks")
     writers.write_chunks(sheet(spark, folder), path, CHUNK)
     return ch.explode_chunks(spark.read.parquet(path), CHUNK).select("z", "y", "x", "v")
 
