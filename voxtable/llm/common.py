@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,11 +47,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as a table of its own in the shared folder of the checkpoints and read again."""
-    from voxtable.session import checkpoint_dir
+    from voxtable import session
 
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.stored(df)
 
 
 def tokenizer(path: str):

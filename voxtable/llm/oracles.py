@@ -95,3 +95,50 @@ l AS (SELECT e.a AS id, sum(t.copies) AS links FROM e JOIN t ON t.id = e.b GROUP
 SELECT d.doc_id, t.copy_of, m.class_id, CAST(CASE WHEN len(t.w) > 0 THEN coalesce(l.links, 0) + t.copies - 1 ELSE 0 END AS BIGINT) AS n_links
 FROM d JOIN t ON array_to_string(d.w, ' ') = t.k JOIN r ON r.node = t.id JOIN m ON m.lab = r.lab LEFT JOIN l ON l.id = t.id
 """
+
+
+#: The CRC-32 of bytes: eight shifts by the reversed polynomial for each byte.
+_SHIFT = "list_reduce(list_prepend({0}, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))"
+_BYTES = "list_transform(range(1, CAST(length(hex(encode(t))) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(encode(t)), 2 * i - 1, 2) AS BIGINT))"
+
+OP11 = rf"""
+WITH RECURSIVE table_ AS (SELECT list({_SHIFT.format("b")} ORDER BY b) AS crc FROM range(256) r(b)),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS i, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+o AS (SELECT w, i || ':' || w AS t, count(*) AS n FROM r WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) AS h FROM o, table_),
+v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS w, n FROM h)
+ WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+x AS (SELECT w, n, k, substr(w, 1, k - 1) || substr(w, k + 1) AS less FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS k FROM v)),
+p AS (SELECT a.w AS a, b.w AS b, b.n FROM x a JOIN x b ON a.k = b.k AND a.less = b.less AND a.w <> b.w
+ UNION SELECT x.w, v.w, v.n FROM x JOIN v ON x.less = v.w UNION SELECT v.w, x.w, x.n FROM x JOIN v ON x.less = v.w),
+f AS (SELECT v.w, v.n, count(p.b) AS n_near, first(p.b ORDER BY p.n DESC, encode(p.b)) AS b, max(p.n) AS b_n FROM v LEFT JOIN p ON p.a = v.w GROUP BY v.w, v.n),
+g AS (SELECT w AS word, n, n_near, CASE WHEN b_n >= 10 * n THEN b END AS form, CASE WHEN b_n >= 10 * n THEN b_n END AS form_n FROM f),
+l AS (SELECT word, word AS at_, form AS next_ FROM g UNION ALL SELECT l.word, g.word, g.form FROM l JOIN g ON g.word = l.next_)
+SELECT g.word, g.form, l.at_ AS root, g.n, g.n_near, g.form_n FROM g JOIN l ON l.word = g.word AND l.next_ IS NULL
+"""
+
+OP12 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+ sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def _assigned(number: int) -> str:
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    return f"""a{number} AS MATERIALIZED (SELECT id, x, struct_extract(near, 'd') AS d, struct_extract(near, 'c') AS c FROM
+ (SELECT v.id, v.x, min({{'d': CAST({distance} AS BIGINT), 'c': c.c}}) AS near FROM v CROSS JOIN c{number} c GROUP BY v.id, v.x))"""
+
+
+def _moved(number: int) -> str:
+    return f"""c{number + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{number} c LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS x FROM
+ (SELECT c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{number}, range(1, 65) r(i) GROUP BY c, i) GROUP BY c) m USING (c))"""
+
+
+OP13 = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS y FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(y, lambda z: CAST(floor(z * 1024) AS BIGINT)) AS x FROM e WHERE len(list_filter(y, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INT) AS c, x FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 8)),
+{", ".join(f"{_assigned(k)}, {_moved(k)}" for k in range(10))}, {_assigned(10)}
+SELECT vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.x, ',')) AS centroid_sha256
+FROM a10 a JOIN v USING (id) JOIN c10 z ON z.c = a.c
+"""

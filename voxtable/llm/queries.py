@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import bpe_roundtrip, chat_transcript, decontaminate, jaccard_join, language_id, line_quality, lm_score, oracles, quality_rules, secret_scan, token_count
+from voxtable.llm import bpe_roundtrip, chat_transcript, decontaminate, drift_kmeans, grace_dedup, jaccard_join, language_id, line_quality, lm_score, oracles, quality_rules, secret_scan, spelling, token_count
 from voxtable.llm.common import read
 
 
@@ -55,9 +55,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace_dedup.deduplicated(read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift_kmeans.clusters(read(spark, sf_dir, "embeddings")).rows
+
+
 OPERATORS = (
     op1_token_counts, op2_quality_rules, op3_lm_scores, op4_line_quality, op5_chat_formatting, op6_decontamination, op7_language_id, op8_secret_scan,
-    op9_bpe_roundtrip, op10_jaccard_join,
+    op9_bpe_roundtrip, op10_jaccard_join, op11_spelling_variants, op12_exact_dedup, op13_centroid_clustering,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLES = {"op2_quality_rules": oracles.OP2, "op6_decontamination": oracles.OP6, "op8_secret_scan": oracles.OP8, "op10_jaccard_join": oracles.OP10}
+ORACLES = {
+    "op2_quality_rules": oracles.OP2, "op6_decontamination": oracles.OP6, "op8_secret_scan": oracles.OP8, "op10_jaccard_join": oracles.OP10,
+    "op11_spelling_variants": oracles.OP11, "op12_exact_dedup": oracles.OP12, "op13_centroid_clustering": oracles.OP13,
+}
