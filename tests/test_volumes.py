@@ -135,3 +135,39 @@ def test_stitch_two_turned_patches(spark):
     out = stitch.mosaic(images, stitch.chain_frames(links, scores, 30), faces).toPandas()
     ink = out[(out["layer"] == "ink") & (out["weight"] > 0.5)]
     assert len(ink) >= 26 * 20 - 60 and np.allclose(ink["v"], 100)
+
+
+def _exchanges(df) -> str:
+    """The Exchange nodes of the physical plan with their input columns."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    details = text.split("\n\n")
+    return "\n".join(part for part in details if part.lstrip().startswith("(") and ") Exchange" in part.split("\n")[0])
+
+
+def test_a_laid_out_store_is_read_where_it_lies(spark, tilted):
+    store = ch.lay_out(tilted)
+    rng = np.random.default_rng(3)
+    p = rng.uniform(-3, 42, (400, 3))
+    df = spark.createDataFrame([(i, "v", 0, *map(float, q)) for i, q in enumerate(p)], "id int, volume_id string, level int, z double, y double, x double")
+    for out in (ch.trilinear(df, store, SHAPE, CHUNK, ["id"]), ch.gather(df.withColumns({a: F.floor(a).cast("int") for a in "zyx"}), store, SHAPE, CHUNK)):
+        plan = _exchanges(out)
+        assert "Exchange" in plan and "data#" not in plan
+    z, y, x = np.indices(SHAPE)
+    vol = np.zeros([s + 12 for s in SHAPE])
+    vol[6:-6, 6:-6, 6:-6] = np.clip(np.rint(sheet(z, y, x)), 0, 255)
+    got = {r.id: r.value for r in ch.trilinear(df, store, SHAPE, CHUNK, ["id"]).collect()}
+    assert len(got) == 400
+    for i, q in enumerate(p):
+        f = np.floor(q).astype(int)
+        t = q - f
+        want = sum(
+            vol[tuple(f + 6 + np.array(d))] * np.prod([t[k] if d[k] else 1 - t[k] for k in range(3)]) for d in np.ndindex(2, 2, 2)
+        )
+        assert np.isclose(got[i], want), (i, q)
+
+
+def test_scans_skip_chunks_outside_the_wanted_keys(spark, tilted):
+    store = ch.lay_out(tilted)
+    points = spark.createDataFrame([(1, "v", 0, 14, 2, 2)], "id int, volume_id string, level int, z int, y int, x int")
+    out = ch.gather(points, store, SHAPE, CHUNK)
+    assert out.first().v == 213 and "ubquery" in out._jdf.queryExecution().toString()

@@ -43,6 +43,10 @@ def sheet_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ch.to_chunks(sheet(spark, folder), CHUNK)
 
 
+def sheet_store(spark: SparkSession, folder: str) -> DataFrame:
+    return ch.lay_out(sheet_chunks(spark, folder))
+
+
 def shape(spark: SparkSession, folder: str) -> tuple[int, int, int]:
     """Volume shape, from the extent of the table (one row)."""
     top = table(spark, folder, "part").agg(F.max("p_partkey")).first()[0]
@@ -93,7 +97,7 @@ def _probe_points(spark: SparkSession, folder: str) -> DataFrame:
  FROM p LEFT JOIN s USING (z, y, x) LEFT JOIN c ON c.cz = floor(p.z / 16.0) AND c.cy = p.y // 16 AND c.cx = p.x // 16"""
 )
 def gather_points(spark, folder):
-    out = ch.gather(_probe_points(spark, folder), sheet_chunks(spark, folder), shape(spark, folder), CHUNK)
+    out = ch.gather(_probe_points(spark, folder), sheet_store(spark, folder), shape(spark, folder), CHUNK)
     return out.select("p_partkey", "k", "v", "read")
 
 
@@ -113,7 +117,7 @@ def _tri_sql(points: str, keys: str) -> str:
 @query(_tri_sql(f"SELECT p_partkey, z0 + 0.3 AS z, y + 0.25 AS y, x + 0.5 AS x FROM ({PARTS})", "p_partkey"))
 def gather_trilinear(spark, folder):
     p = parts(spark, folder).select("p_partkey", F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), (F.col("z0") + 0.3).alias("z"), (F.col("y") + 0.25).alias("y"), (F.col("x") + 0.5).alias("x"))
-    out = ch.trilinear(p, sheet_chunks(spark, folder), shape(spark, folder), CHUNK, ["p_partkey"])
+    out = ch.trilinear(p, sheet_store(spark, folder), shape(spark, folder), CHUNK, ["p_partkey"])
     return out.select("p_partkey", r("value").alias("value"))
 
 
@@ -123,12 +127,12 @@ def render_layers(spark, folder):
         "p_partkey", F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), F.col("z0").alias("z"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"),
         F.lit(0.8).alias("nz"), F.lit(0.6).alias("ny"), F.lit(0.0).alias("nx"),
     )
-    out = ch.render_layers(p, sheet_chunks(spark, folder), shape(spark, folder), CHUNK, 2, ["p_partkey"])
+    out = ch.render_layers(p, sheet_store(spark, folder), shape(spark, folder), CHUNK, 2, ["p_partkey"])
     return out.select("p_partkey", "layer", r("value").alias("value"))
 
 
 @query(
-    f"""WITH p AS (SELECT p_partkey, y // 25 AS seg, y, x, z0 FROM ({PARTS})), d AS (SELECT p.*, k, round_even(z0 + k, 0)::INT AS z FROM p, generate_series(-6, 6) t(k)), s AS (SELECT * FROM ({SHEET}) WHERE v > 0),
+    f"""WITH p AS (SELECT p_partkey, y // 25 AS seg, y, x, z0 FROM ({PARTS})), d AS (SELECT p.*, k, round_even(z0 + k, 0)::INT AS z FROM p, generate_series(-58, 58, 2) t(k)), s AS (SELECT * FROM ({SHEET}) WHERE v > 0),
  v AS (SELECT d.seg, d.p_partkey, d.k, CASE WHEN d.z BETWEEN 0 AND 23 THEN coalesce(s.v, 0) ELSE 0 END AS v, d.z NOT BETWEEN 0 AND 23 AS o FROM d LEFT JOIN s USING (z, y, x)),
  m AS (SELECT seg, step, 0.5 * sum(m) AS m FROM (SELECT seg, abs(k) AS step, k, avg(v) AS m FROM v WHERE k <> 0 GROUP BY ALL) GROUP BY ALL), sm AS (SELECT seg, step, sum(m) OVER (PARTITION BY seg ORDER BY step ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS s FROM m),
  dip AS (SELECT *, s <= lag(s) OVER w AND s <= lead(s) OVER w AS dip FROM sm WINDOW w AS (PARTITION BY seg ORDER BY step)), gap AS (SELECT seg, coalesce(min(step) FILTER (dip), arg_min(step, (s, step))) AS gap FROM dip GROUP BY seg),
@@ -142,7 +146,7 @@ def seating_score(spark, folder):
         F.floor(F.col("y") / 25).cast("int").alias("seg"), F.col("p_partkey").alias("point_id"), F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), F.col("z0").alias("z"), "y", "x",
         F.lit(1.0).alias("nz"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nx"),
     )
-    out = profile.seating_score(p, sheet_chunks(spark, folder), shape(spark, folder), CHUNK, ["seg"], steps=tuple(range(1, 7)))
+    out = profile.seating_score(p, sheet_store(spark, folder), shape(spark, folder), CHUNK, ["seg"], steps=tuple(range(2, 60, 2)))
     return out.select("seg", "points", r("score").alias("score"), r("centre_mean").alias("centre_mean"), r("coverage").alias("coverage"), "gap", "outside_reads")
 
 
@@ -161,7 +165,7 @@ def normal_profile_spacing(spark, folder):
         F.floor(F.col("y") / 25).cast("int").alias("seg"), "p_partkey", F.lit("sheet").alias("volume_id"), F.lit(0).alias("level"), F.col("z0").alias("z"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"),
         F.lit(1.0).alias("nz"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nx"),
     )
-    prof = profile.normal_profiles(p, sheet_chunks(spark, folder), shape(spark, folder), CHUNK, ["seg", "p_partkey"], 4.0, 0.5)
+    prof = profile.normal_profiles(p, sheet_store(spark, folder), shape(spark, folder), CHUNK, ["seg", "p_partkey"], 4.0, 0.5)
     peaks = profile.find_peaks(prof, ["seg", "p_partkey"], "profile", 20.0, 4)
     return peaks.groupBy("seg").agg(F.count(F.lit(1)).alias("points"), r(F.avg(F.size("peaks"))).alias("peaks"))
 

@@ -2,18 +2,23 @@
 
 ``chunks`` rows hold one raw uint8 C-order buffer each. A read first narrows the chunk key (so partition and row-group
 pruning apply), and bytes are only opened inside the task that owns the chunk. An absent chunk row reads as zero.
+A store written by ``lay_out`` is read where it lies: requests go to its buckets, and no exchange carries a buffer.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.session import scratch_path
+
 Shape = Sequence[int]
 ZYX = ("z", "y", "x")
+KEYS = ("volume_id", "level", "cz", "cy", "cx")
 
 
 def chunk_keys(chunk: Shape) -> list[Column]:
@@ -45,6 +50,26 @@ def to_chunks(voxels: DataFrame, chunk: Shape) -> DataFrame:
     return packed.select("volume_id", "level", "cz", "cy", "cx", fill("o", "v").alias("data"))
 
 
+def lay_out(chunks: DataFrame, path: str | None = None, buckets: int | None = None, row_group: int = 8 << 20) -> DataFrame:
+    """The chunks as a store of files by chunk key: hashed into buckets, sorted within, in small row groups with bounds of the keys.
+
+    Joins on the five keys move their other side only. ``path`` names a shared folder; without it the store is one of the session's scratch tables.
+    """
+    path = path or scratch_path(chunks.sparkSession, "chunks")
+    buckets = buckets or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = "chunks_" + uuid.uuid4().hex
+    rows = chunks.select(*KEYS, "data").repartition(buckets, *KEYS)
+    rows.write.format("parquet").option("path", path).option("parquet.block.size", row_group).bucketBy(buckets, *KEYS).sortBy(*KEYS).saveAsTable(name)
+    return chunks.sparkSession.table(name)
+
+
+def _within(chunks: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The chunks between the least and the greatest wanted value of each key: subqueries that reach the scan, so that row groups outside are skipped."""
+    for k in keys:
+        chunks = chunks.where((F.col(k) >= wanted.select(F.min(k)).scalar()) & (F.col(k) <= wanted.select(F.max(k)).scalar()))
+    return chunks
+
+
 def decode_files(files: DataFrame, decoder: Callable[[bytes], bytes], chunk: Shape, pattern: str) -> DataFrame:
     """Chunk rows from ``binaryFile`` rows. ``pattern`` has groups volume, level, cz, cy, cx; ``decoder`` undoes the codec.
 
@@ -156,7 +181,8 @@ def gather(points: DataFrame, chunks: DataFrame, shape: Shape, chunk: Shape, key
 
         return pd.Series([np.frombuffer(d, np.uint8)[o].astype("int16") for d, o in zip(data, offsets)], dtype=object)
 
-    found = wanted.join(chunks.select(*ck, "data"), ck).withColumn("__v", take("data", "o"))
+    held = _within(chunks.select(*ck, "data"), keyed.where("__in"), ck)
+    found = wanted.hint("merge").join(held, ck).withColumn("__v", take("data", "o"))
     values = found.select(*ck, F.explode(F.arrays_zip("o", "__v")).alias("p")).select(*ck, F.col("p.o").alias("__o"), F.col("p.__v").alias("__v"))
     out = keyed.join(values, [*ck, "__o"], "left")
     read = F.when(~F.col("__in"), "outside").when(F.col("__v").isNull(), "missing").otherwise("ok")
@@ -164,23 +190,72 @@ def gather(points: DataFrame, chunks: DataFrame, shape: Shape, chunk: Shape, key
     return out.withColumn("v", value).withColumn("read", read).select(*points.columns, "v", "read")
 
 
+def _up_to(top: int) -> Callable[[Column], Column]:
+    return lambda k: (k >= 0) & (k <= top)
+
+
+def cell_corners(points: DataFrame, chunks: DataFrame, shape: Shape, chunk: Shape, keys: Sequence[str] = ("volume_id", "level")) -> DataFrame:
+    """Adds ``corners``: the eight values of the cell above integer points z, y, x, one byte each, the last axis running fastest; zero outside.
+
+    Requests are distinct cells, of which nearly all lie in one chunk; the few at a border meet each chunk that holds a corner, and what these give is
+    put together by OR. Neither a point nor a buffer is copied for a corner.
+    """
+    keys = list(keys)
+    ck = [*keys, "cz", "cy", "cx"]
+    radix = [c + 1 for c in chunk]
+    last = [(s - 1) // c for s, c in zip(shape, chunk)]
+    axis = []
+    for a, c, top in zip(ZYX, chunk, last):
+        touched = F.array_distinct(F.array(F.floor(F.col(a) / c).cast("int"), F.floor((F.col(a) + 1) / c).cast("int")))
+        axis.append(F.filter(touched, _up_to(top)))
+    keyed = points.select(*keys, *ZYX)
+    for k, a in enumerate(ZYX):
+        keyed = keyed.withColumn(f"c{a}", F.explode(axis[k]))
+    local = [F.col(a) - F.col(f"c{a}") * c + 1 for a, c in zip(ZYX, chunk)]
+    keyed = keyed.withColumn("__o", ((local[0] * radix[1] + local[1]) * radix[2] + local[2]).cast("int"))
+    wanted = keyed.groupBy(*ck).agg(F.collect_set("__o").alias("o"))
+
+    @F.pandas_udf("array<bigint>")
+    def take(data: pd.Series, codes: pd.Series, cz: pd.Series, cy: pd.Series, cx: pd.Series) -> pd.Series:
+        import numpy as np
+
+        out = []
+        for d, o, *at in zip(data, codes, cz, cy, cx):
+            block = np.zeros([c + 2 for c in chunk], np.uint8)
+            inside = tuple(slice(0, min(c, s - k * c)) for c, s, k in zip(chunk, shape, at))
+            block[1:-1, 1:-1, 1:-1][inside] = np.frombuffer(d, np.uint8).reshape(chunk)[inside]
+            rest, x = np.divmod(np.asarray(o), radix[2])
+            z, y = np.divmod(rest, radix[1])
+            packed = np.zeros(len(x), np.uint64)
+            for k, (dz, dy, dx) in enumerate(np.ndindex(2, 2, 2)):
+                packed |= block[z + dz, y + dy, x + dx].astype(np.uint64) << np.uint64(8 * k)
+            out.append(packed.view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    held = _within(chunks.select(*ck, "data"), keyed, ck)
+    found = wanted.hint("merge").join(held, ck).withColumn("__v", take("data", "o", "cz", "cy", "cx"))
+    code = F.col("p.o")
+    base = (F.floor(code / (radix[1] * radix[2])), F.pmod(F.floor(code / radix[2]), F.lit(radix[1])), F.pmod(code, F.lit(radix[2])))
+    cells = found.select(*ck, F.explode(F.arrays_zip("o", "__v")).alias("p"))
+    cells = cells.select(*keys, *((b + F.col(f"c{a}") * c - 1).cast("int").alias(a) for a, b, c in zip(ZYX, base, chunk)), F.col("p.__v").alias("__v"))
+    cells = cells.groupBy(*keys, *ZYX).agg(F.bit_or("__v").alias("corners"))
+    return points.join(cells, [*keys, *ZYX], "left").select(*points.columns, F.coalesce("corners", F.lit(0).cast("bigint")).alias("corners"))
+
+
 def trilinear(
     points: DataFrame, chunks: DataFrame, shape: Shape, chunk: Shape, point_keys: Sequence[str], keys: Sequence[str] = ("volume_id", "level")
 ) -> DataFrame:
     """Eight-corner weighted value at real points z, y, x; ``point_keys`` identify a point. Zero outside."""
-    corners = []
-    for dz in (0, 1):
-        for dy in (0, 1):
-            for dx in (0, 1):
-                w = F.lit(1.0)
-                for a, d in zip(ZYX, (dz, dy, dx)):
-                    t = F.col(a) - F.floor(a)
-                    w = w * (t if d else 1 - t)
-                corners.append(F.struct(*[(F.floor(a).cast("int") + d).alias(a) for a, d in zip(ZYX, (dz, dy, dx))], w.alias("w")))
-    spread = points.select(*point_keys, *keys, F.explode(F.array(*corners)).alias("__c")).where("__c.w > 0")
-    spread = spread.select(*point_keys, *keys, *[F.col(f"__c.{a}").alias(a) for a in ZYX], F.col("__c.w").alias("__w"))
-    read = gather(spread, chunks, shape, chunk, keys)
-    return read.groupBy(*point_keys).agg(F.sum(F.col("__w") * F.col("v")).alias("value"))
+    cells = points.select(
+        *dict.fromkeys([*point_keys, *keys]), *(F.floor(F.col(a)).cast("int").alias(a) for a in ZYX), *((F.col(a) - F.floor(F.col(a))).alias(f"__t{a}") for a in ZYX)
+    )
+    value = F.lit(0.0)
+    for k in range(8):
+        w = F.lit(1.0)
+        for a, d in zip(ZYX, (k >> 2, k >> 1 & 1, k & 1)):
+            w = w * (F.col(f"__t{a}") if d else 1 - F.col(f"__t{a}"))
+        value = value + w * F.shiftrightunsigned("corners", 8 * k).bitwiseAND(F.lit(255))
+    return cell_corners(cells, chunks, shape, chunk, keys).select(*point_keys, value.alias("value"))
 
 
 def render_layers(

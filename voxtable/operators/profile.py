@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxtable.operators.chunks import ZYX, gather, trilinear
 from voxtable.operators.ordered import percentiles
 from voxtable.operators.stats import gaussian_taps, smooth_profile
+from voxtable.session import stored
 
 
 def first_local_minimum(profile: DataFrame, keys: Sequence[str], index: str, value: str, name: str = "gap") -> DataFrame:
@@ -36,7 +37,8 @@ def seating_score(
     """Seating of surface points (keys, point_id, volume keys, z, y, x, nz, ny, nx) in a volume.
 
     The mean along +-normals, smoothed by 3 with zero padding, gives the gap; the score is the mean contrast of lit centres
-    against both gap sides times the lit share, or -1 below ``min_coverage``. Every distance is read in one gather.
+    against both gap sides times the lit share, or -1 below ``min_coverage``. Every distance is read in one gather, whose values are kept as a table:
+    the profile, the score and the counts read it.
     """
     keys = list(keys)
     dist = sorted({0, *steps, *[-s for s in steps]})
@@ -44,6 +46,7 @@ def seating_score(
     for a in ZYX:
         probe = probe.withColumn(a, F.rint(F.col(a) + F.col(f"n{a}") * F.col("d")).cast("int"))
     read = gather(probe.select(*dict.fromkeys([*keys, "point_id", *volume_keys, "d", *ZYX])), chunks, shape, chunk, volume_keys)
+    read = stored(read.select(*keys, "point_id", "d", "v", "read"))
     means = read.where("d <> 0").groupBy(*keys, F.abs("d").alias("step"), "d").agg(F.avg("v").alias("m"))
     means = means.groupBy(*keys, "step").agg((F.lit(0.5) * F.sum("m")).alias("m"))
     w = Window.partitionBy(*keys).orderBy("step").rowsBetween(-1, 1)
