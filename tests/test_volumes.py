@@ -1,5 +1,8 @@
 """Chunks, gathers, seating, growth and stitching on planted volumes."""
 
+import contextlib
+import io
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -138,10 +141,11 @@ def test_stitch_two_turned_patches(spark):
 
 
 def _exchanges(df) -> str:
-    """The Exchange nodes of the physical plan with their input columns."""
-    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    details = text.split("\n\n")
-    return "\n".join(part for part in details if part.lstrip().startswith("(") and ") Exchange" in part.split("\n")[0])
+    """The Exchange nodes of the formatted plan, with their columns."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return "\n".join(part for part in text.getvalue().split("\n\n") if ") Exchange" in part.split("\n")[0])
 
 
 def test_a_laid_out_store_is_read_where_it_lies(spark, tilted):

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from voxtable.catalog import Registry
 from voxtable.catalog.images import STACK, stack
-from voxtable.catalog.tables import VOLUME, r, table, volume
+from voxtable.catalog.tables import GRID, VOLUME, grid, r, table, volume
 from voxtable.operators import chunks as ch
-from voxtable.operators import growth, nearest, profile, raster, select, shift, stitch
+from voxtable.operators import growth, nearest, placement, profile, raster, select, shift, stitch
 from voxtable.session import scratch_path
 from voxtable.sources import writers
 
@@ -339,3 +339,65 @@ def nearest_sheet(spark, folder):
     seeds = _seeds(spark, folder)
     out = nearest.nearest(seeds, lit, ["z", "y", "x"], "patch", "vid", max_distance=14.0)
     return out.select("patch", "vid.z", "vid.y", "vid.x", r("distance").alias("distance"))
+
+
+#: Side and depth of the placement stacks, their scale in um, and how the moved stack lies: voxels of 9.6 um, two to a pixel of the common grid.
+SIDE, DEEP, UM, MOVED = 140, 84, 9.6, (4, 6, -4)
+
+
+def _placement_stacks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Embedding values as images of 140 x 140 pixels, a segment each, drawn into five stacks: the reference, a moved copy, a thin one, one with bands
+    of zeros and one with cut buffers. The last image may be incomplete. Returns levels and chunks."""
+    g = grid(spark, folder)
+    at = F.col("y").cast("long") * 64 + F.col("x")
+    pixels = g.select(F.floor(at / SIDE**2).cast("string").alias("segment"), F.floor(F.pmod(at, F.lit(SIDE**2)) / SIDE).cast("int").alias("y"), F.pmod(at, F.lit(SIDE)).cast("int").alias("x"), "v")
+
+    def draw(pdf):
+        import numpy as np
+        import pandas as pd
+
+        image, lit = np.zeros((SIDE, SIDE)), np.zeros((SIDE, SIDE), bool)
+        image[pdf["y"], pdf["x"]] = 30 * pdf["v"].clip(-1, 1)
+        lit[pdf["y"], pdf["x"]] = True
+        z, y, x = np.ogrid[:DEEP, :SIDE, :SIDE]
+
+        def stack(dz: int, dy: int, dx: int):
+            a, b, c = z - dz, y - dy, x - dx
+            wave = 40 * np.sin(b / 4.7 + a / 9 + 0.004 * c * c) + 40 * np.sin(c / 5.3 - a / 4.1) + 30 * np.sin(a / 3.7 + 0.005 * b * b - c / 13)
+            return np.clip(np.rint(128 + wave + np.roll(image, (dy, dx), (0, 1))[None]), 1, 255).astype(np.uint8) * lit
+
+        base = stack(0, 0, 0)
+        bands = base.copy()
+        bands[:, (np.arange(SIDE) // 8) % 2 == 0] = 0
+        rows = []
+        for name, block in {"a_ref": base, "moved": stack(*MOVED), "thin": base[:6], "bands": bands, "cut": base}.items():
+            full = np.zeros([-(-n // c) * c for n, c in zip(block.shape, CHUNK)], np.uint8)
+            full[tuple(slice(0, n) for n in block.shape)] = block
+            for k in np.ndindex(*(n // c for n, c in zip(full.shape, CHUNK))):
+                data = full[tuple(slice(i * c, i * c + c) for i, c in zip(k, CHUNK))]
+                if data.any():
+                    rows.append((f"{pdf['segment'].iloc[0]}/{name}", 0, *k, data.tobytes()[: -1 if name == "cut" else None]))
+        return pd.DataFrame(rows, columns=["volume_id", "level", "cz", "cy", "cx", "data"])
+
+    chunks = pixels.groupBy("segment").applyInPandas(draw, "volume_id string, level int, cz int, cy int, cx int, data binary")
+    stacks = F.explode(F.array(*(F.struct(F.lit(n).alias("stack"), F.lit(DEEP if n != "thin" else 6).alias("nz")) for n in ("a_ref", "moved", "thin", "bands", "cut")))).alias("s")
+    levels = pixels.select("segment").distinct().select("segment", stacks).select("segment", "s.*")
+    scales = [F.lit(UM).alias(f"s{a}") for a in "zyx"]
+    levels = levels.select("segment", "stack", F.concat_ws("/", "segment", "stack").alias("volume_id"), F.lit(0).alias("level"), *scales, "nz", F.lit(SIDE).alias("ny"), F.lit(SIDE).alias("nx"))
+    return levels, ch.lay_out(chunks)
+
+
+@query(
+    f"""WITH p AS (SELECT (y::BIGINT * 64 + x) // {SIDE**2} AS segment, count(*) AS n FROM ({{GRID}}) GROUP BY 1), w AS (SELECT segment::VARCHAR AS segment, y, x FROM p, range(63, 77) a(y), range(63, 77) b(x) WHERE n = {SIDE**2}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY md5(concat_ws(',', '0', y::VARCHAR, x::VARCHAR)), y, x)::INT AS k FROM w),
+ o AS (SELECT * FROM (VALUES ('moved', 'ok', true, {MOVED[0] * UM}::DOUBLE, {MOVED[1] * UM}::DOUBLE, {MOVED[2] * UM}::DOUBLE), ('thin', 'skipped: too few layers or pixels', NULL, NULL, NULL, NULL),
+  ('bands', 'skipped: under 90% data', NULL, NULL, NULL, NULL), ('cut', 'error: a chunk of 4095 bytes, not 4096', NULL, NULL, NULL, NULL)) t(other, status, found, dz_um, dy_um, dx_um))
+ SELECT segment, other, k AS "window", round(y * {UM} - 300, 3) AS y_um, round(x * {UM} - 300, 3) AS x_um, status, found, round(dz_um, 3) AS dz_um, round(dy_um, 3) AS dy_um, round(dx_um, 3) AS dx_um FROM k, o WHERE k <= 6
+ UNION ALL SELECT segment::VARCHAR, NULL, NULL, NULL, NULL, 'no reference data', NULL, NULL, NULL, NULL FROM p WHERE n < {SIDE**2}""".replace("{GRID}", GRID)
+)
+def placement_check(spark, folder):
+    """Windows of 600 um of every segment, each other stack against the reference: shifts in um, skips and errors as rows."""
+    levels, chunks = _placement_stacks(spark, folder)
+    out = placement.placement_check(levels, chunks, CHUNK, windows=6, size_um=600.0)
+    found = (F.col("best") > 0.8).alias("found")
+    return out.select("segment", "other", "window", r("y_um", 3).alias("y_um"), r("x_um", 3).alias("x_um"), "status", found, *(r(f"d{a}_um", 3).alias(f"d{a}_um") for a in "zyx"))
