@@ -157,15 +157,15 @@ def test_a_laid_out_store_is_read_where_it_lies(spark, tilted):
         plan = _exchanges(out)
         assert "Exchange" in plan and "data#" not in plan
     z, y, x = np.indices(SHAPE)
-    vol = np.zeros([s + 12 for s in SHAPE])
-    vol[6:-6, 6:-6, 6:-6] = np.clip(np.rint(sheet(z, y, x)), 0, 255)
+    vol = np.zeros([s + 20 for s in SHAPE])
+    vol[10:-10, 10:-10, 10:-10] = np.clip(np.rint(sheet(z, y, x)), 0, 255)
     got = {r.id: r.value for r in ch.trilinear(df, store, SHAPE, CHUNK, ["id"]).collect()}
     assert len(got) == 400
     for i, q in enumerate(p):
         f = np.floor(q).astype(int)
         t = q - f
         want = sum(
-            vol[tuple(f + 6 + np.array(d))] * np.prod([t[k] if d[k] else 1 - t[k] for k in range(3)]) for d in np.ndindex(2, 2, 2)
+            vol[tuple(f + 10 + np.array(d))] * np.prod([t[k] if d[k] else 1 - t[k] for k in range(3)]) for d in np.ndindex(2, 2, 2)
         )
         assert np.isclose(got[i], want), (i, q)
 

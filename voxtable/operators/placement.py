@@ -127,7 +127,8 @@ def best_place(small, large) -> tuple[float, tuple[int, ...]]:
     valid = tuple(slice(0, b - s + 1) for s, b in zip(small.shape, large.shape))
 
     def over(image, kernel):
-        return np.fft.irfftn(np.fft.rfftn(image) * np.conj(np.fft.rfftn(kernel, image.shape)), image.shape)[valid]
+        axes = range(image.ndim)
+        return np.fft.irfftn(np.fft.rfftn(image) * np.conj(np.fft.rfftn(kernel, image.shape, axes)), image.shape, axes)[valid]
 
     flat = np.ones(small.shape)
     s1, s2 = over(large, flat), over(large * large, flat)
