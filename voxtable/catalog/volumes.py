@@ -11,7 +11,7 @@ from voxtable.catalog import Registry
 from voxtable.catalog.images import STACK, stack
 from voxtable.catalog.tables import GRID, VOLUME, grid, r, table, volume
 from voxtable.operators import chunks as ch
-from voxtable.operators import growth, nearest, placement, profile, raster, select, shift, stitch
+from voxtable.operators import growth, nearest, normals, placement, profile, select, shift, stitch
 from voxtable.session import scratch_path
 from voxtable.sources import writers
 
@@ -170,20 +170,47 @@ def normal_profile_spacing(spark, folder):
     return peaks.groupBy("seg").agg(F.count(F.lit(1)).alias("points"), r(F.avg(F.size("peaks"))).alias("peaks"))
 
 
-@query()
+#: A plane over the grid of parts, z = 24 + x: differences along z and x are alike on it, so that its normal is (1, 0, -1) over its length.
+PLANE = "SELECT z::INT AS z, y, x, round_even(200 * exp(-0.4 * (z - 24 - x) * (z - 24 - x)), 0)::INT AS v FROM (SELECT (p_partkey // 40)::INT AS y, (p_partkey % 40)::INT AS x FROM part), range(0, 88) t(z)"
+INNER = "x BETWEEN 17 AND 22 AND y >= 17 AND y < (SELECT max(p_partkey) // 40 - 17 FROM part)"
+
+
+def _plane(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    p = parts(spark, folder).withColumn("z", F.explode(F.sequence(F.lit(10), F.lit(75))))
+    off = F.col("z") - 24 - F.col("x")
+    v = p.select(F.lit("plane").alias("volume_id"), F.lit(0).alias("level"), "z", "y", "x", F.rint(200 * F.exp(-0.4 * off * off)).cast("smallint").alias("v"))
+    return ch.lay_out(ch.to_chunks(v, CHUNK)), (88, shape(spark, folder)[1], 40)
+
+
+def _inner(df: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """Voxels away from the borders, on the crest of the plane or eight voxels above it, where the volume holds zeros."""
+    height = F.col("z") - 24 - F.col("x")
+    place = F.when(F.abs(height) <= 0.5, "crest").when((height >= 7.5) & (height < 8.5), "beside")
+    return df.where(F.col("x").between(17, 22) & (F.col("y") >= 17) & (F.col("y") < dims[1] - 18)).withColumn("place", place).where("place is not null")
+
+
+_PLACES = f"SELECT y, x, CASE WHEN abs(z - 24 - x) <= 0.5 THEN 'crest' ELSE 'beside' END AS place, v FROM ({PLANE}) WHERE {INNER} AND (abs(z - 24 - x) <= 0.5 OR (z - 24 - x >= 7.5 AND z - 24 - x < 8.5))"
+
+
+@query(f"SELECT place, count(*) AS voxels, round(1 / sqrt(2), 2) AS nz, 0.0::DOUBLE AS ny, round(-1 / sqrt(2), 2) AS nx FROM ({_PLACES}) GROUP BY place")
 def structure_tensor(spark, folder):
-    """Normals and coherence of the sheet volume: mean alignment with the z axis and mean coherence per sheet."""
-    v = sheet(spark, folder).withColumn("m", F.col("v") / 255.0)
-    t = raster.structure_tensor(v, [], "m", rho=2.0, rho_wide=4.0)
-    return t.where("ok").groupBy(F.floor(F.col("y") / 25).cast("int").alias("seg")).agg(F.count(F.lit(1)).alias("voxels"), r(F.avg(F.abs("nz"))).alias("nz"), r(F.avg("coherence")).alias("coherence"))
+    """Normals of a planted plane, on it and beside it: mean components with nz turned up."""
+    c, dims = _plane(spark, folder)
+    n = _inner(normals.volume_normals(c, dims, CHUNK), dims)
+    up = F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
+    return n.groupBy("place").agg(F.count(F.lit(1)).alias("voxels"), *(r(F.avg(F.col(f"n{a}") * up), 2).alias(f"n{a}") for a in "zyx"))
 
 
-@query()
+@query(
+    f"SELECT c.channel, place, CASE c.channel WHEN 'nx' THEN round(-1 / sqrt(2) * 127 + 128)::INT WHEN 'ny' THEN 128 ELSE 23 END AS v, count(*) AS voxels FROM ({_PLACES}), (VALUES ('nx'), ('ny'), ('grad_mag')) c(channel) GROUP BY ALL"
+)
 def normals_volume(spark, folder):
-    """Encoded normal volume written as chunks, counted by code."""
-    v = sheet(spark, folder).withColumn("m", F.col("v") / 255.0)
-    n = raster.normals_volume(v, [], "m", 20.0, rho=2.0, rho_wide=4.0)
-    return n.groupBy("ex", "ey", "grad_mag").agg(F.count(F.lit(1)).alias("voxels"))
+    """The encoded normal volume of the plane as chunk rows, read back and counted by code."""
+    c, dims = _plane(spark, folder)
+    n = normals.normal_chunks(c, dims, CHUNK, 20.0)
+    channel = F.split("volume_id", "/")[1].alias("channel")
+    v = ch.explode_chunks(n.withColumn("volume_id", F.concat_ws("/", "volume_id", "channel")), CHUNK)
+    return _inner(v, dims).groupBy(channel, "place", F.col("v").cast("int").alias("v")).agg(F.count(F.lit(1)).alias("voxels"))
 
 
 def _seeds(spark: SparkSession, folder: str) -> DataFrame:
