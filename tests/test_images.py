@@ -190,3 +190,24 @@ def test_turns_match_rot90(spark, noise):
         sy, sx = raster.turn(F.col("vy"), F.col("vx"), h, w, k, mirror)
         got = grid.select("vy", "vx", sy.alias("y"), sx.alias("x")).join(df, ["y", "x"]).toPandas()
         assert len(got) == view.size and np.allclose(view[got["vy"], got["vx"]], got["v"])
+
+
+def test_shift_sums_over_blocks_and_keys(spark):
+    """Blocks of four times the reach, by transform and by loop, against plain sums on images with holes."""
+    rng = np.random.default_rng(8)
+    rows, images = [], {}
+    for key in ("a", "b"):
+        for side in (0, 1):
+            image = rng.integers(0, 9, (70, 50)) * (rng.random((70, 50)) < 0.8)
+            images[key, side] = image
+            rows += [(key, side, int(y), int(x), float(image[y, x])) for y, x in zip(*np.nonzero(image))]
+    df = spark.createDataFrame(rows, "k string, side int, y int, x int, v double")
+    for method in ("fft", "direct"):
+        got = shift.shift_sums(df.where("side = 0"), df.where("side = 1"), ["k"], ("y", "x"), (5, 3), tile=16, method=method).collect()
+        assert len(got) == 2 * 11 * 7
+        for r in got:
+            a = np.pad(images[r.k, 0], 6)
+            b = np.roll(np.pad(images[r.k, 1], 6), (-r.dy, -r.dx), (0, 1))
+            both = (a > 0) & (b > 0)
+            want = [both.sum(), a[both].sum(), b[both].sum(), (a[both] ** 2).sum(), (b[both] ** 2).sum(), (a[both] * b[both]).sum()]
+            assert np.allclose([r[n] for n in shift.SUMS], want), (method, r)

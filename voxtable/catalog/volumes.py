@@ -294,7 +294,7 @@ def stitch_mosaic(spark, folder):
     return out.select("root", "layer", "y", "x", r("v").alias("v"), r("weight").alias("weight")).where("weight > 0")
 
 
-_SHIFTS = f"""WITH s AS MATERIALIZED ({STACK}), o AS MATERIALIZED (SELECT layer + 1 AS layer, y + 2 AS y, x - 1 AS x, least(v + (y * 7 + x * 3) % 5, 255) AS v FROM s), p AS MATERIALIZED (SELECT s.layer + dl AS layer, s.y + dy AS y, s.x + dx AS x, s.v AS a, dl, dy, dx FROM s, generate_series(-1, 1) a(dl), generate_series(-2, 2) b(dy), generate_series(-2, 2) c(dx) WHERE s.v > 0)
+_SHIFTS = f"""WITH s AS MATERIALIZED ({STACK}), o AS MATERIALIZED (SELECT layer + 1 AS layer, y + 2 AS y, x - 1 AS x, least(v + (y * 7 + x * 3) % 5, 255) AS v FROM s), p AS MATERIALIZED (SELECT s.layer + dl AS layer, s.y + dy AS y, s.x + dx AS x, s.v AS a, dl, dy, dx FROM s, generate_series(-1, 1) a(dl), generate_series(-48, 48) b(dy), generate_series(-2, 2) c(dx) WHERE s.v > 0)
  SELECT dl::INT AS dlayer, dy::INT AS dy, dx::INT AS dx, count(*) AS n, round(covar_pop(a, v) * count(*) / sqrt(var_pop(a) * count(*) * var_pop(v) * count(*) + 1e-12), 6) + 0.0 AS ncc
  FROM p JOIN o USING (layer, y, x) WHERE v > 0 GROUP BY ALL"""
 
@@ -308,7 +308,7 @@ def _scan_pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def _all_shifts(spark: SparkSession, folder: str, method: str) -> DataFrame:
     a, b = _scan_pair(spark, folder)
-    s = shift.shift_sums(a, b, [], ("layer", "y", "x"), (1, 2, 2), method=method)
+    s = shift.shift_sums(a, b, [], ("layer", "y", "x"), (1, 48, 2), method=method)
     out = shift.shift_scores(s, [], ["dlayer", "dy", "dx"])
     return out.where("n > 0.5").select("dlayer", "dy", "dx", F.round("n").cast("long").alias("n"), r("ncc").alias("ncc"))
 
@@ -320,7 +320,7 @@ def shift_correlation(spark, folder):
 
 @query(_SHIFTS)
 def fft_shift(spark, folder):
-    """The same table from one transform per tile."""
+    """The same table from one transform per block."""
     return _all_shifts(spark, folder, "fft")
 
 
@@ -329,7 +329,7 @@ def placement_search(spark, folder):
     """Two-stage search (pooled, then fine) finds the planted shift."""
     a, b = _scan_pair(spark, folder)
     one = F.lit(1).alias("k")
-    out = shift.coarse_to_fine(a.select(one, "*"), b.select(one, "*"), ["k"], 1, 4)
+    out = shift.coarse_to_fine(a.select(one, "*"), b.select(one, "*"), ["k"], 1, 48)
     return out.select("dlayer", "dy", "dx", r("best").alias("best"))
 
 

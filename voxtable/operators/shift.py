@@ -2,14 +2,15 @@
 
 Correlation is algebraic: a tile of the reference and the matching tile of the other image (with a halo as wide as the
 search) give partial sums for every shift, and the sums add up over tiles. What is shuffled is each image once plus
-one short row per (tile, shift); no pixel is copied per shift.
+one row of sums per task and key; no pixel is copied per shift.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,27 +21,30 @@ SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
 
 def shift_sums(
-    ref: DataFrame, other: DataFrame, keys: Sequence[str], axes: Sequence[str], reach: Sequence[int], value: str = "v", tile: int = 32, method: str = "direct", masked: bool = True
+    ref: DataFrame, other: DataFrame, keys: Sequence[str], axes: Sequence[str], reach: Sequence[int], value: str = "v", tile: int = 32, method: str = "fft", masked: bool = True
 ) -> DataFrame:
-    """Per key and shift: the six sums over reference pixels p and ``other[p + shift]`` (pixels stored in both, > 0 if
-    ``masked``). ``method='fft'`` gets all shifts of a tile from one transform instead of a loop."""
+    """Per key and shift: the six sums over reference pixels p and ``other[p + shift]`` (pixels stored in both, > 0 if ``masked``).
+
+    A block is ``tile`` or four times the reach wide, whichever is more, so that its halo stays a small part of it. ``method='fft'`` gets all shifts of a
+    block from one transform (overlap-save: the halo keeps wrapped products out), ``'direct'`` from a loop. A block gives one row of arrays; tasks add
+    theirs up before they are exchanged.
+    """
     keys, axes = list(keys), list(axes)
-    a = with_halo(ref.select(*keys, *axes, F.col(value).cast("double").alias("__v")), keys, {c: (tile, 0) for c in axes}).withColumn("__side", F.lit(0))
-    b = with_halo(other.select(*keys, *axes, F.col(value).cast("double").alias("__v")), keys, {c: (tile, r) for c, r in zip(axes, reach)}).withColumn("__side", F.lit(1))
+    tiles = [max(tile, 4 * r) for r in reach]
+    a = with_halo(ref.select(*keys, *axes, F.col(value).cast("double").alias("__v")), keys, {c: (t, 0) for c, t in zip(axes, tiles)}).withColumn("__side", F.lit(0))
+    b = with_halo(other.select(*keys, *axes, F.col(value).cast("double").alias("__v")), keys, {c: (t, r) for c, t, r in zip(axes, tiles, reach)}).withColumn("__side", F.lit(1))
     shifts = [f"d{c}" for c in axes]
+    spans = [2 * r + 1 for r in reach]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import itertools
-
         import numpy as np
 
         side = pdf["__side"].to_numpy()
         if (side == 0).sum() == 0 or (side == 1).sum() == 0:
-            return pd.DataFrame({c: [] for c in keys + shifts + list(SUMS)})
-        lo = [int(pdf[f"t_{c}"].iloc[0]) * tile for c in axes]
-        shape = [tile] * len(axes)
-        big = [tile + 2 * r for r in reach]
-        x, mx = np.zeros(shape), np.zeros(shape)
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*keys, "sums"]})
+        lo = [int(pdf[f"t_{c}"].iloc[0]) * t for c, t in zip(axes, tiles)]
+        big = [t + 2 * r for t, r in zip(tiles, reach)]
+        x, mx = np.zeros(tiles), np.zeros(tiles)
         y, my = np.zeros(big), np.zeros(big)
         v = pdf["__v"].to_numpy()
         for s, arr, m, pad in ((0, x, mx, [0] * len(axes)), (1, y, my, list(reach))):
@@ -49,31 +53,58 @@ def shift_sums(
             arr[at] = v[sel]
             m[at] = (v[sel] > 0) if masked else 1.0
         x, y = x * mx, y * my
-        pairs = {"n": (mx, my), "sa": (x, my), "sb": (mx, y), "saa": (x * x, my), "sbb": (mx, y * y), "sab": (x, y)}
-        grid = [range(-r, r + 1) for r in reach]
+        small, large = {"m": mx, "a": x, "aa": x * x}, {"m": my, "b": y, "bb": y * y}
+        pairs = (("m", "m"), ("a", "m"), ("m", "b"), ("aa", "m"), ("m", "bb"), ("a", "b"))
+        sums = np.zeros([len(SUMS), *spans])
         if method == "fft":
-            size = [b + t for b, t in zip(big, shape)]
-            spectra = {}
-            for name, (p, q) in pairs.items():
-                c = np.fft.irfftn(np.fft.rfftn(q, size) * np.conj(np.fft.rfftn(p, size)), size)
-                spectra[name] = c[tuple(slice(0, 2 * r + 1) for r in reach)].ravel()
-            cols = spectra
+            every = range(len(axes))
+            f = {k: np.conj(np.fft.rfftn(p, big, every)) for k, p in small.items()}
+            g = {k: np.fft.rfftn(q, big, every) for k, q in large.items()}
+            for k, (p, q) in enumerate(pairs):
+                sums[k] = np.fft.irfftn(g[q] * f[p], big, every)[tuple(slice(0, n) for n in spans)]
         else:
-            cols = {n: [] for n in SUMS}
-            for d in itertools.product(*grid):
-                cut = tuple(slice(r + k, r + k + tile) for r, k in zip(reach, d))
-                for name, (p, q) in pairs.items():
-                    cols[name].append(float((p * q[cut]).sum()))
-        combos = np.array(list(itertools.product(*grid)))
-        data = {k: [pdf[k].iloc[0]] * len(combos) for k in keys}
-        data.update({s: combos[:, i] for i, s in enumerate(shifts)})
-        data.update({n: np.asarray(cols[n], float) for n in SUMS})
-        return pd.DataFrame(data)
+            for d in np.ndindex(*spans):
+                cut = tuple(slice(k, k + t) for k, t in zip(d, tiles))
+                for k, (p, q) in enumerate(pairs):
+                    sums[(k, *d)] = (small[p] * large[q][cut]).sum()
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "sums": [sums.ravel()]})
 
     types = dict(ref.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"{s} int" for s in shifts] + [f"{n} double" for n in SUMS])
-    tiles = a.unionByName(b).groupBy(*keys, *[f"t_{c}" for c in axes]).applyInPandas(run, schema)
-    return tiles.groupBy(*keys, *shifts).agg(*[F.sum(n).alias(n) for n in SUMS])
+    typed = [f"`{k}` {types[k]}" for k in keys]
+    blocks = a.unionByName(b).groupBy(*keys, *[f"t_{c}" for c in axes]).applyInPandas(run, ", ".join([*typed, "sums array<double>"]))
+    added = blocks.mapInPandas(lambda batches: _added(batches, keys), ", ".join([*typed, "sums array<double>"]))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        total, first = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.column(batch.schema.get_field_index("sums"))[k].values.to_numpy()
+                total = row.copy() if total is None else np.add(total, row, out=total)
+                first = batch.slice(k, 1) if first is None else first
+        sums = total.reshape(len(SUMS), -1)
+        places = np.indices(spans).reshape(len(spans), -1) - np.array(reach)[:, None]
+        columns = [pa.array([first.column(first.schema.get_field_index(k))[0].as_py()] * sums.shape[1], first.schema.field(k).type) for k in keys]
+        columns += [pa.array(p.astype("int32")) for p in places] + [pa.array(p) for p in sums]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, *shifts, *SUMS])
+
+    schema = ", ".join([*typed, *(f"{s} int" for s in shifts), *(f"{n} double" for n in SUMS)])
+    added = added if keys else added.withColumn("__all", F.lit(0))
+    return added.groupBy(*(keys or ["__all"])).applyInArrow(told, schema)
+
+
+def _added(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """One row per key of a task: the arrays of its blocks added up."""
+    import numpy as np
+
+    total: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            key = tuple(row)[:-1]
+            total[key] = total[key] + np.asarray(row.sums) if key in total else np.asarray(row.sums)
+    if total:
+        yield pd.DataFrame({**{k: [key[i] for key in total] for i, k in enumerate(keys)}, "sums": list(total.values())})
 
 
 def shift_scores(sums: DataFrame, keys: Sequence[str], shifts: Sequence[str], min_n: int = 1, eps: float = 1e-12) -> DataFrame:
