@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtable.llm.quality_rules import METRICS
+from voxtable.llm.quality_rules import BORROWED, LEAST_STEPS, METRICS, TWENTIETHS
 from voxtable.llm.secret_scan import RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,11 +53,21 @@ def _metric(name: str) -> str:
 
 def _level(depth: int, keys: str) -> str:
     by = f"{keys}, " if keys else ""
-    return f"""l{depth} AS (SELECT {by}metric, max(rows) AS rows, min(value) FILTER (up_to * 4 >= rows) AS q1, min(value) FILTER (up_to * 4 >= rows * 3) AS q3 FROM
- (SELECT {by}metric, value, sum(n) OVER (PARTITION BY {by}metric ORDER BY value) AS up_to, sum(n) OVER (PARTITION BY {by}metric) AS rows FROM
+    quantiles = ", ".join(f"min(value) FILTER (up_to * 20 >= rows * {k}) AS q{k}" for k in TWENTIETHS)
+    return f"""l{depth} AS (SELECT {by}metric, max(rows) AS rows, {quantiles} FROM
+ (SELECT {by}metric, value, CAST(sum(n) OVER (PARTITION BY {by}metric ORDER BY value) AS BIGINT) AS up_to, CAST(sum(n) OVER (PARTITION BY {by}metric) AS BIGINT) AS rows FROM
  (SELECT {by}metric, value, count(*) AS n FROM e GROUP BY {by}metric, value)) GROUP BY {by}metric)"""
 
 
+def _quantile(k: int) -> str:
+    wide = f"((l1.rows * l1.q{k} + {BORROWED} * l2.q{k}) / (l1.rows + {BORROWED}))"
+    return f"(l0.rows * l0.q{k} + {BORROWED} * {wide}) / (l0.rows + {BORROWED})"
+
+
+def _by_metric(k: int) -> str:
+    return f"CASE m.metric {' '.join(f"WHEN '{m}' THEN {v[k]}" for m, v in METRICS.items())} END"
+
+
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -71,11 +81,12 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 m AS ({" UNION ALL ".join(f"SELECT rid, lang, source, base_failed, {k} AS rank, '{m}' AS metric, {_metric(m)} AS value FROM f" for k, m in enumerate(METRICS))}),
 e AS (SELECT * FROM m WHERE NOT base_failed),
 {_level(0, "lang, source")}, {_level(1, "lang")}, {_level(2, "")},
-v AS (SELECT m.rid, m.rank, m.metric, m.value, CASE WHEN l0.rows >= 200 THEN l0.q1 WHEN l1.rows >= 200 THEN l1.q1 ELSE l2.q1 END AS q1, CASE WHEN l0.rows >= 200 THEN l0.q3 WHEN l1.rows >= 200 THEN l1.q3 ELSE l2.q3 END AS q3,
- CASE m.metric {" ".join(f"WHEN '{m}' THEN {v[3]}" for m, v in METRICS.items())} END AS reach, CASE m.metric {" ".join(f"WHEN '{m}' THEN {v[4]}" for m, v in METRICS.items())} END AS least,
- m.metric = 'word_length' AS two FROM m JOIN l0 ON m.metric = l0.metric AND m.lang IS NOT DISTINCT FROM l0.lang AND m.source IS NOT DISTINCT FROM l0.source
+q AS (SELECT m.rid, m.rank, m.metric, m.value, {_quantile(TWENTIETHS[0])} AS low, {_quantile(TWENTIETHS[1])} AS middle, {_quantile(TWENTIETHS[2])} AS high,
+ {_by_metric(3)} AS reach, {_by_metric(4)} AS least, {_by_metric(5)} AS most, m.metric = 'word_length' AS two
+ FROM m JOIN l0 ON m.metric = l0.metric AND m.lang IS NOT DISTINCT FROM l0.lang AND m.source IS NOT DISTINCT FROM l0.source
  LEFT JOIN l1 ON m.metric = l1.metric AND m.lang IS NOT DISTINCT FROM l1.lang LEFT JOIN l2 ON m.metric = l2.metric),
-x AS (SELECT rid, list(metric ORDER BY rank) AS failed FROM v WHERE value > greatest(q3 + reach * (q3 - q1), least) OR (two AND value < q1 - reach * (q3 - q1)) GROUP BY rid)
+v AS (SELECT *, greatest(reach * least(middle - low, high - middle), {LEAST_STEPS} * middle / 32) AS width FROM q),
+x AS (SELECT rid, list(metric ORDER BY rank) AS failed FROM v WHERE value > least(greatest(middle + width, least), most) OR (two AND value < middle - width) GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, coalesce(array_to_string(failed, ','), '') AS failed, NOT base_failed AND failed IS NULL AS kept
 FROM f LEFT JOIN x USING (rid)
 """

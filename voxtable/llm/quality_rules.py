@@ -9,13 +9,16 @@ from voxtable.llm.common import checkpoint, free
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: metric: (numerator, denominator, units per 1, quartile ranges above the third quartile, least upper limit, and whether it has a lower limit)
+#: metric: (numerator, denominator, units per 1, spreads between the median and the limit, least and greatest upper limit, whether it has a lower limit)
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 10_000, 6, 500, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 6, 5_000, False),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 6, 3_000, False),
-    "word_length": ("word_chars", "n_words", 100, 6, 1_200, True),
+    "symbols": ("n_symbols", "word_chars", 10_000, 6, 500, 2_000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 6, 5_000, 8_000, False),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 6, 3_000, 4_500, False),
+    "word_length": ("word_chars", "n_words", 100, 6, 0, 2_500, True),
 }
+#: Tenth, half and nine tenths, in twentieths; the least distance of a limit from the median, in steps of the sketch there (1/32 of it); and how many
+#: rows of its language a source is given besides its own (a language: of all).
+TWENTIETHS, LEAST_STEPS, BORROWED = (2, 10, 18), 12, 200
 
 
 def base_counts(df: DataFrame, text: str) -> DataFrame:
@@ -63,9 +66,13 @@ def sketches(counts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "e.metric", "e.value").agg(F.count("*").alias("n"))
 
 
-def limits(sketch: DataFrame, least_rows: int) -> DataFrame:
-    """lang, source, metric, low, high: fences around the quartiles of the sketch of language and source; with fewer than ``least_rows`` rows there,
-    of the sketches of the language merged, and with fewer there too, of all."""
+def limits(sketch: DataFrame, borrowed: int) -> DataFrame:
+    """lang, source, metric, low, high, from the quantiles of the sketches.
+
+    The quantiles of a source are averaged with those of its language, and these with those of all rows, weighted by rows, the wider group as if it had
+    ``borrowed`` rows. A limit lies some spreads away from the median, a spread being the nearer of the tenth and the ninth decile: junk on one side
+    moves neither it nor, up to nearly half of the rows, the median by much. Where values hardly differ the distance is ``LEAST_STEPS`` steps of the sketch.
+    """
     from pyspark.sql import Window
 
     levels = []
@@ -74,7 +81,7 @@ def limits(sketch: DataFrame, least_rows: int) -> DataFrame:
         group = Window.partitionBy(*keys, "metric")
         up_to = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
         steps = merged.select(*keys, "metric", "value", up_to.alias("up_to"), F.sum("n").over(group).alias("rows"))
-        q = [F.min(F.when(F.col("up_to") * 4 >= F.col("rows") * k, F.col("value"))).alias(f"q{k}_{depth}") for k in (1, 3)]
+        q = [F.min(F.when(F.col("up_to") * 20 >= F.col("rows") * k, F.col("value"))).alias(f"q{k}_{depth}") for k in TWENTIETHS]
         levels.append((keys, steps.groupBy(*keys, "metric").agg(F.first("rows").alias(f"rows_{depth}"), *q)))
     out = sketch.select("lang", "source", "metric").distinct()
     for depth, (keys, level) in enumerate(levels):
@@ -83,24 +90,31 @@ def limits(sketch: DataFrame, least_rows: int) -> DataFrame:
         for k in keys:
             match = match & F.col(k).eqNullSafe(F.col(f"{k}_{depth}"))
         out = out.join(named, match, "left")
-    pick = lambda q: F.when(F.col("rows_0") >= least_rows, F.col(f"{q}_0")).when(F.col("rows_1") >= least_rows, F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
+
+    def merged_quantile(k: int) -> Column:
+        wide = (F.col("rows_1") * F.col(f"q{k}_1") + borrowed * F.col(f"q{k}_2")) / (F.col("rows_1") + borrowed)
+        return (F.col("rows_0") * F.col(f"q{k}_0") + borrowed * wide) / (F.col("rows_0") + borrowed)
+
+    low, middle, high = (merged_quantile(k) for k in TWENTIETHS)
     by = lambda k: F.create_map(*(x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v[k]))))[F.col("metric")]
-    reach = by(3) * (pick("q3") - pick("q1"))
-    low = F.when(by(5), F.greatest(pick("q1") - reach, F.lit(0))).otherwise(F.lit(0))
-    return out.select("lang", "source", "metric", low.alias("low"), F.greatest(pick("q3") + reach, by(4)).alias("high"))
+    out = out.select("lang", "source", "metric", middle.alias("middle"), F.least(middle - low, high - middle).alias("spread"))
+    width = F.greatest(by(3) * F.col("spread"), LEAST_STEPS * F.col("middle") / 32)
+    least = F.when(by(6), F.greatest(F.col("middle") - width, F.lit(0.0))).otherwise(F.lit(0.0))
+    return out.select("lang", "source", "metric", least.alias("low"), F.least(F.greatest(F.col("middle") + width, by(4)), by(5)).alias("high"))
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_rows: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", borrowed: int = BORROWED) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and ``failed`` (the names of the metrics beyond their limits) of every row.
 
     A row is kept if it passes the base rules (50 words at least, no more than half of them in repeated 3-word windows) and each metric lies within
     the limits of its language and source. Null texts have no words and fail. Null languages and sources form groups of their own; null ids and
-    repeated rows are judged each; other columns are not read; an empty table gives no rows. Windows are compared by 64-bit hashes within a text.
+    repeated rows are judged each; very long texts are counted whole; other columns are not read; an empty table gives no rows. Windows are compared by
+    64-bit hashes within a text.
     """
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text_"))
     counts = base_counts(named, "text_").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counts = checkpoint(counts)
-    rules = limits(sketches(counts), least_rows).groupBy("lang", "source")
+    rules = limits(sketches(counts), borrowed).groupBy("lang", "source")
     rules = rules.agg(*(F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")))
     rules = rules.withColumnsRenamed({"lang": "lang_", "source": "source_"})
     beyond = lambda m: ~rounded(metric(m)).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
