@@ -1,4 +1,4 @@
-"""Token counts of whole texts; huge texts by overlapping chunks that are spliced where both encodings have a token in common."""
+"""Token counts of whole texts; long ones by overlapping chunks that are spliced where both encodings have a token in common."""
 
 from __future__ import annotations
 
@@ -51,8 +51,8 @@ def counter_of(path: str):
     return model, Pieces(lambda part: [len(x.ids) for x in model.encode_batch_fast(part, add_special_tokens=False)])
 
 
-def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", huge: int = 65_536, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and n_chunks (chunks encoded; 0 if the text was not huge) of every row.
+def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", huge: int = 4_096, chunk: int = 4_096, overlap: int = 64) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and n_chunks (chunks encoded; 0 for texts of at most ``huge`` bytes, which are one) of every row.
 
     Special strings inside texts are handled as the tokenizer does by default; none are added. A null text counts as empty: 0 bytes, 0 tokens.
     A null id stays null, repeated rows are counted each, other columns are not read, an empty table gives no rows. The tokenizer's file must
