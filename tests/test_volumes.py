@@ -92,10 +92,10 @@ def test_chunk_files_decode(spark, tmp_path):
 
 
 def test_growth_follows_the_sheet(spark, tilted):
-    seeds = spark.createDataFrame([(1, 19.2, 18.0, 10.0), (2, 39.0, 2.0, 30.0)], "patch long, z double, y double, x double")
-    frames = growth.seed_frames(seeds, tilted, CHUNK, radius=6.0)
+    seeds = spark.createDataFrame([("v", 0, 1, 19.2, 18.0, 10.0), ("v", 0, 2, 39.0, 2.0, 30.0)], "volume_id string, level int, patch long, z double, y double, x double")
+    frames = growth.seed_frames(seeds, tilted, CHUNK, radius=6)
     assert [r.patch for r in frames.collect()] == [1]
-    nodes = growth.grow_patches(frames, tilted, SHAPE, CHUNK, "v", half_nodes=2, step=2.0).where("ok").toPandas()
+    nodes = growth.grow_patches(frames, tilted, SHAPE, CHUNK, half_nodes=2, step=2.0).where("ok").toPandas()
     assert len(nodes) >= 20
     # the seed itself stays on its voxel; every grown node is snapped to the ridge
     grown = nodes[(nodes["i"] != 0) | (nodes["j"] != 0)]

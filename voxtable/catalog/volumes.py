@@ -220,22 +220,54 @@ def _seeds(spark: SparkSession, folder: str) -> DataFrame:
     return mid.select("patch", (F.col("z0") + 0.5).alias("z"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
 
 
-@query()
+#: The plane cut into volumes of 25 rows.
+ROWS = 25
+
+
+def _planes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, tuple[int, int, int]]:
+    """Chunks of one volume per 25 rows of the plane, and a seed over the middle of each: three voxels above the crest."""
+    p = parts(spark, folder)
+    number = F.floor(F.col("y") / ROWS).cast("long")
+    own = p.select(number.alias("patch"), F.concat(F.lit("plane"), number.cast("string")).alias("volume_id"), F.lit(0).alias("level"), F.pmod("y", F.lit(ROWS)).cast("int").alias("y"), "x")
+    v = own.withColumn("z", F.explode(F.sequence(F.lit(10), F.lit(75))))
+    off = F.col("z") - 24 - F.col("x")
+    v = v.select("volume_id", "level", "z", "y", "x", F.rint(200 * F.exp(-0.3 * off * off)).cast("smallint").alias("v"))
+    seeds = own.where((F.col("y") == 12) & (F.col("x") == 19)).withColumn("z", F.col("x") + 27)
+    return ch.lay_out(ch.to_chunks(v, CHUNK)), seeds, (88, ROWS, 40)
+
+
+_BALL = f"""SELECT s.patch, dz, dy, dx FROM (SELECT (p_partkey // 40 // {ROWS})::BIGINT AS patch, max(p_partkey // 40 % {ROWS}) AS last FROM part GROUP BY ALL) s, range(-14, 15) a(dz), range(-14, 15) b(dy), range(-14, 15) c(dx)
+ WHERE dz * dz + dy * dy + dx * dx <= 196 AND abs(1 + dz - dx) <= 1 AND 12 + dy BETWEEN 0 AND s.last AND s.last >= 12"""
+
+
+@query(
+    f"""WITH m AS (SELECT patch, count(*) AS voxels, var_samp(dz) AS zz, var_samp(dx) AS xx, var_samp(dy) AS yy, covar_samp(dz, dx) AS zx FROM ({_BALL}) GROUP BY patch)
+ SELECT 'plane' || patch AS volume_id, patch, 45.0::DOUBLE AS pz, 12.0::DOUBLE AS py, 20.0::DOUBLE AS px, round(sqrt(2), 6) AS distance, voxels, round(sqrt(0.5), 4) AS nz, 0.0::DOUBLE AS ny, round(-sqrt(0.5), 4) AS nx,
+ round((zz - 2 * zx + xx) / 2 / least(yy, (zz + 2 * zx + xx) / 2), 6) AS planarity FROM m"""
+)
 def seed_frames(spark, folder):
-    """Local frames: the smallest principal axis of the sheet around each seed is the sheet normal."""
-    f = growth.seed_frames(_seeds(spark, folder), sheet_chunks(spark, folder), CHUNK, radius=6.0)
-    tilt = F.abs(F.col("nz"))
-    return f.select("patch", r("pz").alias("pz"), r("py").alias("py"), r("px").alias("px"), r(tilt).alias("abs_nz"), r("planarity").alias("planarity"))
+    """Frames on the planes: the snapped place, the normal turned up, and the covariance's axes, which the lattice of the ball gives in SQL."""
+    chunks, seeds, _ = _planes(spark, folder)
+    f = growth.seed_frames(seeds, chunks, CHUNK)
+    up = F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
+    return f.select("volume_id", "patch", *(r(p).alias(p) for p in growth.P), r("distance").alias("distance"), "voxels", *(r(F.col(n) * up, 4).alias(n) for n in growth.N), r("planarity").alias("planarity"))
 
 
-@query()
+@query(
+    f"""SELECT 'plane' || (p_partkey // 40 // {ROWS}) AS volume_id, (p_partkey // 40 // {ROWS})::BIGINT AS patch, true AS on_plane, true AS upright, true AS covers FROM part GROUP BY ALL HAVING max(p_partkey // 40 % {ROWS}) >= 12"""
+)
 def grow_patches(spark, folder):
-    """Grows one patch per sheet and reports tracked nodes and their distance from the planted surface."""
-    c = sheet_chunks(spark, folder)
-    frames = growth.seed_frames(_seeds(spark, folder), c, CHUNK, radius=6.0)
-    nodes = growth.grow_patches(frames, c, shape(spark, folder), CHUNK, "sheet", half_nodes=2, step=3.0)
-    z0 = 8 + 0.08 * (4.0 * (F.col("py") - 25 * F.col("patch")) + 0.1 * F.col("px"))
-    return nodes.where("ok").groupBy("patch").agg(F.count(F.lit(1)).alias("tracked"), r(F.max(F.abs(F.col("pz") - z0)), 4).alias("max_error"))
+    """Grows a patch in each volume, all in one call, at the registered size: whether the nodes lie on the plane, their normals across it, and their
+    number within a fifth of what its area holds at a step of 4."""
+    chunks, seeds, dims = _planes(spark, folder)
+    frames = growth.seed_frames(seeds, chunks, CHUNK)
+    nodes = growth.grow_patches(frames, chunks, dims, CHUNK)
+    grown = nodes.where("ok and (i <> 0 or j <> 0)").join(seeds.select("patch", "volume_id"), ["patch", "volume_id"])
+    rows = parts(spark, folder).groupBy(F.floor(F.col("y") / ROWS).cast("long").alias("patch")).agg((F.max(F.pmod("y", F.lit(ROWS))) + 1).alias("rows"))
+    lean = F.abs(F.col("nz") - F.col("nx")) / 2**0.5
+    out = grown.groupBy("volume_id", "patch").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("pz") - 24 - F.col("px")) / 2**0.5).alias("off"), F.min(lean).alias("lean")).join(rows, "patch")
+    area = F.col("rows") / 4 * (40 * 2**0.5 / 4)
+    return out.select("volume_id", "patch", (F.col("off") < 0.4).alias("on_plane"), (F.col("lean") > 0.99).alias("upright"), (F.abs(F.col("n") / area - 1) < 0.2).alias("covers"))
 
 
 def _sheet_patches(spark: SparkSession, folder: str) -> DataFrame:

@@ -152,6 +152,53 @@ def box(chunks: DataFrame, volume_id: str, level: int, lo: Shape, hi: Shape, chu
     return explode_chunks(full, chunk, keep_zero=True, lo=lo, hi=hi)
 
 
+def box_pieces(requests: DataFrame, chunks: DataFrame, chunk: Shape, ids: Sequence[str]) -> DataFrame:
+    """What each chunk holds of each requested box, cut out where the buffer lies: ids, piece, where it begins in the box (pz, py, px), its size (lz, ly,
+    lx), and an error in place of the piece if the buffer has a wrong length.
+
+    ``requests`` has ids, volume_id, level and the half-open box z0, z1, y0, y1, x0, x1. Absent chunks give no piece.
+    """
+    wanted = requests.select(*ids, "volume_id", "level", *(f"{a}{e}" for a in ZYX for e in (0, 1)))
+    for a, c in zip(ZYX, chunk):
+        first = F.floor(F.col(f"{a}0") / c).cast("int")
+        wanted = wanted.withColumn(f"c{a}", F.explode(F.sequence(first, F.greatest(F.floor((F.col(f"{a}1") - 1) / c).cast("int"), first))))
+    met = wanted.hint("merge").join(_within(chunks.select(*KEYS, "data"), wanted, KEYS), list(KEYS))
+    size = chunk[0] * chunk[1] * chunk[2]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            pieces, errors, at = [], [], {f"{n}{a}": [] for n in "pl" for a in ZYX}
+            for r in batch.itertuples(index=False):
+                bad = r.data is None or len(r.data) != size
+                errors.append(f"a chunk of {0 if r.data is None else len(r.data)} bytes, not {size}" if bad else None)
+                spans = []
+                for a, c in zip(ZYX, chunk):
+                    corner = getattr(r, f"c{a}") * c
+                    lo, hi = max(getattr(r, f"{a}0"), corner), min(getattr(r, f"{a}1"), corner + c)
+                    spans.append(slice(lo - corner, max(hi, lo) - corner))
+                    at[f"p{a}"].append(lo - getattr(r, f"{a}0"))
+                    at[f"l{a}"].append(max(hi - lo, 0))
+                pieces.append(None if bad else np.frombuffer(r.data, np.uint8).reshape(chunk)[tuple(spans)].tobytes())
+            yield batch[list(ids)].assign(piece=pieces, error=errors, **at)
+
+    types = dict(requests.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in ids), "piece binary", "error string", *(f"{n}{a} int" for n in "pl" for a in ZYX)])
+    return met.select(*ids, *(f"{a}{e}" for a in ZYX for e in (0, 1)), "cz", "cy", "cx", "data").mapInPandas(cut, schema)
+
+
+def put_together(pieces: pd.DataFrame, size: Shape):
+    """The box of ``size`` from the rows of its pieces; zero where there is none."""
+    import numpy as np
+
+    out = np.zeros(size, np.uint8)
+    for r in pieces[pieces["piece"].notna()].itertuples(index=False):
+        spans = tuple(slice(int(p), int(p) + int(n)) for p, n in ((r.pz, r.lz), (r.py, r.ly), (r.px, r.lx)))
+        out[spans] = np.frombuffer(r.piece, np.uint8).reshape([s.stop - s.start for s in spans])
+    return out
+
+
 def footprint(points: DataFrame, chunk: Shape) -> DataFrame:
     """Distinct chunks a set of integer points touches, with the number of points in each."""
     return points.groupBy(*chunk_keys(chunk)).agg(F.count(F.lit(1)).alias("points"))

@@ -1,8 +1,7 @@
-"""Surface growth: all seeds advance together, one wave per round.
+"""Surface growth: the seeds of all volumes advance together, one wave per round.
 
-State is one row per visited node of every patch. A wave joins the frontier to its tracked neighbours, probes the volume
-along the predicted normals and appends the accepted and rejected nodes. Lineage is cut by a reliable checkpoint each
-wave, so a lost executor costs at most one wave.
+A wave is a table of its own, keyed by volume, level, patch and node. A node that is not visited yet can only border nodes of the last wave, and what lies
+beyond these belongs to the last two; so a wave reads two tables and the keys of rejected nodes, and nothing that was grown is written again.
 """
 
 from __future__ import annotations
@@ -15,153 +14,186 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.functions.columns import cross, dot, unit
-from voxtable.operators.chunks import ZYX, explode_chunks, trilinear
-from voxtable.operators.fits import local_frame
-from voxtable.operators.nearest import nearest
-from voxtable.session import cut_lineage
+from voxtable.operators.chunks import ZYX, box_pieces, put_together, trilinear
+from voxtable.session import scratch_path, stored
 
 P, N, U, V = (tuple(f"{p}{a}" for a in ZYX) for p in ("p", "n", "u", "v"))
 STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1))
+SEED = ("volume_id", "level", "patch")
+NODE = (*SEED, "i", "j")
+FRAME = "volume_id string, level int, patch long, " + ", ".join(f"{c} double" for c in (*P, *N, *U, *V)) + ", distance double, voxels long, planarity double"
 
 
-def seed_frames(seeds: DataFrame, chunks: DataFrame, chunk: Sequence[int], radius: float = 14.0, threshold: int = 127) -> DataFrame:
-    """Snap each seed (patch, z, y, x) to its nearest sheet voxel and fit the local frame by principal axes.
+def seed_frames(seeds: DataFrame, chunks: DataFrame, chunk: Sequence[int], radius: int = 14, threshold: int = 127) -> DataFrame:
+    """Snap each seed (volume_id, level, patch, z, y, x) to the nearest sheet sample of the cube around it and fit the local frame there.
 
-    Sheet voxels of the ball are those joined through ball-sized cells; seeds without sheet are absent (``no_sheet``).
-    The normal is the smallest axis, V the projected z axis (y if z is nearly normal), U completes the frame.
+    The 26-connected sheet at the snapped place is labelled within its cube; of it, what lies in the ball gives the covariance. The normal is its
+    smallest axis, V the projected z axis (y if z is nearly normal), U completes the frame. A seed meets only the chunks of its cube, by key, and seeds
+    without sheet or with fewer than four voxels have no row.
     """
-    sheet = explode_chunks(chunks, chunk).where(F.col("v") > threshold).select(*ZYX).withColumn("vid", F.struct(*ZYX))
-    snap = nearest(seeds.select("patch", *ZYX), sheet, list(ZYX), "patch", "vid", max_distance=radius)
-    centre = snap.select("patch", *[F.col(f"vid.{a}").alias(f"s{a}") for a in ZYX])
     r = int(radius)
-    cells = centre
-    for a in ZYX:
-        cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"s{a}") - r) / r), F.floor((F.col(f"s{a}") + r) / r))))
-    keyed = sheet.select(*ZYX, *[F.floor(F.col(a) / r).alias(f"c{a}") for a in ZYX])
-    ball = cells.join(keyed, [f"c{a}" for a in ZYX])
-    sq = sum((F.pow(F.col(a) - F.col(f"s{a}"), 2) for a in ZYX[1:]), F.pow(F.col("z") - F.col("sz"), 2))
-    ball = ball.where(sq <= r * r).select("patch", *[F.col(f"s{a}") for a in ZYX], *ZYX)
-    linked = _seed_component(ball, r)
-    frame = local_frame(linked, ["patch"], ZYX)
-    out = frame.join(centre, "patch").select("patch", *[F.col(f"s{a}").cast("double").alias(p) for a, p in zip(ZYX, P)], *[F.col("normal")[k].alias(n) for k, n in enumerate(N)], "planarity")
-
-    def project(axis: int) -> list[Column]:
-        return [F.lit(1.0 if k == axis else 0.0) - F.col(n) * F.col(N[axis]) for k, n in enumerate(N)]
-
-    along_z, along_y = project(0), project(1)
-    flat = F.sqrt(dot(along_z, along_z)) < 0.3
-    out = out.withColumns({f"__{v}": F.when(flat, b).otherwise(a) for v, a, b in zip(V, along_z, along_y)})
-    out = out.withColumns(dict(zip(V, unit([f"__{v}" for v in V]))))
-    return out.withColumns(dict(zip(U, unit(cross(V, N))))).select("patch", *P, *N, *U, *V, "planarity")
-
-
-def _seed_component(ball: DataFrame, radius: int) -> DataFrame:
-    """Keeps the 26-neighbour component of the snapped voxel. A ball holds at most ``(2 radius + 1) ** 3`` voxels."""
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
+    reach = 2 * r + 1
+    asked = seeds.select(*SEED, *ZYX, *(e.alias(f"{a}{k}") for a in ZYX for k, e in ((0, (F.floor(a) - reach).cast("int")), (1, (F.floor(a) + reach + 2).cast("int")))))
+    rows = asked.select(*SEED, *(F.col(a).cast("double").alias(a) for a in ZYX)).unionByName(box_pieces(asked, chunks, chunk, SEED), allowMissingColumns=True)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        at = tuple((pdf[a] - pdf[f"s{a}"] + radius + 1).to_numpy() for a in ZYX)
-        on = np.zeros([2 * radius + 3] * 3, bool)
-        on[at] = True
-        reached = np.zeros_like(on)
-        reached[(radius + 1,) * 3] = on[(radius + 1,) * 3]
-        while True:
-            wide = reached
-            for axis in range(3):
-                wide = wide | np.roll(wide, 1, axis) | np.roll(wide, -1, axis)
-            wide &= on
-            if (wide == reached).all():
-                break
-            reached = wide
-        return pdf.loc[reached[at], ["patch", *ZYX]]
-
-    types = dict(ball.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ("patch", *ZYX))
-    return ball.groupBy("patch").applyInPandas(flood, schema)
+        names = [f.split()[0] for f in FRAME.split(", ")]
+        p = pdf.loc[pdf["z"].notna(), list(ZYX)].to_numpy(float)[0]
+        bad = pdf["error"].dropna()
+        if len(bad):
+            raise ValueError(min(bad))
+        low = np.floor(p).astype(int)
+        box = put_together(pdf, [2 * reach + 2] * 3).astype(float)
+        for axis, t in enumerate(p - low):  # samples at the seed plus whole steps: one mix of neighbours an axis
+            n = box.shape[axis] - 1
+            box = np.take(box, range(n), axis) * (1 - t) + np.take(box, range(1, n + 1), axis) * t
+        on = box > threshold
+        steps = np.indices([2 * r + 1] * 3).reshape(3, -1).T - r
+        hits = steps[on[tuple((steps + reach).T)]]
+        if len(hits) == 0:
+            return pd.DataFrame(columns=names)
+        far = np.linalg.norm(hits, axis=1)
+        snap = hits[far.argmin()]
+        cube = on[tuple(slice(reach + s - r, reach + s + r + 1) for s in snap)]
+        member = _component(cube, r)
+        idx = np.argwhere(member) - r
+        idx = idx[(idx**2).sum(axis=1) <= r * r]
+        if len(idx) < 4:
+            return pd.DataFrame(columns=names)
+        w, axes = np.linalg.eigh(np.cov(idx.T))
+        n = axes[:, 0]
+        v = np.eye(3)[0] - n * n[0]
+        if np.linalg.norm(v) < 0.3:
+            v = np.eye(3)[1] - n * n[1]
+        v /= np.linalg.norm(v)
+        u = np.cross(v, n)
+        return pd.DataFrame([(*key, *(p + snap), *n, *(u / np.linalg.norm(u)), *v, far.min(), len(idx), w[0] / max(w[1], 1e-9))], columns=names)
+
+    return rows.groupBy(*SEED).applyInPandas(fit, FRAME)
+
+
+def _component(on, centre: int):
+    """The 26-connected part of a cube of flags that holds its middle."""
+    import numpy as np
+
+    reached = np.zeros_like(on)
+    reached[(centre,) * 3] = on[(centre,) * 3]
+    while True:
+        wide = np.pad(reached, 1)
+        for axis in range(3):
+            wide = wide | np.roll(wide, 1, axis) | np.roll(wide, -1, axis)
+        wide = wide[1:-1, 1:-1, 1:-1] & on
+        if (wide == reached).all():
+            return reached
+        reached = wide
+
+
+def _messages(last: DataFrame, two: DataFrame, rejected: DataFrame, half_nodes: int) -> DataFrame:
+    """What the nodes around an unvisited node tell it: near and far neighbours by direction, and whether it was visited. One exchange by node."""
+    blank = [F.lit(None).cast("double").alias(c) for c in (*P, *N, *U, *V)]
+    own = [F.col(c).alias(c) for c in (*P, *N, *U, *V)]
+    to = lambda k: F.explode(F.array(*(F.struct((F.col("i") - k * a).alias("i"), (F.col("j") - k * b).alias("j"), F.lit(d).alias("d")) for d, (a, b) in enumerate(STEPS)))).alias("c")
+    near = last.where("ok").select(*SEED, *own, to(1)).select(*SEED, "c.i", "c.j", "c.d", F.lit("near").alias("kind"), *own)
+    far = two.where("ok").select(*SEED, *own, to(2)).select(*SEED, "c.i", "c.j", "c.d", F.lit("far").alias("kind"), *own)
+    seen = two.select(*NODE).unionByName(rejected.select(*NODE)).select(*NODE, F.lit(0).alias("d"), F.lit("seen").alias("kind"), *blank)
+    inside = (F.abs("i") <= half_nodes) & (F.abs("j") <= half_nodes)
+    return near.unionByName(far).unionByName(seen).where(inside)
+
+
+def _predicted(messages: DataFrame, step: float) -> DataFrame:
+    """Place, normal and axes of every node that has a near neighbour and was not visited: extrapolated from each side, then averaged."""
+    when = lambda kind, d, c: F.max(F.when((F.col("kind") == kind) & (F.col("d") == d), F.col(c)))
+    seen = F.max((F.col("kind") == "seen").cast("int")).alias("seen")
+    sides = [when("near", d, c).alias(f"{c}{d}") for d in range(4) for c in (*P, *N, *U, *V)] + [when("far", d, c).alias(f"far_{c}{d}") for d in range(4) for c in P]
+    met = messages.groupBy(*NODE).agg(seen, *sides)
+    there = [F.col(f"{P[0]}{d}").isNotNull() for d in range(4)]
+    count = sum((t.cast("int") for t in there[1:]), there[0].cast("int"))
+    met = met.where((F.col("seen") == 0) & (count > 0))
+    total = lambda terms: sum((F.coalesce(t, F.lit(0.0)) for t in terms[1:]), F.coalesce(terms[0], F.lit(0.0)))
+    place = []
+    for p, v, u in zip(P, V, U):
+        guesses = []
+        for d, (a, b) in enumerate(STEPS):
+            linear = F.col(f"{p}{d}") - step * (a * F.col(f"{v}{d}") + b * F.col(f"{u}{d}"))
+            guesses.append(F.coalesce(0.5 * linear + 0.5 * (2 * F.col(f"{p}{d}") - F.col(f"far_{p}{d}")), linear))
+        place.append((total(guesses) / count).alias(p))
+    return met.select(*NODE, *place, *(total([F.col(f"{c}{d}") for d in range(4)]).alias(c) for c in (*N, *U, *V)))
 
 
 def grow_patches(
-    frames: DataFrame,
-    chunks: DataFrame,
-    shape: Sequence[int],
-    chunk: Sequence[int],
-    volume_id: str,
-    level: int = 0,
-    half_nodes: int = 96,
-    step: float = 4.0,
-    search: float = 2.5,
-    max_jump: float = 1.75,
-    threshold: float = 90.0,
+    frames: DataFrame, chunks: DataFrame, shape: Sequence[int], chunk: Sequence[int], half_nodes: int = 96, step: float = 4.0, search: float = 2.5, max_jump: float = 1.75, threshold: float = 90.0
 ) -> DataFrame:
-    """Grows every seed frame into a (2 half + 1)^2 grid: rows patch, i, j, p*, n*, u*, v*, ok, wave."""
-    state = frames.select(
-        "patch", F.lit(0).alias("i"), F.lit(0).alias("j"), *P, *N, *U, *V, F.lit(True).alias("ok"), F.lit(0).alias("wave")
-    )
-    state = cut_lineage(state)
+    """Grows every seed frame (volume_id, level, patch, p*, n*, u*, v*) into a grid of (2 half + 1)^2 nodes at most.
+
+    Rows: volume_id, level, patch, i, j, p*, n*, ok, wave; rejected nodes have ok false. Normals of tracked nodes are blended with those of the grid
+    (``blended``). All volumes have the given shape and chunk.
+    """
+    path = scratch_path(frames.sparkSession, "grown")
+    seeds = frames.select(*SEED, F.lit(0).alias("i"), F.lit(0).alias("j"), *P, *N, *U, *V, F.lit(True).alias("ok"))
+    spark, schema = frames.sparkSession, seeds.schema
+
+    def wave_table(number: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{path}/wave={number}")
+
+    seeds.write.parquet(f"{path}/wave=0")
     probes = [search * (2 * k / (2 * search / 0.5) - 1) for k in range(int(2 * search / 0.5) + 1)]
+    rejected = None
     for wave in itertools.count(1):
-        tracked = state.where("ok")
-        newest = tracked.where(F.col("wave") == wave - 1)
-        to = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in STEPS])
-        front = newest.select("patch", F.explode(to).alias("c")).select("patch", "c.i", "c.j").distinct()
-        front = front.where((F.abs("i") <= half_nodes) & (F.abs("j") <= half_nodes))
-        front = cut_lineage(front.join(state.select("patch", "i", "j"), ["patch", "i", "j"], "left_anti"))
-        if front.isEmpty():
+        last = wave_table(wave - 1)
+        two = last if wave == 1 else last.unionByName(wave_table(wave - 2))
+        old = last.where("not ok") if rejected is None else rejected
+        guess = stored(_predicted(_messages(last, two, old, half_nodes), step), "front")
+        if guess.isEmpty():
             break
-        near = front.withColumn("s", F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in STEPS])))
-        near = near.select("patch", "i", "j", "s.di", "s.dj", (F.col("i") + F.col("s.di")).alias("ni"), (F.col("j") + F.col("s.dj")).alias("nj"))
-        node = tracked.select("patch", F.col("i").alias("ni"), F.col("j").alias("nj"), *P, *N, *U, *V)
-        far = tracked.select("patch", F.col("i").alias("fi"), F.col("j").alias("fj"), *[F.col(p).alias(f"far_{p}") for p in P])
-        met = near.join(node, ["patch", "ni", "nj"]).withColumns({"fi": F.col("ni") + F.col("di"), "fj": F.col("nj") + F.col("dj")})
-        met = met.join(far, ["patch", "fi", "fj"], "left")
-        guess = []
-        for p, v, u in zip(P, V, U):
-            linear = F.col(p) - step * (F.col("di") * F.col(v) + F.col("dj") * F.col(u))
-            guess.append(F.coalesce(0.5 * linear + 0.5 * (2 * F.col(p) - F.col(f"far_{p}")), linear).alias(f"g_{p}"))
-        met = met.select("patch", "i", "j", *guess, *N, *U, *V)
-        pred = met.groupBy("patch", "i", "j").agg(*[F.avg(f"g_{p}").alias(p) for p in P], *[F.sum(c).alias(c) for c in (*N, *U, *V)])
-        pred = pred.withColumns(dict(zip(N, unit(list(N)))))
-        probe = pred.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in probes])))
-        at = probe.select("patch", "i", "j", "w", F.lit(volume_id).alias("volume_id"), F.lit(level).alias("level"), *[(F.col(p) + F.col("w") * F.col(n)).alias(a) for a, p, n in zip(ZYX, P, N)])
-        vals = trilinear(at, chunks, shape, chunk, ["patch", "i", "j", "w"])
+        guess = guess.withColumns(dict(zip(N, unit(list(N)))))
+        probe = guess.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in probes])))
+        at = probe.select(*NODE, "w", *[(F.col(p) + F.col("w") * F.col(n)).alias(a) for a, p, n in zip(ZYX, P, N)])
+        values = trilinear(at, chunks, shape, chunk, [*NODE, "w"])
         weight = F.col("value") * F.exp(-0.5 * F.pow(F.col("w") / 1.5, 2))
-        snap = vals.groupBy("patch", "i", "j").agg(F.max("value").alias("peak"), (F.sum(weight * F.col("w")) / F.greatest(F.sum(weight), F.lit(1e-6))).alias("off"))
-        new = pred.join(snap, ["patch", "i", "j"]).withColumn("ok", (F.col("peak") >= threshold) & (F.abs("off") <= max_jump))
+        snap = values.groupBy(*NODE).agg(F.max("value").alias("peak"), (F.sum(weight * F.col("w")) / F.greatest(F.sum(weight), F.lit(1e-6))).alias("off"))
+        snap = stored(snap, "snapped")  # the algebra below is code of its own
+        new = guess.join(snap, list(NODE)).withColumn("ok", (F.col("peak") >= threshold) & (F.abs("off") <= max_jump))
         new = new.withColumns({p: F.col(p) + F.col("off") * F.col(n) for p, n in zip(P, N)})
         lean = dot(list(U), list(N))
-        new = new.withColumns(dict(zip([f"t_{u}" for u in U], unit([F.col(u) - lean * F.col(n) for u, n in zip(U, N)]))))
-        side = unit(cross(N, [f"t_{u}" for u in U]))
-        sign = F.when(dot(side, list(V)) < 0, -1.0).otherwise(1.0)
-        new = new.select("patch", "i", "j", *P, *N, *[F.col(f"t_{u}").alias(u) for u in U], *[(s * sign).alias(v) for s, v in zip(side, V)], "ok", F.lit(wave).alias("wave"))
-        state = state.unionByName(new)
-        if wave % 2 == 0:
-            state = _refresh_normals(cut_lineage(state))
-        state = cut_lineage(state)
-    return state
-
-
-def _refresh_normals(state: DataFrame) -> DataFrame:
-    """Blends tracked normals half and half with the grid normal wherever all four neighbours are tracked."""
+        new = new.withColumns({f"lean_{u}": F.col(u) - lean * F.col(n) for u, n in zip(U, N)})
+        new = new.withColumns(dict(zip([f"t_{u}" for u in U], unit([f"lean_{u}" for u in U]))))
+        new = new.withColumns(dict(zip([f"s_{v}" for v in V], cross(list(N), [f"t_{u}" for u in U]))))
+        sign = F.when(dot([f"s_{v}" for v in V], list(V)) < 0, -1.0).otherwise(1.0)
+        new = new.select(*NODE, *P, *N, *[F.col(f"t_{u}").alias(u) for u in U], *[(F.col(f"s_{v}") * sign).alias(v) for v in V], "ok")
+        new.write.parquet(f"{path}/wave={wave}")
+        gone = wave_table(wave).where("not ok").select(*NODE)
+        rejected = gone if rejected is None else rejected.unionByName(gone)
+        if wave % 16 == 0:
+            rejected = stored(rejected, "rejected")
+    nodes = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, wave int").parquet(path)
+    return blended(nodes.drop(*U, *V))
+
+
+def blended(nodes: DataFrame) -> DataFrame:
+    """Normals of tracked nodes, drawn to those of the grid: every second wave halves the angle between them wherever all four neighbours are tracked.
+
+    No wave reads a normal that was drawn before, as a node with four tracked neighbours borders no node still to come; so all halvings are done at
+    once, by turning the normal through its share of the angle.
+    """
     to = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in STEPS])
-    sent = state.where("ok").select("patch", *P, F.explode(to).alias("c"))
-    sides = []
-    for p in P:
-        sides.append((F.sum(F.when(F.col("c.a") != 0, -F.col("c.a") * F.col(p)))).alias(f"di_{p}"))
-        sides.append((F.sum(F.when(F.col("c.b") != 0, -F.col("c.b") * F.col(p)))).alias(f"dj_{p}"))
-    full = sent.groupBy("patch", F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.count(F.lit(1)).alias("k"), *sides).where("k = 4").drop("k")
-    g = state.join(full, ["patch", "i", "j"], "left")
-    grid = unit(cross([f"dj_{p}" for p in P], [f"di_{p}" for p in P]))
-    sign = F.when(dot(grid, list(N)) < 0, -1.0).otherwise(1.0)
-    mixed = unit([0.5 * c * sign + 0.5 * F.col(n) for c, n in zip(grid, N)])
-    use = F.col("ok") & F.col(f"di_{P[0]}").isNotNull()
-    g = g.withColumns({f"m_{n}": F.when(use, m).otherwise(F.col(n)) for n, m in zip(N, mixed)})
-    lean = dot(list(U), [f"m_{n}" for n in N])
-    g = g.withColumns({f"m_{u}": F.when(use, c).otherwise(F.col(u)) for u, c in zip(U, unit([F.col(u) - lean * F.col(f"m_{n}") for u, n in zip(U, N)]))})
-    side = cross([f"m_{n}" for n in N], [f"m_{u}" for u in U])
-    flip = F.when(dot(side, list(V)) < 0, -1.0).otherwise(1.0)
-    g = g.withColumns({f"m_{v}": F.when(use, s * flip).otherwise(F.col(v)) for v, s in zip(V, side)})
-    return g.select("patch", "i", "j", *P, *[F.col(f"m_{c}").alias(c) for c in (*N, *U, *V)], "ok", "wave")
+    sent = nodes.where("ok").select(*SEED, *P, "wave", F.explode(to).alias("c"))
+    sides = [F.sum(-F.col(f"c.{k}") * F.col(p)).alias(f"{d}_{p}") for d, k in (("di", "a"), ("dj", "b")) for p in P]
+    full = sent.groupBy(*SEED, F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.count(F.lit(1)).alias("k"), F.max("wave").alias("since"), *sides).where("k = 4")
+    ends = nodes.groupBy(*SEED).agg(F.max("wave").alias("end"))
+    full = full.join(ends, list(SEED)).withColumns(dict(zip([f"x_{n}" for n in N], cross([f"dj_{p}" for p in P], [f"di_{p}" for p in P]))))
+    full = full.withColumns(dict(zip([f"g_{n}" for n in N], unit([f"x_{n}" for n in N]))))
+    # even waves from the one that completed the neighbours, or the node itself, to the last of the patch
+    g = nodes.join(full.select(*NODE, "since", "end", *(f"g_{n}" for n in N)), list(NODE), "left")
+    since = F.greatest("since", "wave")
+    times = F.greatest(F.floor(F.col("end") / 2) - F.floor((since - 1) / 2), F.lit(0))
+    flip = F.when(dot([f"g_{n}" for n in N], list(N)) < 0, -1.0).otherwise(1.0)
+    g = g.withColumns({f"g_{n}": F.col(f"g_{n}") * flip for n in N}).withColumn("angle", F.acos(F.least(dot([f"g_{n}" for n in N], list(N)), F.lit(1.0))))
+    left = F.col("angle") * F.pow(F.lit(0.5), times)
+    turned = [(F.sin(left) * F.col(n) + F.sin(F.col("angle") - left) * F.col(f"g_{n}")) / F.sin("angle") for n in N]
+    use = F.col("ok") & (F.col("angle") > 1e-6)
+    return g.select(*NODE, *P, *(F.when(use, t).otherwise(F.col(n)).alias(n) for n, t in zip(N, turned)), "ok", "wave")
 
 
 def drop_covered(nodes: DataFrame, priority: Column, radius: float = 6.0) -> DataFrame:

@@ -6,13 +6,13 @@ the best shift. What can't be judged is a row as well, with the reason it was sk
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtable.operators.chunks import KEYS, ZYX, explode_chunks
+from voxtable.operators.chunks import KEYS, ZYX, box_pieces, explode_chunks, put_together
 from voxtable.operators.raster import cross_erosion
 from voxtable.plans.audits import reference_pairs
 
@@ -66,38 +66,6 @@ def _requests(jobs: DataFrame, levels: DataFrame, stack: str, side: int, layers:
     return best.withColumn("side", F.lit(side)).drop("nz", "ny", "nx")
 
 
-def _pieces(requests: DataFrame, chunks: DataFrame, chunk: Sequence[int]) -> DataFrame:
-    """What each chunk holds of each box, cut out where the buffer lies; a buffer of a wrong length gives an error instead."""
-    wanted = requests
-    for a, c in zip(ZYX, chunk):
-        last = F.greatest(F.floor((F.col(f"{a}1") - 1) / c), F.floor(F.col(f"{a}0") / c)).cast("int")
-        wanted = wanted.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / c).cast("int"), last)))
-    box = [f"{a}{e}" for a in ZYX for e in (0, 1)]
-    met = wanted.select(*JOB, "side", *box, *KEYS).hint("merge").join(chunks.select(*KEYS, "data"), list(KEYS))
-    size = chunk[0] * chunk[1] * chunk[2]
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for batch in batches:
-            pieces, errors, at = [], [], {f"p{a}": [] for a in ZYX} | {f"n{a}": [] for a in ZYX}
-            for r in batch.itertuples(index=False):
-                bad = r.data is None or len(r.data) != size
-                errors.append(f"a chunk of {0 if r.data is None else len(r.data)} bytes, not {size}" if bad else None)
-                spans = []
-                for a, c in zip(ZYX, chunk):
-                    corner = getattr(r, f"c{a}") * c
-                    lo, hi = max(getattr(r, f"{a}0"), corner), min(getattr(r, f"{a}1"), corner + c)
-                    spans.append(slice(lo - corner, max(hi, lo) - corner))
-                    at[f"p{a}"].append(lo - getattr(r, f"{a}0"))
-                    at[f"n{a}"].append(max(hi - lo, 0))
-                pieces.append(None if bad else np.frombuffer(r.data, np.uint8).reshape(chunk)[tuple(spans)].tobytes())
-            yield batch[[*JOB, "side"]].assign(piece=pieces, error=errors, **at)
-
-    where = ", ".join(f"{n}{a} int" for n in "pn" for a in ZYX)
-    return met.select(*JOB, "side", *box, "cz", "cy", "cx", "data").mapInPandas(cut, f"segment string, reference string, other string, window int, side int, piece binary, error string, {where}")
-
-
 def zoom_linear(block, factors: Sequence[float]):
     """Linear resampling of an array to round(n * factor) samples an axis, the first and the last staying where they are."""
     import numpy as np
@@ -141,13 +109,8 @@ def _judged(half_slab: int, depth: int, search_um: float, least_data: float):
     """The job of one window: assemble, resample, test, correlate. Any failure becomes the row's status."""
 
     def read(rows: pd.DataFrame, layers: int):
-        import numpy as np
-
         head = rows[rows["piece"].isna() & rows["error"].isna()].iloc[0]
-        block = np.zeros([int(head[f"{a}1"] - head[f"{a}0"]) for a in ZYX])
-        for r in rows[rows["piece"].notna()].itertuples(index=False):
-            spans = tuple(slice(p, p + n) for p, n in ((int(r.pz), int(r.nz)), (int(r.py), int(r.ny)), (int(r.px), int(r.nx))))
-            block[spans] = np.frombuffer(r.piece, np.uint8).reshape([s.stop - s.start for s in spans])
+        block = put_together(rows, [int(head[f"{a}1"] - head[f"{a}0"]) for a in ZYX])
         block = zoom_linear(block, [head[f"s{a}"] / head["grid_um"] for a in ZYX])
         middle, half = block.shape[0] // 2, min(layers, block.shape[0]) // 2
         return block[middle - half : middle + half]
@@ -204,7 +167,7 @@ def placement_check(
     jobs = pairs.join(found, ["segment", "reference"]).select(*JOB, "y_um", "x_um", "grid_um")
     asked = _requests(jobs, levels, "reference", 0, 2 * half_slab, size_um).unionByName(_requests(jobs, levels, "other", 1, 2 * (half_slab + depth), size_um))
     heads = asked.drop("volume_id", "level")
-    rows = heads.unionByName(_pieces(asked, chunks, chunk), allowMissingColumns=True)
+    rows = heads.unionByName(box_pieces(asked, chunks, chunk, [*JOB, "side"]), allowMissingColumns=True)
     judged = rows.groupBy(*JOB).applyInPandas(_judged(half_slab, depth, search_um, least_data), WINDOWS)
     alone = stacks.groupBy("segment").agg(F.count(F.lit(1)).alias("c"))
     alone = alone.join(found.select("segment").distinct(), "segment", "left_anti")
