@@ -171,3 +171,20 @@ def test_smooth_grid_fills_holes(spark):
         else:
             d = ((known - [r.i, r.j]) ** 2).sum(1)
             assert any(np.isclose(r.z, want[tuple(k)]) for k in known[d == d.min()])
+
+
+def test_nearest_with_a_dense_cluster_a_far_query_and_equal_points(spark):
+    rng = np.random.default_rng(11)
+    cluster = rng.normal(0, 1e-6, (3_000, 3))
+    spread = rng.uniform(-1e4, 1e4, (500, 3))
+    points = np.concatenate([cluster, spread, np.full((1, 3), 7.0)])
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)]
+    equal = spark.range(100_000).select((F.col("id") + 10_000).alias("tid"), *(F.lit(7.0).alias(c) for c in "zyx"))
+    targets = spark.createDataFrame(rows, "tid long, z double, y double, x double").unionByName(equal)
+    asked = np.concatenate([rng.normal(0, 1e-6, (200, 3)), rng.uniform(-1e4, 1e4, (100, 3)), [[1e7, 1e7, -1e7], [7.0, 7.0, 7.0]]])
+    queries = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(asked)], "qid int, z double, y double, x double")
+    got = {r.qid: r for r in nearest.nearest(queries, targets, list("zyx"), "qid", "tid").collect()}
+    assert len(got) == len(asked) and got[301].tid == 3_500 and got[301].distance == 0
+    for i, q in enumerate(asked):
+        d = np.sqrt(((points - q) ** 2).sum(axis=1))
+        assert np.isclose(got[i].distance, d.min(), rtol=1e-9) and np.isclose(d[got[i].tid], d.min(), rtol=1e-9)

@@ -1,10 +1,10 @@
 """Exact nearest-neighbour joins without pairing a query with every target.
 
 Targets are reduced to distinct coordinates and summarised by a pyramid of grid cells, each with the tight bounding box
-of its points; the depth grows until no cell holds more than ``leaf`` points, so a dense cluster only makes the pyramid
-deeper. Queries walk the pyramid together, one equi-join per level: a cell stays a candidate only if its box can
-still beat the best guaranteed distance, which keeps a few cells per query. Each step is a join and an aggregate, both
-keyed by cell or query. The walk is exact for any cell size; ``max_distance`` only prunes earlier.
+of its points; the depth is the least at which no cell holds more than ``leaf`` points, so a dense cluster only makes the pyramid
+deeper, down to where doubles tell no points apart. Queries walk the pyramid together, one equi-join per level: a cell stays a
+candidate only if its box can still beat the best guaranteed distance. A candidate is a row, never part of a list, and the best distance of
+a query is a window over its rows, which spills. The walk is exact for any cell size; ``max_distance`` only prunes earlier.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.operators.ordered import numbered
@@ -20,7 +20,8 @@ from voxtable.session import cut_lineage
 
 BRANCH = 4
 LEAF = 64
-MAX_DEPTH = 14
+#: Cells of extent / 4 ** 25 are as small as doubles tell apart.
+MAX_DEPTH = 25
 CROWDED = 64
 
 
@@ -74,14 +75,11 @@ def nearest(
         return [_cell(c, origin[c], extent / BRANCH**level).alias(f"k_{c}") for c in coords]
 
     keys = [f"k_{c}" for c in coords]
-    depth = max(1, math.ceil(math.log(max(count / leaf, 1.0001)) / (len(coords) * math.log(BRANCH))))
-    tried = 0
-    while depth < MAX_DEPTH:
-        fullest = targets.groupBy(*on, *cells(depth)).count().agg(F.max("count")).first()[0]
-        if fullest <= leaf:
-            break
-        tried += 1
-        depth = min(MAX_DEPTH, depth + (1 if tried < 3 else 2))
+    least = max(1, math.ceil(math.log(max(count / leaf, 1.0001)) / (len(coords) * math.log(BRANCH))))
+    tried = sorted({min(MAX_DEPTH, least + k) for k in (0, 1, 2, 3, 5, 8, MAX_DEPTH)})
+    by_depth = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), *cells(d)) for d in tried])).alias("c")
+    held = targets.select(*on, by_depth).groupBy(*on, "c").count().groupBy("c.depth").agg(F.max("count").alias("most")).collect()  # a row per depth
+    depth = min([r.depth for r in held if r.most <= leaf], default=MAX_DEPTH)
 
     placed = targets.select("*", *cells(depth))
     lows = [F.min(f"lo_{c}").alias(f"lo_{c}") for c in coords]
@@ -97,34 +95,28 @@ def nearest(
             pyramid = cut_lineage(pyramid)
         nodes = {level: pyramid.where(F.col("__level") == level).drop("__level") for level in range(1, depth + 1)}
 
-    top = nodes[1].groupBy(*on).agg(F.collect_list(F.struct(*keys, *[f"{t}_{c}" for c in coords for t in ("lo", "hi")])).alias("__top"))
-    front = queries.join(top, on) if on else queries.withColumn("__top", top.select("__top").scalar())
     limit = F.lit(float(max_distance) ** 2 if max_distance is not None else float("inf"))
-
-    def bounded(n: Column) -> Column:
-        near, far = _box_bounds(coords, lambda c: n[f"lo_{c}"], lambda c: n[f"hi_{c}"])
-        return F.struct(near.alias("near"), far.alias("far"), *[n[k].alias(k) for k in keys])
-
-    front = front.withColumn("__c", F.transform("__top", bounded)).drop("__top")
-    front = front.withColumn("__best", F.least(limit, F.array_min(F.transform("__c", lambda n: n["far"]))))
-
-    def survivors(df: DataFrame) -> DataFrame:
-        alive = df.withColumn("__c", F.explode(F.filter("__c", lambda n: n["near"] <= F.col("__best"))))
-        return alive.select(*on, "__qid", *coords, "__best", *[F.col(f"__c.{k}").alias(k) for k in keys])
-
-    front = survivors(front)
+    sides = [f"{t}_{c}" for c in coords for t in ("lo", "hi")]
+    near, far = _box_bounds(coords, lambda c: F.col(f"lo_{c}"), lambda c: F.col(f"hi_{c}"))
+    own = Window.partitionBy(*on, "__qid", *coords)
+
+    def survivors(met: DataFrame) -> DataFrame:
+        """Of each query the cells that can still hold its nearest target, with the best distance that one of them guarantees."""
+        met = met.withColumn("__near", near).where(F.col("__near") <= F.col("__best")).withColumn("__far", far)
+        met = met.withColumn("__best", F.least("__best", F.min("__far").over(own))).where(F.col("__near") <= F.col("__best"))
+        return met.select(*on, "__qid", *coords, "__best", *keys)
+
+    first = nodes[1].select(*on, *keys, *sides)  # BRANCH ** coordinates cells at most
+    start = queries.withColumn("__best", limit)
+    if on:
+        front = survivors(start.join(first, on))
+    else:
+        listed = first.agg(F.collect_list(F.struct(*keys, *sides)).alias("c")).select("c").scalar()
+        front = survivors(start.withColumn("__c", F.explode(listed)).select("__qid", *coords, "__best", *(F.col(f"__c.{k}").alias(k) for k in (*keys, *sides))))
     for level in range(2, depth + 1):
-        children = nodes[level].select(
-            *on, *[F.floor(F.col(k) / BRANCH).cast("long").alias(k) for k in keys], *[F.col(k).alias(f"n_{k}") for k in keys],
-            *[f"{t}_{c}" for c in coords for t in ("lo", "hi")],
-        )
-        near, far = _box_bounds(coords, lambda c: F.col(f"lo_{c}"), lambda c: F.col(f"hi_{c}"))
-        step = front.join(children, [*on, *keys]).withColumn("__near", near).withColumn("__far", far).where("__near <= __best")
-        entry = F.struct(F.col("__near").alias("near"), *[F.col(f"n_{k}").alias(k) for k in keys])
-        merged = step.groupBy(*on, "__qid", *coords).agg(
-            F.least(F.min("__far"), F.min("__best")).alias("__best"), F.collect_list(entry).alias("__c")
-        )
-        front = survivors(merged)
+        children = nodes[level].select(*on, *[F.floor(F.col(k) / BRANCH).cast("long").alias(f"up_{k}") for k in keys], *keys, *sides)
+        parents = front.withColumnsRenamed({k: f"up_{k}" for k in keys})
+        front = survivors(parents.join(children, [*on, *(f"up_{k}" for k in keys)]))
 
     sq = F.lit(0.0)
     for c in coords:
