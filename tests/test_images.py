@@ -211,3 +211,21 @@ def test_shift_sums_over_blocks_and_keys(spark):
             both = (a > 0) & (b > 0)
             want = [both.sum(), a[both].sum(), b[both].sum(), (a[both] ** 2).sum(), (b[both] ** 2).sum(), (a[both] * b[both]).sum()]
             assert np.allclose([r[n] for n in shift.SUMS], want), (method, r)
+
+
+@pytest.mark.parametrize("sep, tile", [((3, 3), 16), ((5, 2), 24)])
+def test_a_chain_of_picks_takes_rounds_by_tiles(spark, monkeypatch, sep, tile):
+    """On a slope every pick hangs on the one before it: one walk from end to end, in as many rounds as tiles are crossed."""
+    from voxtable.operators import select as sel
+
+    rounds, plain = [], sel.map_tiles
+    monkeypatch.setattr(sel, "map_tiles", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    cells = [(y, x, 100 * x + 7 * y) for y in range(12) for x in range(96)]
+    df = spark.createDataFrame(cells, "y int, x int, v int")
+    got = {(r.y, r.x) for r in sel.greedy_separated(df, [], [F.col("v")], *sep, tile=tile).collect()}
+    want: list[tuple[int, int]] = []
+    for y, x, _ in sorted(cells, key=lambda c: (c[2], c[0], c[1])):
+        if all(abs(y - b) >= sep[0] or abs(x - a) >= sep[1] for b, a in want):
+            want.append((y, x))
+    assert got == set(want)
+    assert len(rounds) <= 2 * -(-96 // tile) < len({x for _, x in want})

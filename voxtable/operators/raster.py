@@ -49,11 +49,13 @@ def map_tiles(
     kernel: Callable,
     outputs: Mapping[str, str],
     fill: float = 0.0,
+    edges: bool = False,
 ) -> DataFrame:
     """Runs an array kernel on every tile: ``kernel(block) -> {output: array}`` with ``block`` the dense tile plus halo.
 
     The block is cut at the image extent, so a kernel that reflects or zero-pads at its borders does so at true image
-    edges; elsewhere the halo absorbs the border. Missing pixels read ``fill``. Only stored core pixels are returned.
+    edges; elsewhere the halo absorbs the border. Missing pixels read ``fill``. Only stored core pixels are returned. With ``edges`` the kernel is also
+    told, per axis, whether the image goes on below and above the block.
     """
     keys, axes = list(keys), list(axes)
     src = df.select(*keys, *axes, F.col(value).cast("double").alias("__v"))
@@ -71,11 +73,12 @@ def map_tiles(
         import numpy as np
 
         first = pdf.iloc[0]
-        lo, hi = [], []
+        lo, hi, cut = [], [], []
         for a in axes:
             start, end = int(first[f"t_{a}"]) * tile - halo, (int(first[f"t_{a}"]) + 1) * tile + halo - 1
             lo.append(max(start, int(first[f"__lo_{a}"])))
             hi.append(min(end, int(first[f"__hi_{a}"])))
+            cut.append((start > int(first[f"__lo_{a}"]), end < int(first[f"__hi_{a}"])))
         block = np.full([h - l + 1 for l, h in zip(lo, hi)], fill)
         at = tuple(pdf[a].to_numpy() - l for a, l in zip(axes, lo))
         block[at] = pdf["__v"].to_numpy()
@@ -84,7 +87,7 @@ def map_tiles(
         data = {k: pdf[k].to_numpy()[core] for k in keys + axes}
         if not core.any():
             return pd.DataFrame({**data, **{n: [] for n in names}})
-        result = kernel(block)
+        result = kernel(block, cut) if edges else kernel(block)
         data.update({n: result[n][own] for n in names})
         return pd.DataFrame(data)
 

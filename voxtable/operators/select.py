@@ -25,7 +25,8 @@ def greedy_separated(
     """Candidates (keys, y, x) kept by a greedy pass in ``order`` (ascending): none within ``sep_y`` rows and ``sep_x``
     columns of a better kept one. With ``cap`` the first ``cap`` per key, numbered in ``pick``.
 
-    A key stops taking rounds once ``cap`` of its picks precede everything still undecided.
+    A round is a walk through every tile and its halo, which goes on while the block decides by itself; only what hangs on a chain that crosses its border
+    waits for the next round. A key stops taking rounds once ``cap`` of its picks precede everything still undecided.
     """
     keys = list(keys)
     tile = tile or max(64, 4 * max(sep_y, sep_x))
@@ -33,20 +34,33 @@ def greedy_separated(
     placed = cut_lineage(numbered(candidates.withColumns(firsts), keys, [*firsts, "y", "x"], "__prio").drop(*firsts, "__prio_of"))
     reach = (sep_y - 1, sep_x - 1)
 
-    def decide(block):
-        best = block
-        for axis, half in enumerate(reach):
-            best = sliding(best, half, axis, np.minimum, np.inf)
-        won = (best == block) & np.isfinite(block)
-        near = won.astype(float)
-        for axis, half in enumerate(reach):
-            near = sliding(near, half, axis, np.maximum, 0.0)
-        return {"__state": np.where(won, 2, np.where(near > 0, 1, 0))}
+    def decide(block, cut):
+        """The walk within a block as far as it is certain: a cell wins if no better one is left around it, and all around it lies in the block."""
+        certain = np.ones(block.shape, bool)
+        for axis, (half, (below, above)) in enumerate(zip(reach, cut)):
+            span = np.moveaxis(certain, axis, 0)
+            span[: half if below else 0] = False
+            span[len(span) - (half if above else 0) :] = False
+        open_, state = block, np.zeros(block.shape, int)
+        won = block < 0  # by the round before, in whichever tile
+        while True:
+            near = won.astype(float)
+            for axis, half in enumerate(reach):
+                near = sliding(near, half, axis, np.maximum, 0.0)
+            state[(near > 0) & np.isfinite(open_)] = 1
+            state[won] = 2
+            open_ = np.where(near > 0, np.inf, open_)
+            best = open_
+            for axis, half in enumerate(reach):
+                best = sliding(best, half, axis, np.minimum, np.inf)
+            won = (best == open_) & np.isfinite(open_) & certain
+            if not won.any():
+                return {"__state": state}
 
     left = placed.select(*keys, "y", "x", "__prio")
-    kept = None
+    kept = won = None
     while True:
-        state = map_tiles(left, keys, ("y", "x"), "__prio", tile, 2 * max(reach), decide, {"__state": "int"}, fill=float("inf"))
+        state = map_tiles(left if won is None else left.unionByName(won.withColumn("__prio", F.lit(-1).cast("long"))), keys, ("y", "x"), "__prio", tile, 2 * max(reach), decide, {"__state": "int"}, fill=float("inf"), edges=True)
         state = cut_lineage(state.join(left, [*keys, "y", "x"]))
         won = state.where("__state = 2").drop("__state")
         kept = won if kept is None else kept.unionByName(won)
