@@ -51,7 +51,7 @@ def counter_of(path: str):
     return model, Pieces(lambda part: [len(x.ids) for x in model.encode_batch_fast(part, add_special_tokens=False)])
 
 
-def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", huge: int = 10_000, chunk: int = 4_096, overlap: int = 64) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", huge: int = 12_000, chunk: int = 4_096, overlap: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_tokens and n_chunks (chunks encoded; 0 for texts of at most ``huge`` bytes, which are one) of every row.
 
     Special strings inside texts are handled as the tokenizer does by default; none are added. A null text counts as empty: 0 bytes, 0 tokens.
