@@ -229,3 +229,25 @@ def test_a_chain_of_picks_takes_rounds_by_tiles(spark, monkeypatch, sep, tile):
             want.append((y, x))
     assert got == set(want)
     assert len(rounds) <= 2 * -(-96 // tile) < len({x for _, x in want})
+
+
+def test_distance_transform_is_the_brute_force(spark):
+    from voxtable.operators import distance
+
+    rng = np.random.default_rng(4)
+    images = {"sparse": rng.random((70, 33)) < 0.004, "dense": rng.random((40, 50)) < 0.3, "none": np.zeros((9, 8), bool), "one": np.zeros((90, 5), bool), "top": np.zeros((64, 20), bool)}
+    images["one"][88, 1] = True
+    images["top"][0] = True
+    rows = [(k, int(y), int(x), bool(v)) for k, image in images.items() for (y, x), v in np.ndenumerate(image)]
+    df = spark.createDataFrame(rows, "k string, y int, x int, lit boolean")
+    for tile, strip in ((1024, 32), (8, 6), (1, 1)):
+        got = distance.distance_transform(df, ["k"], "lit", tile=tile, strip=strip).toPandas()
+        assert len(got) == len(rows)
+        for k, image in images.items():
+            part = got[got.k == k]
+            at = np.argwhere(image)
+            if len(at) == 0:
+                assert part.distance.isna().all()
+                continue
+            want = np.sqrt(((part[["y", "x"]].to_numpy()[:, None] - at[None]) ** 2).sum(axis=2)).min(axis=1)
+            assert np.allclose(part.distance.to_numpy(float), want), (k, tile)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxtable.catalog import Registry
 from voxtable.catalog.tables import GRID, grid, r, table
 from voxtable.functions import columns as fx
-from voxtable.operators import components, nearest, profile, raster, select, stats
+from voxtable.operators import components, distance, nearest, profile, raster, select, stats
 from voxtable.sources import readers
 
 REGISTRY = Registry()
@@ -145,16 +145,11 @@ def teacher_class(spark, folder):
     return grid(spark, folder).select("y", "x", fx.teacher_class(F.col("v") * 1000, 160, 50).alias("class"))
 
 
-@query(
-    f"""WITH g AS ({GRID}), t AS (SELECT y, x FROM g WHERE v > 0.25) SELECT a.y, a.x, round(min(sqrt((a.y - t.y) * (a.y - t.y) + (a.x - t.x) * (a.x - t.x))), 6) AS distance FROM g a JOIN t ON abs(a.y - t.y) <= 5 AND abs(a.x - t.x) <= 5
- WHERE (a.y - t.y) * (a.y - t.y) + (a.x - t.x) * (a.x - t.x) <= 25 GROUP BY ALL"""
-)
+@query(f"WITH g AS ({GRID}), t AS (SELECT y, x FROM g WHERE v > 0.25) SELECT a.y, a.x, round(sqrt(min((a.y - t.y) * (a.y - t.y) + (a.x - t.x) * (a.x - t.x))), 6) AS distance FROM g a, t GROUP BY ALL")
 def distance_transform(spark, folder):
-    """Distance to the nearest TRUE pixel where it is at most 5."""
-    g = grid(spark, folder).withColumn("id", F.struct("y", "x"))
-    true = g.where("v > 0.25").select(F.col("id").alias("tid"), "y", "x")
-    d = nearest.nearest(g, true, ["y", "x"], "id", "tid", max_distance=5.0)
-    return d.select("id.y", "id.x", r("distance").alias("distance"))
+    """Distance of every pixel to the nearest TRUE one."""
+    g = grid(spark, folder).select("y", "x", (F.col("v") > 0.25).alias("lit"))
+    return distance.distance_transform(g, [], "lit").select("y", "x", r("distance").alias("distance"))
 
 
 @query(
