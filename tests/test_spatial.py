@@ -188,3 +188,20 @@ def test_nearest_with_a_dense_cluster_a_far_query_and_equal_points(spark):
     for i, q in enumerate(asked):
         d = np.sqrt(((points - q) ** 2).sum(axis=1))
         assert np.isclose(got[i].distance, d.min(), rtol=1e-9) and np.isclose(d[got[i].tid], d.min(), rtol=1e-9)
+
+
+def test_cubic_densify_goes_through_nodes_and_keeps_cubics(spark):
+    """A spline through samples of a cubic is the cubic away from the border, whatever the tiles; nodes are kept everywhere."""
+    f = lambda i, j: 0.002 * i**3 - 0.05 * i * j + 0.01 * j**2
+    n = 90
+    rows = [(i, j, float(f(i, j))) for i in range(n) for j in range(60)]
+    df = spark.createDataFrame(rows, "i int, j int, z double")
+    for tile in (256, 32):
+        got = geometry.densify_cubic(df, [], 4, ["z"], tile=tile).toPandas()
+        assert len(got) == 4 * (n - 1) * 4 * 59 and got.v.max() == 4 * (n - 1) - 1
+        nodes = got[(got.v % 4 == 0) & (got.u % 4 == 0)]
+        assert np.allclose(nodes.z, f(nodes.v / 4, nodes.u / 4), atol=1e-8)
+        inner = got[got.v.between(100, 4 * n - 104) & got.u.between(100, 136)]
+        assert np.allclose(inner.z, f(inner.v / 4, inner.u / 4), atol=1e-6)
+    for a, total in ((a, sum(w for b, _, w in geometry.cubic_weights(4) if b == a)) for a in range(4)):
+        assert np.isclose(total, 1.0), a

@@ -331,15 +331,30 @@ def jsonl_roundtrip(spark, folder):
     return last.select("o_custkey", "o_orderkey", F.col("o_totalprice").isNotNull().alias("seen"))
 
 
-@query("SELECT path, size FROM (SELECT 'shard=' || o_orderstatus AS path, count(*) AS size FROM orders GROUP BY 1)")
+@query("SELECT 'shard=' || o_orderstatus AS path, sum(length('{\"o_orderkey\":' || o_orderkey || '}') + 1)::BIGINT AS size FROM orders GROUP BY 1")
 def object_inventory(spark, folder):
-    """The listing of a written table: its shard folders with the number of rows each holds (file bytes are never opened)."""
+    """The listing of a written table: the bytes of its files by shard folder (files are never opened), markers left out."""
     path = _scratch(spark, "inventory")
     o = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderstatus").alias("shard"))
     o.write.partitionBy("shard").json(path)
     listing = readers.object_inventory(spark, path).withColumn("path", F.regexp_extract("path", "(shard=[^/]+)/", 1))
-    rows = spark.read.json(path).groupBy(F.concat(F.lit("shard="), F.col("shard")).alias("path")).agg(F.count(F.lit(1)).alias("size"))
-    return rows.join(listing.where("size > 0").select("path").distinct(), "path")
+    return listing.where("path <> ''").groupBy("path").agg(F.sum("size").alias("size"))
+
+
+@query("SELECT row_number() OVER (ORDER BY total DESC, o_custkey) AS line, o_custkey || chr(9) || printf('%+.4f', total / 1000000) AS text FROM (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1)")
+def report_sink(spark, folder):
+    """An ordered text report, written by the sink and read back line by line: part files and their lines are in order."""
+    path = _scratch(spark, "report")
+    o = table(spark, folder, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    told = o.select("o_custkey", fx.signed4(F.col("total") / 1000000).alias("share"), "total")
+    writers.write_report(told, path, [F.col("total").desc(), F.col("o_custkey")])
+    back = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    parts = F.split("value", "\t")
+    lines = back.where(~F.col("value").startswith("o_custkey")).select("file", F.substring_index("value", "\t", 2).alias("text"), parts[2].cast("double").alias("total"), parts[0].cast("long").alias("k"), "at")
+    from voxtable.operators.ordered import numbered
+
+    # the place of a line in its file and the file's name give the order; no value is looked at
+    return numbered(lines, [], ["file", "at"]).select(F.col("rn").alias("line"), "text")
 
 
 @query(

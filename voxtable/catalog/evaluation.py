@@ -386,12 +386,29 @@ def merged_registry(spark, folder):
     return experiments.merged_registry([s, c], "k", "d")
 
 
+@query(
+    """WITH d AS (SELECT lang, source, text, md5(concat_ws(',', '7', doc_id::VARCHAR)) AS s, doc_id, length(text)::DOUBLE AS a FROM documents WHERE text IS NOT NULL),
+ n AS (SELECT lang, a, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, row_number() OVER (PARTITION BY lang ORDER BY s, doc_id) AS q FROM d),
+ p AS (SELECT x.lang, x.a, y.a AS b FROM n x JOIN n y ON y.lang = x.lang AND y.q = x.k), c AS (SELECT lang, count(*) AS pixels, corr(a, b) AS c FROM p GROUP BY lang)
+ SELECT lang, pixels, round(c, 6) AS corr, CASE WHEN c >= 0.5 THEN 'TEXTURE_DRIVEN' WHEN c <= 0.2 THEN 'DEPTH_DEPENDENT' ELSE 'MIXED' END AS outcome FROM c"""
+)
+def shuffle_outcome(spark, folder):
+    """Correlation of a map with its shuffled counterpart (text lengths by document, and in md5 order), judged per language."""
+    from voxtable.functions.columns import seeded_order
+    from voxtable.operators.ordered import numbered
+
+    d = table(spark, folder, "documents").where("text is not null").select("lang", "doc_id", F.length("text").cast("double").alias("a"), seeded_order(7, "doc_id").alias("s"))
+    real = numbered(d, ["lang"], ["doc_id"]).select("lang", "rn", "a")
+    moved = numbered(d, ["lang"], ["s", "doc_id"]).select("lang", "rn", F.col("a").alias("b"))
+    c = real.join(moved, ["lang", "rn"]).groupBy("lang").agg(F.count(F.lit(1)).alias("pixels"), F.corr("a", "b").alias("corr"))
+    return c.select("lang", "pixels", r("corr").alias("corr"), verdicts.texture_outcome(F.col("corr")).alias("outcome"))
+
+
 @query(
     """WITH h AS (SELECT lang, quality = 1 AS positive, md5(concat_ws(',', '7', doc_id::VARCHAR)) AS s FROM documents JOIN labels USING (doc_id)),
  k AS (SELECT lang, positive, rank() OVER (PARTITION BY lang ORDER BY s) AS rk FROM h), s AS (SELECT lang, count(*) FILTER (positive) AS pos, count(*) FILTER (NOT positive) AS neg, sum(rk) FILTER (positive) AS rs FROM k GROUP BY lang),
  a AS (SELECT lang, pos, neg, CASE WHEN pos >= 5 AND neg >= 5 THEN (rs - pos * (pos + 1) / 2.0) / (pos * neg) END AS auc FROM s)
- SELECT lang, pos, neg, round(auc, 6) AS auc, CASE WHEN auc IS NULL OR abs(auc - 0.5) > 0.1 THEN 'INVALID' ELSE 'PASS' END AS verdict,
- CASE WHEN auc >= 0.5 THEN 'TEXTURE_DRIVEN' WHEN auc <= 0.2 THEN 'DEPTH_DEPENDENT' ELSE 'MIXED' END AS outcome FROM a"""
+ SELECT lang, pos, neg, round(auc, 6) AS auc, CASE WHEN auc IS NULL OR abs(auc - 0.5) > 0.1 THEN 'INVALID' ELSE 'PASS' END AS verdict FROM a"""
 )
 def null_control(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang")
@@ -401,7 +418,7 @@ def null_control(spark, folder):
     shuffled = docs.join(labels, "doc_id").withColumn("s", seeded_order(7, "doc_id"))
     counts = shuffled.groupBy("lang", "s").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
     a = auc.rank_auc(counts, ["lang"], "s", min_each=5)
-    out = a.withColumn("verdict", verdicts.null_control(F.col("auc"), F.lit("PASS"))).withColumn("outcome", verdicts.texture_outcome(F.col("auc")))
+    out = a.withColumn("verdict", verdicts.null_control(F.col("auc"), F.lit("PASS")))
     return out.withColumn("auc", r("auc"))
 
 

@@ -111,6 +111,20 @@ def densify_cells(spark, folder):
     return out.select("u", "v", "kind", r("z").alias("z"))
 
 
+_WEIGHTS = "(VALUES " + ", ".join(f"({a}, {k}, {w!r}::DOUBLE)" for a, k, w in geometry.cubic_weights(2)) + ") w(a, k, w)"
+
+
+@query(
+    f"""WITH m AS MATERIALIZED (SELECT i, j, z FROM ({MESH})), e AS (SELECT max(i) AS il, max(j) AS jl FROM m),
+ p AS MATERIALIZED (SELECT n.i * 2 + a AS v, m.j, sum(w * m.z) AS z FROM (SELECT range AS i FROM e, range(0, (il + 1)::BIGINT)) n, {_WEIGHTS}, e, m WHERE n.i < il AND m.i = least(greatest(n.i + k, 0), il) GROUP BY ALL)
+ SELECT v::INT AS v, (n.j * 2 + a)::INT AS u, round(sum(w * p.z), 6) + 0.0 AS z FROM (SELECT range AS j FROM e, range(0, (jl + 1)::BIGINT)) n, {_WEIGHTS}, e, p WHERE n.j < jl AND p.j = least(greatest(n.j + k, 0), jl) GROUP BY ALL"""
+)
+def densify_cubic(spark, folder):
+    """The mesh's z on a grid twice as fine, by the cubic spline through all nodes."""
+    out = geometry.densify_cubic(mesh(spark, folder), [], 2, ["z"])
+    return out.select("v", "u", r("z").alias("z"))
+
+
 # a rotation of 30 degrees about z with a small shear, scale and translation
 MATRIX = [[0.8, -0.5, 0.1, 12.0], [0.5, 0.9, 0.0, -7.5], [0.05, 0.0, 1.1, 3.25]]
 
@@ -459,16 +473,30 @@ def claim_box(spark, folder):
     return near.agg(F.count(F.lit(1)).alias("near")).withColumn("claimed", claim.agg(F.count(F.lit(1))).scalar())
 
 
-@query()
+_BANDS = f"""m AS MATERIALIZED (SELECT i, j, x, floor((z + 2) * 1000)::BIGINT AS z, CASE WHEN y > j * 0.1 THEN 1.0 ELSE 0.0 END AS ink FROM ({MESH})),
+ wt AS (SELECT z, sum(abs(x)) AS w FROM m GROUP BY z), cum AS (SELECT z, sum(w) OVER (ORDER BY z) / sum(w) OVER () AS share FROM wt),
+ e AS (SELECT (round_even(min(z) FILTER (share >= 1 / 3.0::DOUBLE) / 10.0, 0) * 10)::BIGINT - 200 AS lower, (round_even(min(z) FILTER (share >= 2 / 3.0::DOUBLE) / 10.0, 0) * 10)::BIGINT + 200 AS upper FROM cum),
+ c AS (SELECT a.i AS y, a.j AS x, least(a.z, b.z, c.z, d.z) AS lo, greatest(a.z, b.z, c.z, d.z) AS hi, a.ink FROM m a JOIN m b ON b.i = a.i + 1 AND b.j = a.j JOIN m c ON c.i = a.i AND c.j = a.j + 1 JOIN m d ON d.i = a.i + 1 AND d.j = a.j + 1),
+ k AS (SELECT y, x, ink, CASE WHEN lo < lower THEN 0 WHEN lo < upper THEN 1 ELSE 2 END AS band FROM c, e WHERE CASE WHEN lo < lower THEN 0 WHEN lo < upper THEN 1 ELSE 2 END = CASE WHEN hi < lower THEN 0 WHEN hi < upper THEN 1 ELSE 2 END),
+ b AS MATERIALIZED (SELECT a.band, a.y, a.x, sum(o.ink) / 4 AS density, row_number() OVER (PARTITION BY a.band ORDER BY sum(o.ink) / 4 DESC, a.y, a.x) AS rk FROM k a JOIN k o ON o.band = a.band AND o.y BETWEEN a.y AND a.y + 1 AND o.x BETWEEN a.x AND a.x + 1 GROUP BY a.band, a.y, a.x HAVING count(*) = 4 AND sum(o.ink) > 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_BANDS}, walk AS (SELECT band, rk, y, x, density, [[y, x]] AS taken, 1 AS pick FROM b WHERE rk = 1
+ UNION ALL SELECT n.band, n.rk, n.y, n.x, n.density, n.taken, n.pick FROM (SELECT b.band, b.rk, b.y, b.x, b.density, list_append(w.taken, [b.y, b.x]) AS taken, w.pick + 1 AS pick, row_number() OVER (PARTITION BY b.band ORDER BY b.rk) AS first
+  FROM walk w JOIN b ON b.band = w.band AND b.rk > w.rk WHERE w.pick < 6 AND len(list_filter(w.taken, lambda t: abs(t[1] - b.y) < 2 AND abs(t[2] - b.x) < 2)) = 0) n WHERE n.first = 1)
+ SELECT band::INT AS band, pick, y, x, round(density, 6) AS density FROM walk"""
+)
 def band_plan(spark, folder):
-    """Mesh cells in z bands (terciles weighted by the first component), six densest 4 x 4 windows per band."""
+    """Mesh cells in z bands (terciles weighted by the first component), the six 2 x 2 windows per band with the most ink."""
     from voxtable.operators import select
 
     m = mesh(spark, folder)
-    cells = geometry.cell_corners(m.withColumn("valid", F.lit(True)), [], ["z"]).join(m.select("i", "j", "x"), ["i", "j"])
+    ink = m.select("i", "j", "x", F.when(F.col("y") > F.col("j") * 0.1, 1.0).otherwise(0.0).alias("ink"))
+    cells = geometry.cell_corners(m.withColumn("valid", F.lit(True)), [], ["z"]).join(ink, ["i", "j"])
     w = m.select(F.floor((F.col("z") + 2) * 1000).alias("z"), F.abs("x").alias("w"))
     e = select.weighted_tercile_edges(w, [], "z", "w")
-    scaled = cells.select(F.col("i").alias("y"), F.col("j").alias("x"), *[F.floor((F.col(c) + 2) * 1000).alias(c) for c in ("min_z", "max_z")], F.lit(1.0).alias("ink"))
+    scaled = cells.select(F.col("i").alias("y"), F.col("j").alias("x"), *[F.floor((F.col(c) + 2) * 1000).alias(c) for c in ("min_z", "max_z")], "ink")
     wide = e.select((F.col("lower") - 200).alias("lower"), (F.col("upper") + 200).alias("upper"))
     out = select.band_plan(scaled, [], wide, "ink", 2, 6)
     return out.select("band", "pick", "y", "x", r("density").alias("density"))

@@ -144,6 +144,62 @@ def densify_cells(mesh: DataFrame, keys: Sequence[str], k: int, cols: Sequence[s
     return inner.unionByName(nodes)
 
 
+#: Beyond so many nodes a cubic cardinal spline has died down below 1e-12 of its value.
+SPLINE_REACH = 22
+
+
+def cubic_weights(step: int) -> list[tuple[int, int, float]]:
+    """(a, k, w): what node k adds to the value at a / step between nodes 0 and 1, for the cubic spline through all nodes.
+
+    The spline's coefficients are the nodes filtered by sqrt(3) z^|n|, z = sqrt(3) - 2 (the inverse of 1/6, 4/6, 1/6); its values are the coefficients weighed by the B-spline.
+    """
+    z = 3**0.5 - 2
+
+    def basis(t: float) -> float:
+        t = abs(t)
+        return 2 / 3 - t * t + t**3 / 2 if t < 1 else (2 - t) ** 3 / 6 if t < 2 else 0.0
+
+    out = []
+    for a in range(step):
+        near = [(m, basis(a / step - m)) for m in (-1, 0, 1, 2)]
+        out += [(a, k, sum(b * 3**0.5 * z ** abs(k - m) for m, b in near)) for k in range(-SPLINE_REACH, SPLINE_REACH + 1)]
+    return out
+
+
+def densify_cubic(grid: DataFrame, keys: Sequence[str], step: int, cols: Sequence[str] = XYZ, tile: int = 64) -> DataFrame:
+    """Points (v, u) = 0 .. step * (n - 1) - 1 of the cubic spline through a grid that stores every node (i, j); the border's nodes go on outside it.
+
+    Tiles carry a halo in which the spline's memory of further nodes dies down, so that the tiles agree to rounding. ``smooth_grid`` fills holes before.
+    """
+    from voxtable.operators.raster import map_tiles
+
+    keys = list(keys)
+    weights = cubic_weights(step)
+
+    def kernel(block):
+        import numpy as np
+
+        taps = np.zeros((step, 2 * SPLINE_REACH + 1))
+        for a, k, w in weights:
+            taps[a, k + SPLINE_REACH] = w
+        wide = np.pad(block, SPLINE_REACH, mode="edge")
+        h, w = block.shape
+        rows = np.stack([sum(t * wide[k : k + h] for k, t in enumerate(tap)) for tap in taps])
+        fine = np.stack([np.stack([sum(t * row[:, k : k + w] for k, t in enumerate(tap)) for tap in taps]) for row in rows])
+        return {"fine": np.moveaxis(fine.reshape(step * step, h, w), 0, -1)}
+
+    last = grid.groupBy(*keys).agg(F.max("i").alias("__i"), F.max("j").alias("__j"))
+    out = None
+    for c in cols:
+        part = map_tiles(grid, keys, ("i", "j"), c, tile, SPLINE_REACH + 2, kernel, {"fine": "array<double>"})
+        part = part.select(*keys, "i", "j", F.posexplode("fine").alias("__k", c))
+        out = part if out is None else out.join(part, [*keys, "i", "j", "__k"])
+    out = out.join(last, keys) if keys else out.withColumns({k: last.select(k).scalar() for k in ("__i", "__j")})
+    out = out.where((F.col("i") < F.col("__i")) & (F.col("j") < F.col("__j")))
+    at = {"v": F.col("i") * step + F.floor(F.col("__k") / step), "u": F.col("j") * step + F.col("__k") % step}
+    return out.select(*keys, *(e.cast("int").alias(n) for n, e in at.items()), *cols)
+
+
 def carry_positions(
     queries: DataFrame, mesh: DataFrame, query_id: str, keys: Sequence[str] = (), max_delta: float = 1.0, max_residual: float = 8.0
 ) -> DataFrame:

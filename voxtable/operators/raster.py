@@ -86,9 +86,9 @@ def map_tiles(
         own = tuple(p[core] for p in at)
         data = {k: pdf[k].to_numpy()[core] for k in keys + axes}
         if not core.any():
-            return pd.DataFrame({**data, **{n: [] for n in names}})
+            return pd.DataFrame({**data, **{n: pd.Series([], dtype=object) for n in names}})
         result = kernel(block, cut) if edges else kernel(block)
-        data.update({n: result[n][own] for n in names})
+        data.update({n: list(result[n][own]) if result[n].ndim > block.ndim else result[n][own] for n in names})
         return pd.DataFrame(data)
 
     types = dict(df.dtypes)
