@@ -244,3 +244,15 @@ def test_transcripts_written_by_others():
     text = "SYSTEM: be brief\nHuman: hello there\nand more\n**AI**: fine\n\nQ: next?"
     assert chat_transcript.turns_of(model, text) == [("system", "be brief"), ("user", "hello there\nand more"), ("assistant", "fine\n"), ("user", "next?")]
     assert chat_transcript.rendered([("user", " a \n")]) == "<|user|>\na\n<|end|>\n"
+
+
+def test_numerals_are_no_letters_and_many_languages_are_learned(spark):
+    texts = {"½ ② Ⅷ 12": "und", "½ x": None, "": "und", "_ 7": "und", "ª": None}
+    rows = [(k, t, None) for k, t in enumerate(texts)] + [(100 + k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} " * 20, f"l{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    few = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, most_langs=10).collect()}
+    assert few == {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+    for k, want in enumerate(texts.values()):
+        assert (few[k][0] == "und") == (want == "und")
+    learned = [k for k in range(60) if few[100 + k][0] == f"l{k}"]
+    assert len(learned) >= 35  # three of four are learned from

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxtable.llm.common import all_bytes, fold, slices
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and numerals that are no digits
 LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
 
@@ -30,7 +30,8 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def has_letter(raw: bytes) -> bool:
-    return LETTER.search(raw.decode("utf-8", "replace")) is not None
+    """Whether a character of the Unicode categories of letters occurs; numerals such as one half or a Roman eight are none."""
+    return any(m[0].isalpha() for m in LETTER.finditer(raw.decode("utf-8", "replace")))
 
 
 @dataclass
@@ -68,13 +69,12 @@ def clustered(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, n
 def fit(docs: DataFrame, text: str, lang: str, seed_column: Column, dims: int, per_lang: int, k: int, most_langs: int) -> Centroids:
     """Document frequencies come from all rows given; centroids from a sample of about ``per_lang`` rows of each language, by the hash of a row.
 
-    The sample's size is bounded by ``per_lang`` * ``most_langs`` rows on average; more languages than that is an error. It reaches the driver as
-    vectors of ``dims`` numbers.
+    The sample of a language is clustered in a task of its own (``per_lang`` vectors of ``dims`` numbers on average); the driver gets the centroids.
+    Up to ``most_langs`` languages the shares to draw are part of the plan, beyond that they are joined.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    totals = {r[0]: r[1] for r in known.groupBy(lang).count().limit(most_langs + 1).collect()}
-    if len(totals) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
+    counted = known.groupBy(F.col(lang).alias("counted_lang")).agg(F.count("*").alias("counted_rows"))
+    totals = {r[0]: r[1] for r in counted.limit(most_langs + 1).collect()}
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(dims, np.int64), 0
@@ -97,18 +97,24 @@ def fit(docs: DataFrame, text: str, lang: str, seed_column: Column, dims: int, p
                 found = [(g, vector(counts_of(x, dims), idf).tobytes()) for g, x in zip(langs[part], raw[part]) if has_letter(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], ["lang", "vector"])
 
-    share = F.create_map(*(F.lit(x) for g, n in totals.items() for x in (g, min(1.0, per_lang / n)))) if totals else F.create_map(F.lit(""), F.lit(0.0))
-    drawn = (F.pmod(seed_column, F.lit(1_000_003)) / 1_000_003) < F.coalesce(share[F.col(lang)], F.lit(0.0))
-    rows = known.where(drawn).select(F.col(lang).alias("l"), F.col(text).alias("t")).mapInArrow(vectors, "lang string, vector binary").collect()
-    centroids, langs, least = [], [], []
-    for g in sorted({r.lang for r in rows}):
-        own = sorted(bytes(r.vector) for r in rows if r.lang == g)  # the order of rows must not matter
-        own = np.frombuffer(b"".join(own), np.float32).reshape(-1, dims)
-        c, near = clustered(own, k)
-        centroids.append(c)
-        langs += [g] * len(c)
-        least += [0.35 * float(np.median(near))] * len(c)
-    return Centroids(idf, np.vstack(centroids).astype(np.float32) if centroids else np.zeros((0, dims), np.float32), langs, np.array(least))
+    place = F.pmod(seed_column, F.lit(1_000_003)) / 1_000_003
+    if len(totals) > most_langs:
+        drawn = known.join(counted, F.col(lang) == F.col("counted_lang")).where(place < per_lang / F.col("counted_rows"))
+    else:
+        share = F.create_map(*(F.lit(x) for g, n in totals.items() for x in (g, min(1.0, per_lang / n)))) if totals else F.create_map(F.lit(""), F.lit(0.0))
+        drawn = known.where(place < F.coalesce(share[F.col(lang)], F.lit(0.0)))
+
+    def cluster(table: pa.Table) -> pa.Table:
+        own = sorted(table.column("vector").to_pylist())  # the order of rows must not matter
+        c, near = clustered(np.frombuffer(b"".join(own), np.float32).reshape(-1, dims), k)
+        return pa.table([table.column("lang").slice(0, 1), pa.array([c.astype(np.float32).tobytes()], pa.binary()), pa.array([0.35 * float(np.median(near))])], ["lang", "centroids", "least"])
+
+    sample = drawn.select(F.col(lang).alias("l"), F.col(text).alias("t")).mapInArrow(vectors, "lang string, vector binary")
+    found = sorted(sample.groupBy("lang").applyInArrow(cluster, "lang string, centroids binary, least double").collect())
+    centroids = [np.frombuffer(bytes(r.centroids), np.float32).reshape(-1, dims) for r in found]
+    langs = [r.lang for r, c in zip(found, centroids) for _ in c]
+    least = [r.least for r, c in zip(found, centroids) for _ in c]
+    return Centroids(idf, np.vstack(centroids) if centroids else np.zeros((0, dims), np.float32), langs, np.array(least))
 
 
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -118,8 +124,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid) and rejected (too far from every language, or nothing to go by) of every row.
 
     Learns from rows outside the test fold that have a language. Null texts and texts without a letter are ``und`` with score 0 and rejected, as are
-    all texts if there is nothing to learn from. Rows with null ids are learned from and never held out; repeated rows are judged each; other
-    columns are not read; an empty table gives no rows.
+    all texts if there is nothing to learn from. Of equally near centroids the first goes, languages being in order. Rows with null ids are learned from
+    and never held out; repeated rows are judged each; very long texts are read whole; other columns are not read; an empty table gives no rows.
     """
     model = model_of(docs, doc_id, text, lang, folds, test, dims, per_lang, centroids, most_langs)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), (fold(doc_id, folds) == test).alias("held_out"), F.col(text).alias("text"))
@@ -142,7 +148,7 @@ def model_of(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int, tes
 
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows that are not rejected, with all their columns."""
+    """The rows that are not rejected, with all their columns; null texts and texts without a letter are rejected."""
     model = model_of(docs, doc_id, text, lang, 4, 2, 4096, 400, 4, 400)
     at = docs.columns.index(text)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.llm.common import all_bytes, fold, slices
@@ -43,13 +43,13 @@ class Lines:
     counts: np.ndarray
 
     @staticmethod
-    def of(texts: list[bytes], most: int | None = None) -> Lines:
+    def of(texts: list[bytes]) -> Lines:
         rows, sizes, counts = [], [], []
         for raw in texts:
             before: set[bytes] = set()
             n = 0
             for line in raw.split(b"\n"):
-                if line.strip() and (most is None or n < most):
+                if line.strip():
                     rows.append(line_features(line, line in before))
                     before.add(line)
                     sizes.append(len(line))
@@ -129,16 +129,21 @@ def fit(lines: Lines, good: np.ndarray, rounds: int = 250, rate: float = 0.1, ri
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, quality: str, folds: int, test: int, most_docs: int, most_lines: int) -> Field:
-    """Fits on at most ``most_docs`` labelled texts outside the test fold, chosen by the hash of their id, and ``most_lines`` lines of each."""
+    """Fits on labelled texts outside the test fold, whole ones, in the order of the hash of their ids: at most ``most_docs``, and as many as have
+    ``most_lines`` lines together. A text that has a fiftieth of these by itself is not drawn."""
     known = labels.where((fold(doc_id, folds) != test) & F.col(doc_id).isNotNull() & F.col(quality).isin(0, 1))
     known = known.groupBy(F.col(doc_id).cast("bigint").alias("label_id")).agg(F.min(quality).cast("int").alias("good"))
     drawn = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most_docs)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("label_id"), F.col(text).alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(drawn), "label_id").dropDuplicates(["label_id"])  # at most most_docs rows of two numbers
+    rows = rows.withColumn("n", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))).where(F.col("n") <= most_lines // 50)
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("label_id"), "label_id").rowsBetween(Window.unboundedPreceding, 0))
+    taken = rows.select("label_id", "n").withColumn("so_far", so_far).where(F.col("so_far") <= most_lines).select("label_id")  # of most_docs rows
+    rows = rows.join(F.broadcast(taken), "label_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Lines.of([x], most_lines).features[:, :N_OWN].tobytes() for x in all_bytes(batch.column(1))]
+            found = [Lines.of([x]).features[:, :N_OWN].tobytes() for x in all_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["label_id", "lines", "good"])
 
     sample = sorted(rows.select("label_id", "text", "good").mapInArrow(features, "label_id bigint, lines binary, good int").collect())
@@ -150,12 +155,12 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, quality: s
 RESULT = "doc_id bigint, held_out boolean, score double"
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", folds: int = 5, test: int = 0, least: float = 0.3, most_docs: int = 4_000, most_lines: int = 400) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", folds: int = 5, test: int = 0, least: float = 0.3, most_docs: int = 4_000, most_lines: int = 200_000) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if the score is ``least`` or more) of every row.
 
     The score is the length-weighted mean of the lines' probabilities of being good. Null texts and texts without words have the score of one bare
     line. Rows with null ids are scored and not learned from, nor are labels other than 0 and 1; of several labels of an id the least counts;
-    repeated rows are scored each; other columns are not read; an empty table gives no rows, and without labels all lines are as likely good as bad.
+    repeated rows are scored each; very long texts are scored whole; other columns are not read; an empty table gives no rows, and without labels all lines are as likely good as bad.
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, doc_id, text, quality, folds, test, most_docs, most_lines))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), (fold(doc_id, folds) == test).alias("held_out"), F.col(text).alias("text"))
