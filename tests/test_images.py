@@ -251,3 +251,14 @@ def test_distance_transform_is_the_brute_force(spark):
                 continue
             want = np.sqrt(((part[["y", "x"]].to_numpy()[:, None] - at[None]) ** 2).sum(axis=2)).min(axis=1)
             assert np.allclose(part.distance.to_numpy(float), want), (k, tile)
+
+
+def test_banding_at_a_small_angle(spark):
+    y, x = np.indices((80, 90))
+    at = y * np.cos(np.radians(8)) + x * np.sin(np.radians(8))
+    v = np.where(np.floor(at / 6) % 2 == 0, 220.0, 130.0)
+    got = raster.line_banding(table(spark, v), [], "v", 500.0).first()
+    assert got.angle == 8 and got.ratio > 2 and abs(got.spacing_mm - 6.0) < 0.51
+    # every pixel counts once, however it lies between two bands
+    whole = raster.line_banding(table(spark, np.full((80, 90), 200.0)), [], "v", 500.0).first()
+    assert whole.ratio < 50

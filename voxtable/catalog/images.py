@@ -333,7 +333,8 @@ def _angles() -> str:
 
 
 @query(
-    f"""WITH p AS (SELECT y, x, greatest(128 + 300 * v - 127, 0) AS v FROM ({GRID})), b AS (SELECT angle, floor(y * c + x * s)::INT AS band, sum(v) AS sv, count(*) AS n FROM p, {_angles()} GROUP BY ALL),
+    f"""WITH p AS (SELECT y, x, greatest(128 + 300 * v - 127, 0) AS v FROM ({GRID})), t AS (SELECT v, angle, round(y * c + x * s, 9) AS a FROM p, {_angles()}),
+ b AS (SELECT angle, band, sum(w * v) AS sv, round(sum(w), 6) AS n FROM (SELECT angle, v, floor(a)::INT AS band, floor(a) + 1 - a AS w FROM t UNION ALL SELECT angle, v, floor(a)::INT + 1, a - floor(a) FROM t) WHERE w > 0 GROUP BY ALL),
  k AS (SELECT angle, band, sv / n AS p FROM (SELECT *, max(n) OVER (PARTITION BY angle) AS m FROM b) WHERE n > 0.5 * m),
  f AS (SELECT angle, band, p - avg(p) OVER (PARTITION BY angle ORDER BY band RANGE BETWEEN 9 PRECEDING AND 9 FOLLOWING) AS d FROM k), st AS (SELECT angle, stddev_pop(d) AS std FROM f GROUP BY angle),
  best AS (SELECT angle, std FROM st ORDER BY round(std, 9) DESC, angle LIMIT 1), mid AS (SELECT quantile_cont(std, 0.5) AS m FROM st),

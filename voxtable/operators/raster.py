@@ -342,7 +342,8 @@ def shuffle_layers(stack: DataFrame, first: int, count: int, seed: int = 0) -> D
 def line_banding(
     image: DataFrame, keys: Sequence[str], value: str, um_px: float, step_deg: int = 4, floor: float = 127.0, wide_um: float = 9000.0, near_um: float = 2500.0, min_cm2: float = 0.25
 ) -> DataFrame:
-    """How strongly ink is banded: per angle the pixel sums along straight bands, normalised and detrended.
+    """How strongly ink is banded: per angle the pixel sums along straight lines, normalised and detrended. A pixel is projected onto the line of each
+    angle and shared out linearly between the two bands beside its place, as an image turned with linear interpolation would have it.
 
     Result per key: ratio of the best to the median standard deviation, its angle and the band spacing from the best
     autocorrelation lag. ``image`` holds the valid (already eroded, smoothed) pixels; too small an area gives no row.
@@ -355,8 +356,10 @@ def line_banding(
     keys = list(keys)
     turns = F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(math.cos(math.radians(a))).alias("c"), F.lit(math.sin(math.radians(a))).alias("s")) for a in range(0, 180, step_deg)])
     spun = image.select(*keys, "y", "x", F.greatest(F.col(value) - floor, F.lit(0.0)).alias("__v"), F.explode(turns).alias("t"))
-    band = F.floor(F.col("y") * F.col("t.c") + F.col("x") * F.col("t.s")).cast("int")
-    sums = spun.groupBy(*keys, F.col("t.angle").alias("angle"), band.alias("band")).agg(F.sum("__v").alias("s"), F.count(F.lit(1)).alias("n"))
+    spun = spun.withColumn("at", F.round(F.col("y") * F.col("t.c") + F.col("x") * F.col("t.s"), 9)).withColumn("low", F.floor("at"))
+    shares = F.array(*(F.struct((F.col("low") + k).cast("int").alias("band"), w.alias("w")) for k, w in ((0, F.col("low") + 1 - F.col("at")), (1, F.col("at") - F.col("low")))))
+    spread = spun.select(*keys, F.col("t.angle").alias("angle"), "__v", F.explode(shares).alias("b")).where("b.w > 0")
+    sums = spread.groupBy(*keys, "angle", F.col("b.band").alias("band")).agg(F.sum(F.col("b.w") * F.col("__v")).alias("s"), F.round(F.sum("b.w"), 6).alias("n"))
     of = Window.partitionBy(*keys, "angle")
     kept = sums.withColumn("__max", F.max("n").over(of)).withColumn("__px", F.sum("n").over(of)).where(F.col("__px") * (um_px / 1e4) ** 2 >= min_cm2)
     kept = kept.where(F.col("n") > 0.5 * F.col("__max")).withColumn("p", F.col("s") / F.col("n"))
