@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.operators.ordered import running_totals
+from voxtable.session import stored
 
 ALL = "ALL"
 
@@ -40,7 +41,7 @@ def rank_auc(counts: DataFrame, by: Sequence[str], score: str, ties: str = "mid"
     Groups with fewer than ``min_each`` of either class get NULL.
     """
     share = {"mid": 0.5, "against": 0.0}[ties]
-    ranked = running_totals(counts, by, [score], ["neg"])
+    ranked = running_totals(stored(counts, "counts"), by, [score], ["neg"])  # read by the sample, the range totals and the windows
     summed = ranked.groupBy(*by).agg(
         F.sum("pos").alias("pos"),
         F.sum("neg").alias("neg"),

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxtable.session import stored
+
 SAMPLE_ROWS = 8192
 MAX_RANGES = 256
 
@@ -132,7 +134,7 @@ def percentiles_of(
         entries = [F.struct(F.lit(k).alias("__c"), F.col(c).cast("double").alias("__v")) for k, c in enumerate(columns)]
         long = df.select(*by, F.inline(F.array(*entries)))
     # a NULL value counts 0, so that groups of nothing else stay, with NULL percentiles
-    counts = long.groupBy(*by, "__c", "__v").agg(F.count("__v").alias("n"))
+    counts = stored(long.groupBy(*by, "__c", "__v").agg(F.count("__v").alias("n")), "counts")  # read by the sample, the range totals and the windows
     ranked = running_totals(counts, [*by, "__c"], ["__v"], ["n"], ranges=ranges)
     v, before, n, total, which = F.col("__v"), F.col("n_before"), F.col("n"), F.col("n_total"), F.col("__c")
     picks, out = [], []

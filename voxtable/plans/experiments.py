@@ -123,9 +123,10 @@ def selection_rules(pixels: DataFrame, segment: str, quarter: str, offset: str,
     the first offset. Output: segment, rule, auc.
     """
     from voxtable.operators.auc import rank_auc, score_counts
-    from voxtable.session import cut_lineage
+    from voxtable.session import cut_lineage, stored
 
     o = F.col(offset)
+    pixels = stored(pixels.select(segment, quarter, offset, "px", score, positive), "pixels")  # read by the rules, the choice and the maximum
     per = pixels.groupBy(segment, quarter, offset).agg(F.count_if(F.col(score) > level).alias("hit"), F.sum(score).alias("s"), F.count(F.lit(1)).alias("n"))
     per = cut_lineage(per)  # a few rows per segment, read by three rules
     whole = per.groupBy(segment, offset).agg((F.sum("hit") / F.sum("n")).alias("share"), (F.sum("s") / F.sum("n")).alias("mean"))
