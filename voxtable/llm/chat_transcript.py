@@ -210,7 +210,8 @@ def chat_formatting(conversations: DataFrame, conv_id: str = "conv_id", folds: i
     """conv_id, segment, part, held_out, true_turns, n_turns, roles, rendered, goes_on, n_lines and n_right (lines given their true role) of every transcript.
 
     The model learns from the transcripts of conversations outside the test fold. The roles are those of the likeliest path over all transcripts of a
-    conversation, in the order of segment and part; where goes_on, the first turn is the rest of the last one of the transcript before.
+    conversation, in the order of segment and part; where goes_on, the first turn is the rest of the last one of the transcript before. Very long
+    turns are read whole.
     """
     written = checkpoint(as_transcripts(conversations, conv_id, **columns).withColumn("held_out", fold("conv_id", folds) == test))
     model = fit(written.where(~F.col("held_out")), "transcript", "states", before="before")

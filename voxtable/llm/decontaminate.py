@@ -120,8 +120,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     The items are the stated query set: they go to the tasks in blocks of at most ``block_bytes`` (or one item), and each row passes all blocks.
     Null or empty texts have no words and no hits; null or empty items have no windows; a null item id counts as the empty string. Rows with
-    null ids and repeated rows are searched each, items with the same window are all named, other columns are not read. Empty tables: no rows,
-    or no hits.
+    null ids and repeated rows are searched each, very long texts are searched whole, items with the same window are all named, other columns are not
+    read. Empty tables: no rows, or no hits.
     """
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, block_bytes)]

@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one text, whose rows share it. Every pair that shares a node of the forest is verified on whole sets of 64-bit shingle hashes: the pairs of a
     connected part of candidates meet in pairs of chunks of about ``chunk`` shingles or ``chunk_texts`` texts each, and only counts and connecting links leave the task.
     Null texts are empty; rows with null ids take part (a class of nothing else has a null class_id); repeated rows are copies of each other;
-    other columns are not read; an empty table gives no rows.
+    of very long texts all shingles count; other columns are not read; an empty table gives no rows.
     """
     forest = Forest(trees, deepest, threshold, recall)
     rows = checkpoint(signed(docs, doc_id, text, size, forest))
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: of each class the row with the least id (null ids last; of rows alike in id and text, one)."""
+    """The rows of docs, with all their columns, that stay: of each class the row with the least id (null ids last; of rows alike in id and text, one).
+    Null and empty texts are copies of each other, so that one of them stays."""
     found = near_duplicates(docs, doc_id, text, **settings)
     # a class of rows without ids is told apart by its text
     group = F.struct("class_id", F.when(F.col("class_id").isNull(), F.col("text_key")))

@@ -170,7 +170,7 @@ def told(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row, as ``secret_spans`` finds them."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row, as ``secret_spans`` finds them; very long texts are scanned whole."""
     found, spans = secret_spans(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     of = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter(spans, lambda s: s["rank"] < 3)
@@ -178,7 +178,7 @@ def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns, with each stretch of characters that spans cover replaced by one mark."""
+    """The same rows and columns, with each stretch of characters that spans cover replaced by one mark; a text without spans stays, null as well."""
     found, spans = secret_spans(docs, doc_id, text)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
