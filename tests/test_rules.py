@@ -1,12 +1,15 @@
 """Decision tables for the verdict rules, audits, sources, sinks and streams."""
 
+import hashlib
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxtable import schemas
+from voxtable.catalog.tables import arms
 from voxtable.functions import columns as fx
 from voxtable.plans import audits, experiments, verdicts
 from voxtable.sources import readers, writers
@@ -194,3 +197,41 @@ def test_leaderboard_keeps_the_best_of_all_batches(spark, tmp_path):
     incremental.incremental_leaderboard(spark, feed, "id long, s double", ["id"], "s", 5, sink, mark, files_per_batch=1)
     got = incremental.latest_board(spark, sink).collect()
     assert sorted((-r.s, r.id) for r in got) == sorted((-float(i % 17), i) for i in range(60))[:5]
+
+
+def test_signed4_rounds_like_c(spark):
+    values = [0.79985, 2.76755, 0.03125, 0.09375, 0.00005, -0.00001, -0.0, 9.99995, 9.99999, 0.99995, 1234567.00005, 2.0**52 + 0.5, 1e22, None]
+    values += [k / 1e5 for k in range(-40005, 40005, 10)] + [k / 3.2e5 + 7e8 for k in range(4000)]
+    out = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", fx.signed4("v").alias("t")).collect()
+    assert {r.i: r.t for r in out} == {i: "n/a" if v is None else "%+.4f" % v for i, v in enumerate(values)}
+
+
+def test_exact_means_do_not_depend_on_the_order_of_rows(spark):
+    rows = [("a", k, 0.1 * (k % 7) + 1e8 * (k % 2)) for k in range(1000)] + [("b", k, 0.34) for k in range(3)] + [("c", 0, None), ("d", 0, float("nan")), ("e", 0, 1e30), ("e", 1, 2e30)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    up, down = ({r.g: r.m for r in df.repartition(n).sortWithinPartitions(o).groupBy("g").agg(fx.exact_avg("v").alias("m")).collect()} for n, o in ((1, F.col("k")), (7, F.col("k").desc())))
+    assert up["a"] == down["a"] == math.fsum(v for g, _, v in rows if g == "a") / 1000
+    assert up["b"] == 0.34 and up["c"] is None and math.isnan(up["d"]) and math.isclose(up["e"], 1.5e30)
+
+
+def test_arms_of_equal_means_are_ties(spark, tmp_path):
+    """Two arms with the same quantities in another order, spread over files: no win for either."""
+    q = [3, 17, 41, 29, 7, 11, 23, 47, 2, 31, 13, 37]
+    for t, rows, schema in (
+        ("supplier", [(s, s % 2) for s in range(40)], "s_suppkey long, s_nationkey int"),
+        ("nation", [(n, f"n{n}", 0) for n in range(2)], "n_nationkey int, n_name string, n_regionkey int"), ("region", [(0, "r")], "r_regionkey int, r_name string"),
+        ("lineitem", [(s, float(v), "R", f"{y}-05-01") for s in range(40) for y, order in ((1995, q), (1997, q[s % 12:] + q[: s % 12][::-1])) for v in order], "l_suppkey long, l_quantity double, l_returnflag string, l_shipdate string"),
+    ):
+        df = spark.createDataFrame(rows, schema)
+        (df.withColumn("l_shipdate", F.to_timestamp("l_shipdate")).repartition(5) if t == "lineitem" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    a = arms(spark, str(tmp_path))
+    assert a.where("new <> base").count() == 0 and a.count() == 40
+    assert verdicts.three_way_rule(a.selectExpr("scroll", "new - base as d"), ["scroll"], "d").selectExpr("up + down as moved").first().moved == 0
+
+
+def test_fingerprint_hashes_all_digests_of_a_group_at_once(spark):
+    """More blocks than a block has rows: still one digest of the block digests, as the SQL text has it."""
+    ids = [str(i) for i in range(50)]
+    digests = [hashlib.sha256(";".join(ids[k : k + 4]).encode()).hexdigest() for k in range(0, 50, 4)]
+    got = experiments.fingerprint(spark.range(50).selectExpr("id", "'g' AS g"), ["g"], ["id"], block=4).first()
+    assert (got.n, got.sha256) == (50, hashlib.sha256(";".join(digests).encode()).hexdigest())
