@@ -56,3 +56,10 @@ def test_query_matches_sql(spark, db, name):
     assert sorted(heads) == cols
     theirs = sorted((tuple(plain(r[heads.index(c)]) for c in cols) for r in rel.fetchall()), key=repr)
     assert mine == theirs
+
+
+def test_null_control_judges_the_outcome_too(spark, db):
+    rows = entry.queries()["null_control"](spark, FOLDER).collect()
+    assert {r.outcome for r in rows} <= {"TEXTURE_DRIVEN", "DEPTH_DEPENDENT", "MIXED"} and all((r.outcome == "TEXTURE_DRIVEN") == (r.auc is not None and r.auc >= 0.5) for r in rows)
+    theirs = db.execute(f"SELECT lang, verdict, outcome FROM ({entry.oracle_sql()['null_control']})").fetchall()
+    assert sorted(theirs) == sorted((r.lang, r.verdict, r.outcome) for r in rows)
