@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxtable import session
 from voxtable.operators import chunks as ch
 from voxtable.operators import growth, profile, stitch
 
@@ -167,3 +168,23 @@ def test_scans_skip_chunks_outside_the_wanted_keys(spark, tilted):
     points = spark.createDataFrame([(1, "v", 0, 14, 2, 2)], "id int, volume_id string, level int, z int, y int, x int")
     out = ch.gather(points, store, SHAPE, CHUNK)
     assert out.first().v == 188 and "ubquery" in out._jdf.queryExecution().toString()
+
+
+def test_frames_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """Rings, parents and maps of a breadth-first search: a chain of 150 patches, a ring with a tie, a branch and a second group."""
+    pairs = [(k, k + 1) for k in range(150)] + [(150, 200), (200, 201), (201, 202), (150, 203), (203, 204), (202, 204), (60, 210), (60, 211), (210, 211), (300, 301)]
+    links = spark.createDataFrame([(a, b, 1.0, 0.0, float(b + 1), 0.0, 1.0, float(a * b % 7)) for a, b in pairs], "a long, b long, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double")
+    names = sorted({n for p in pairs for n in p})
+    scores = spark.createDataFrame([(n, 9.0 if n == 40 else 1.0 / (n + 2)) for n in names], "patch long, ts double")
+    cuts = []
+    for name in ("cut_lineage", "stored"):
+        monkeypatch.setattr(stitch, name, lambda df, keep=getattr(session, name): cuts.append(1) or keep(df), raising=False)
+    got = {r.patch: (r.root, r.ring, round(r.m02, 6), round(r.m12, 6)) for r in stitch.chain_frames(links, scores, 30).where("m00 = 1 and m11 = 1 and m01 = 0 and m10 = 0").collect()}
+    near = {n: sorted({b for a, b in pairs if a == n} | {a for a, b in pairs if b == n}) for n in names}
+    shift = {(a, b): (b + 1.0, float(a * b % 7)) for a, b in pairs} | {(b, a): (-b - 1.0, -float(a * b % 7)) for a, b in pairs}
+    want, front = {}, {40: (40, 0, 0.0, 0.0)}
+    while front:
+        want |= front
+        front = {n: (40, want[p][1] + 1, want[p][2] + shift[p, n][0], want[p][3] + shift[p, n][1]) for p in sorted(front, reverse=True) for n in near[p] if n not in want}
+    # the group of 300 and 301 has no patch among the best 30
+    assert got == want and len(cuts) < 60

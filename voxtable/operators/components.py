@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.operators.tiles import with_halo
-from voxtable.session import cut_lineage
+from voxtable.session import cut_lineage, stored
 
 
 def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,7 +29,8 @@ def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         small_min = large.groupBy("hi").agg(F.min("lo").alias("m"))
         rehung = large.join(small_min, "hi")
-        star = cut_lineage(
+        # a table, as the expected size of a checkpoint is the product of its joined sides: it would gain digits threefold a round
+        star = stored(
             rehung.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(rehung.select("hi", F.col("m").alias("lo"))).where("hi > lo").distinct()
         )
         mark = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
