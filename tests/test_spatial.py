@@ -1,5 +1,8 @@
 """Nearest joins, overlaps, fits and mesh geometry against brute force and planted truth."""
 
+import contextlib
+import io
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +208,14 @@ def test_cubic_densify_goes_through_nodes_and_keeps_cubics(spark):
         assert np.allclose(inner.z, f(inner.v / 4, inner.u / 4), atol=1e-6)
     for a, total in ((a, sum(w for b, _, w in geometry.cubic_weights(4) if b == a)) for a in range(4)):
         assert np.isclose(total, 1.0), a
+
+
+def test_nearest_collects_no_side_of_its_joins(spark):
+    """Candidates and cells meet by shuffles: a broadcast goes through the driver and grows with the input."""
+    right = spark.range(20000).selectExpr("id AS t", "cast(id % 200 as double) AS y", "cast(id div 200 as double) AS x")
+    left = spark.range(50).selectExpr("id AS q", "id * 3.3 AS y", "id * 1.7 AS x")
+    out = nearest.nearest(left, right, ["y", "x"], "q", "t")
+    assert out.count() == 50
+    with contextlib.redirect_stdout(io.StringIO()) as text:
+        out.explain()
+    assert "BroadcastHashJoin" not in text.getvalue() and "SortMergeJoin" in text.getvalue()
