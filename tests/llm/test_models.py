@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -102,6 +103,24 @@ def test_a_known_phrase_beats_its_words_in_other_orders(spark):
     assert [three[k] for k in (0, 3, 7)] == [-1] * 3 and three[1] == three[4] and len(set(three)) == 6
 
 
+def test_what_a_block_sends_is_short_and_its_automaton_takes_two_arrays():
+    rng = np.random.default_rng(3)
+    names = [bytes(rng.integers(97, 123, n, np.uint8)) for n in rng.integers(2, 9, 4000)]
+    texts = [[names[k] for k in rng.zipf(1.3, 200) % 4000] for _ in range(300)]
+    own = lm_score.Counts.of(texts, 300, 5, 3)
+    parts = lm_score.grouped(own.buckets(4)[1], 4)
+    for x in (np.diff(own.grams[parts[0]], prepend=0), own.gram_counts, own.contexts, np.zeros(0, np.int64)):
+        assert lm_score.unpacked(lm_score.packed(x)).tolist() == x.tolist()
+    assert np.cumsum(np.diff(own.grams, prepend=0)).tolist() == own.grams.tolist()
+    assert max(map(len, parts)) < 1.2 * min(map(len, parts))
+    sent = sum(len(lm_score.packed(x)) for g in parts for x in (np.diff(own.grams[g], prepend=0), own.gram_counts[g]))
+    assert sent < 0.5 * (own.grams.nbytes + own.gram_counts.nbytes)
+    tracemalloc.start()
+    automaton = lm_score.Automaton(own.trie, own.gram_counts, own.contexts, 1.0, 4.0)
+    assert tracemalloc.get_traced_memory()[1] < 1.6 * (automaton.next.nbytes + automaton.weight.nbytes)
+    tracemalloc.stop()
+
+
 def test_language_model_without_rows_or_training(odd):
     assert lm_score.scores(odd.limit(0)).count() == 0
     only = lm_score.scores(odd.where("doc_id = 30"), folds=1).first()

@@ -13,14 +13,14 @@ words are compared by 63-bit hashes.
 
 The corpus is never gathered in one place. Documents fall into blocks by a hash; a block counts its words and n-grams and deals them into buckets by
 their hash; a bucket adds up the counts of all blocks, and each block gets back the sums of what occurs in it: the part of the automaton that its
-texts can reach. A block and a bucket exchange one row, with a list of keys on the way there and sums in the same order on the way back.
+texts can reach. A block and a bucket exchange one row, with a list of keys on the way there and sums in the same order on the way back, both compressed.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from itertools import chain
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import all_bytes, fold, stored
+from voxtable.llm.common import fold, stored
 
 #: Symbols that an array step works on at once.
 PART = 1 << 20
@@ -56,13 +56,14 @@ class Trie:
         self.code, self.width = code, len(self.alphabet)
         self.parent: list[np.ndarray] = []  # of each n-gram of a level: its first n-1 symbols, on the level below
         self.symbol: list[np.ndarray] = []  # and its last
-        sym = code[text]  # int32
+        sym = code.astype(np.uint8)[text]
         place = np.full(len(text), -1, np.int32)
         first = np.zeros(len(text), bool)
         first[starts] = True
         for n in range(order):
             if n:
-                place[1:] = place[:-1].copy()
+                for k in reversed(range(0, len(text) - 1, PART)):
+                    place[k + 1 : k + 1 + PART] = place[k : min(k + PART, len(text) - 1)]
                 place[first] = -1
             else:
                 place[:] = 0
@@ -95,6 +96,23 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), starts
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def released(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, bytes of equal weight side by side and compressed, so that small ones take little."""
+    return squeezed(np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(released(data), np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64)
+
+
 def mixed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Hashes of the n-grams made of a context and a token, from the hashes of both."""
     x = (context ^ context >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + token
@@ -116,10 +134,13 @@ def word_grams(names: list[bytes], texts: list[list[bytes]], order: int) -> list
         else:
             have = np.roll(have, 1) & ~first
         gram = mixed(context, token)
-        keys, which = np.unique((gram[have] | np.uint64(1 << 63)).view(np.int64), return_inverse=True)
-        place = np.full(len(token), -1, np.int32)
-        place[have] = which
-        del which
+        own = (gram[have] | np.uint64(1 << 63)).view(np.int64)
+        order_of = np.argsort(own)
+        own = own[order_of]
+        fresh = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+        keys, place = own[fresh], np.full(len(token), -1, np.int32)
+        place[np.flatnonzero(have)[order_of]] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order_of, own, fresh
         out.append((keys, place))
     return out
 
@@ -178,8 +199,11 @@ class Counts:
         return places[places < len(self.contexts)]
 
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket of each word and of each n-gram."""
-        grams = (self.grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
+        """The bucket of each word and of each n-gram. Those of words are hashes already: a bucket has a range of them, whose differences are small."""
+        keys, spelled = self.grams.view(np.uint64), len(self.contexts)
+        grams = np.empty(len(keys), np.uint64)
+        grams[:spelled] = (keys[:spelled] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
+        grams[spelled:] = (keys[spelled:] << np.uint64(1) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
         return np.fromiter(map(crc32, self.words), np.int64, len(self.words)) % n, grams.astype(np.int64)
 
 
@@ -199,27 +223,27 @@ class Automaton:
     def __init__(self, trie: Trie, counts: np.ndarray, contexts: np.ndarray, total: float, mass: float) -> None:
         width, place = trie.width, 0
         self.order, self.width, self.code = len(trie.symbol), width, trie.code
-        mass, probability = np.float32(mass), np.full((1, width), 1 / 256, np.float32)
-        arcs, suffix, child, following = np.array([total], float), np.zeros(1, np.int64), None, None
-        weights, nexts, start = [], [], 0
-        for n in range(self.order):  # contexts of n symbols; their n-grams are those of n + 1
+        sizes = [1, *map(len, trie.symbol[:-1])]  # contexts of 0 symbols, of 1, ...
+        mass, follow, weight = np.float32(mass), np.empty((sum(sizes), width), np.int32), np.empty((sum(sizes), width), np.float32)
+        arcs, suffix, start, before = np.array([total], float), np.zeros(1, np.int64), 0, 0
+        for n, size in enumerate(sizes):  # contexts of n symbols; their n-grams are those of n + 1
             level = slice(place, place + len(trie.symbol[n]))
             place = level.stop
-            times = np.zeros((len(arcs), width), np.float32)
-            times[trie.parent[n], trie.symbol[n]] = counts[level]
-            probability = (times + mass * probability[suffix]) / (arcs[:, None] + mass).astype(np.float32)
-            weights.append(np.log10(probability))
-            start += len(arcs)
-            own = np.full((len(arcs), width), -1, np.int32)
-            own[trie.parent[n], trie.symbol[n]] = np.arange(level.stop - level.start, dtype=np.int32)
-            failed = np.zeros((1, width), np.int32) if following is None else following[suffix]
-            following = np.where(own >= 0, start + own, failed) if n < self.order - 1 else failed
-            nexts.append(following)
-            # the contexts of n + 1 symbols: what each fails to, and how often it was followed
-            suffix = np.zeros(len(trie.symbol[n]), np.int64) if child is None else child[suffix[trie.parent[n]], trie.symbol[n]]
-            arcs = contexts[level]
-            child = own
-        self.next, self.weight = np.concatenate(nexts).ravel(), np.concatenate(weights).ravel()
+            own, parent, symbol = slice(start, start + size), trie.parent[n], trie.symbol[n]
+            if n:
+                np.take(weight[before:start], suffix, axis=0, out=weight[own], mode="clip")
+                np.take(follow[before:start], suffix, axis=0, out=follow[own], mode="clip")
+            else:
+                weight[own], follow[own] = 1 / 256, 0
+            weight[own] *= mass
+            weight[own][parent, symbol] += counts[level].astype(np.float32)
+            weight[own] /= (arcs[:, None] + mass).astype(np.float32)
+            if n < self.order - 1:  # the contexts of n + 1 symbols: what each fails to, and how often it was followed
+                suffix, arcs = (follow[own][parent, symbol] - start if n else np.zeros(len(symbol), np.int32)), contexts[level]
+                follow[own][parent, symbol] = own.stop + np.arange(len(symbol), dtype=np.int32)
+            before, start = start, own.stop
+        np.log10(weight, out=weight)
+        self.next, self.weight = follow.ravel(), weight.ravel()
 
     def walk(self, flat: np.ndarray, starts: np.ndarray, piece: int = 4096) -> np.ndarray:
         """The weight of each symbol: one pass from left to right carries every text's state.
@@ -253,7 +277,7 @@ def token_scores(texts: list[list[bytes]], own: Counts, word_counts: np.ndarray,
     known, flat, starts = dict(zip(own.words, word_counts.tolist())), own.flat, own.starts
     ends = (flat == 32) | (flat == 10)  # of tokens; the symbol before a text is the end of none, but a token begins after it
     begins = np.flatnonzero(ends[:-1] & ~_at(starts, len(flat))[1:]) + 1
-    spelled = np.add.reduceat(automaton.walk(flat, starts).astype(np.float64), begins)
+    spelled = np.add.reduceat(automaton.walk(flat, starts), begins, dtype=np.float64)
     counts = np.fromiter(chain.from_iterable(map(known.__getitem__, chain(words, (b"",))) for words in texts), np.int64, len(begins))
     with np.errstate(divide="ignore"):
         by_word = np.log(share * counts / tokens) if tokens else np.full(len(counts), -np.inf)
@@ -272,9 +296,20 @@ def token_scores(texts: list[list[bytes]], own: Counts, word_counts: np.ndarray,
 
 
 def in_order(table: pa.Table) -> tuple[pa.Table, list[list[bytes]], int]:
-    """The rows of a block in an order of their own, training texts first; their words; and the number of training texts."""
+    """The rows of a block in an order of their own, training texts first, without the texts; their words; and the number of training texts."""
     rows = table.sort_by([("held_out", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    return rows, [x.lower().split() for x in all_bytes(rows.column("text").combine_chunks())], rows.num_rows - sum(rows.column("held_out").to_pylist())
+    texts, known = [], {}  # each word is held once, however often it occurs
+    for batch in rows.column("text").chunks:
+        for x in batch.to_pylist():
+            own = released(x).lower().split() if x else []
+            texts.append(list(map(known.setdefault, own, own)))
+    return rows.drop_columns("text"), texts, rows.num_rows - sum(rows.column("held_out").to_pylist())
+
+
+def squeezed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = (x if x is None else squeezed(x) for x in batch.column("text").cast(pa.binary()).to_pylist())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
 
 
 def _at(places: np.ndarray, size: int) -> np.ndarray:
@@ -301,37 +336,44 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     spark = docs.sparkSession
     where = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)), F.lit(n_blocks))
     blocked = docs.select(where.alias("block"), F.col(doc_id).cast("bigint").alias("doc_id"), (fold(doc_id, folds) == test).alias("held_out"), F.col(text).alias("text"))
+    blocked = blocked.mapInArrow(squeezed_texts, "block bigint, doc_id bigint, held_out boolean, text binary")
 
     def count(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
         _, texts, trained = in_order(table)
         own = Counts.of(texts, trained, order, word_order)
+        del texts
         rows = []
         for k, (w, g) in enumerate(zip(*(grouped(x, n_blocks) for x in own.buckets(n_blocks)))):
             if len(w) or len(g):
-                rows.append((k, b"\n".join([own.words[i] for i in w]), own.word_counts[w].tobytes(), own.grams[g].tobytes(), own.gram_counts[g].tobytes(), own.contexts[own.spelled(g)].tobytes()))
+                # n-grams ascend but for a few places, so that their differences are shorter than they are
+                rows.append((k, squeezed(b"\n".join([own.words[i] for i in w])), packed(own.word_counts[w]), packed(np.diff(own.grams[g], prepend=0)), packed(own.gram_counts[g]), packed(own.contexts[own.spelled(g)])))
         del own
-        columns = [pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))]
+        columns = [pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))]
         return pa.table(columns, ["block", "bucket", "words", "word_counts", "grams", "gram_counts", "contexts"])
 
     def add_up(table: pa.Table) -> pa.Table:
-        numbers = lambda name: [np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()]
-        words = [x.split(b"\n") if len(n) else [] for x, n in zip(table.column("words").to_pylist(), numbers("word_counts"))]
+        numbers = lambda name: [unpacked(x) for x in table.column(name).to_pylist()]
+        counts = numbers("word_counts")
+        words = [released(x).split(b"\n") if len(n) else [] for x, n in zip(table.column("words").to_pylist(), counts)]
         sums: dict[bytes, int] = {}
-        for keys, values in zip(words, numbers("word_counts")):
+        for keys, values in zip(words, counts):
             for w, n in zip(keys, values.tolist()):
                 sums[w] = sums.get(w, 0) + n
-        keys, which = np.unique(np.concatenate([np.zeros(0, np.int64), *numbers("grams")]), return_inverse=True)
-        cuts = np.cumsum([len(x) for x in numbers("grams")])[:-1]
+        grams = [np.cumsum(x) for x in numbers("grams")]
+        cuts = np.cumsum([len(x) for x in grams])[:-1]
+        keys, which = np.unique(np.concatenate([np.zeros(0, np.int64), *grams]), return_inverse=True)
+        del grams
         spread, both = [], []
         for name in ("gram_counts", "contexts"):
             total = np.bincount(which, np.concatenate([np.zeros(0), *numbers(name)]), len(keys)).astype(np.int64)
-            spread.append([total[x].tobytes() for x in np.split(which, cuts)])
+            spread.append([packed(total[x]) for x in np.split(which, cuts)])
             both.append(total)
             own = keys[which] >= 0  # contexts are those of n-grams of symbols
             cuts, which = np.cumsum([x.sum() for x in np.split(own, cuts)])[:-1], which[own]
         once = np.zeros((3, table.num_rows), np.int64)  # what holds for the bucket stands in one of its rows
         once[:, 0] = sum(sums.values()), sum(n > 0 for n in sums.values()), both[0][(keys >> 56) == 1].sum()
-        columns = [table.column("block"), table.column("bucket"), pa.array([np.fromiter(map(sums.__getitem__, w), np.int64, len(w)).tobytes() for w in words], pa.binary()), *(pa.array(x, pa.binary()) for x in spread), *(pa.array(x) for x in once)]
+        columns = [table.column("block"), table.column("bucket"), pa.array([packed(np.fromiter(map(sums.__getitem__, w), np.int64, len(w))) for w in words], pa.binary()), *(pa.array(x, pa.binary()) for x in spread), *(pa.array(x) for x in once)]
         return pa.table(columns, ["block", "bucket", "word_counts", "gram_counts", "contexts", "tokens", "distinct", "total"])
 
     model = stored(blocked.groupBy("block").applyInArrow(count, COUNTED).groupBy("bucket").applyInArrow(add_up, SUMMED))
@@ -345,7 +387,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
         for bucket, *parts in zip(*(sums.column(c).to_pylist() for c in ("bucket", "word_counts", "gram_counts", "contexts"))):
             w, g = places[bucket]
             for to, at, part in zip((word_counts, gram_counts, contexts), (w, g, own.spelled(g)), parts):
-                to[at] = np.frombuffer(part, np.int64)
+                to[at] = unpacked(part)
         del places, sums
         found = token_scores(texts, own, word_counts, Automaton(own.trie, gram_counts, contexts, total, mass), tokens, share, gram_counts, word_mass)
         columns = [rows.column("doc_id"), rows.column("held_out"), pa.array([len(w) + 1 for w in texts], pa.int64()), *map(pa.array, found)]
