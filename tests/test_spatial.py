@@ -219,3 +219,15 @@ def test_nearest_collects_no_side_of_its_joins(spark):
     with contextlib.redirect_stdout(io.StringIO()) as text:
         out.explain()
     assert "BroadcastHashJoin" not in text.getvalue() and "SortMergeJoin" in text.getvalue()
+
+
+def test_shared_group_pairs_take_more_parts_for_more_rows(spark, monkeypatch):
+    rows = [(int(m), int(g)) for g in range(300) for m in np.random.default_rng(g).integers(0, 40, 6)]
+    members = spark.createDataFrame(rows, "m int, g int")
+    want = {tuple(r) for r in nearest.shared_group_pairs(members, "m", "g", 3).collect()}
+    monkeypatch.setattr(nearest, "PART_ROWS", 50)
+    spread = nearest.shared_group_pairs(members, "m", "g", 3)
+    assert {tuple(r) for r in spread.collect()} == want and len(want) > 100
+    held = {tuple(sorted({m for m, g in rows if g == k})) for k in range(300)}
+    pairs = sum(len(x) * (len(x) - 1) // 2 for x in held)
+    assert spread.rdd.getNumPartitions() >= pairs // 50 > 8
