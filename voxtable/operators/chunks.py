@@ -188,14 +188,20 @@ def box_pieces(requests: DataFrame, chunks: DataFrame, chunk: Shape, ids: Sequen
     return met.select(*ids, *(f"{a}{e}" for a in ZYX for e in (0, 1)), "cz", "cy", "cx", "data").mapInPandas(cut, schema)
 
 
-def put_together(pieces: pd.DataFrame, size: Shape):
-    """The box of ``size`` from the rows of its pieces; zero where there is none."""
+def put_together(pieces: pd.DataFrame, size: Shape, corner: Shape | None = None):
+    """The box of ``size`` from the rows of its pieces; zero where there is none. With ``corner``, the box begins there in the volume, and so do the
+    pieces at (az, ay, ax); what they have beside the box is left out."""
     import numpy as np
 
     out = np.zeros(size, np.uint8)
     for r in pieces[pieces["piece"].notna()].itertuples(index=False):
-        spans = tuple(slice(int(p), int(p) + int(n)) for p, n in ((r.pz, r.lz), (r.py, r.ly), (r.px, r.lx)))
-        out[spans] = np.frombuffer(r.piece, np.uint8).reshape([s.stop - s.start for s in spans])
+        held = np.frombuffer(r.piece, np.uint8).reshape([int(n) for n in (r.lz, r.ly, r.lx)])
+        at = [int(p) for p in (r.pz, r.py, r.px)]
+        if corner is not None:
+            at = [p + int(a) - c for p, a, c in zip(at, (r.az, r.ay, r.ax), corner)]
+        spans = [(max(p, 0), min(p + n, s)) for p, n, s in zip(at, held.shape, size)]
+        if all(lo < hi for lo, hi in spans):
+            out[tuple(slice(lo, hi) for lo, hi in spans)] = held[tuple(slice(lo - p, hi - p) for (lo, hi), p in zip(spans, at))]
     return out
 
 
