@@ -277,6 +277,7 @@ def token_scores(texts: list[list[bytes]], own: Counts, word_counts: np.ndarray,
     known, flat, starts = dict(zip(own.words, word_counts.tolist())), own.flat, own.starts
     ends = (flat == 32) | (flat == 10)  # of tokens; the symbol before a text is the end of none, but a token begins after it
     begins = np.flatnonzero(ends[:-1] & ~_at(starts, len(flat))[1:]) + 1
+    del ends
     spelled = np.add.reduceat(automaton.walk(flat, starts), begins, dtype=np.float64)
     counts = np.fromiter(chain.from_iterable(map(known.__getitem__, chain(words, (b"",))) for words in texts), np.int64, len(begins))
     with np.errstate(divide="ignore"):
@@ -382,14 +383,17 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     def score(key, rows: pa.Table, sums: pa.Table) -> pa.Table:
         rows, texts, trained = in_order(rows)
         own = Counts.of(texts, trained, order, word_order)
+        own.gram_counts = None  # those of the corpus take their place
         places = dict(enumerate(zip(*(grouped(x, n_blocks) for x in own.buckets(n_blocks)))))
         word_counts, gram_counts, contexts = (np.zeros(n, np.int64) for n in (len(own.words), len(own.grams), len(own.contexts)))
         for bucket, *parts in zip(*(sums.column(c).to_pylist() for c in ("bucket", "word_counts", "gram_counts", "contexts"))):
-            w, g = places[bucket]
+            w, g = places.pop(bucket)
             for to, at, part in zip((word_counts, gram_counts, contexts), (w, g, own.spelled(g)), parts):
                 to[at] = unpacked(part)
         del places, sums
-        found = token_scores(texts, own, word_counts, Automaton(own.trie, gram_counts, contexts, total, mass), tokens, share, gram_counts, word_mass)
+        automaton = Automaton(own.trie, gram_counts, contexts, total, mass)
+        own.trie = own.grams = own.contexts = contexts = None
+        found = token_scores(texts, own, word_counts, automaton, tokens, share, gram_counts, word_mass)
         columns = [rows.column("doc_id"), rows.column("held_out"), pa.array([len(w) + 1 for w in texts], pa.int64()), *map(pa.array, found)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_part", "score"])
 
