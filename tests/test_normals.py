@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from voxtable.operators import chunks as ch
 from voxtable.operators import normals
@@ -54,3 +55,11 @@ def test_encoded_chunks(spark):
 def test_copies_of_a_voxel_stay_below_six(spark):
     """A store of 128-voxel tiles with the registered halo."""
     assert ((128 + 2 * normals.tensor_halo(1.0, 10.0)) / 128) ** 3 < 6
+
+
+def test_tiles_are_dealt_over_tasks(spark):
+    """Slabs take few bytes when exchanged; the tiles must not end up in one task for that."""
+    z = np.indices(SHAPE)[0]
+    a = np.rint(200 * np.exp(-0.5 * (z - 14) ** 2)).astype(np.uint8)
+    out = normals.volume_normals(store(spark, {"a": a}), SHAPE, CHUNK, rho=1.5, rho_wide=3.0, tile=8)
+    assert out.select(F.spark_partition_id()).distinct().count() > 8

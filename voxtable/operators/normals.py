@@ -6,6 +6,7 @@ tiles of 128 and a halo of 45 a voxel goes to five tiles at the mean.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,6 +17,9 @@ from voxtable.operators.chunks import ZYX
 from voxtable.operators.stats import gaussian_taps
 
 SLAB = "volume_id string, level int, tz int, ty int, tx int, oz int, oy int, ox int, nz int, ny int, nx int, data binary"
+TILE = ("volume_id", "level", "tz", "ty", "tx")
+#: Tasks for the tiles of a shape; with more tiles a task has several.
+MOST_TASKS = 2048
 Shape = Sequence[int]
 
 
@@ -91,6 +95,7 @@ def tile_tensor(block, core: Sequence[slice], sigma: float, rho: float, rho_wide
 def map_volume_tiles(chunks: DataFrame, shape: Shape, chunk: Shape, tile: int, halo: int, work: Callable, schema: str) -> DataFrame:
     """``work(key, origin, block, core)`` on every tile that has data within its halo: the block in [0, 1] is cut at the volume's shape, ``core`` are the
     tile's own spans in it and ``origin`` the volume's place of the core. It returns a pandas frame of ``schema``."""
+    top = [-(-s // tile) - 1 for s in shape]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -107,8 +112,11 @@ def map_volume_tiles(chunks: DataFrame, shape: Shape, chunk: Shape, tile: int, h
         core = [slice(o - a, min(o + tile, s) - a) for o, a, s in zip(origin, lo, shape)]
         return work(key, origin, block, core)
 
-    slabs = halo_slabs(chunks, shape, chunk, tile, halo)
-    return slabs.groupBy("volume_id", "level", "tz", "ty", "tx").applyInPandas(run, schema)
+    # slabs are small when compressed and costly to work on, so the number of tasks follows the tiles, not the bytes exchanged
+    tiles = math.prod(t + 1 for t in top)
+    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(tiles, MOST_TASKS))
+    slabs = halo_slabs(chunks, shape, chunk, tile, halo).repartition(tasks, *TILE)
+    return slabs.groupBy(*TILE).applyInPandas(run, schema)
 
 
 def tensor_halo(sigma: float, rho_wide: float) -> int:
