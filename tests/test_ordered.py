@@ -86,3 +86,22 @@ def test_null_keys_and_groups_of_nulls(spark, ranges):
     near = ordered.neighbours_in_order(df, ["g"], ["h", "id"], ["id"], ranges)
     assert near.count() == 400 and near.where("prev_id is null").count() == 4
     assert ordered.carry_forward(df, ["g"], ["h", "id"], "v", "last", ranges).where("last is null").count() == 100
+
+
+def test_medians_of_nested_windows_need_no_exchange(spark):
+    """The windows of a pair lie in one row: their medians are worked out there."""
+    from voxtable.plans import audits
+
+    shifts = {"a": [[1.0, 2.0, 30.0], None, [4.0, 8.0, 6.0]], "b": [[5.0, 3.0, 4.0]], "c": [None]}
+    win = "struct<window_um:array<long>,grid_um:double,ncc0:double,best:double,shift_um:array<double>>"
+    pairs = {o: (4.8, len(w), 0.1, 0.2, [([1], 4.8, 0.1, 0.2, s) for s in w]) for o, w in shifts.items()}
+    audit = spark.createDataFrame([("s/1", "r-1", pairs)], f"segment string, reference string, pairs map<string,struct<grid_um:double,n:int,median_ncc0:double,median_best:double,windows:array<{win}>>>")
+    out = audits.placement_report(audit)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.scan, r.dz, round(r.inplane, 9)) for r in out.collect()) == [("a", 2.5, round((25 + 18**2) ** 0.5, 9)), ("b", 5.0, 5.0)]
+
+
+def test_percentiles_keep_groups_without_values(spark):
+    rows = [("a", float(v)) for v in range(1000)] + [("b", None)] * 3 + [("c", 7.0), ("c", None)]
+    got = ordered.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"m": 0.5, "t": 0.901}, ranges=16)
+    assert {r.g: (r.m, r.t) for r in got.collect()} == {"a": (499.5, pytest.approx(900.099)), "b": (None, None), "c": (7.0, 7.0)}

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.functions.columns import ceil_div
-from voxtable.operators.ordered import percentiles_of
+from voxtable.operators.ordered import percentiles_of, row_median
+from voxtable.session import stored
 from voxtable.operators.stats import guarded_corr
 
 
@@ -106,11 +107,13 @@ def placement_report(audit: DataFrame) -> DataFrame:
     Windows without a shift are skipped reasons or errors and stay out of the medians.
     """
     pairs = audit.select("segment", "reference", F.explode("pairs").alias("other", "p"))
-    wins = pairs.select("segment", "reference", "other", F.explode("p.windows").alias("w")).where("w.shift_um is not null")
-    keys = ["segment", "reference", "other"]
-    shifts = wins.select(*keys, *[F.col("w.shift_um")[k].alias(f"s{k}") for k in range(3)])
-    med = percentiles_of(shifts, keys, {f"s{k}": {f"m{k}": 0.5} for k in range(3)})
-    recs = pairs.select(*keys, F.col("p.median_ncc0").alias("ncc0"), F.col("p.median_best").alias("best"), F.col("p.grid_um").alias("grid")).join(med, keys)
+    # the windows of a pair lie in one row, so that their medians need no exchange
+    wins = F.filter("p.windows", lambda w: w["shift_um"].isNotNull())
+    along = lambda k: F.transform("w", lambda w: w["shift_um"][k].cast("double"))
+    shifts = [along(k).alias(f"s{k}") for k in range(3)]
+    recs = pairs.select("segment", "reference", "other", "p", wins.alias("w")).where(F.size("w") > 0).select(
+        "segment", "reference", "other", F.col("p.median_ncc0").alias("ncc0"), F.col("p.median_best").alias("best"), F.col("p.grid_um").alias("grid"), *shifts
+    ).withColumns({f"m{k}": row_median(f"s{k}") for k in range(3)})
     recs = recs.select(
         F.substring_index("segment", "/", 1).alias("scroll"), F.substring_index("reference", "-", 1).alias("ref"), F.substring_index("other", "-", 1).alias("scan"),
         "segment", "ncc0", "best", "grid", F.hypot("m1", "m2").alias("inplane"), F.col("m0").alias("dz"),
@@ -120,6 +123,7 @@ def placement_report(audit: DataFrame) -> DataFrame:
 
 def group_medians(recs: DataFrame, by: Sequence[str], values: Sequence[str], first: str | None = None, first_key: str | None = None) -> DataFrame:
     """Count and exact median of each value per group, plus one carried attribute."""
+    recs = stored(recs, "recs")  # read by the counts and by the medians
     aggs = [F.count(F.lit(1)).alias("n")]
     if first:
         aggs.append(F.min_by(first, first_key).alias(first))
