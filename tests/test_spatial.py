@@ -231,3 +231,18 @@ def test_shared_group_pairs_take_more_parts_for_more_rows(spark, monkeypatch):
     held = {tuple(sorted({m for m, g in rows if g == k})) for k in range(300)}
     pairs = sum(len(x) * (len(x) - 1) // 2 for x in held)
     assert spread.rdd.getNumPartitions() >= pairs // 50 > 8
+
+
+def test_parts_of_a_nearest_join_follow_the_queries(spark, monkeypatch):
+    """A task holds the candidates of so many queries, however many there are, and they are dealt out once a level."""
+    monkeypatch.setattr(nearest, "PART_ROWS", 512)
+    rng = np.random.default_rng(5)
+    q, t = rng.random((100, 3)), rng.random((3000, 3))
+    left = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(q)], "qid long, x double, y double, z double")
+    right = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(t)], "tid long, x double, y double, z double")
+    out = nearest.nearest(left, right, ["x", "y", "z"], "qid", "tid")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(__qid#" in line]
+    assert any(", 25)" in line for line in dealt) and not any("normalized" in line for line in dealt)
+    far = ((q[:, None] - t[None]) ** 2).sum(axis=2)
+    assert {r.qid: r.tid for r in out.collect()} == dict(enumerate(far.argmin(axis=1).tolist()))
