@@ -9,6 +9,7 @@ from voxtable.catalog import Registry
 from voxtable.catalog.tables import GRID, grid, points, points_sql, r, table
 from voxtable.operators import components, fits, geometry, nearest, ordered, shift
 from voxtable.plans import experiments, verdicts
+from voxtable.session import stored
 from voxtable.sources import writers
 
 REGISTRY = Registry()
@@ -318,7 +319,7 @@ def union_min_distance(spark, folder):
  SELECT winding, median, p90, share, lowest, near_rank, (near_rank <= 15 AND (median <= 0.06 OR share >= 0.30)) OR place BETWEEN bp - 2 AND bp + 2 AS chosen, CASE WHEN bm < 0.1 THEN 'MESH_REACHES' ELSE 'MESH_MISS' END AS gate FROM k, b"""
 )
 def winding_gate(spark, folder):
-    d = _winding_distances(spark, folder).withColumn("d", r("d", 9))
+    d = stored(_winding_distances(spark, folder).withColumn("d", r("d", 9)), "distances")
     pct = ordered.percentiles(d, ["winding"], "d", {"median": 0.5, "p90": 0.9})
     agg = d.groupBy("winding").agg(r(F.avg((F.col("d") < 0.05).cast("double")), 9).alias("share"), F.min("d").alias("lowest"))
     s = pct.join(agg, "winding").withColumns({c: r(c) for c in ("median", "p90")})
