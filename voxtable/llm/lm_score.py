@@ -19,8 +19,7 @@ texts can reach. A block and a bucket exchange one row, with a list of keys on t
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from itertools import chain
@@ -28,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,38 +49,42 @@ class Trie:
     each length with the n-gram that ends at each place, -1 where the document isn't that long yet.
     """
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray, order: int, each: Callable[[np.ndarray], None] = lambda place: None) -> None:
+    def __init__(self, text: np.ndarray, starts: np.ndarray, order: int, each: Callable[[np.ndarray], None] | None = None) -> None:
         self.alphabet = np.unique(text)
         code = np.zeros(256, np.int32)
         code[self.alphabet] = np.arange(len(self.alphabet), dtype=np.int32)
         self.code, self.width = code, len(self.alphabet)
         self.parent: list[np.ndarray] = []  # of each n-gram of a level: its first n-1 symbols, on the level below
         self.symbol: list[np.ndarray] = []  # and its last
-        sym = code.astype(np.uint8)[text]
-        place = np.full(len(text), -1, np.int32)
-        first = np.zeros(len(text), bool)
-        first[starts] = True
+        short = code.astype(np.uint8)
+        place = np.zeros(len(text), np.int32)
+        early = np.zeros(0, np.int64)  # places where the document isn't as long yet
         for n in range(order):
             if n:
-                for k in reversed(range(0, len(text) - 1, PART)):
-                    place[k + 1 : k + 1 + PART] = place[k : min(k + PART, len(text) - 1)]
-                place[first] = -1
-            else:
-                place[:] = 0
-            have = place >= 0
-            seen = np.zeros((self.width * len(self.parent[-1]) if n else self.width), bool)
-            for k in range(0, len(text), PART):  # a part at a time, to spare memory
-                own = have[k : k + PART]
-                place[k : k + PART][own] = keys = place[k : k + PART][own] * np.int32(self.width) + sym[k : k + PART][own]
-                seen[keys] = True
-            found = np.flatnonzero(seen)
+                early = np.union1d(early, starts + n - 1)
+                early = early[: np.searchsorted(early, len(text))]
+            size = self.width * (len(self.parent[-1]) if n else 1)
+            seen = np.zeros(size + 1, bool)  # the last stands for no n-gram
+            for k in reversed(range(0, len(text), PART)):  # a part at a time, to spare memory; the last first, as it reads the place before
+                part = place[k : k + PART]
+                if n:
+                    part[not k :] = place[max(k - 1, 0) : k + len(part) - 1]
+                    part *= np.int32(self.width)
+                    part += short[text[k : k + PART]]
+                else:
+                    part[:] = short[text[k : k + PART]]
+                part[early[slice(*np.searchsorted(early, [k, k + PART]))] - k] = size
+                seen[part] = True
+            found = np.flatnonzero(seen[:-1])
             ids = np.cumsum(seen, dtype=np.int32) - 1
+            ids[-1] = -1
             for k in range(0, len(text), PART):
-                own = have[k : k + PART]
-                place[k : k + PART][own] = ids[place[k : k + PART][own]]
+                part = place[k : k + PART]
+                part[:] = np.take(ids, part, mode="clip")
             self.parent.append((found // self.width).astype(np.int32))
             self.symbol.append((found % self.width).astype(np.int32))
-            each(place)
+            if each:
+                each(place)
 
     def keys(self) -> list[np.ndarray]:
         """Of each level: the n-grams as numbers, n in the highest byte and the symbols below."""
@@ -91,9 +95,18 @@ class Trie:
         return out
 
 
-def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)[:-1]
-    return np.frombuffer(b"".join(texts), np.uint8), starts
+def numbered(flat: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of symbols, the end first; the number of each token; and how many tokens each text has."""
+    close = _at(starts, len(flat))  # the symbol before a text is read as a token too: the first one of all is an end
+    for k in range(0, len(flat), PART):
+        part = flat[k : k + PART]
+        close[k : k + PART] |= (part == 32) | (part == 10)
+    cuts = np.append(0, np.flatnonzero(close) + 1)
+    every = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(flat)]).dictionary_encode()
+    spelled, size = every.dictionary.buffers()[2], pa.compute.sum(pa.compute.binary_length(every.dictionary)).as_py()
+    words = [b"", *spelled[1:size].to_pybytes().split()]  # each has a space after it, but for the first
+    before = np.searchsorted(cuts, starts)
+    return words, np.delete(every.indices.to_numpy(), before), np.diff(before, append=len(cuts) - 1) - 1
 
 
 def squeezed(data: bytes) -> bytes:
@@ -115,40 +128,73 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def mixed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Hashes of the n-grams made of a context and a token, from the hashes of both."""
-    x = (context ^ context >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + token
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ x >> np.uint64(29)
+    x = context ^ context >> np.uint64(32)  # one array, changed in place
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x += token
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+#: A random number for each place in a word and each byte there.
+LONGEST = 32
+PLACED = np.frombuffer(b"".join(blake2b(k.to_bytes(8, "little")).digest() for k in range((LONGEST + 1) * 256 // 8)), np.uint64)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes: the sum of the numbers of a word's bytes and its end; of a long word, of those of its digest."""
+    out = [np.zeros(0, np.uint64)]
+    for k in range(0, len(words), 1 << 16):
+        own = [w if len(w) <= LONGEST else blake2b(w, digest_size=LONGEST).digest() for w in words[k : k + (1 << 16)]]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) + 1
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+        out.append(np.add.reduceat(PLACED[place << 8 | np.frombuffer(b"\n".join([*own, b""]), np.uint8)], starts))
+    return np.concatenate(out)
 
 
 def word_grams(names: list[bytes], texts: list[list[bytes]], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each length from 2: the distinct n-grams of words (numbers below zero), and the place among them of that which ends at each token, or -1."""
+    """``token_grams`` of texts given as words."""
     index, sizes = dict(zip(names, range(len(names)))), np.array([len(w) + 1 for w in texts], np.int64)
-    hashed = np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in names), np.uint64, len(names))
-    token = hashed[np.fromiter(map(index.__getitem__, chain.from_iterable(chain(w, (b"",)) for w in texts)), np.int64, int(sizes.sum()))]
-    first = _at(np.cumsum(sizes) - sizes, len(token))
+    tokens = np.fromiter(map(index.__getitem__, chain.from_iterable(chain(w, (b"",)) for w in texts)), np.int32, int(sizes.sum()))
+    return token_grams(hashes(names), index[b""], tokens, sizes, order)
+
+
+def token_grams(hashed: np.ndarray, end: int, tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each length from 2: the distinct n-grams of words (numbers below zero), and the place among them of that which ends at each token, or -1.
+
+    ``hashed`` has the hash of each word, ``tokens`` the word of each token, ``sizes`` the tokens of each text, the last of which is the word ``end``.
+    """
+    first, token = np.cumsum(sizes) - sizes, hashed[tokens]
     gram, have, out = token, np.ones(len(token), bool), []
     for n in range(2, order + 1):
-        context = np.roll(gram, 1)
+        gram = np.roll(gram, 1)
         if n == 2:
-            context[first] = hashed[index[b""]]
+            gram[first] = hashed[end]
         else:
-            have = np.roll(have, 1) & ~first
-        gram = mixed(context, token)
-        own = (gram[have] | np.uint64(1 << 63)).view(np.int64)
-        order_of = np.argsort(own)
+            have = np.roll(have, 1)
+            have[first] = False
+        gram = mixed(gram, token)
+        own = gram[have]
+        own |= np.uint64(1 << 63)
+        own = own.view(np.int64)
+        order_of = np.argsort(own).astype(np.int32)
         own = own[order_of]
         fresh = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
-        keys, place = own[fresh], np.full(len(token), -1, np.int32)
-        place[np.flatnonzero(have)[order_of]] = np.cumsum(fresh, dtype=np.int32) - 1
-        del order_of, own, fresh
-        out.append((keys, place))
+        place = np.full(len(token), -1, np.int32)
+        place[np.flatnonzero(have).astype(np.int32)[order_of]] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order_of
+        out.append((own[fresh], place))
+        del own, fresh
     return out
 
 
 @dataclass
 class Counts:
-    """What a block holds: words (the end is the empty word) and n-grams, their counts in training texts, and those of n-grams as contexts.
+    """What a block holds: words (the first is the end, the empty word) and n-grams, their counts in training texts, and those of n-grams as contexts.
 
+    Texts are ``tokens``, the places of their words, ``sizes`` of them each, and their symbols, ``flat`` from ``starts`` on.
     N-grams of words come after those of symbols; ``levels`` has, for each length from 2, the place of that which ends at each token. As a context
     one has been followed as often as it came up, but for the end, which is none, so that ``contexts`` has those of symbols alone.
 
@@ -164,35 +210,42 @@ class Counts:
     flat: np.ndarray
     starts: np.ndarray
     levels: list[np.ndarray]
+    tokens: np.ndarray
+    sizes: np.ndarray
 
     @staticmethod
-    def of(texts: list[list[bytes]], trained: int, order: int, word_order: int = 1) -> Counts:
-        """``texts``: the training texts first, ``trained`` in number."""
-        words: Counter[bytes] = Counter()
-        for own in texts[:trained]:
-            words.update(own)
-        words[b""] += trained
-        for own in texts[trained:]:
-            words.update(dict.fromkeys(own, 0))
-        flat, starts = laid_out([symbols(w) for w in texts])
-        end = int(starts[trained]) if trained < len(texts) else len(flat)
+    def of(texts: Iterable[list[bytes]], trained: int, order: int, word_order: int = 1, counted: bool = True) -> Counts:
+        """``texts``: the training texts first, ``trained`` in number. Each is read once, and kept as numbers and symbols alone. Unless ``counted``, n-grams are only found."""
+        flat, starts = bytearray(), []
+        for own in texts:
+            starts.append(len(flat))
+            flat += symbols(own)
+        flat, starts = np.frombuffer(flat, np.uint8), np.array(starts, np.int64)
+        names, tokens, sizes = numbered(flat, starts)
+        learned = int(sizes[:trained].sum())
+        words = np.bincount(tokens[:learned], minlength=len(names))
+        end = int(starts[trained]) if trained < len(starts) else len(flat)
         first, last = starts[:trained], np.append(starts[1 : trained + 1], len(flat))[:trained] - 1
         counts, contexts = [], []
 
         def add(place: np.ndarray) -> None:
             n = int(place.max(initial=-1)) + 2
             total = sum((np.bincount(place[k : min(end, k + PART)] + 1, minlength=n) for k in range(0, end, PART)), np.zeros(n, np.int64))
-            counts.append((total - np.bincount(place[first] + 1, minlength=n))[1:])  # the symbol before a text is not an event of it
+            counts.append((total - np.bincount(place[first] + 1, minlength=n))[1:].astype(np.int32))  # the symbol before a text is not an event of it
             contexts.append((total - np.bincount(place[last] + 1, minlength=n))[1:])  # nor is its end the context of one
 
-        trie = Trie(flat, starts, order, add)
-        names, grams, levels, learned = list(words), trie.keys(), [], sum(len(w) + 1 for w in texts[:trained])
-        for keys, place in word_grams(names, texts, word_order):
-            counts.append(np.bincount(place[:learned] + 1, minlength=len(keys) + 1)[1:])
+        trie = Trie(flat, starts, order, add if counted else None)
+        grams, levels = trie.keys(), []
+        for keys, place in token_grams(hashes(names), 0, tokens, sizes, word_order):
+            if counted:
+                total = (np.bincount(place[k : min(learned, k + PART)] + 1, minlength=len(keys) + 1).astype(np.int32) for k in range(0, learned, PART))
+                counts.append(sum(total, np.zeros(len(keys) + 1, np.int32))[1:])
             place[place >= 0] += sum(map(len, grams))
             levels.append(place)
             grams.append(keys)
-        return Counts(names, np.fromiter(words.values(), np.int64, len(words)), trie, np.concatenate(grams), np.concatenate(counts), np.concatenate(contexts), flat, starts, levels)
+        grams, spelled = np.concatenate(grams), sum(map(len, trie.symbol))
+        counts, contexts = (np.concatenate(x) if counted else np.zeros(n, np.int32) for x, n in ((counts, 0), (contexts, spelled)))
+        return Counts(names, words, trie, grams, counts, contexts, flat, starts, levels, tokens, sizes)
 
     def spelled(self, places: np.ndarray) -> np.ndarray:
         """Those of the n-grams that are of symbols."""
@@ -201,16 +254,17 @@ class Counts:
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of each word and of each n-gram. Those of words are hashes already: a bucket has a range of them, whose differences are small."""
         keys, spelled = self.grams.view(np.uint64), len(self.contexts)
-        grams = np.empty(len(keys), np.uint64)
+        grams = np.empty(len(keys), np.int32)
         grams[:spelled] = (keys[:spelled] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
-        grams[spelled:] = (keys[spelled:] << np.uint64(1) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-        return np.fromiter(map(crc32, self.words), np.int64, len(self.words)) % n, grams.astype(np.int64)
+        for k in range(spelled, len(keys), PART):
+            grams[k : k + PART] = (keys[k : k + PART] << np.uint64(1) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        return np.fromiter(map(crc32, self.words), np.int64, len(self.words)) % n, grams
 
 
 def grouped(bucket: np.ndarray, n: int) -> list[np.ndarray]:
     """The places of each bucket, in order."""
-    order = np.argsort(bucket, kind="stable")
-    return np.split(order, np.searchsorted(bucket[order], np.arange(1, n)))
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    return np.split(order, np.cumsum(np.bincount(bucket, minlength=n))[:-1])
 
 
 class Automaton:
@@ -245,12 +299,12 @@ class Automaton:
         np.log10(weight, out=weight)
         self.next, self.weight = follow.ravel(), weight.ravel()
 
-    def walk(self, flat: np.ndarray, starts: np.ndarray, piece: int = 4096) -> np.ndarray:
+    def walk(self, flat: np.ndarray, starts: np.ndarray, piece: int = 1024) -> np.ndarray:
         """The weight of each symbol: one pass from left to right carries every text's state.
 
         All texts step together. Long ones are cut; a cut starts order - 1 symbols earlier, after which its state is the true one.
         """
-        sym, ends, warm = self.code[flat], np.append(starts[1:], len(flat)), self.order - 1
+        sym, ends, warm = self.code.astype(np.uint8)[flat], np.append(starts[1:], len(flat)), self.order - 1
         cuts = [np.arange(s + 1, e, piece) for s, e in zip(starts, ends)]
         first = np.concatenate(cuts)
         stop = np.concatenate([np.append(c[1:], e) for c, e in zip(cuts, ends)])
@@ -267,43 +321,45 @@ class Automaton:
                 own = at >= first[:active]
                 out[at[own]] = self.weight[arc[own]]
             else:
-                out[at] = self.weight[arc]
-            state[:active] = self.next[arc]
+                out[at] = np.take(self.weight, arc, mode="clip")
+            state[:active] = np.take(self.next, arc, mode="clip")
         return out
 
 
-def token_scores(texts: list[list[bytes]], own: Counts, word_counts: np.ndarray, automaton: Automaton, tokens: int, share: float, gram_counts: np.ndarray, word_mass: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: known tokens, the sum of log10(c + 0.1), and the log10 probability."""
-    known, flat, starts = dict(zip(own.words, word_counts.tolist())), own.flat, own.starts
-    ends = (flat == 32) | (flat == 10)  # of tokens; the symbol before a text is the end of none, but a token begins after it
-    begins = np.flatnonzero(ends[:-1] & ~_at(starts, len(flat))[1:]) + 1
-    del ends
-    spelled = np.add.reduceat(automaton.walk(flat, starts), begins, dtype=np.float64)
-    counts = np.fromiter(chain.from_iterable(map(known.__getitem__, chain(words, (b"",))) for words in texts), np.int64, len(begins))
-    with np.errstate(divide="ignore"):
-        by_word = np.log(share * counts / tokens) if tokens else np.full(len(counts), -np.inf)
-        worded = np.logaddexp(by_word, math.log(1 - share if tokens else 1.0) + spelled * math.log(10))
-    first = np.concatenate([[0], np.cumsum([len(w) + 1 for w in texts])[:-1]])
-    times, start = counts, known[b""]
-    for place in own.levels:
-        followed = np.roll(times, 1)
-        followed[first] = start
-        times, start = np.where(place >= 0, gram_counts[place], 0), 0
+def token_scores(own: Counts, word_counts: np.ndarray, automaton: Automaton, tokens: int, share: float, gram_counts: np.ndarray, word_mass: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: known tokens, the sum of log10(c + 0.1), and the log10 probability. Worked out for runs of texts of about ``PART`` symbols."""
+    ends, token, out = np.append(own.starts[1:], len(own.flat)), 0, []
+    runs = np.flatnonzero(np.diff(ends // PART, prepend=-1, append=ends[-1:] // PART + 1)).tolist()  # a run ends before a text that ends in another part
+    for one, two in zip(runs[:-1], runs[1:]):
+        length = own.sizes[one:two]
+        flat, starts = own.flat[own.starts[one] : ends[two - 1]], own.starts[one:two] - own.starts[one]
+        counts = word_counts[own.tokens[token : token + int(length.sum())]]
+        close = (flat == 32) | (flat == 10)  # ends of tokens; the symbol before a text is the end of none, but a token begins after it
+        begins = np.flatnonzero(close[:-1] & ~_at(starts, len(flat))[1:]) + 1
+        spelled = np.add.reduceat(automaton.walk(flat, starts), begins, dtype=np.float64)
         with np.errstate(divide="ignore"):
-            longer = np.logaddexp(np.log(times), math.log(word_mass) + worded) - np.log(followed + word_mass)
-        worded = np.where(place >= 0, longer, worded)
-    worded = worded / math.log(10)
-    return np.add.reduceat(counts > 0, first, dtype=np.int64), np.add.reduceat(np.log10(counts + 0.1), first), np.add.reduceat(worded, first)
-
-
-def in_order(table: pa.Table) -> tuple[pa.Table, list[list[bytes]], int]:
+            by_word = np.log(share * counts / tokens) if tokens else np.full(len(counts), -np.inf)
+            worded = np.logaddexp(by_word, math.log(1 - share if tokens else 1.0) + spelled * math.log(10))
+        first = np.cumsum(length) - length
+        times, start = counts, word_counts[0]
+        for level in own.levels:
+            place = level[token : token + len(counts)]
+            followed = np.roll(times, 1)
+            followed[first] = start
+            times, start = np.where(place >= 0, gram_counts[place], 0), 0
+            with np.errstate(divide="ignore"):
+                longer = np.logaddexp(np.log(times), math.log(word_mass) + worded) - np.log(followed + word_mass)
+            worded = np.where(place >= 0, longer, worded)
+        worded = worded / math.log(10)
+        out.append((np.add.reduceat(counts > 0, first, dtype=np.int64), np.add.reduceat(np.log10(counts + 0.1), first), np.add.reduceat(worded, first)))
+        token += len(counts)
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def in_order(table: pa.Table) -> tuple[pa.Table, Iterator[list[bytes]], int]:
     """The rows of a block in an order of their own, training texts first, without the texts; their words; and the number of training texts."""
     rows = table.sort_by([("held_out", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    texts, known = [], {}  # each word is held once, however often it occurs
-    for batch in rows.column("text").chunks:
-        for x in batch.to_pylist():
-            own = released(x).lower().split() if x else []
-            texts.append(list(map(known.setdefault, own, own)))
+    texts = (released(x).lower().split() if x else [] for batch in rows.column("text").chunks for x in batch.to_pylist())
     return rows.drop_columns("text"), texts, rows.num_rows - sum(rows.column("held_out").to_pylist())
 
 
@@ -343,7 +399,6 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
         block = table.column("block")[0].as_py()
         _, texts, trained = in_order(table)
         own = Counts.of(texts, trained, order, word_order)
-        del texts
         rows = []
         for k, (w, g) in enumerate(zip(*(grouped(x, n_blocks) for x in own.buckets(n_blocks)))):
             if len(w) or len(g):
@@ -382,19 +437,20 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
 
     def score(key, rows: pa.Table, sums: pa.Table) -> pa.Table:
         rows, texts, trained = in_order(rows)
-        own = Counts.of(texts, trained, order, word_order)
-        own.gram_counts = None  # those of the corpus take their place
+        own = Counts.of(texts, trained, order, word_order, counted=False)  # the counts of the corpus take their place
         places = dict(enumerate(zip(*(grouped(x, n_blocks) for x in own.buckets(n_blocks)))))
         word_counts, gram_counts, contexts = (np.zeros(n, np.int64) for n in (len(own.words), len(own.grams), len(own.contexts)))
-        for bucket, *parts in zip(*(sums.column(c).to_pylist() for c in ("bucket", "word_counts", "gram_counts", "contexts"))):
+        own.grams = None
+        for batch in sums.select(["bucket", "word_counts", "gram_counts", "contexts"]).to_batches(max_chunksize=1):
+            bucket, *parts = (x[0].as_py() for x in batch.columns)
             w, g = places.pop(bucket)
             for to, at, part in zip((word_counts, gram_counts, contexts), (w, g, own.spelled(g)), parts):
                 to[at] = unpacked(part)
-        del places, sums
+        del places, sums, batch, parts
         automaton = Automaton(own.trie, gram_counts, contexts, total, mass)
-        own.trie = own.grams = own.contexts = contexts = None
-        found = token_scores(texts, own, word_counts, automaton, tokens, share, gram_counts, word_mass)
-        columns = [rows.column("doc_id"), rows.column("held_out"), pa.array([len(w) + 1 for w in texts], pa.int64()), *map(pa.array, found)]
+        own.trie = own.contexts = contexts = None
+        found = token_scores(own, word_counts, automaton, tokens, share, gram_counts, word_mass)
+        columns = [rows.column("doc_id"), rows.column("held_out"), pa.array(own.sizes), *map(pa.array, found)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_part", "score"])
 
     found = blocked.groupBy("block").cogroup(model.drop("tokens", "distinct", "total").groupBy("block")).applyInArrow(score, SCORED)
