@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import numpy as np
 import pandas as pd
@@ -170,6 +171,20 @@ def test_scans_skip_chunks_outside_the_wanted_keys(spark, tilted):
     assert out.first().v == 188 and "ubquery" in out._jdf.queryExecution().toString()
 
 
+def test_bounds_of_wanted_chunks_take_one_pass(spark, tilted):
+    """All bounds come from one aggregate over the requests, none of which is exploded for it; cells within a chunk aren't exploded either."""
+    store = ch.lay_out(tilted)
+    points = spark.range(20).selectExpr("id", "'v' || (id div 20) AS volume_id", "0 AS level", "id * 0.9 AS z", "id * 1.1 AS y", "id * 1.3 AS x")
+    requests = spark.range(3).selectExpr("id", "'v' AS volume_id", "0 AS level", *(f"int(id + {20 * e}) AS {a}{e}" for a in "zyx" for e in (0, 1)))
+    profiles = profile.normal_profiles(points.selectExpr("*", "1.0 AS nz", "0.0 AS ny", "0.0 AS nx"), store, SHAPE, CHUNK, ["id"], 1.0, 0.5)
+    for out, rows in ((ch.trilinear(points, store, SHAPE, CHUNK, ["id"]), 20), (ch.box_pieces(requests, store, CHUNK, ["id"]), None), (profiles, 20)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        bounds = {re.sub(r"#\d+L?", "", line.strip(" :+-")) for line in plan if "Aggregate [" in line and "min(" in line}
+        assert len(bounds) == 1 and "max(" in bounds.pop()
+        assert rows is None or out.count() == rows
+    assert profiles.first().profile is not None and "Broadcast" not in profiles._jdf.queryExecution().executedPlan().toString()
+
+
 def test_frames_of_long_chains_take_few_rounds(spark, monkeypatch):
     """Rings, parents and maps of a breadth-first search: a chain of 150 patches, a ring with a tie, a branch and a second group."""
     pairs = [(k, k + 1) for k in range(150)] + [(150, 200), (200, 201), (201, 202), (150, 203), (203, 204), (202, 204), (60, 210), (60, 211), (210, 211), (300, 301)]

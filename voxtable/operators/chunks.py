@@ -63,13 +63,22 @@ def lay_out(chunks: DataFrame, path: str | None = None, buckets: int | None = No
     return chunks.sparkSession.table(name)
 
 
-def _within(chunks: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The chunks between the least and the greatest wanted value of each key: subqueries that reach the scan, so that row groups outside are skipped."""
-    for k in keys:
-        chunks = chunks.where((F.col(k) >= wanted.select(F.min(k)).scalar()) & (F.col(k) <= wanted.select(F.max(k)).scalar()))
+def _within(chunks: DataFrame, wanted: DataFrame, spans: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """The chunks between the least and the greatest wanted value of each key: subqueries that reach the scan, so that row groups outside are skipped.
+
+    ``spans`` has, for a row of ``wanted``, the first and the last value of a key. One aggregate has all bounds, and no row is exploded for it.
+    """
+    ends = [c for k, (first, last) in spans.items() for c in (F.min(first).alias(f"first_{k}"), F.max(last).alias(f"last_{k}"))]
+    bounds = wanted.agg(F.struct(*ends).alias("bounds"))
+    for k in spans:
+        chunks = chunks.where((F.col(k) >= bounds.scalar()[f"first_{k}"]) & (F.col(k) <= bounds.scalar()[f"last_{k}"]))
     return chunks
 
 
+def _same(keys: Sequence[str]) -> dict[str, tuple[Column, Column]]:
+    return {k: (F.col(k), F.col(k)) for k in keys}
+
+
 def decode_files(files: DataFrame, decoder: Callable[[bytes], bytes], chunk: Shape, pattern: str) -> DataFrame:
     """Chunk rows from ``binaryFile`` rows. ``pattern`` has groups volume, level, cz, cy, cx; ``decoder`` undoes the codec.
 
@@ -158,11 +167,13 @@ def box_pieces(requests: DataFrame, chunks: DataFrame, chunk: Shape, ids: Sequen
 
     ``requests`` has ids, volume_id, level and the half-open box z0, z1, y0, y1, x0, x1. Absent chunks give no piece.
     """
-    wanted = requests.select(*ids, "volume_id", "level", *(f"{a}{e}" for a in ZYX for e in (0, 1)))
+    asked = requests.select(*ids, "volume_id", "level", *(f"{a}{e}" for a in ZYX for e in (0, 1)))
+    spans, wanted = _same(KEYS[:2]), asked
     for a, c in zip(ZYX, chunk):
         first = F.floor(F.col(f"{a}0") / c).cast("int")
-        wanted = wanted.withColumn(f"c{a}", F.explode(F.sequence(first, F.greatest(F.floor((F.col(f"{a}1") - 1) / c).cast("int"), first))))
-    met = wanted.hint("merge").join(_within(chunks.select(*KEYS, "data"), wanted, KEYS), list(KEYS))
+        spans[f"c{a}"] = first, F.greatest(F.floor((F.col(f"{a}1") - 1) / c).cast("int"), first)
+        wanted = wanted.withColumn(f"c{a}", F.explode(F.sequence(*spans[f"c{a}"])))
+    met = wanted.hint("merge").join(_within(chunks.select(*KEYS, "data"), asked, spans), list(KEYS))
     size = chunk[0] * chunk[1] * chunk[2]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +245,7 @@ def gather(points: DataFrame, chunks: DataFrame, shape: Shape, chunk: Shape, key
 
         return pd.Series([np.frombuffer(d, np.uint8)[o].astype("int16") for d, o in zip(data, offsets)], dtype=object)
 
-    held = _within(chunks.select(*ck, "data"), keyed.where("__in"), ck)
+    held = _within(chunks.select(*ck, "data"), keyed.where("__in"), _same(ck))
     found = wanted.hint("merge").join(held, ck).withColumn("__v", take("data", "o"))
     values = found.select(*ck, F.explode(F.arrays_zip("o", "__v")).alias("p")).select(*ck, F.col("p.o").alias("__o"), F.col("p.__v").alias("__v"))
     out = keyed.join(values, [*ck, "__o"], "left")
@@ -250,20 +261,23 @@ def _up_to(top: int) -> Callable[[Column], Column]:
 def cell_corners(points: DataFrame, chunks: DataFrame, shape: Shape, chunk: Shape, keys: Sequence[str] = ("volume_id", "level")) -> DataFrame:
     """Adds ``corners``: the eight values of the cell above integer points z, y, x, one byte each, the last axis running fastest; zero outside.
 
-    Requests are distinct cells, of which nearly all lie in one chunk; the few at a border meet each chunk that holds a corner, and what these give is
-    put together by OR. Neither a point nor a buffer is copied for a corner.
+    Requests are distinct cells, of which nearly all lie in one chunk, that of the point; only the few at a border are exploded and meet each chunk that holds
+    a corner, and what these give is put together by OR. Neither a point nor a buffer is copied for a corner.
     """
     keys = list(keys)
     ck = [*keys, "cz", "cy", "cx"]
     radix = [c + 1 for c in chunk]
     last = [(s - 1) // c for s, c in zip(shape, chunk)]
-    axis = []
+    cells = points.select(*keys, *ZYX)
+    spans, inner, border = _same(keys), cells, F.lit(False)
     for a, c, top in zip(ZYX, chunk, last):
-        touched = F.array_distinct(F.array(F.floor(F.col(a) / c).cast("int"), F.floor((F.col(a) + 1) / c).cast("int")))
-        axis.append(F.filter(touched, _up_to(top)))
-    keyed = points.select(*keys, *ZYX)
-    for k, a in enumerate(ZYX):
-        keyed = keyed.withColumn(f"c{a}", F.explode(axis[k]))
+        spans[f"c{a}"] = F.floor(F.col(a) / c).cast("int"), F.floor((F.col(a) + 1) / c).cast("int")
+        border = border | (F.pmod(F.col(a), F.lit(c)) == c - 1)
+        inner = inner.where(F.col(a).between(0, (top + 1) * c - 1)).withColumn(f"c{a}", spans[f"c{a}"][0])
+    outer = cells.where(border)
+    for a, top in zip(ZYX, last):
+        outer = outer.withColumn(f"c{a}", F.explode(F.filter(F.array_distinct(F.array(*spans[f"c{a}"])), _up_to(top))))
+    keyed = inner.where(~border).unionByName(outer)
     local = [F.col(a) - F.col(f"c{a}") * c + 1 for a, c in zip(ZYX, chunk)]
     keyed = keyed.withColumn("__o", ((local[0] * radix[1] + local[1]) * radix[2] + local[2]).cast("int"))
     wanted = keyed.groupBy(*ck).agg(F.collect_set("__o").alias("o"))
@@ -285,14 +299,14 @@ def cell_corners(points: DataFrame, chunks: DataFrame, shape: Shape, chunk: Shap
             out.append(packed.view(np.int64))
         return pd.Series(out, dtype=object)
 
-    held = _within(chunks.select(*ck, "data"), keyed, ck)
+    held = _within(chunks.select(*ck, "data"), cells, spans)
     found = wanted.hint("merge").join(held, ck).withColumn("__v", take("data", "o", "cz", "cy", "cx"))
     code = F.col("p.o")
     base = (F.floor(code / (radix[1] * radix[2])), F.pmod(F.floor(code / radix[2]), F.lit(radix[1])), F.pmod(code, F.lit(radix[2])))
-    cells = found.select(*ck, F.explode(F.arrays_zip("o", "__v")).alias("p"))
-    cells = cells.select(*keys, *((b + F.col(f"c{a}") * c - 1).cast("int").alias(a) for a, b, c in zip(ZYX, base, chunk)), F.col("p.__v").alias("__v"))
-    cells = cells.groupBy(*keys, *ZYX).agg(F.bit_or("__v").alias("corners"))
-    return points.join(cells, [*keys, *ZYX], "left").select(*points.columns, F.coalesce("corners", F.lit(0).cast("bigint")).alias("corners"))
+    read = found.select(*ck, F.explode(F.arrays_zip("o", "__v")).alias("p"))
+    read = read.select(*keys, *((b + F.col(f"c{a}") * c - 1).cast("int").alias(a) for a, b, c in zip(ZYX, base, chunk)), F.col("p.__v").alias("__v"))
+    read = read.groupBy(*keys, *ZYX).agg(F.bit_or("__v").alias("corners"))
+    return points.join(read.hint("merge"), [*keys, *ZYX], "left").select(*points.columns, F.coalesce("corners", F.lit(0).cast("bigint")).alias("corners"))
 
 
 def trilinear(

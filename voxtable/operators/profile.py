@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.operators.chunks import ZYX, gather, trilinear
+from voxtable.operators.nearest import parts
 from voxtable.operators.ordered import percentiles
 from voxtable.operators.stats import gaussian_taps, smooth_profile
 from voxtable.session import stored
@@ -118,9 +119,13 @@ def crest_regularity(profiles: DataFrame, keys: Sequence[str], point_keys: Seque
 
 
 def normal_profiles(points: DataFrame, chunks: DataFrame, shape, chunk, point_keys: Sequence[str], reach: float, step: float, volume_keys=("volume_id", "level")) -> DataFrame:
-    """Array profile of trilinear samples along each point's normal from -reach to reach."""
+    """Array profile of trilinear samples along each point's normal from -reach to reach.
+
+    Points are dealt over tasks by the number of their samples: a file of few bytes has few splits.
+    """
     n = int(round(2 * reach / step)) + 1
-    at = points.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tasks = parts(points.sparkSession, points.count() * n)
+    at = points.repartition(tasks, *point_keys).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     for a in ZYX:
         at = at.withColumn(a, F.col(a) + F.col(f"n{a}") * (F.col("k") * step - reach))
     values = trilinear(at, chunks, shape, chunk, [*point_keys, "k"], volume_keys)
