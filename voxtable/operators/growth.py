@@ -71,7 +71,8 @@ def seed_frames(seeds: DataFrame, chunks: DataFrame, chunk: Sequence[int], radiu
         u = np.cross(v, n)
         return pd.DataFrame([(*key, *(p + snap), *n, *(u / np.linalg.norm(u)), *v, far.min(), len(idx), w[0] / max(w[1], 1e-9))], columns=names)
 
-    return rows.groupBy(*SEED).applyInPandas(fit, FRAME)
+    tasks = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as pieces take so few bytes that they would be put into one task
+    return rows.repartition(tasks, *SEED).groupBy(*SEED).applyInPandas(fit, FRAME)
 
 
 def _component(on, centre: int):
