@@ -185,6 +185,13 @@ def test_bounds_of_wanted_chunks_take_one_pass(spark, tilted):
     assert profiles.first().profile is not None and "Broadcast" not in profiles._jdf.queryExecution().executedPlan().toString()
 
 
+def test_seeds_are_dealt_by_key(spark, tilted):
+    """Pieces of a seed's cube take few bytes; adaptive execution put all seeds into one task."""
+    seeds = spark.range(64).selectExpr("'v' AS volume_id", "0 AS level", "id AS patch", "19.2 AS z", "18.0 AS y", "10.0 AS x")
+    frames = growth.seed_frames(seeds, tilted, CHUNK, radius=3)
+    assert frames.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+
+
 def test_frames_of_long_chains_take_few_rounds(spark, monkeypatch):
     """Rings, parents and maps of a breadth-first search: a chain of 150 patches, a ring with a tie, a branch and a second group."""
     pairs = [(k, k + 1) for k in range(150)] + [(150, 200), (200, 201), (201, 202), (150, 203), (203, 204), (202, 204), (60, 210), (60, 211), (210, 211), (300, 301)]
