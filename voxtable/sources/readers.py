@@ -16,6 +16,15 @@ def object_inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataF
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def with_places(table: DataFrame) -> DataFrame:
+    """Rows of a Parquet table with their place in it: ``__file``, the number of the file in the order of names, and ``__row`` in the file."""
+    from voxtable.operators.ordered import range_id
+
+    names = sorted({f.replace(":///", ":/", 1) for f in table.inputFiles()})
+    named = table.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    return named.withColumn("__file", range_id(["__path"], [(n,) for n in names[1:]], named.schema)).drop("__path")
+
+
 def split_keys(inventory: DataFrame, key: str = "path", root: str = "") -> DataFrame:
     """Splits ``<root>scroll/segments/segment/kind/asset`` keys into columns; shorter keys leave NULLs."""
     parts = F.split(F.regexp_replace(F.col(key), F.lit("^" + root), F.lit("")), "/")
