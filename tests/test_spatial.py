@@ -246,3 +246,21 @@ def test_parts_of_a_nearest_join_follow_the_queries(spark, monkeypatch):
     assert any(", 25)" in line for line in dealt) and not any("normalized" in line for line in dealt)
     far = ((q[:, None] - t[None]) ** 2).sum(axis=2)
     assert {r.qid: r.tid for r in out.collect()} == dict(enumerate(far.argmin(axis=1).tolist()))
+
+
+def test_a_query_knows_a_near_target_before_it_walks(spark, monkeypatch):
+    """The walk starts from the distance of a target at hand, so that few cells can still win; without it most cells of a level were dealt out."""
+    kept, plain = {}, nearest.stored
+    monkeypatch.setattr(nearest, "stored", lambda df, name="table": kept.setdefault(name, plain(df, name)))
+    rng = np.random.default_rng(8)
+    t = np.concatenate([rng.normal(c, 0.1, (1500, 3)) for c in (0.0, 0.6)])
+    q = np.concatenate([rng.normal(0.3, 0.3, (300, 3)), [[9.0, 9.0, 9.0]]])
+    left = spark.createDataFrame([(k % 2, k, *map(float, p)) for k, p in enumerate(q)], "g int, qid long, x double, y double, z double")
+    right = spark.createDataFrame([(k % 2, k, *map(float, p)) for k, p in enumerate(t)], "g int, tid long, x double, y double, z double")
+    got = {r.qid: r.tid for r in nearest.nearest(left, right, ["x", "y", "z"], "qid", "tid", ["g"]).collect()}
+    far = ((q[:, None] - t[None]) ** 2).sum(axis=2)
+    far[(np.arange(len(q)) % 2)[:, None] != (np.arange(len(t)) % 2)[None]] = np.inf
+    assert got == dict(enumerate(far.argmin(axis=1).tolist()))
+    best = {r["__qid"]: r["__best"] for r in kept["bounds"].collect()}
+    ratio = np.array([best[k] for k in range(len(q))]) / far.min(axis=1)
+    assert ratio.min() >= 1 - 1e-12 and np.median(ratio) < 1.5
